@@ -128,11 +128,31 @@ def groups(keys: np.ndarray):
             yield keys[a], slice(a, b)
 
 
-def spread(keys: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of each 64-bit key."""
+def bucket_ids(n: int) -> np.ndarray:
+    """An int for each of n partitions that repartition(n, column) puts there, so that buckets and partitions agree."""
+
+    def placed(k: int) -> int:  # Spark's hash of an int: 32-bit Murmur3 with seed 42
+        word = lambda x: x & 0xFFFFFFFF
+        turn = lambda x, r: word(x << r) | word(x) >> (32 - r)
+        h = word(turn(42 ^ word(turn(word(k * 0xCC9E2D51), 15) * 0x1B873593), 13) * 5 + 0xE6546B64) ^ 4
+        h = word((h ^ h >> 16) * 0x85EBCA6B)
+        h = word((h ^ h >> 13) * 0xC2B2AE35)
+        h ^= h >> 16
+        return (h - (1 << 32) if h >> 31 else h) % n
+
+    found: dict[int, int] = {}
+    k = 0
+    while len(found) < n:
+        found.setdefault(placed(k), k)
+        k += 1
+    return np.array([found[i] for i in range(n)], np.int32)
+
+
+def spread(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Bucket, one of ``ids``, of each 64-bit key."""
     with np.errstate(over="ignore"):
         x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((x ^ (x >> np.uint64(32))) % np.uint64(n)).astype(np.int32)
+        return ids[((x ^ (x >> np.uint64(32))) % np.uint64(len(ids))).astype(np.int64)]
 
 
 def texts_of(batches):
@@ -147,7 +167,7 @@ def texts_of(batches):
 DOC_BLOBS = "bucket int, blob binary"
 
 
-def pack_docs(n_buckets: int, most: int = 8 << 20):
+def pack_docs(ids: np.ndarray, most: int = 8 << 20):
     """mapInArrow function: documents as compressed blobs by bucket of doc_id."""
 
     def run(batches):
@@ -155,7 +175,7 @@ def pack_docs(n_buckets: int, most: int = 8 << 20):
 
         def flush():
             held.sort(key=lambda x: x[0])
-            buckets = spread(np.array([d for d, _, _ in held], np.int64), n_buckets)
+            buckets = spread(np.array([d for d, _, _ in held], np.int64), ids)
             order, rows = np.argsort(buckets, kind="stable"), []
             for k, s in groups(buckets[order]):
                 own = [held[i] for i in order[s]]

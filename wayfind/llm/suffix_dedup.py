@@ -32,6 +32,7 @@ from wayfind.llm import cells as C
 from wayfind.llm.common import (
     DOC_BLOBS,
     NO_ID,
+    bucket_ids,
     by_value,
     groups,
     keyed_rows,
@@ -96,15 +97,15 @@ def merged(doc, lo, n):
     return doc[new], lo[new], (lo[last] + n[last] - lo[new]).astype(np.uint32)
 
 
-def dealt(kind, key, arrays, n_buckets):
+def dealt(kind, key, arrays, ids):
     """Rows (kind, bucket, blob) of the arrays, by bucket of key."""
-    bucket = spread(key, n_buckets)
+    bucket = spread(key, ids)
     order = np.argsort(bucket, kind="stable")
     arrays = [a[order] for a in arrays]
     return [(kind, int(k), pack(*(a[s] for a in arrays))) for k, s in groups(bucket[order])]
 
 
-def cut(size, n_buckets, hot):
+def cut(size, ids, hot):
     """mapInArrow function: CELL rows by anchor; SPAN and START rows by document for what is settled in the task."""
 
     def run(batches):
@@ -121,17 +122,17 @@ def cut(size, n_buckets, hot):
             new = new_h | np.r_[True, c[1:] != c[:-1]]
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = ~new & ((doc != doc[lead]) | (lo != lo[lead]))
-            rows = dealt(SPAN, *(lambda x: (x[0], x))(merged(doc[later], lo[later], n[later])), n_buckets)
+            rows = dealt(SPAN, *(lambda x: (x[0], x))(merged(doc[later], lo[later], n[later])), ids)
             h, c, doc, lo, n, new_h = h[new], c[new], doc[new], lo[new], n[new], new_h[new]
             group = np.cumsum(new_h) - 1
             many = np.bincount(group, minlength=1)[group] > hot
             fresh = np.setdiff1d(h[many], known)
             known = np.union1d(known, fresh)
             many |= np.isin(h, known)
-            rows += dealt(START, doc[many], (h[many], doc[many], lo[many], n[many]), n_buckets)
+            rows += dealt(START, doc[many], (h[many], doc[many], lo[many], n[many]), ids)
             z = np.zeros(len(fresh), np.int64)
             h, c = np.r_[h[~many], fresh], np.r_[c[~many], z.astype(np.uint64)]
-            rows += dealt(CELL, h, (h, c, np.r_[doc[~many], z], np.r_[lo[~many], z], np.r_[n[~many], z].astype(np.uint32)), n_buckets)
+            rows += dealt(CELL, h, (h, c, np.r_[doc[~many], z], np.r_[lo[~many], z], np.r_[n[~many], z].astype(np.uint32)), ids)
             return keyed_rows(ROWS, rows)
 
         for data, ends, meta in chunks(texts_of(batches), size):
@@ -148,7 +149,7 @@ def cut(size, n_buckets, hot):
     return run
 
 
-def settle(n_buckets, hot):
+def settle(ids, hot):
     """mapInArrow function over all cells of some anchors: SPAN rows of later equal cells, WINDOW or START rows (by
     document) of the earliest cells where an anchor has several contents."""
 
@@ -175,21 +176,21 @@ def settle(n_buckets, hot):
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = ~new & ((doc != doc[lead]) | (lo != lo[lead]))
         spans = merged(doc[later], lo[later], n[later])
-        rows = dealt(SPAN, spans[0], spans, n_buckets)
+        rows = dealt(SPAN, spans[0], spans, ids)
         h, doc, lo, n, new_h = h[new], doc[new], lo[new], n[new], new_h[new]
         group = np.cumsum(new_h) - 1
         contents = np.bincount(group)[group]
         single = np.isin(h, flagged) | (contents > hot)
         asked = ~single & (contents > 1)
-        rows += dealt(START, doc[single], (h[single], doc[single], lo[single], n[single]), n_buckets)
-        rows += dealt(WINDOW, doc[asked], (h[asked], doc[asked], lo[asked], n[asked]), n_buckets)
+        rows += dealt(START, doc[single], (h[single], doc[single], lo[single], n[single]), ids)
+        rows += dealt(WINDOW, doc[asked], (h[asked], doc[asked], lo[asked], n[asked]), ids)
         for at in range(0, len(rows), 2000):
             yield keyed_rows(ROWS, rows[at : at + 2000])
 
     return run
 
 
-def fetch(size, n_buckets):
+def fetch(size, ids):
     """Cogrouped function of a bucket's documents and asked cells: WINDOW rows (with bytes, by anchor), and START rows
     (hashes, by hash; equal strings in the bucket go as the earliest, the others as SPAN rows)."""
 
@@ -208,7 +209,7 @@ def fetch(size, n_buckets):
                 part, at = a >> PART, a & ((1 << PART) - 1)
                 bytes_.append(texts[d, part][at : at + m + size - 1])
             if kind == WINDOW and len(h):
-                bucket = spread(h, n_buckets)
+                bucket = spread(h, ids)
                 order = np.argsort(bucket, kind="stable")
                 for k, s in groups(bucket[order]):
                     own = order[s]
@@ -219,7 +220,7 @@ def fetch(size, n_buckets):
                     starts.append((C.mix(C.gram_hash(code, size)), C.mix(C.gram_hash(C.mix(code), size)), np.full(n[i], doc[i]), lo[i] + np.arange(n[i])))
         if starts:
             first, later = earliest(*(np.concatenate(x) for x in zip(*starts, strict=True)))
-            rows += dealt(SPAN, later[0], later, n_buckets) + dealt(START, first[0], first, n_buckets)
+            rows += dealt(SPAN, later[0], later, ids) + dealt(START, first[0], first, ids)
         return keyed_rows_table(rows)
 
     return run
@@ -239,7 +240,7 @@ def earliest(a, b, doc, lo):
     return (a[new], b[new], doc[new], lo[new]), merged(doc[later], lo[later], np.ones(later.sum(), np.uint32))
 
 
-def resolve(size, n_buckets):
+def resolve(size, ids):
     """mapInArrow function over all windows of some anchors and all hashes of some strings: SPAN rows."""
 
     def run(batches):
@@ -252,7 +253,7 @@ def resolve(size, n_buckets):
                     (windows if kind == WINDOW else hashes).append(blob)
         if hashes:
             _, later = earliest(*unpack_all(hashes, *HASHES))
-            yield keyed_rows(ROWS, dealt(SPAN, later[0], later, n_buckets))
+            yield keyed_rows(ROWS, dealt(SPAN, later[0], later, ids))
         if not windows:
             return
         parts = [unpack_with(b, *ASKED) for b in windows]
@@ -281,7 +282,7 @@ def resolve(size, n_buckets):
             spans.append(merged(d[gone], o[gone], np.ones(gone.sum(), np.uint32)))
             at = end
         out = merged(*(np.concatenate(x) for x in zip(*spans, strict=True)))
-        yield keyed_rows(ROWS, dealt(SPAN, out[0], out, n_buckets))
+        yield keyed_rows(ROWS, dealt(SPAN, out[0], out, ids))
 
     return run
 
@@ -327,16 +328,16 @@ def dedup(docs: DataFrame, size: int = 100, hot: int = 4096, hot_in_task: int =
         raise ValueError(f"size must be at least {C.K}")
     spark = docs.sparkSession
     p = partitions(spark)
-    n_buckets = 8 * p
+    ids = bucket_ids(p)
     rows = numbered(docs)
     found = save(
-        rows.mapInArrow(cut(size, n_buckets, hot_in_task), ROWS_SQL).repartition(p, "kind", "bucket").mapInArrow(settle(n_buckets, hot), ROWS_SQL),
+        rows.mapInArrow(cut(size, ids, hot_in_task), ROWS_SQL).repartition(p, "bucket").mapInArrow(settle(ids, hot), ROWS_SQL),
         "cells",
     )
-    packed = rows.mapInArrow(pack_docs(n_buckets), DOC_BLOBS).repartition(p, "bucket").groupBy("bucket")
+    packed = rows.mapInArrow(pack_docs(ids), DOC_BLOBS).repartition(p, "bucket").groupBy("bucket")
     asked = found.filter(F.col("kind") != SPAN).repartition(p, "bucket").groupBy("bucket")
-    windows = packed.cogroup(asked).applyInArrow(fetch(size, n_buckets), ROWS_SQL)
-    more = save(windows.repartition(p, "kind", "bucket").mapInArrow(resolve(size, n_buckets), ROWS_SQL), "windows")
+    windows = packed.cogroup(asked).applyInArrow(fetch(size, ids), ROWS_SQL)
+    more = save(windows.repartition(p, "bucket").mapInArrow(resolve(size, ids), ROWS_SQL), "windows")
     spans = found.filter(F.col("kind") == SPAN).unionByName(more).repartition(p, "bucket").groupBy("bucket")
     return packed.cogroup(spans).applyInArrow(apply_spans(size, keep_bytes), RESULT)
 
