@@ -54,7 +54,7 @@ by_value(__name__)
 
 SPAN, WINDOW, START, CELL = 0, 1, 2, 3
 PART = 40  # the part of a document stands above so many bits of an offset
-FLUSH = 1 << 20  # cells that a task holds before it deals them out
+FLUSH = 1 << 18  # cells that a task holds before it deals them out
 ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 ROWS_SQL = "kind int, bucket int, blob binary"
 CELLS = ("<u8", "<u8", "<i8", "<i8", "<u4")  # anchor, content, doc_id, offset, starts (0: the anchor is hot)
@@ -265,8 +265,8 @@ def resolve(size, ids):
         order = np.lexsort((lo, doc, h))
         spans = []
         at = 0
-        while at < len(order):  # whole anchors, about a million starts at once
-            end = at + max(1, int(np.searchsorted(np.cumsum(n[order[at:]].astype(np.int64)), 1 << 20)))
+        while at < len(order):  # whole anchors, about 262,000 starts at once
+            end = at + max(1, int(np.searchsorted(np.cumsum(n[order[at:]].astype(np.int64)), 1 << 18)))
             while end < len(order) and h[order[end]] == h[order[end - 1]]:
                 end += 1
             own = order[at:end]
