@@ -10,7 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +49,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """``df``, whose partitions executors keep on disk for its several readers; what is lost with one is made again.
+    Held until spark.catalog.clearCache()."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete a table that save() made and nothing reads any more."""
     if df is not None and hasattr(df, "_wayfind_path"):

@@ -1,6 +1,7 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from wayfind.llm.simhash_dedup import op7_simhash_near_dedup
 from wayfind.llm.suffix_dedup import op10_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op10_suffix_dedup,)}
+QUERIES = {f.__name__: f for f in (op7_simhash_near_dedup, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {}

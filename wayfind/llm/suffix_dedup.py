@@ -35,13 +35,13 @@ from wayfind.llm.common import (
     bucket_ids,
     by_value,
     groups,
+    hold,
     keyed_rows,
     numbered,
     pack,
     pack_docs,
     pack_with,
     partitions,
-    save,
     spread,
     texts_of,
     unpack_all,
@@ -330,14 +330,11 @@ def dedup(docs: DataFrame, size: int = 100, hot: int = 4096, hot_in_task: int =
     p = partitions(spark)
     ids = bucket_ids(p)
     rows = numbered(docs)
-    found = save(
-        rows.mapInArrow(cut(size, ids, hot_in_task), ROWS_SQL).repartition(p, "bucket").mapInArrow(settle(ids, hot), ROWS_SQL),
-        "cells",
-    )
+    found = hold(rows.mapInArrow(cut(size, ids, hot_in_task), ROWS_SQL).repartition(p, "bucket").mapInArrow(settle(ids, hot), ROWS_SQL))
     packed = rows.mapInArrow(pack_docs(ids), DOC_BLOBS).repartition(p, "bucket").groupBy("bucket")
     asked = found.filter(F.col("kind") != SPAN).repartition(p, "bucket").groupBy("bucket")
     windows = packed.cogroup(asked).applyInArrow(fetch(size, ids), ROWS_SQL)
-    more = save(windows.repartition(p, "bucket").mapInArrow(resolve(size, ids), ROWS_SQL), "windows")
+    more = windows.repartition(p, "bucket").mapInArrow(resolve(size, ids), ROWS_SQL)
     spans = found.filter(F.col("kind") == SPAN).unionByName(more).repartition(p, "bucket").groupBy("bucket")
     return packed.cogroup(spans).applyInArrow(apply_spans(size, keep_bytes), RESULT)
 
