@@ -1,7 +1,9 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from wayfind.llm.byte_bpe import op8_byte_bpe
+from wayfind.llm.quality_rules import op4_quality_rules
 from wayfind.llm.simhash_dedup import op7_simhash_near_dedup
 from wayfind.llm.suffix_dedup import op10_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op7_simhash_near_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_simhash_near_dedup, op8_byte_bpe, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {}
