@@ -3,7 +3,7 @@
 Tier one: a minimal perfect hash over the vocabulary gives each pre-token one slot, and a comparison with the slot's
 token tells whether it is that token. Tier two, for the others: bytes in a linked list, with the merges that are
 possible in a heap by (rank, place); an entry that a merge has outdated is skipped. That is O(n log n) for a pre-token
-of any length. Pre-tokens already met by a task are remembered, up to a fixed number of them, which changes no result.
+of any length. Pre-tokens already met are remembered, up to a fixed number of them, which changes no result.
 
 The vocabulary is a parameter (lines of base64 token and rank) and is read by each task; it is bounded and small.
 
@@ -13,6 +13,9 @@ passed through; repeated rows get a row each; other columns are ignored; an empt
 
 import base64
 import hashlib
+import struct
+import sys
+import types
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -27,7 +30,7 @@ from wayfind.llm.cells import mix
 
 by_value(__name__)
 
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 
 class PerfectHash:
@@ -100,38 +103,51 @@ class BPE:
             i = end[i]
         return out
 
-    def learn(self, pieces: list[str]) -> None:
-        """Look up new pre-tokens."""
+    def looked_up(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens that aren't remembered."""
         raw = [p.encode() for p in pieces]
         slots = self.hash(np.array([xxhash.xxh64_intdigest(b) for b in raw], np.uint64)).tolist()
+        ranks, tokens, merged, pack = self.ranks, self.slots, self.merged, struct.pack
+        out = {}
         for p, b, s in zip(pieces, raw, slots, strict=True):
-            ids = [self.ranks[b]] if s >= 0 and self.slots[s] == b else self.merged(b)
-            self.known[p] = np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        pieces = self.split(text)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set(pieces).difference(self.known))
-        if new:
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, pieces))
+            ids = (ranks[b],) if s >= 0 and tokens[s] == b else merged(b)
+            out[p] = pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [self.split(t) for t in texts]
+        used = set().union(*split)
+        known = self.known
+        new = self.looked_up(list(used.difference(known)))
+        if len(known) < REMEMBERED:
+            known.update(new)
+        elif new:
+            known = {p: known[p] for p in used.intersection(known)} | new
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def encoder(path: str, pattern: str) -> BPE:
+    """The process's encoder: what one task remembers, later tasks of the worker find."""
+    home = sys.modules.setdefault("_wayfind_encoders", types.ModuleType("_wayfind_encoders")).__dict__
+    if (path, pattern) not in home:
+        home[path, pattern] = BPE(path, pattern)
+    return home[path, pattern]
+
+
 COLUMNS = "doc_id long, ids binary, decoded binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def coded(path, pattern, whole):
     def run(batches):
-        bpe = BPE(path, pattern)
+        bpe = encoder(path, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                ids = [bpe.encode(t.as_py() or "") for t in part.column(1)]
+            for at in range(0, b.num_rows, 250):
+                part = b.slice(at, 250)
+                ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
                 texts = [bpe.decode(i) for i in ids]
                 sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
                 nulls = pa.nulls(len(ids), pa.binary())
