@@ -1,11 +1,12 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
 from wayfind.llm.byte_bpe import op8_byte_bpe
+from wayfind.llm.decontaminate import op3_decontaminate
 from wayfind.llm.license_scan import op1_license_scan
 from wayfind.llm.quality_rules import op4_quality_rules
 from wayfind.llm.simhash_dedup import op7_simhash_near_dedup
 from wayfind.llm.suffix_dedup import op10_suffix_dedup
 from wayfind.llm.warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op4_quality_rules, op6_warc, op7_simhash_near_dedup, op8_byte_bpe, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_decontaminate, op4_quality_rules, op6_warc, op7_simhash_near_dedup, op8_byte_bpe, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {}
