@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.llm.common import LOWER, NO_ID, by_value, hold, partitions, table
@@ -210,10 +210,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 
 def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The documents whose doc_id is their class's smallest; of rows with that doc_id each stays. Rows without a
-    doc_id stay too, as nothing tells them apart."""
+    """Of each class the document whose doc_id is the smallest; of several rows with that doc_id the one whose text
+    comes first. Rows without a doc_id stay, as nothing tells them apart."""
     kept = near_duplicates(docs, words, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    out = docs.join(kept, "doc_id", "left_semi")
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
+        out = out.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return out.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def op7_simhash_near_dedup(spark, sf_dir):
