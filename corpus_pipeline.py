@@ -7,31 +7,36 @@ return the columns of documents; each works on all rows that its predecessor kep
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfind.llm import byte_bpe, decontaminate, quality_rules, simhash_dedup, suffix_dedup
-from wayfind.llm.common import save, table
+from wayfind.llm.common import save, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    small_batches(spark)
     return quality_rules.kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
+    small_batches(spark)
     return simhash_dedup.one_of_each(docs)
 
 
 def string_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings of 100 bytes go but for their first copy; documents that lose all their text go."""
+    small_batches(spark)
     return suffix_dedup.deduped_documents(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window that is similar to a benchmark item go."""
+    small_batches(spark)
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, decoded again: counts and digests."""
+    small_batches(spark)
     return byte_bpe.op8_byte_bpe(spark, sf_dir, docs)
 
 

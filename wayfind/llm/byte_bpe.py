@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import by_value, table
+from wayfind.llm.common import by_value, table, trimmed
 from wayfind.llm.cells import mix
 
 by_value(__name__)
 
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class PerfectHash:
@@ -160,7 +160,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, whole: bool = True)
     """COLUMNS of each document (doc_id, text): ids (little-endian unsigned 32-bit integers), decoded bytes, their count
     and digests. ids and decoded are null unless ``whole``. path: the rank file, where each executor can open it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(coded(path, pattern, whole), COLUMNS)
+    return rows.mapInArrow(trimmed(coded(path, pattern, whole)), COLUMNS)
 
 
 def op8_byte_bpe(spark, sf_dir, docs=None):

@@ -3,6 +3,7 @@
 Functions of this subpackage that run on executors travel by value, so executors need not have the package installed.
 """
 
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -27,7 +28,34 @@ def by_value(name: str) -> None:
 by_value(__name__)
 
 
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Rows of long texts go to Python in batches of ``most`` at most, which bounds what a task holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, most)
+
+
+def trim() -> None:
+    """Give a worker's freed memory back to the machine, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # another C library
+
+
+def trimmed(run):
+    """A mapInArrow function that trims at its end."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm.cells import mix
-from wayfind.llm.common import by_value, table
+from wayfind.llm.common import by_value, table, trimmed
 from wayfind.llm.license_scan import WORDS
 
 by_value(__name__)
@@ -190,7 +190,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, radius
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for block in blocks_of(items, most):
-        found = rows.mapInArrow(scanned(block, radius, least), COLUMNS)
+        found = rows.mapInArrow(trimmed(scanned(block, radius, least)), COLUMNS)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], COLUMNS)
 
@@ -210,7 +210,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, least: float = LEAST, rad
                         keep[at + n] = False
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op3_decontaminate(spark, sf_dir):

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import by_value, table
+from wayfind.llm.common import by_value, table, trimmed
 
 by_value(__name__)
 
@@ -124,7 +124,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     """COLUMNS of each document (doc_id, text). Phrases are matched exactly, notices with an edit for each ``every``
     characters. matches: label, notice, word in which it begins, span in the text of words and single spaces, edits."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(scanned(dict(phrases), dict(notices), every), COLUMNS)
+    return rows.mapInArrow(trimmed(scanned(dict(phrases), dict(notices), every)), COLUMNS)
 
 
 def op1_license_scan(spark, sf_dir):

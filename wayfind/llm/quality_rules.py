@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import SPACE, by_value, table
+from wayfind.llm.common import SPACE, by_value, table, trimmed
 
 by_value(__name__)
 
@@ -125,7 +125,7 @@ def quality(docs: DataFrame, least: int = LEAST, max_covered: float = MAX_COVERE
     """COLUMNS of each document (doc_id, text). kept: not base_failed, and maximal repeats of ``least`` words or more
     cover max_covered of the words at most, and the longest one has max_longest of them at most."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(rules(least, max_covered, max_longest), COLUMNS)
+    return rows.mapInArrow(trimmed(rules(least, max_covered, max_longest)), COLUMNS)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
             for out in inner([pair]):
                 yield b.filter(out.column(7))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op4_quality_rules(spark, sf_dir):

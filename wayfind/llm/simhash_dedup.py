@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import LOWER, NO_ID, by_value, hold, partitions, table
+from wayfind.llm.common import LOWER, NO_ID, by_value, hold, partitions, table, trimmed
 from wayfind.llm.components import components, forest
 
 by_value(__name__)
@@ -194,7 +194,7 @@ def compare(radius):
 def prints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) of documents (doc_id, text); fp holds the bits as a signed long."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(print_texts(words), "doc_id long, fp long")
+    return rows.mapInArrow(trimmed(print_texts(words)), "doc_id long, fp long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:

@@ -44,6 +44,7 @@ from wayfind.llm.common import (
     partitions,
     spread,
     texts_of,
+    trimmed,
     unpack_all,
     unpack_docs,
     unpack_with,
@@ -330,11 +331,11 @@ def dedup(docs: DataFrame, size: int = 100, hot: int = 4096, hot_in_task: int =
     p = partitions(spark)
     ids = bucket_ids(p)
     rows = numbered(docs)
-    found = hold(rows.mapInArrow(cut(size, ids, hot_in_task), ROWS_SQL).repartition(p, "bucket").mapInArrow(settle(ids, hot), ROWS_SQL))
-    packed = rows.mapInArrow(pack_docs(ids), DOC_BLOBS).repartition(p, "bucket").groupBy("bucket")
+    found = hold(rows.mapInArrow(trimmed(cut(size, ids, hot_in_task)), ROWS_SQL).repartition(p, "bucket").mapInArrow(trimmed(settle(ids, hot)), ROWS_SQL))
+    packed = rows.mapInArrow(trimmed(pack_docs(ids)), DOC_BLOBS).repartition(p, "bucket").groupBy("bucket")
     asked = found.filter(F.col("kind") != SPAN).repartition(p, "bucket").groupBy("bucket")
     windows = packed.cogroup(asked).applyInArrow(fetch(size, ids), ROWS_SQL)
-    more = windows.repartition(p, "bucket").mapInArrow(resolve(size, ids), ROWS_SQL)
+    more = windows.repartition(p, "bucket").mapInArrow(trimmed(resolve(size, ids)), ROWS_SQL)
     spans = found.filter(F.col("kind") == SPAN).unionByName(more).repartition(p, "bucket").groupBy("bucket")
     return packed.cogroup(spans).applyInArrow(apply_spans(size, keep_bytes), RESULT)
 
