@@ -4,11 +4,12 @@ from wayfind.llm.byte_bpe import op8_byte_bpe
 from wayfind.llm.decontaminate import op3_decontaminate
 from wayfind.llm.license_scan import op1_license_scan
 from wayfind.llm.lm_scoring import op5_lm_scoring
+from wayfind.llm.paragraph_dedup import op9_paragraph_dedup
 from wayfind.llm.quality_rules import op4_quality_rules
 from wayfind.llm.simhash_dedup import op7_simhash_near_dedup
 from wayfind.llm.suffix_dedup import op10_suffix_dedup
 from wayfind.llm.token_counts import OP2_SQL, op2_token_counts
 from wayfind.llm.warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontaminate, op4_quality_rules, op5_lm_scoring, op6_warc, op7_simhash_near_dedup, op8_byte_bpe, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontaminate, op4_quality_rules, op5_lm_scoring, op6_warc, op7_simhash_near_dedup, op8_byte_bpe, op9_paragraph_dedup, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {"op2_token_counts": OP2_SQL}
