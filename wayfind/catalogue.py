@@ -1,4 +1,311 @@
-"""Queries by name and SQL with the same results."""
+"""Queries by name, each over whole tables, and DuckDB SQL with the same results."""
+
+from pyspark.sql import functions as F
+
+from wayfind.functions import text as X
+from wayfind.operators import context as C
+from wayfind.operators import dialog as D
+from wayfind.operators import ingest as I
+from wayfind.operators import paths as P
+from wayfind.operators import search as S
+from wayfind.operators.similarity import links
+from wayfind.plans.ask import contexts
+from wayfind.sources.graph import Graph, load, table
+
+NEEDLE, WIDE, NEEDLES = "red bolt", "red", ["red bolt", "blue", "supplier#000000001", "È", "no such thing"]
+COMMON = ["the ", "que ", "und "]
+SIMILAR = 0.3
+
+NODES = """nodes as (
+  select 'part:' || p_partkey as node_id, 'Part' as label, p_name as name, p_brand as canonical_name, p_type as text from part
+  union all select 'supplier:' || s_suppkey, 'Supplier', s_name, null, null from supplier
+  union all select 'nation:' || n_nationkey, 'Nation', n_name, null, null from nation
+  union all select 'region:' || r_regionkey, 'Region', r_name, null, null from region
+  union all select 'customer:' || c_custkey, 'Customer', c_name, null, c_mktsegment from customer
+  union all select 'doc:' || doc_id, 'Document', null, null, text from documents
+  union all select 'vec:' || vec_id, 'EntityCanonical', null, null, null from embeddings)"""
+EDGES = """edges as (
+  select src || '|' || type || '|' || dst as edge_id, src, dst, type from (
+    select distinct 'part:' || l_partkey as src, 'supplier:' || l_suppkey as dst, 'SUPPLIED_BY' as type from lineitem
+    union all select 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'IN_NATION' from supplier
+    union all select 'customer:' || c_custkey, 'nation:' || c_nationkey, 'IN_NATION' from customer
+    union all select 'nation:' || n_nationkey, 'region:' || n_regionkey, 'IN_REGION' from nation))"""
+GRAPH = f"with recursive {NODES}, {EDGES}"
+SHOWN = "coalesce(nullif({0}text, ''), nullif({0}name, ''), nullif({0}canonical_name, ''), '')"
+
+
+def sql_match(q: str, p: str = "") -> str:
+    return " or ".join(f"coalesce(contains(lower({p}{c}), lower({q})), false)" for c in ("text", "name", "canonical_name"))
+
+
+def sql_score(q: str) -> str:
+    return f"case when lower(name) = lower({q}) or lower(canonical_name) = lower({q}) then 10 when contains(lower(name), lower({q})) or contains(lower(canonical_name), lower({q})) then 5 when contains(lower(text), lower({q})) then 1 else 0 end"
+
+
+def sql_clip(x: str, n: int, mark: str = "...") -> str:
+    return f"case when length({x}) > {n} then left({x}, {n}) || {mark if mark.startswith('chr') else repr(mark)} else {x} end"
+
+
+SCORED = f"""top as (select *, {sql_score(f"'{NEEDLE}'")} as relevance from nodes where {sql_match(f"'{NEEDLE}'")} order by relevance desc, node_id limit 15),
+hits as (select top.*, e.edge_id, e.type, m.node_id as target_id, m.label as target_label, {SHOWN.format('m.')} as target, {SHOWN.format('top.')} as shown
+  from top left join edges e on e.src = top.node_id left join nodes m on m.node_id = e.dst)"""
+SCORED_LINES = """lines as (select i, case when shown <> '' then i || '. [' || label || '] ' || repeat('★', least(3, relevance // 3)::int) || ' ' || {0} end as node_line,
+  case when edge_id is not null and target <> '' then '   → ' || type || ': [' || target_label || '] ' || {1} end as edge_line
+  from (select *, row_number() over (order by relevance desc, node_id, edge_id nulls first) as i from hits))""".format(sql_clip("shown", 300), sql_clip("target", 200))
+PLAIN = f"""hits as (select n.node_id, n.label, e.edge_id, e.type, m.node_id as target_id, m.label as target_label, {SHOWN.format('m.')} as target, {SHOWN.format('n.')} as shown
+  from nodes n left join edges e on e.src = n.node_id left join nodes m on m.node_id = e.dst where {sql_match(f"'{NEEDLE}'", 'n.')} order by n.node_id, e.edge_id nulls first limit 5)"""
+JOINED = "select coalesce(string_agg(s, chr(10) order by i), '') as context from (select i, nullif(concat_ws(chr(10), node_line, edge_line), '') as s from lines)"
+WALKS = """w(start_id, end_id, path_length, ids, types) as (
+  select n.node_id, e.dst, 1, [e.edge_id], [e.type] from nodes n join edges e on e.src = n.node_id where {0}
+  union all select w.start_id, e.dst, w.path_length + 1, list_append(w.ids, e.edge_id), list_append(w.types, e.type)
+  from w join edges e on e.src = w.end_id where w.path_length < {1} and not list_contains(w.ids, e.edge_id))"""
+PATHS = f"{GRAPH}, {WALKS.format(sql_match(repr(WIDE), 'n.'), 2)}, top as (select start_id, end_id, path_length, array_to_string(ids, ',') as path, array_to_string(types, ' → ') as types from w order by path_length, start_id, path, end_id limit 20)"
+LINKS = """links as (select q.vec_id as a, v.vec_id as b, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as score
+  from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0 and round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) >= 0.3)"""
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def hits(df):
+    return df.select("node_id", X.label().alias("label"), "name", *(["relevance"] if "relevance" in df.columns else []), "edge_id", "type", "target_id", F.when(F.col("target_id").isNotNull(), X.label("target_labels")).alias("target_label"))
+
+
+HIT = "node_id, label, name, {0} edge_id, type, target_id, target_label"
+
+
+@query(f"{GRAPH}, {SCORED} select {HIT.format('relevance,')} from hits")
+def scored_search(spark, d):
+    return hits(S.scored(load(spark, d), NEEDLE))
+
+
+@query(f"{GRAPH}, {SCORED} select {HIT.format('relevance,')} from hits qualify row_number() over (partition by node_id order by edge_id nulls last) = 1")
+def scored_search_first_edge(spark, d):
+    return hits(S.scored(load(spark, d), NEEDLE, first_edge=True))
+
+
+@query(f"{GRAPH} select {sql_score(repr(WIDE))} as relevance, count(*) as n from nodes where {sql_match(repr(WIDE))} group by 1")
+def scored_search_tiers(spark, d):
+    return S.matches(load(spark, d), WIDE).groupBy(X.relevance(F.lit(WIDE)).alias("relevance")).agg(F.count("*").alias("n"))
+
+
+@query(f"{GRAPH} select needle, node_id, {sql_score('needle')} as relevance, cast(row_number() over (partition by needle order by {sql_score('needle')} desc, node_id) as int) as rank from nodes, (values {', '.join(f'({n!r})' for n in NEEDLES)}) t(needle) where {sql_match('needle')} qualify rank <= 15")
+def scored_search_batch(spark, d):
+    asked = spark.createDataFrame(list(enumerate(NEEDLES)), "qid long, entity string")
+    return S.scored_batch(load(spark, d), asked).select("needle", "node_id", "relevance", "rank")
+
+
+@query(f"{GRAPH}, {PLAIN} select node_id, label, edge_id, type, target_id, target_label from hits")
+def proto_search(spark, d):
+    return hits(S.plain(load(spark, d), NEEDLE)).drop("name")
+
+
+@query(f"{GRAPH} select node_id, label, name, text from nodes where coalesce(contains(lower(name), '{WIDE}'), false) or coalesce(contains(lower(text), '{WIDE}'), false) order by node_id limit 5")
+def chat_search(spark, d):
+    return S.chat(load(spark, d), WIDE).select("node_id", X.label().alias("label"), "name", "text")
+
+
+@query(f"{GRAPH} select node_id, label from nodes where name is not null or text is not null order by node_id limit 5")
+def chat_search_empty_needle(spark, d):
+    return S.chat(load(spark, d), "").select("node_id", X.label().alias("label"))
+
+
+@query(f"{PATHS} select * from top")
+def multihop_search(spark, d):
+    return P.multi_hop(load(spark, d), WIDE, 2, 20)
+
+
+@query(f"{GRAPH}, {WALKS.format(repr('x') + ' = ' + repr('x') + ' and n.node_id = ' + repr('part:1'), 3)} select start_id, end_id, path_length, array_to_string(ids, ',') as path from w")
+def multihop_recursive(spark, d):
+    return P.recursive(load(spark, d), "part:1", 3)
+
+
+@query(f"{GRAPH} select n.node_id, n.name, e.edge_id, m.node_id as target_id, m.name as target_name from nodes n join edges e on e.src = n.node_id join nodes m on m.node_id = e.dst where n.label = 'Part' and contains(lower(n.name), '{WIDE}') order by n.node_id, e.edge_id limit 15")
+def label_substring_expand(spark, d):
+    return S.labelled(load(spark, d), "Part", WIDE).select("node_id", "name", "edge_id", "target_id", "target_name")
+
+
+@query(f"{GRAPH} select label, count(*) as n from nodes group by label")
+def node_label_counts(spark, d):
+    return load(spark, d).nodes.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"{GRAPH} select type, count(*) as n from edges group by type")
+def rel_type_counts(spark, d):
+    return load(spark, d).edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"{GRAPH} select 'labels' as kind, string_agg(distinct label, ',' order by label) as names from nodes union all select 'types', string_agg(distinct type, ',' order by type) from edges")
+def schema_summary(spark, d):
+    return S.schema(load(spark, d))
+
+
+@query(f"{GRAPH} select node_id, label, name, canonical_name from nodes order by node_id limit 5")
+def sample_nodes(spark, d):
+    return S.sample(load(spark, d))
+
+
+@query(f"{GRAPH} select label, count(*) as n from nodes where text is not null and text <> '' group by label")
+def custom_query(spark, d):
+    return S.select(load(spark, d), "select labels[0] as label, count(*) as n from nodes where text is not null and text <> :empty group by labels[0]", {"empty": ""})
+
+
+def similarity(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return links(vectors, vectors.filter("vec_id % 100 = 0"), SIMILAR)
+
+
+def similar_graph(spark, d) -> Graph:
+    g = load(spark, d)
+    edges = similarity(spark, d).select(F.concat(F.lit("vec:"), "a").alias("src"), F.concat(F.lit("vec:"), "b").alias("dst"), "score").select(F.concat_ws("|", "src", F.lit("SIMILAR_TO"), "dst").alias("edge_id"), "src", "dst", F.lit("SIMILAR_TO").alias("type"), "score")
+    return Graph(g.nodes, g.edges.unionByName(edges))
+
+
+@query(f"with {LINKS} select * from links")
+def similar_pairs(spark, d):
+    return similarity(spark, d)
+
+
+@query(f"with {LINKS} select 'canonical_nodes' as metric, count(*) as value from embeddings union all select 'similarity_links', count(*) from links union all select 'canonical_without_similarity', count(*) from embeddings where vec_id not in (select a from links union select b from links)")
+def integrity_report(spark, d):
+    return I.integrity(similar_graph(spark, d))
+
+
+@query(f"with {LINKS} select 'vec:' || vec_id as node_id from embeddings where vec_id not in (select a from links union select b from links)")
+def isolated_nodes(spark, d):
+    g = similar_graph(spark, d)
+    return I.isolated(g.nodes.filter(F.array_contains("labels", "EntityCanonical")).select("node_id"), g.edges.filter("type = 'SIMILAR_TO'"))
+
+
+ROWS = """rows as (select 3 * vec_id as row_no, vec_id as a, vec_id + 1 as b, 0.1 as score from embeddings
+  union all select 3 * vec_id + 1, vec_id, vec_id + 1, 0.2 from embeddings
+  union all select 3 * vec_id + 2, vec_id + 1, vec_id, 0.3 from embeddings where vec_id % 2 = 0),
+old as (select vec_id as a, vec_id + 1 as b, 0.9 as score from embeddings where vec_id % 5 = 0 union all select vec_id, vec_id + 2, 0.5 from embeddings),
+ok as (select * from rows where a in (select vec_id from embeddings) and b in (select vec_id from embeddings)),
+new as (select a, b, arg_max(score, row_no) as score from ok group by a, b)"""
+
+
+def upsert_input(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id")
+    s = lambda c: c.cast("string")
+    row = lambda n, a, b, x: v.select((3 * F.col("vec_id") + n).alias("row_no"), s(a).alias("source"), s(b).alias("target"), F.lit(x).alias("score"), "vec_id")
+    one, two = F.col("vec_id"), F.col("vec_id") + 1
+    rows = row(0, one, two, 0.1).unionByName(row(1, one, two, 0.2)).unionByName(row(2, two, one, 0.3).filter("vec_id % 2 = 0"))
+    old = row(0, one, two, 0.9).filter("vec_id % 5 = 0").unionByName(row(0, one, one + 2, 0.5)).select(F.col("source").alias("src"), F.col("target").alias("dst"), "score")
+    return v.select(s(one).alias("key")), old, rows.drop("vec_id")
+
+
+@query(f"with {ROWS} select cast(a as varchar) as src, cast(b as varchar) as dst, cast(score as double) as score from new union all select cast(a as varchar), cast(b as varchar), cast(score as double) from old where not exists (select 1 from new where new.a = old.a and new.b = old.b)")
+def edge_upsert(spark, d):
+    return I.upsert_edges(*upsert_input(spark, d))
+
+
+@query(f"with {ROWS} select row_no, cast(a as varchar) as source, cast(b as varchar) as target from rows where row_no not in (select row_no from ok)")
+def edge_upsert_rejected(spark, d):
+    keys, _, rows = upsert_input(spark, d)
+    return I.rejected(keys, rows).select("row_no", "source", "target")
+
+
+@query("select cast(label as varchar) as key, count(*) as n from embeddings where label is not null group by label having count(*) > 1")
+def duplicate_keys(spark, d):
+    return I.duplicates(load(spark, d).nodes.filter(F.array_contains("labels", "EntityCanonical")), "original_id")
+
+
+@query(f"{GRAPH} select node_id, cast(null as varchar) as original_id, text from nodes where text is not null and text <> ''")
+def harvest_text(spark, d):
+    return I.harvest(load(spark, d).nodes)
+
+
+@query("select vec_id, cast(label as varchar) as original_id, round(last_e[1]::double, 6) as first_value from embeddings join (select label as l, arg_max(embedding, vec_id) as last_e from embeddings where label is not null group by label) t on l = label union all select vec_id, null, round(embedding[1]::double, 6) from embeddings where label is null")
+def embedding_update(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("original_id"), "embedding")
+    out = I.update_embeddings(v, v.select(F.col("vec_id").alias("row_no"), "original_id", "embedding"))
+    return out.select("vec_id", "original_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value"))
+
+
+def scored_lines(spark, d):
+    return C.lines(S.scored(load(spark, d), NEEDLE), [F.desc("relevance"), F.col("node_id"), F.col("edge_id").asc_nulls_first()], [])
+
+
+@query(f"{GRAPH}, {SCORED}, {SCORED_LINES} select i, node_line, edge_line from lines")
+def scored_context_lines(spark, d):
+    return scored_lines(spark, d).select(F.col("i").cast("long").alias("i"), "node_line", "edge_line")
+
+
+@query(f"{GRAPH}, {SCORED}, {SCORED_LINES} {JOINED}")
+def scored_context(spark, d):
+    return C.or_else(C.joined(scored_lines(spark, d), []), C.NOTHING.format(NEEDLE))
+
+
+@query("{}, {}, lines as (select i, case when shown <> '' then i || '. ' || label || ': ' || {} end as node_line, case when edge_id is not null and target <> '' then '   → ' || type || ': ' || target_label || ' - ' || {} end as edge_line from (select *, row_number() over (order by node_id, edge_id nulls first) as i from hits)) {}".format(GRAPH, PLAIN, sql_clip("shown", 200), sql_clip("target", 150), JOINED))
+def proto_context(spark, d):
+    rows = C.lines(S.plain(load(spark, d), NEEDLE), [F.col("node_id"), F.col("edge_id").asc_nulls_first()], [], plain=True)
+    return C.or_else(C.joined(rows, []), C.NOTHING.format(NEEDLE))
+
+
+@query(f"{PATHS}, lines as (select i, case when a <> '' and b <> '' then i || '. [' || la || '] ' || a || ' --' || types || '--> [' || lb || '] ' || b end as node_line, null as edge_line from (select row_number() over (order by path_length, start_id, path, end_id) as i, types, s.label as la, left({SHOWN.format('s.')}, 150) as a, t.label as lb, left({SHOWN.format('t.')}, 150) as b from top join nodes s on s.node_id = start_id join nodes t on t.node_id = end_id) where i <= 10) {JOINED}")
+def path_context(spark, d):
+    g = load(spark, d)
+    return C.or_else(C.joined(C.path_lines(P.multi_hop(g, WIDE, 2, 20), g.nodes), []), C.NOTHING_ON_PATHS.format(WIDE))
+
+
+@query("select doc_id, cast(length(coalesce(text, '')) as int) as context_length, cast(case when length(coalesce(text, '')) > 4500 then 4500 + length(chr(10) || '... (context truncated)') else length(coalesce(text, '')) end as int) as capped_length from documents")
+def prompt_lengths(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.length(text).alias("context_length"), F.length(C.capped(text)).alias("capped_length"))
+
+
+WORDS = r"regexp_split_to_array(text, '\s+')"
+ENTITY = rf"trim(coalesce(list_filter({WORDS}, lambda w: length(w) > 4 and regexp_matches(substr(w, 1, 1), '^\p{{Lu}}'))[1], list_filter({WORDS}, lambda w: length(w) > 5)[1]), '?,.:;!')"
+
+
+@query(f"select conv_id, turn, {ENTITY} as entity from conversations")
+def auto_entity(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", X.entity(F.col("text")).alias("entity"))
+
+
+@query(f"select conv_id, turn, trim(list_filter({WORDS}, lambda w: length(w) > 4)[1], '?,.:;') as entity from conversations")
+def auto_entity_proto(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", X.entity_plain(F.col("text")).alias("entity"))
+
+
+@query("select conv_id, turn, coalesce(contains(lower(text), 'not enough information') or contains(lower(text), 'context doesn''t contain'), false) as again from conversations where role = 'assistant'")
+def insufficient_answers(spark, d):
+    return table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", D.insufficient(F.col("text")).alias("again"))
+
+
+@query("with h as (select conv_id, turn, role, case when role = 'assistant' and ({}) then 1 else 0 end as hit from conversations), r as (select *, max(hit) over (partition by conv_id order by turn rows unbounded preceding) as now, coalesce(max(hit) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as before from h) select conv_id, turn, role, now = 1 as suggested, hit = 1 and before = 0 as notice from r".format(" or ".join(f"contains(lower(text), '{w}')" for w in COMMON)))
+def diagnosis_latch(spark, d):
+    return D.latch(table(spark, d, "conversations"), COMMON)
+
+
+@query(r"with o as (select *, max(case when role = 'user' and lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) in ('quit', 'exit', 'bye') then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as gone from conversations) select conv_id, turn, role, text from o where gone = 0")
+def exit_cut(spark, d):
+    return D.until_exit(table(spark, d, "conversations")).select("conv_id", "turn", "role", "text")
+
+
+@query("select conv_id, count(*) as n_turns, string_agg(case when role = 'user' then 'Patient: ' else 'Doctor: ' end || coalesce(text, ''), chr(10) order by turn) as transcript from conversations where role in ('user', 'assistant') group by conv_id")
+def transcript(spark, d):
+    return D.transcript(table(spark, d, "conversations"))
+
+
+@query(f"""{GRAPH}, q as (select conv_id, turn, {ENTITY} as entity from conversations where role = 'user'),
+top as (select n.*, needle, {sql_score('needle')} as relevance from nodes n, (select distinct entity as needle from q where entity is not null) where {sql_match('needle', 'n.')} qualify row_number() over (partition by needle order by relevance desc, node_id) <= 15),
+hits as (select top.*, e.edge_id, e.type, m.label as target_label, {SHOWN.format('m.')} as target, {SHOWN.format('top.')} as shown from top left join edges e on e.src = top.node_id left join nodes m on m.node_id = e.dst),
+lines as (select needle, i, case when shown <> '' then i || '. [' || label || '] ' || repeat('★', least(3, relevance // 3)::int) || ' ' || {sql_clip('shown', 300)} end as node_line, case when edge_id is not null and target <> '' then '   → ' || type || ': [' || target_label || '] ' || {sql_clip('target', 200)} end as edge_line
+  from (select *, row_number() over (partition by needle order by relevance desc, node_id, edge_id nulls first) as i from hits)),
+c as (select needle, coalesce(string_agg(s, chr(10) order by i), '') as context from (select needle, i, nullif(concat_ws(chr(10), node_line, edge_line), '') as s from lines) group by needle)
+select conv_id, turn, entity, case when entity is null then '{C.NO_ENTITY}' else coalesce(context, 'No results found for ''' || entity || '''.') end as context from q left join c on needle = entity""")
+def ask_batch(spark, d):
+    q = table(spark, d, "conversations").filter("role = 'user'").select(F.struct("conv_id", "turn").alias("qid"), F.col("text").alias("question"), F.lit(None).cast("string").alias("entity"))
+    return contexts(load(spark, d), q).select("qid.conv_id", "qid.turn", "entity", "context")
