@@ -309,6 +309,8 @@ def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, r
     names = all_.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
     classes = hold(names.join(root, names.p1 == F.col("vertex"), "left").filter("n > 1 or component is not null").select("p1", "p2", "n", "first", F.coalesce("component", "p1").alias("c1"), F.when(F.col("component").isNull(), F.col("p2")).otherwise(0).alias("c2")))
     whole = classes.groupBy("c1", "c2").agg(F.sum("n").alias("n_members"), F.min("first").alias("first"))
+    # The keys are written anew, so that both sides are exchanged and a hot class can be split.
+    whole = whole.select(*[F.col(c).bitwiseXOR(F.lit(0).cast("long")).alias(c) for c in ("c1", "c2")], "n_members", "first")
     each = classes.drop("n", "first").join(whole, ["c1", "c2"]).select("p1", "p2", "n_members", "first")
     clean = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     low = lambda c: F.col(c).bitwiseAND(F.lit((1 << PART) - 1))

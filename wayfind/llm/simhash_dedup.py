@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     cells = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("tab"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)])).alias("k"), "fp", "rep").select("k.tab", "k.key", "fp", "rep")
     spark = docs.sparkSession
     edges = cells.repartition(partitions(spark), "tab", "key").sortWithinPartitions("tab", "key").mapInArrow(compare(radius), "a long, b long")
-    joined = distinct.join(components(edges), distinct.rep == F.col("vertex"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # The key is written anew, so that both sides of the join below are exchanged and a hot fingerprint can be split.
+    joined = distinct.join(components(edges), distinct.rep == F.col("vertex"), "left").select(F.col("fp").bitwiseXOR(F.lit(0).cast("long")).alias("fp"), F.coalesce("component", "rep").alias("component_id"))
     return found.join(joined, "fp").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "fp", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
