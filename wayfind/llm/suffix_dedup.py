@@ -14,6 +14,8 @@ One suffix array of the whole corpus would move every suffix. Instead:
 3. An anchor with very many contents (a passage in a third of all texts, each in its own surroundings) would be one
    large group. Its starts are dealt one by one, by a 128-bit hash of their strings, earliest first.
 
+Equality of whole cells is that of two 64-bit hashes, of the anchor and of the content.
+
 Each document takes its starts back, merges them to spans and drops the spans. Nothing is dropped, capped or sampled.
 
 Null texts are empty. Texts shorter than ``size`` lose nothing. A null doc_id comes first and stays null. Different
