@@ -192,3 +192,26 @@ def test_stream_latch(spark, tmp_path):
     q = notices(stream).writeStream.foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(out) == [(1, 0, False), (1, 1, True), (2, 0, True), (2, 1, False)]
+
+
+def test_batches_agree_with_single_searches(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: rng.choice([None, "", "Ab", "abc", "bC cab", "ÄB c", "c" * 50, "xAbcx"])
+    nodes = [(f"n{i:02}", ["L"], word(), word(), word()) for i in range(40)]
+    edges = [(f"e{i:02}", f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}", "T") for i in range(60)]
+    g = graph_of(spark, nodes, edges)
+    needles = ["ab", "AB", "", "äb", "c", "none", "abc"]
+    q = spark.createDataFrame([(i, n) for i, n in enumerate([*needles, None, "c"])], "qid long, entity string")
+    for most in (50_000, 2):
+        monkeypatch.setattr(S, "BLOCK_NEEDLES", most)
+        top, paths = {}, {}
+        for r in S.scored_batch(g, q, 3).orderBy("needle", "rank").collect():
+            top.setdefault(r.needle, []).append((r.node_id, r.relevance, r.text))
+        for r in P.multi_hop_batch(g, q, 2, 9).orderBy("needle", *P.ORDER).collect():
+            paths.setdefault(r.needle, []).append((r.path_length, r.start_id, r.path, r.end_id))
+        for n in needles:
+            assert top.get(n, []) == [(r.node_id, r.relevance, r.text) for r in S.top_scored(g, n, 3).collect()]
+            if most == 2:
+                assert paths.get(n, []) == [(r.path_length, r.start_id, r.path, r.end_id) for r in P.multi_hop(g, n, 2, 9).collect()]
+    none = q.filter("entity is null")
+    assert not S.scored_batch(g, none).count() and not P.multi_hop_batch(g, none).count() and not S.scored_batch(graph_of(spark, [], []), q).count()

@@ -125,6 +125,16 @@ def multihop_search(spark, d):
     return P.multi_hop(load(spark, d), WIDE, 2, 20)
 
 
+@query(f"""{GRAPH}, starts as (select needle, node_id from nodes, (values {', '.join(f'({n!r})' for n in NEEDLES)}) t(needle) where {sql_match('needle')}),
+one as (select needle, node_id as start_id, dst as end_id, edge_id, type from starts join edges on src = node_id),
+w as (select needle, start_id, end_id, 1 as path_length, edge_id as path, type as types from one
+  union all select needle, start_id, e.dst, 2, one.edge_id || ',' || e.edge_id, one.type || ' → ' || e.type from one join edges e on e.src = one.end_id and e.edge_id <> one.edge_id)
+select needle, start_id, end_id, path_length, path, types from w qualify row_number() over (partition by needle order by path_length, start_id, path, end_id) <= 20""")
+def multihop_batch(spark, d):
+    asked = spark.createDataFrame(list(enumerate(NEEDLES)), "qid long, entity string")
+    return P.multi_hop_batch(load(spark, d), asked, 2, 20)
+
+
 @query(f"{GRAPH}, {WALKS.format(repr('x') + ' = ' + repr('x') + ' and n.node_id = ' + repr('part:1'), 3)} select start_id, end_id, path_length, array_to_string(ids, ',') as path from w")
 def multihop_recursive(spark, d):
     return P.recursive(load(spark, d), "part:1", 3)

@@ -46,17 +46,19 @@ def or_else(context: DataFrame, message: str) -> DataFrame:
     return one.join(context, F.lit(True), "left").select(F.coalesce("context", "message").alias("context"))
 
 
-def path_lines(paths: DataFrame, nodes: DataFrame, display: int = 10) -> DataFrame:
-    """(i, node_line, edge_line) of the first ``display`` paths; both ends must have a text."""
+def path_lines(paths: DataFrame, nodes: DataFrame, display: int = 10, keys: tuple = ()) -> DataFrame:
+    """(keys, i, node_line, edge_line) of the first ``display`` paths of each key; both ends must have a text."""
     from wayfind.operators.paths import ORDER
 
-    ends = paths.orderBy(*ORDER).limit(display).withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*ORDER)))
+    few = paths if keys else paths.orderBy(*ORDER).limit(display)
+    i = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*ORDER))
+    ends = few.withColumn("i", i).filter(F.col("i") <= display)
     for side in ("start", "end"):
         own = nodes.select(F.col("node_id").alias(f"{side}_id"), X.label().alias(f"{side}_label"), F.left(X.shown(), F.lit(150)).alias(f"{side}_text"))
         ends = ends.join(own, f"{side}_id")
     chain = F.when(F.col("types") == "", F.lit("connected to")).otherwise(F.col("types"))
     line = F.concat(F.col("i").cast("string"), F.lit(". ["), F.col("start_label"), F.lit("] "), F.col("start_text"), F.lit(" --"), chain, F.lit("--> ["), F.col("end_label"), F.lit("] "), F.col("end_text"))
-    return ends.select("i", F.when((F.col("start_text") != "") & (F.col("end_text") != ""), line).alias("node_line"), F.lit(None).cast("string").alias("edge_line"))
+    return ends.select(*keys, "i", F.when((F.col("start_text") != "") & (F.col("end_text") != ""), line).alias("node_line"), F.lit(None).cast("string").alias("edge_line"))
 
 
 def capped(context: Column, most: int = 4500, mark: str = CUT) -> Column:

@@ -1,36 +1,51 @@
 """Variable-length paths: nodes may repeat in a path, edges may not."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as X
+from wayfind.operators.search import hits_of, needles_of
 from wayfind.sources.graph import Graph
 
 ORDER = ["path_length", "start_id", "path", "end_id"]
 
 
-def walks(starts: DataFrame, graph: Graph, hops: int, limit: int | None = None) -> DataFrame:
-    """(start_id, end_id, path_length, path, types) of all walks of 1 to ``hops`` edges from starts (node_id). With a
-    limit the first ones by ORDER: as shorter ones come first, each level gives its own first ``limit``, while the next
-    level goes on from the whole level."""
+def walks(starts: DataFrame, graph: Graph, hops: int, limit: int | None = None, keys: tuple = ()) -> DataFrame:
+    """(keys, start_id, end_id, path_length, path, types) of all walks of 1 to ``hops`` edges from starts (keys, node_id).
+    With a limit the first ones of each key by ORDER: as shorter ones come first, each level gives its own first ``limit``,
+    while the next level goes on from the whole level."""
     if hops < 1:
         raise ValueError("hops must be at least 1")
+
+    def first(rows):
+        if limit is None:
+            return rows
+        if not keys:
+            return rows.orderBy(*ORDER).limit(limit)
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER))).filter(F.col("_n") <= limit).drop("_n")
+
     step = graph.edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), "edge_id", "type")
-    level = starts.select(F.col("node_id").alias("start_id"), F.col("node_id").alias("end_id"), F.array().cast("array<string>").alias("edge_ids"), F.array().cast("array<string>").alias("types_"))
+    level = starts.select(*keys, F.col("node_id").alias("start_id"), F.col("node_id").alias("end_id"), F.array().cast("array<string>").alias("edge_ids"), F.array().cast("array<string>").alias("types_"))
     out = None
     for n in range(1, hops + 1):
-        level = level.join(step, (F.col("end_id") == F.col("_src")) & ~F.array_contains("edge_ids", F.col("edge_id"))).select("start_id", F.col("_dst").alias("end_id"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), F.array_append("types_", F.col("type")).alias("types_"))
-        rows = level.select("start_id", "end_id", F.lit(n).alias("path_length"), F.array_join("edge_ids", ",").alias("path"), F.array_join("types_", " → ").alias("types"))
-        if limit is not None:
-            rows = rows.orderBy(*ORDER).limit(limit)
+        level = level.join(step, (F.col("end_id") == F.col("_src")) & ~F.array_contains("edge_ids", F.col("edge_id"))).select(*keys, "start_id", F.col("_dst").alias("end_id"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), F.array_append("types_", F.col("type")).alias("types_"))
+        rows = first(level.select(*keys, "start_id", "end_id", F.lit(n).alias("path_length"), F.array_join("edge_ids", ",").alias("path"), F.array_join("types_", " → ").alias("types")))
         out = rows if out is None else out.unionByName(rows)
-    return out if limit is None else out.orderBy(*ORDER).limit(limit)
+    return out if limit is None else first(out)
 
 
 def multi_hop(graph: Graph, needle: str, hops: int = 2, limit: int = 20) -> DataFrame:
     return walks(graph.nodes.filter(X.holds(F.lit(needle))).select("node_id"), graph, hops, limit)
 
 
+def multi_hop_batch(graph: Graph, questions: DataFrame, hops: int = 2, limit: int = 20) -> DataFrame:
+    """The first walks of each entity of questions (entity, ...), under ``needle``: one plan for all of them. Entities that
+    are equal but for case are searched and walked from once."""
+    needles = needles_of(questions)
+    found = walks(hits_of(graph, needles, None).select("q", "node_id"), graph, hops, limit, ("q",))
+    return found.join(needles, "q").drop("q")
+
+
 def recursive(graph: Graph, start: str, hops: int) -> DataFrame:
     """Walks from one node by a recursive query, for any number of hops."""
     graph.views()

@@ -1,5 +1,6 @@
 """Entity search: scored, plain, chat and labelled, with one-hop expansion."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from wayfind.functions import text as X
 from wayfind.sources.graph import Graph
 
 TARGET = ["edge_id", "type", "target_id", "target_labels", "target_text", "target_name", "target_canonical_name"]
+BLOCK_NEEDLES, BLOCK_BYTES = 50_000, 8 << 20  # needles that one pass over the nodes looks for
 
 
 def expanded(starts: DataFrame, graph: Graph, how: str = "left") -> DataFrame:
@@ -37,13 +39,85 @@ def scored(graph: Graph, needle: str, limit: int = 15, first_edge: bool = False)
     return out
 
 
+def searched(block, limit: int | None):
+    """mapInArrow function over (node_id, text, name, canonical_name), all in lower case: (q, node_id, relevance) of the
+    needles of ``block`` that a node holds; of each needle the task's ``limit`` most relevant nodes, or all."""
+
+    def run(batches):
+        import ahocorasick
+
+        needles = block.value
+        place = {q: i for i, q in enumerate(needles)}
+        machine = ahocorasick.Automaton()
+        for q, i in place.items():
+            if q:
+                machine.add_word(q, i)
+        machine.make_automaton()
+        everywhere = {place[""]} if "" in place else set()
+        best: dict[int, list] = {}
+
+        def inside(value):
+            if value is None:
+                return set()
+            return {i for _, i in machine.iter(value)} | everywhere if len(machine) else everywhere
+
+        def rows(found):
+            for at in range(0, len(found), 10_000):
+                part = found[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([needles[i] for i, _, _ in part], pa.string()), pa.array([n for _, _, n in part], pa.string()), pa.array([-r for _, r, _ in part], pa.int32())], ["q", "node_id", "relevance"])
+
+        for b in batches:
+            all_ = []
+            for node, text, name, canonical in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                level = dict.fromkeys(inside(text), 1)
+                level |= dict.fromkeys(inside(name) | inside(canonical), 5)
+                level |= {place[v]: 10 for v in (name, canonical) if v in place}
+                for i, r in level.items():
+                    if limit is None:
+                        all_.append((i, -r, node))
+                        continue
+                    own = best.setdefault(i, [])
+                    own.append((-r, node))
+                    if len(own) > 4 * limit:
+                        own.sort()
+                        del own[limit:]
+            yield from rows(all_)
+        yield from rows([(i, r, n) for i, own in best.items() for r, n in sorted(own)[:limit]])
+
+    return run
+
+
+def needles_of(questions: DataFrame) -> DataFrame:
+    """(needle, q) of (entity, ...): each entity once, and in lower case."""
+    return questions.filter("entity is not null").select(F.col("entity").alias("needle")).distinct().withColumn("q", F.lower("needle"))
+
+
+def hits_of(graph: Graph, needles: DataFrame, limit: int | None) -> DataFrame:
+    """(q, node_id, relevance) of needles (q, ...) in lower case. A substring is no join key, so an automaton of all
+    needles reads each value once, whatever their number. Needles go to the tasks in blocks of a checked size; each block
+    is one pass over the nodes. limit: what a needle keeps in each task, None for all."""
+    spark = graph.nodes.sparkSession
+    asked = needles.select("q").distinct()
+    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("q")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_NEEDLES), -(-size // BLOCK_BYTES))
+    values = graph.nodes.select("node_id", *[F.lower(c).alias(c) for c in X.SEARCHED])
+    out = None
+    for k in range(blocks):
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k)
+        found = values.mapInArrow(searched(spark.sparkContext.broadcast([r.q for r in part.collect()]), limit), "q string, node_id string, relevance int")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def scored_batch(graph: Graph, questions: DataFrame, limit: int = 15) -> DataFrame:
-    """Top nodes for each row of (qid, entity, ...). Equal entities are searched once; the limit is applied before rows
-    are brought together, in each task."""
-    needles = questions.select(F.col("entity").alias("needle")).filter("entity is not null").distinct()
-    hit = graph.nodes.join(needles, X.holds(F.col("needle"))).select("needle", "node_id", "labels", *X.SEARCHED, X.relevance(F.col("needle")).alias("relevance"))
-    rank = F.row_number().over(Window.partitionBy("needle").orderBy(F.desc("relevance"), "node_id"))
-    return hit.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    """Top nodes for each row of (qid, entity, ...). Entities that are equal but for case are searched once; the limit is
+    applied before rows are brought together, in each task, and only the rows that are left fetch their texts. node_id is
+    the nodes' key."""
+    needles = needles_of(questions)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("relevance"), "node_id"))
+    top = hits_of(graph, needles, limit).withColumn("rank", rank).filter(F.col("rank") <= limit)
+    own = graph.nodes.select("node_id", "labels", *X.SEARCHED)
+    return top.join(needles, "q").join(own, "node_id").select("needle", "node_id", "labels", *X.SEARCHED, "relevance", "rank")
 
 
 def plain(graph: Graph, needle: str, limit: int = 5) -> DataFrame:

@@ -7,17 +7,20 @@ from wayfind.functions import text as X
 from wayfind.operators import context as C
 from wayfind.operators import search as S
 from wayfind.operators.dialog import insufficient
-from wayfind.operators.paths import multi_hop
+from wayfind.operators.paths import multi_hop_batch
 from wayfind.plans import models as M
 from wayfind.sources.graph import Graph
 
+CLIP = 301  # characters that travel of a text: lines clip at 300 at most, and must see that there are more
+
 
 def contexts(graph: Graph, questions: DataFrame, limit: int = 15) -> DataFrame:
     """(qid, question, entity, context) of questions (qid, question, entity). An entity that isn't given is taken from
     the question; each entity is searched and expanded once, whatever the number of questions that ask for it."""
     asked = questions.select("qid", "question", F.coalesce("entity", X.entity(F.col("question"))).alias("entity"))
-    top = S.scored_batch(graph, asked, limit)
-    rows = S.expanded(top, graph)
+    top = S.scored_batch(graph, asked, limit).withColumn("text", F.left("text", F.lit(CLIP)))
+    short = Graph(graph.nodes.withColumn("text", F.left("text", F.lit(CLIP))), graph.edges)
+    rows = S.expanded(top, short)
     found = C.joined(C.lines(rows, [F.col("rank"), F.col("edge_id").asc_nulls_first()], ["needle"]), ["needle"])
     nothing = F.concat(F.lit("No results found for '"), F.col("entity"), F.lit("'."))
     text = F.when(F.col("entity").isNull(), C.NO_ENTITY).otherwise(F.coalesce("context", nothing))
@@ -30,26 +33,22 @@ def ask(graph: Graph, questions: DataFrame, limit: int = 15, make=M.Extract, bac
     return M.record(M.answered(rows.withColumn("prompt", C.prompt(F.col("question"), F.col("context"))), make, backend))
 
 
-def ask_paths(graph: Graph, questions: list[tuple[int, str, str]], limit: int = 20, make=M.Extract, backend: str = "extract") -> DataFrame:
-    """Answer records with multi-hop contexts, for a few (qid, question, entity): one plan each, united."""
-    spark = graph.nodes.sparkSession
-    out = None
-    for qid, question, entity in questions:
-        text = C.or_else(C.joined(C.path_lines(multi_hop(graph, entity, 2, limit), graph.nodes), []), C.NOTHING_ON_PATHS.format(entity))
-        one = text.select(F.lit(qid).cast("long").alias("qid"), F.lit(question).alias("question"), F.lit(entity).alias("entity"), "context")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = spark.createDataFrame([], "qid long, question string, entity string, context string")
-    return M.record(M.answered(out.withColumn("prompt", C.prompt(F.col("question"), F.col("context"))), make, backend))
+def ask_paths(graph: Graph, questions: DataFrame, limit: int = 20, make=M.Extract, backend: str = "extract") -> DataFrame:
+    """Answer records with multi-hop contexts for questions (qid, question, entity); those without an entity have none."""
+    paths = multi_hop_batch(graph, questions, 2, limit)
+    short = graph.nodes.withColumn("text", F.left("text", F.lit(CLIP)))
+    found = C.joined(C.path_lines(paths, short, keys=("needle",)), ["needle"])
+    before, after = C.NOTHING_ON_PATHS.split("{}")
+    text = F.coalesce("context", F.concat(F.lit(before), F.col("entity"), F.lit(after)))
+    asked = questions.filter("entity is not null").select("qid", "question", "entity")
+    rows = asked.join(found, asked.entity == found.needle, "left").select("qid", "question", "entity", text.alias("context"))
+    return M.record(M.answered(rows.withColumn("prompt", C.prompt(F.col("question"), F.col("context"))), make, backend))
 
 
-def ask_with_fallback(graph: Graph, questions: DataFrame, make=M.Extract, backend: str = "extract", when_empty: bool = False, most: int = 1000) -> DataFrame:
-    """Scored search first; questions whose answer says that the context doesn't do are asked again with multi-hop search.
-    ``most``: the second pass is a plan for each such question, so more of them than this is an error."""
+def ask_with_fallback(graph: Graph, questions: DataFrame, make=M.Extract, backend: str = "extract", when_empty: bool = False) -> DataFrame:
+    """Scored search first; questions whose answer says that the context doesn't do are asked again with multi-hop search,
+    all in one pass."""
     first = ask(graph, questions, 15, make, backend).persist()
     weak = insufficient(F.col("answer")) | (F.lit(when_empty) & F.col("context").startswith("No results found"))
-    again = first.filter(weak).join(questions.select("qid", F.col("entity").alias("given")), "qid").select("qid", "question", F.coalesce("given", X.entity(F.col("question"))).alias("entity")).filter("entity is not null").limit(most + 1).collect()
-    if len(again) > most:
-        raise ValueError(f"more than {most} questions need a second pass; ask them in parts")
-    second = ask_paths(graph, [tuple(r) for r in again], 20, make, backend)
-    return first.join(second.select("qid"), "qid", "left_anti").unionByName(second)
+    again = first.filter(weak).join(questions.select("qid", F.col("entity").alias("given")), "qid").select("qid", "question", F.coalesce("given", X.entity(F.col("question"))).alias("entity")).filter("entity is not null").persist()
+    return first.join(again.select("qid"), "qid", "left_anti").unionByName(ask_paths(graph, again, 20, make, backend))
