@@ -1,8 +1,11 @@
 """The hand-made micro-graph: rankings, contexts, paths, upserts, entities, pipeline, streaming."""
 
 import random
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as X
@@ -215,3 +218,9 @@ def test_batches_agree_with_single_searches(spark, monkeypatch):
                 assert paths.get(n, []) == [(r.path_length, r.start_id, r.path, r.end_id) for r in P.multi_hop(g, n, 2, 9).collect()]
     none = q.filter("entity is null")
     assert not S.scored_batch(g, none).count() and not P.multi_hop_batch(g, none).count() and not S.scored_batch(graph_of(spark, [], []), q).count()
+
+
+def test_models_travel_by_value(tmp_path):
+    code = "import sys; from pyspark import cloudpickle; print(cloudpickle.loads(sys.stdin.buffer.read())('Context:\\na\\n\\nQuestion: b'))"
+    out = subprocess.run([sys.executable, "-I", "-c", code], input=cloudpickle.dumps(M.Extract()), capture_output=True, cwd=tmp_path, check=True)
+    assert out.stdout.strip() == b"a"

@@ -4,14 +4,18 @@ A client is made once for each task. Errors are answers with a status, as they a
 """
 
 import json
+import sys
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no installed package
+
 #: Models that are tried, in this order, when one has gone.
 FALLBACKS = ["llama-3.1-8b-instant", "gemma2-9b-it", "mixtral-8x7b-32768"]
 
