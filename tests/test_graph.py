@@ -154,6 +154,24 @@ def test_ask_and_fallback(spark, graph):
     assert again[2].context == C.NO_ENTITY and len(again) == 4
 
 
+def test_ask_one_and_chat(spark, graph):
+    got = lambda **k: A.ask_one(graph, "What of Metformin?", **k).collect()
+    (r,) = got(entity="zz", statement="select named_struct('embedding', array(1.0), 'k', :v, 'l', array(1)) as s, null as n, 3 as x union all select null, null, 4 order by x", args={"v": "é"})
+    assert r.context == '1. {"s":{"k":"é"},"x":3}\n2. {"x":4}' and r.status == "ok"
+    assert got(statement="select 1 where false")[0].context == C.NOTHING_FROM_QUERY
+    assert got()[0].context.startswith("1. [Drug] ★★★ Metformin") and got(entity="zz")[0].context == C.NOTHING.format("zz")
+    assert got(multihop=True)[0].context == "1. [Drug] Metformin --TREATS--> [Disease] Chronic liver scarring\n2. " + got(multihop=True)[0].context.split("\n2. ")[1]
+    assert got(entity="zz", multihop=True)[0].context == C.NOTHING_ON_PATHS.format("zz")
+    assert [r.context for r in A.ask_one(graph, "so?", multihop=True).collect()] == [C.NO_ENTITY]
+    assert A.chat_context(graph, "jaundice").first().context == '{"name":"Jaundice","text":"Yellow skin, common in CIRRHOSIS"}'
+    assert A.chat_context(graph, "zz").first().context == C.NO_CHAT_MATCH
+    turns = spark.sql("select array(named_struct('patient', 'a', 'doctor', 'b'), named_struct('patient', 'c', 'doctor', null)) as t")
+    text = turns.select(C.chat_prompt(F.col("t"), F.lit("ctx")).alias("p")).first().p
+    assert "Conversation:\nPatient: a\nDoctor: b\nPatient: c\n\nContext:\nctx" in text
+    (r,) = A.chat(graph, "jaundice", [("a", "b")]).collect()
+    assert r.question == "jaundice" and r.status == "ok" and r.prompt_length > r.context_length
+
+
 def test_model_chain():
     tried = []
 

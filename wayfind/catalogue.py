@@ -9,6 +9,7 @@ from wayfind.operators import ingest as I
 from wayfind.operators import paths as P
 from wayfind.operators import search as S
 from wayfind.operators.similarity import links
+from wayfind.plans.ask import chat_context as chat_text
 from wayfind.plans.ask import contexts
 from wayfind.sources.graph import Graph, load, table
 
@@ -279,6 +280,20 @@ WORDS = r"regexp_split_to_array(text, '\s+')"
 ENTITY = rf"trim(coalesce(list_filter({WORDS}, lambda w: length(w) > 4 and regexp_matches(substr(w, 1, 1), '^\p{{Lu}}'))[1], list_filter({WORDS}, lambda w: length(w) > 5)[1]), '?,.:;!')"
 
 
+@query(f"""{GRAPH} select string_agg(i || '. ' || j, chr(10) order by i) as context
+  from (select row_number() over (order by node_id) as i, to_json(struct_pack(node_id := node_id, name := name))::varchar as j from nodes where label = 'Nation' qualify i <= 15)""")
+def record_context(spark, d):
+    rows = S.select(load(spark, d), "select node_id, name from nodes where array_contains(labels, :label) order by node_id", {"label": "Nation"})
+    return C.or_else(C.joined(C.records(rows), []), C.NOTHING_FROM_QUERY)
+
+
+@query(f"""{GRAPH} select coalesce(string_agg(j, chr(10) order by node_id), '{C.NO_CHAT_MATCH}') as context
+  from (select node_id, json_merge_patch('{{}}'::json, to_json(struct_pack(name := name, canonical_name := canonical_name, text := text)))::varchar as j from nodes
+  where contains(lower(coalesce(name, '')), '{NEEDLE}') or contains(lower(coalesce(text, '')), '{NEEDLE}') order by node_id limit 5)""")
+def chat_context(spark, d):
+    return chat_text(load(spark, d), NEEDLE)
+
+
 @query(f"select conv_id, turn, {ENTITY} as entity from conversations")
 def auto_entity(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.entity(F.col("text")).alias("entity"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfind.functions import text as X
 
@@ -61,9 +62,48 @@ def path_lines(paths: DataFrame, nodes: DataFrame, display: int = 10, keys: tupl
     return ends.select(*keys, "i", F.when((F.col("start_text") != "") & (F.col("end_text") != ""), line).alias("node_line"), F.lit(None).cast("string").alias("edge_line"))
 
 
+def plain_values(field: T.StructField) -> Column | None:
+    """A column for JSON: structs and maps keep strings, numbers and booleans; vectors go."""
+    simple = (T.StringType, T.NumericType, T.BooleanType)
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if field.name == "embedding":
+        return None
+    if isinstance(kind, T.StructType):
+        kept = [f.name for f in kind if f.name != "embedding" and isinstance(f.dataType, simple)]
+        return F.when(c.isNotNull(), F.struct(*[c[k].alias(k) for k in kept])).alias(field.name) if kept else None
+    if isinstance(kind, T.MapType):
+        return F.map_filter(c, lambda k, v: k.cast("string") != "embedding").alias(field.name) if isinstance(kind.valueType, simple) else None
+    return c
+
+
+def as_json(rows: DataFrame) -> Column:
+    """Compact JSON of a row; a null is an absent property and left out."""
+    return F.to_json(F.struct(*[c for c in map(plain_values, rows.schema) if c is not None]))
+
+
+def records(rows: DataFrame, most: int = 15) -> DataFrame:
+    """(i, node_line, edge_line) of a query's first ``most`` rows, in the query's own order: numbered JSON."""
+    few = rows.limit(most).select(as_json(rows).alias("s"), F.monotonically_increasing_id().alias("n"))
+    numbered = few.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n")))
+    return numbered.select("i", F.concat(F.col("i").cast("string"), F.lit(". "), F.col("s")).alias("node_line"), F.lit(None).cast("string").alias("edge_line"))
+
+
+def dumped(nodes: DataFrame) -> DataFrame:
+    """(i, node_line, edge_line) of a few nodes by node_id: JSON of all their properties but vectors."""
+    i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("node_id"))
+    return nodes.select(i.alias("i"), as_json(nodes.drop("node_id", "labels")).alias("node_line"), F.lit(None).cast("string").alias("edge_line"))
+
+
 def capped(context: Column, most: int = 4500, mark: str = CUT) -> Column:
     return X.clipped(context, most, mark)
 
 
 def prompt(question: Column, context: Column, most: int = 4500) -> Column:
     return F.concat(F.lit("Answer from the context alone.\n\nContext:\n"), capped(context, most), F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))
+
+
+def chat_prompt(conversation: Column, context: Column) -> Column:
+    """Prompt of a chat: turns as an array of (patient, doctor), the last without a reply, and a context."""
+    said = lambda c: F.concat(F.lit("Patient: "), F.coalesce(c["patient"], F.lit("")), F.coalesce(F.concat(F.lit("\nDoctor: "), c["doctor"]), F.lit("")))
+    turns = F.array_join(F.transform(conversation, said), "\n")
+    return F.concat(F.lit("Reply to the patient: ask what is still open, or say what is likely and what to do.\n\nConversation:\n"), turns, F.lit("\n\nContext:\n"), context, F.lit("\n\nReply:"))

@@ -52,3 +52,29 @@ def ask_with_fallback(graph: Graph, questions: DataFrame, make=M.Extract, backen
     weak = insufficient(F.col("answer")) | (F.lit(when_empty) & F.col("context").startswith("No results found"))
     again = first.filter(weak).join(questions.select("qid", F.col("entity").alias("given")), "qid").select("qid", "question", F.coalesce("given", X.entity(F.col("question"))).alias("entity")).filter("entity is not null").persist()
     return first.join(again.select("qid"), "qid", "left_anti").unionByName(ask_paths(graph, again, 20, make, backend))
+
+
+def ask_one(graph: Graph, question: str, entity: str | None = None, statement: str | None = None, args: dict | None = None, multihop: bool = False, limit: int = 15, make=M.Extract, backend: str = "extract") -> DataFrame:
+    """The answer record of one question. A SELECT statement comes before an entity, and an entity before one that is taken
+    from the question."""
+    asked = graph.nodes.sparkSession.range(1).select(F.col("id").alias("qid"), F.lit(question).cast("string").alias("question"), F.lit(entity).cast("string").alias("entity"))
+    if statement is not None:
+        text = C.or_else(C.joined(C.records(S.select(graph, statement, args)), []), C.NOTHING_FROM_QUERY)
+        rows = asked.drop("entity").join(text, F.lit(True), "left").withColumn("prompt", C.prompt(F.col("question"), F.col("context")))
+        return M.record(M.answered(rows, make, backend))
+    if not multihop:
+        return ask(graph, asked, limit, make, backend)
+    known = asked.withColumn("entity", F.coalesce("entity", X.entity(F.col("question"))))
+    return ask_paths(graph, known, limit, make, backend).unionByName(ask(graph, known.filter("entity is null"), limit, make, backend))
+
+
+def chat_context(graph: Graph, message: str, limit: int = 5) -> DataFrame:
+    """(context) of a chat message: the nodes that hold all of it."""
+    return C.or_else(C.joined(C.dumped(S.chat(graph, message, limit)), []), C.NO_CHAT_MATCH)
+
+
+def chat(graph: Graph, message: str, conversation: list[tuple[str, str | None]] = (), make=M.Extract, backend: str = "extract") -> DataFrame:
+    """The reply to a message after turns (patient, doctor), as an answer record."""
+    turns = F.array(*[F.struct(F.lit(p).cast("string").alias("patient"), F.lit(d).cast("string").alias("doctor")) for p, d in [*conversation, (message, None)]])
+    rows = chat_context(graph, message).select(F.lit(0).cast("long").alias("qid"), F.lit(message).alias("question"), "context")
+    return M.record(M.answered(rows.withColumn("prompt", C.chat_prompt(turns, F.col("context"))), make, backend))
