@@ -1,12 +1,12 @@
 """A corpus pipeline: each stage is written as Parquet and reread as the next one's documents.
 
-quality rules, SimHash near-dedup, suffix-array dedup, benchmark decontamination, byte-level BPE. All but the last
+quality rules, near-dedup of whole texts by MinHash and exact Jaccard, suffix-array dedup, benchmark decontamination, byte-level BPE. All but the last
 return the columns of documents; each works on all rows that its predecessor kept.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfind.llm import byte_bpe, decontaminate, quality_rules, simhash_dedup, suffix_dedup
+from wayfind.llm import byte_bpe, decontaminate, paragraph_dedup, quality_rules, suffix_dedup
 from wayfind.llm.common import save, small_batches, table
 
 
@@ -17,9 +17,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, Jaccard of 0.8 or more) the document with the smallest doc_id stays."""
     small_batches(spark)
-    return simhash_dedup.one_of_each(docs)
+    return paragraph_dedup.one_of_each(docs)
 
 
 def string_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ result.
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.llm.cells import mix
@@ -83,6 +83,11 @@ def paragraphs(text: bytes, least: int):
             yield i, words
 
 
+def whole(text: bytes):
+    """A whole text as its only paragraph, number 0, with words or without."""
+    yield 0, text.translate(LOWER).split()
+
+
 def name_of(words: list[bytes]) -> tuple[int, int]:
     """128-bit hash of a paragraph."""
     h = xxhash.xxh3_128_intdigest(b" ".join(words))
@@ -127,7 +132,7 @@ def deal(key, arrays, ids):
     return [(int(k), pack(*(a[order[s]] for a in arrays))) for k, s in groups(bucket[order])]
 
 
-def cells(least, bands, rows, ids):
+def cells(cut, bands, rows, ids):
     """mapInArrow function: cells of the different paragraphs of a task, by band key."""
 
     def run(batches):
@@ -148,9 +153,9 @@ def cells(least, bands, rows, ids):
             return keyed_rows(ROWS, deal(arrays[0], arrays, ids))
 
         for d, part, t in texts_of(batches):
-            for i, words in paragraphs(t, least):
+            for i, words in cut(t):
                 name = name_of(words)
-                if name not in seen:
+                if words and name not in seen:
                     seen.add(name)
                     new.append((d, (part << PART) + i, name[0], words))
                     size += 7 * len(words)
@@ -182,7 +187,10 @@ def colliding(ids, block):
         key, name, doc, place = (a[order] for a in (key, name, doc, place))
         first = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])]
         key, name, doc, place = (a[first] for a in (key, name, doc, place))
-        size = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[begin, len(key)])
+        with np.errstate(over="ignore"):  # keys of several bands with the same paragraphs are one group, named by these
+            key = np.repeat(mix(np.add.reduceat(mix(name), begin)), size)
         rank = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
         size = np.repeat(size, size)
         several, many = (size > 1) & (size <= block), np.flatnonzero(size > block)
@@ -201,19 +209,26 @@ def colliding(ids, block):
     return run
 
 
-def sets(ids):
+def sets(cut, ids):
     """Cogrouped function of a bucket's documents and asked paragraphs: exact shingle sets, by key."""
 
     def run(key_, docs, asked):
         blobs = asked.column("blob").to_pylist()
         if not blobs:
             return pa.Table.from_batches([keyed_rows(ROWS, [])])
-        texts = {(d, p): t for d, p, t in unpack_docs(docs.column("blob").to_pylist())}
         key, name, doc, place = unpack_all(blobs, *CELLS)
+        blobs.clear()
+        order = np.lexsort((name, key))
+        key, name, doc, place = (a[order] for a in (key, name, doc, place))
+        first = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])]
+        key, name, doc, place = (a[first] for a in (key, name, doc, place))
+        wanted: dict[tuple, set] = {}
+        for d, x in set(zip(doc.tolist(), place.tolist(), strict=True)):
+            wanted.setdefault((d, x >> PART), set()).add(x)
         own: dict[tuple, np.ndarray] = {}
-        for k in set(zip(doc.tolist(), place.tolist(), strict=True)):
-            line = texts[k[0], k[1] >> PART].split(b"\n")[k[1] & (1 << PART) - 1]
-            own[k] = np.unique(shingle_hashes([line.translate(LOWER).split()])[0])
+        for d, p, t in unpack_docs(docs.column("blob").to_pylist()):
+            if mine := wanted.pop((d, p), None):
+                own.update(((d, (p << PART) + i), np.unique(shingle_hashes([words])[0])) for i, words in cut(t) if (p << PART) + i in mine)
         bucket = spread(key, ids)
         order = np.argsort(bucket, kind="stable")
         rows = []
@@ -231,14 +246,24 @@ def links_of(flat: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray
     names, code = np.unique(flat, return_inverse=True)
     begin = np.cumsum(size) - size
     edges, mark = [], np.zeros(len(names), np.int64)
+    root = np.arange(len(size))
     for i in range(len(size) - 1):
+        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1  # what is joined already needs no link
+        if not len(rest):
+            continue
         mine = code[begin[i] : begin[i] + size[i]]
         mark[mine] = 1
-        both = np.add.reduceat(mark[code[begin[i + 1] :]], begin[i + 1 :] - begin[i + 1])
+        n = size[rest]
+        if 2 * len(rest) > len(size) - i:
+            both = np.add.reduceat(mark[code[begin[i + 1] :]], begin[i + 1 :] - begin[i + 1])[rest - i - 1]
+        else:
+            start = np.cumsum(n) - n
+            both = np.add.reduceat(mark[code[np.arange(n.sum()) + np.repeat(begin[rest] - start, n)]], start)
         mark[mine] = 0
-        j = np.flatnonzero(both >= threshold * (size[i] + size[i + 1 :] - both) - 1e-9) + i + 1
+        j = rest[both >= threshold * (size[i] + n - both) - 1e-9]
         if len(j):
             edges.append(np.stack([np.full(len(j), i), j], 1))
+            root[np.isin(root, root[j])] = root[i]
         if len(edges) > 64:
             edges = [forest(np.concatenate(edges))]
     return forest(np.concatenate(edges)) if edges else np.zeros((0, 2), np.int64)
@@ -271,7 +296,7 @@ def verified(threshold):
 OCCURRENCES = "p1 long, p2 long, doc_id long, place long, n_words long"
 
 
-def occurrences(least):
+def occurrences(cut):
     def run(batches):
         rows = []
 
@@ -282,7 +307,7 @@ def occurrences(least):
             return out
 
         for d, part, t in texts_of(batches):
-            for i, words in paragraphs(t, least):
+            for i, words in cut(t):
                 rows.append((*name_of(words), d, (part << PART) + i, len(words)))
             if len(rows) > 20_000:
                 yield batch()
@@ -292,20 +317,22 @@ def occurrences(least):
     return run
 
 
-def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK, cut=None) -> DataFrame:
     """(doc_id, part, paragraph, n_words, first_doc_id, first_part, first_paragraph, n_members, kept) of each paragraph
-    (line, from 0) whose class has more than one occurrence. Documents: (doc_id, text)."""
+    (line, from 0) whose class has more than one occurrence. Documents: (doc_id, text). cut: a function that gives the
+    (number, words) of a text's paragraphs, instead of lines of ``least`` words."""
+    cut = cut or (lambda text: paragraphs(text, least))
     spark = docs.sparkSession
     p = partitions(spark)
     ids = bucket_ids(p)
     bands, per_band = tune_bands(threshold, recall, hashes)
     rows = numbered(docs)
-    asked = rows.mapInArrow(trimmed(cells(least, bands, per_band, ids)), ROWS_SQL).repartition(p, "bucket").mapInArrow(trimmed(colliding(ids, block)), ROWS_SQL)
+    asked = rows.mapInArrow(trimmed(cells(cut, bands, per_band, ids)), ROWS_SQL).repartition(p, "bucket").mapInArrow(trimmed(colliding(ids, block)), ROWS_SQL)
     packed = rows.mapInArrow(trimmed(pack_docs(ids)), DOC_BLOBS).repartition(p, "bucket").groupBy("bucket")
-    found = packed.cogroup(asked.repartition(p, "bucket").groupBy("bucket")).applyInArrow(sets(ids), ROWS_SQL)
+    found = packed.cogroup(asked.repartition(p, "bucket").groupBy("bucket")).applyInArrow(sets(cut, ids), ROWS_SQL)
     joined = components(found.repartition(p, "bucket").mapInArrow(trimmed(verified(threshold)), "a long, b long"))
     root = joined.unionByName(joined.select(F.col("component").alias("vertex"), "component").distinct())
-    all_ = hold(rows.mapInArrow(trimmed(occurrences(least)), OCCURRENCES))
+    all_ = hold(rows.mapInArrow(trimmed(occurrences(cut)), OCCURRENCES))
     names = all_.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
     classes = hold(names.join(root, names.p1 == F.col("vertex"), "left").filter("n > 1 or component is not null").select("p1", "p2", "n", "first", F.coalesce("component", "p1").alias("c1"), F.when(F.col("component").isNull(), F.col("p2")).otherwise(0).alias("c2")))
     whole = classes.groupBy("c1", "c2").agg(F.sum("n").alias("n_members"), F.min("first").alias("first"))
@@ -321,5 +348,21 @@ def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, r
     )
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.9999, hashes: int = 72) -> DataFrame:
+    """Documents, whole texts compared: of each class of near copies the one with the smallest doc_id (of several rows
+    with that doc_id the one whose text comes first) stays. Links are exact Jaccard similarities of five-word shingles;
+    texts without words are copies of each other. Rows without a doc_id all stay, and their copies with one go."""
+    gone = repeats(docs, threshold=threshold, recall=recall, hashes=hashes, cut=whole).filter("not kept and doc_id is not null").select("doc_id", F.col("part").alias("_part")).distinct()
+    known, rest = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    if known.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        in_order = Window.partitionBy("doc_id").orderBy(F.coalesce(F.col("text"), F.lit("")))
+        known = known.withColumn("_part", F.dense_rank().over(in_order).cast("long") - 1)
+        known = known.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_part").orderBy("_part"))).filter("_n = 1")
+    else:
+        known = known.withColumn("_part", F.lit(0).cast("long"))
+    # Ids are hashed, so that texts need no sort.
+    return known.join(gone.hint("shuffle_hash"), ["doc_id", "_part"], "left_anti").select(docs.columns).unionByName(rest)
+
+
 def op9_paragraph_dedup(spark, sf_dir):
     return repeats(table(spark, sf_dir, "documents")).drop("part", "first_part")
