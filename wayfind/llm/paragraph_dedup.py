@@ -1,7 +1,9 @@
 """Substring dedup by paragraph MinHash banding.
 
-A paragraph is a line of ``least`` words or more (shorter ones are left alone), lower-cased (A-Z), its words split at
-white space. Its MinHash comes from its five-word shingles. Bands are tuned for recall: the longest rows that, within a
+A paragraph is a line of ``least`` words or more, lower-cased (A-Z), its words split at white space. op9 also takes,
+as exact matches, shorter lines, and from each line of 50 words or more windows of 25 words at content-defined places, so
+that any 50 words that two longer lines share hold an equal window; windows in repeated lines get rows too. Windows
+do not go through the bands: neighbours in one line overlap and would be linked as near copies of each other. Its MinHash comes from its five-word shingles. Bands are tuned for recall: the longest rows that, within a
 number of hash functions, still find a pair at the threshold with the wanted probability.
 
 1. Each task sends, for each band of each different paragraph it holds, a cell (band key, paragraph's hash, place), packed
@@ -56,6 +58,7 @@ from wayfind.llm.components import components, forest
 by_value(__name__)
 
 LEAST, SHINGLE, THRESHOLD, RECALL, HASHES, BLOCK = 20, 5, 0.8, 0.995, 48, 4000
+PASSAGE, WINDOW = 50, 25  # a passage of so many words in longer lines is found by windows of so many
 PART = 40
 STEP = 1 << 20  # bytes of text that are hashed at once
 FLUSH = 1 << 18  # cells that a task holds before it deals them out
@@ -76,16 +79,38 @@ def tune_bands(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
 
 
 def paragraphs(text: bytes, least: int):
-    """(line number, words) of each paragraph."""
+    """(number, line, first word in the line, words) of each paragraph; numbers are lines."""
     for i, line in enumerate(text.split(b"\n")):
         words = line.translate(LOWER).split()
         if len(words) >= least:
-            yield i, words
+            yield i, i, 0, words
+
+
+def anchors(words: list[bytes]) -> np.ndarray:
+    """Words at which windows begin: the least shingle hash in each run of PASSAGE - WINDOW + 1 places. Any PASSAGE words
+    hold a whole window whose place depends on them alone."""
+    h = shingle_hashes([words])[0][: len(words) - WINDOW + 1]
+    run = PASSAGE - WINDOW + 1
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, run).argmin(1) + np.arange(len(h) - run + 1))
+
+
+def lines_and_windows(text: bytes):
+    """As paragraphs(): every line with a word, and content-defined windows of the lines with PASSAGE words or more.
+    Numbers are twice the first word's place in the text, one more for windows."""
+    at = 0
+    for i, line in enumerate(text.split(b"\n")):
+        words = line.translate(LOWER).split()
+        if words:
+            yield 2 * at, i, 0, words
+        if len(words) >= PASSAGE:
+            for a in anchors(words).tolist():
+                yield 2 * (at + a) + 1, i, a, words[a : a + WINDOW]
+        at += len(words)
 
 
 def whole(text: bytes):
     """A whole text as its only paragraph, number 0, with words or without."""
-    yield 0, text.translate(LOWER).split()
+    yield 0, 0, 0, text.translate(LOWER).split()
 
 
 def name_of(words: list[bytes]) -> tuple[int, int]:
@@ -153,7 +178,7 @@ def cells(cut, bands, rows, ids):
             return keyed_rows(ROWS, deal(arrays[0], arrays, ids))
 
         for d, part, t in texts_of(batches):
-            for i, words in cut(t):
+            for i, _, _, words in cut(t):
                 name = name_of(words)
                 if words and name not in seen:
                     seen.add(name)
@@ -228,7 +253,7 @@ def sets(cut, ids):
         own: dict[tuple, np.ndarray] = {}
         for d, p, t in unpack_docs(docs.column("blob").to_pylist()):
             if mine := wanted.pop((d, p), None):
-                own.update(((d, (p << PART) + i), np.unique(shingle_hashes([words])[0])) for i, words in cut(t) if (p << PART) + i in mine)
+                own.update(((d, (p << PART) + i), np.unique(shingle_hashes([words])[0])) for i, _, _, words in cut(t) if (p << PART) + i in mine)
         bucket = spread(key, ids)
         order = np.argsort(bucket, kind="stable")
         rows = []
@@ -293,7 +318,7 @@ def verified(threshold):
     return run
 
 
-OCCURRENCES = "p1 long, p2 long, doc_id long, place long, n_words long"
+OCCURRENCES = "p1 long, p2 long, doc_id long, place long, line long, first_word long, n_words long"
 
 
 def occurrences(cut):
@@ -302,13 +327,13 @@ def occurrences(cut):
 
         def batch():
             names = np.array([r[0] for r in rows], np.uint64).view(np.int64), np.array([r[1] for r in rows], np.uint64).view(np.int64)
-            out = pa.RecordBatch.from_arrays([*map(pa.array, names), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4))], [c.split()[0] for c in OCCURRENCES.split(", ")])
+            out = pa.RecordBatch.from_arrays([*map(pa.array, names), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(2, 7))], [c.split()[0] for c in OCCURRENCES.split(", ")])
             rows.clear()
             return out
 
         for d, part, t in texts_of(batches):
-            for i, words in cut(t):
-                rows.append((*name_of(words), d, (part << PART) + i, len(words)))
+            for i, line, first, words in cut(t):
+                rows.append((*name_of(words), d, (part << PART) + i, line, first, len(words)))
             if len(rows) > 20_000:
                 yield batch()
         if rows:
@@ -317,10 +342,11 @@ def occurrences(cut):
     return run
 
 
-def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK, cut=None) -> DataFrame:
-    """(doc_id, part, paragraph, n_words, first_doc_id, first_part, first_paragraph, n_members, kept) of each paragraph
-    (line, from 0) whose class has more than one occurrence. Documents: (doc_id, text). cut: a function that gives the
-    (number, words) of a text's paragraphs, instead of lines of ``least`` words."""
+def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK, cut=None, equal=None) -> DataFrame:
+    """(doc_id, part, paragraph, n_words, first_doc_id, first_part, first_paragraph, n_members, kept, first_word, first_first_word) of each
+    paragraph (line, and word in it, from 0) whose class has more than one occurrence. Documents: (doc_id, text). cut: a function that gives
+    paragraphs of a text as paragraphs() does, instead of lines of ``least`` words; equal: one that gives these and
+    others, which are matched by equality alone."""
     cut = cut or (lambda text: paragraphs(text, least))
     spark = docs.sparkSession
     p = partitions(spark)
@@ -332,19 +358,19 @@ def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, r
     found = packed.cogroup(asked.repartition(p, "bucket").groupBy("bucket")).applyInArrow(sets(cut, ids), ROWS_SQL)
     joined = components(found.repartition(p, "bucket").mapInArrow(trimmed(verified(threshold)), "a long, b long"))
     root = joined.unionByName(joined.select(F.col("component").alias("vertex"), "component").distinct())
-    all_ = hold(rows.mapInArrow(trimmed(occurrences(cut)), OCCURRENCES))
-    names = all_.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
+    all_ = hold(rows.mapInArrow(trimmed(occurrences(equal or cut)), OCCURRENCES))
+    names = all_.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place", "line", "first_word")).alias("first"))
     classes = hold(names.join(root, names.p1 == F.col("vertex"), "left").filter("n > 1 or component is not null").select("p1", "p2", "n", "first", F.coalesce("component", "p1").alias("c1"), F.when(F.col("component").isNull(), F.col("p2")).otherwise(0).alias("c2")))
     whole = classes.groupBy("c1", "c2").agg(F.sum("n").alias("n_members"), F.min("first").alias("first"))
     # The keys are written anew, so that both sides are exchanged and a hot class can be split.
     whole = whole.select(*[F.col(c).bitwiseXOR(F.lit(0).cast("long")).alias(c) for c in ("c1", "c2")], "n_members", "first")
     each = classes.drop("n", "first").join(whole, ["c1", "c2"]).select("p1", "p2", "n_members", "first")
     clean = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << PART) - 1))
     return all_.join(each, ["p1", "p2"]).select(
-        clean("doc_id").alias("doc_id"), F.shiftright("place", PART).alias("part"), low("place").alias("paragraph"), "n_words",
-        clean("first.doc_id").alias("first_doc_id"), F.shiftright("first.place", PART).alias("first_part"), low("first.place").alias("first_paragraph"),
-        F.col("n_members"), (F.struct("doc_id", "place") == F.col("first")).alias("kept"),
+        clean("doc_id").alias("doc_id"), F.shiftright("place", PART).alias("part"), F.col("line").alias("paragraph"), "n_words",
+        clean("first.doc_id").alias("first_doc_id"), F.shiftright("first.place", PART).alias("first_part"), F.col("first.line").alias("first_paragraph"),
+        F.col("n_members"), (F.struct("doc_id", "place") == F.struct("first.doc_id", "first.place")).alias("kept"),
+        "first_word", F.col("first.first_word").alias("first_first_word"),
     )
 
 
@@ -365,4 +391,4 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0
 
 
 def op9_paragraph_dedup(spark, sf_dir):
-    return repeats(table(spark, sf_dir, "documents")).drop("part", "first_part")
+    return repeats(table(spark, sf_dir, "documents"), equal=lines_and_windows).drop("part", "first_part")
