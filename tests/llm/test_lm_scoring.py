@@ -18,46 +18,35 @@ def held_out(d):
     return d is None or zlib.crc32(str(d).encode()) % 10 == 0
 
 
-def brute(rows, symbols):
-    tokens = {i: [*words(t), None] for i, (_, t) in enumerate(rows)}
-    train = [tokens[i] for i, (d, _) in enumerate(rows) if not held_out(d)]
-    count = Counter(w for t in train for w in t)
-    n, v = sum(count.values()), len(count)
-    top = sorted((w for w in count if w is not None), key=lambda w: (-count[w], w.encode()))[: symbols - 256]
-    name = lambda w: w if w is None or w in top else zlib.crc32(w[-2:].encode()) % 255
-    tops, k = set(top), 256 + len(top)
-    name = lambda w: w if w is None or w in tops else zlib.crc32(w[-2:].encode()) % 255
-    members: dict = {}
-    for w, c in count.items():
-        if isinstance(name(w), int):
-            members.setdefault(name(w), []).append(c)
-    bi, uni = Counter(), Counter()
-    for t in train:
-        s = [None, *map(name, t)]
-        bi.update(zip(s, s[1:], strict=False))
-        uni.update(s[1:])
-    after: dict = {}
-    for (a, b), c in bi.items():
-        after.setdefault(a, {})[b] = c
-    p1 = lambda s: (uni[s] + len(uni) / k) / (sum(uni.values()) + len(uni)) if uni else 1 / k
-
-    def p(a, b):
-        own = after.get(a)
-        if not own:
-            return p1(b)
-        total = sum(own.values()) + len(own)
-        return own[b] / total if b in own else len(own) / total / (1 - sum(map(p1, own))) * p1(b)
-
-    def word(w):
-        m = members.get(name(w), [])
-        return (count[w] or max(1, len(m))) / max(1, sum(m) + len(m)) if isinstance(name(w), int) else 1
+def counted(rows, order):
+    """Counts of all n-grams of the training texts as tuples, None for the end."""
+    count = Counter()
+    for d, t in rows:
+        if not held_out(d):
+            tokens = [None, *words(t), None]
+            count.update((w,) for w in tokens[1:])
+            for k in range(2, order + 1):
+                count.update(tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1))
+    return count
+
+
+def brute(rows, order=3, mass=16.0):
+    """The interpolated probabilities by their definition, without an automaton."""
+    count = counted(rows, order)
+    n = sum(c for g, c in count.items() if len(g) == 1)
+    v = sum(len(g) == 1 for g in count)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (count[gram] + 0.1) / (n + 0.1 * (v + 1))
+        return (count[gram] + mass * p(gram[1:])) / (count[gram[:-1]] + mass)
 
     out = []
-    for i, (d, _) in enumerate(rows):
-        s = [None, *map(name, tokens[i])]
-        score = sum(math.log10(p(a, b)) for a, b in zip(s, s[1:], strict=False)) + sum(math.log10(word(w)) for w in tokens[i])
-        base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens[i])
-        out.append((str(d), held_out(d), len(tokens[i]), sum(count[w] > 0 for w in tokens[i]), n, round(base, 6), round(score, 6)))
+    for d, t in rows:
+        tokens = [None, *words(t), None]
+        score = sum(math.log10(p(tuple(tokens[max(0, i + 1 - order) : i + 1]))) for i in range(1, len(tokens)))
+        base = sum(math.log10(p((w,))) for w in tokens[1:])
+        out.append((str(d), held_out(d), len(tokens) - 1, sum(count[(w,)] > 0 for w in tokens[1:]), n, base, score))
     return sorted(out)
 
 
@@ -66,30 +55,75 @@ def corpus():
     vocabulary = [f"{a}{b}" for a in ("Wo", "te", "é", "the", "x|") for b in ("", "n", "ing", "é", "ß", "99", "A")]
     weights = [1 / (i + 1) for i in range(len(vocabulary))]
     rows = [(d, " ".join(r.choices(vocabulary, weights, k=r.randint(0, 60))) + f" rare{r.randint(0, 200)}") for d in range(120)]
-    return rows + [(None, "the wo"), (None, "the wo"), (500, None), (501, " \n"), (7, "again the"), (502, "the " * 2000)]
+    return rows + [(None, "the wo"), (None, "the wo"), (500, None), (501, " \n"), (7, "again the"), (7, "again the"), (502, "the " * 2000)]
 
 
 def result(df, **more):
-    return sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in L.score(df, **more).collect())
+    return sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in L.score(df, **more).collect())
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("more", [{}, {"order": 2}, {"order": 4, "mass": 1.5}, {"block": 90, "bucket": 50, "segment": 7}])
+def test_against_brute_force(spark, more):
     rows = corpus()
-    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, score string").repartition(4)
-    for head in (250_000, 40, 0):
-        got, want = result(df, symbols=256 + 12, head=head), brute(rows, 256 + 12 if head > 12 else 256)
-        assert [g[:5] for g in got] == [w[:5] for w in want]
-        for g, w in zip(got, want, strict=True):
-            assert g[5:] == pytest.approx(w[5:], abs=1e-5)
-
-
-def test_automaton_is_a_distribution_and_steps_as_its_table():
-    rng = np.random.RandomState(3)
-    key = np.unique(rng.randint(0, 400, 90))
-    a = L.Automaton(key, rng.randint(1, 9, len(key)), 20)
-    table = a.resolved()
-    assert np.allclose((10**table).sum(1), 1)
-    assert all(a.step(i, j) == (j, pytest.approx(table[i, j])) for i in range(20) for j in range(20))
+    df = spark.createDataFrame([(d, t, "x", 1, 2) for d, t in rows], "doc_id long, text string, score string, block int, kind int").repartition(4)
+    got, want = result(df, **more), brute(rows, **{k: v for k, v in more.items() if k in ("order", "mass")})
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
+def automaton(rows, order, mass):
+    """The automaton of one block that holds all rows, and the block."""
+    (batch,) = L.blocks(10**9)([batch_of(rows)])
+    block = L.Block(batch.column(1)[0].as_py())
+    grams = block.grams(order)
+    counts = [np.bincount(of[block.train & (of >= 0)], minlength=len(name)) for name, _, of in grams]
+    count = block.word_counts()
+    return block, L.Automaton(block, count, grams, counts, int(count.sum()), int((count > 0).sum()), mass)
+
+
+def batch_of(rows):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows])], ["doc_id", "text"])
+
+
+def test_every_state_is_a_distribution_and_failure_arcs_are_followed(monkeypatch):
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(L.TaskContext, "get", staticmethod(lambda: Task))
+    rows = [(d, t) for d, t in corpus() if d is not None and d < 200]
+    block, a = automaton(rows, 3, 2.0)
+    types = int(a.known.sum())
+    unknown = 0.1 / (int(block.word_counts().sum()) + 0.1 * (types + 1))
+    symbol = np.flatnonzero(a.known)
+    reached, open_ = {0}, [0]
+    while open_:  # all states that known words lead to; nothing is read after an end
+        after = np.unique(a.step(np.full(len(symbol) - 1, open_.pop()), symbol[1:])[0])
+        open_ += [s for s in after.tolist() if s not in reached]
+        reached.update(after.tolist())
+    failed = 0
+    for s in reached:
+        _, log = a.step(np.full(len(symbol), s), symbol)
+        lost, at = 0.0, s  # unknown words share what is left at the empty history
+        while at:
+            lost, at = lost + a.weight[at], a.failure[at]
+            failed += 1
+        assert (10**log).sum() + 10**lost * unknown == pytest.approx(1)
+    assert len(reached) > 500 and failed > len(reached)
+
+
+def test_score_tells_seen_texts_from_new_ones(spark):
+    r = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(300)]
+    text = lambda: " ".join(r.choices(vocabulary, k=80))
+    ids = [d for d in range(400) if held_out(d)]
+    rows = [(d, text()) for d in range(400)]
+    twice = dict(zip(ids[:10], [t for d, t in rows if not held_out(d)], strict=False))
+    rows = [(d, twice.get(d, t)) for d, t in rows]
+    got = {x.doc_id: x.score / x.n_tokens for x in L.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[d] for d in twice) > max(got[d] for d in ids[10:]) + 0.3
 
 
 def test_edges(spark):

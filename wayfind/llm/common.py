@@ -162,24 +162,30 @@ def groups(keys: np.ndarray):
             yield keys[a], slice(a, b)
 
 
-def bucket_ids(n: int) -> np.ndarray:
-    """An int for each of n partitions that repartition(n, column) puts there, so that buckets and partitions agree."""
-
-    def placed(k: int) -> int:  # Spark's hash of an int: 32-bit Murmur3 with seed 42
-        word = lambda x: x & 0xFFFFFFFF
-        turn = lambda x, r: word(x << r) | word(x) >> (32 - r)
-        h = word(turn(42 ^ word(turn(word(k * 0xCC9E2D51), 15) * 0x1B873593), 13) * 5 + 0xE6546B64) ^ 4
-        h = word((h ^ h >> 16) * 0x85EBCA6B)
-        h = word((h ^ h >> 13) * 0xC2B2AE35)
-        h ^= h >> 16
-        return (h - (1 << 32) if h >> 31 else h) % n
-
-    found: dict[int, int] = {}
-    k = 0
-    while len(found) < n:
-        found.setdefault(placed(k), k)
-        k += 1
-    return np.array([found[i] for i in range(n)], np.int32)
+def bucket_ids(n: int, of: int | None = None) -> np.ndarray:
+    """``of`` different ints (n without it), of which repartition(n, column) puts equally many in each of n partitions,
+    one partition after another: buckets and partitions agree."""
+    each = -(-(of or n) // n)
+
+    def placed(k: np.ndarray) -> np.ndarray:  # Spark's hash of an int: 32-bit Murmur3 with seed 42
+        word = lambda x: x & np.uint64(0xFFFFFFFF)
+        turn = lambda x, r: word(x << np.uint64(r)) | word(x) >> np.uint64(32 - r)
+        times = lambda x, m: word(x * np.uint64(m))
+        h = word(times(turn(np.uint64(42) ^ times(turn(times(k, 0xCC9E2D51), 15), 0x1B873593), 13), 5) + np.uint64(0xE6546B64)) ^ np.uint64(4)
+        h = times(h ^ h >> np.uint64(16), 0x85EBCA6B)
+        h = times(h ^ h >> np.uint64(13), 0xC2B2AE35)
+        h ^= h >> np.uint64(16)
+        return h.astype(np.uint32).view(np.int32).astype(np.int64) % n
+
+    # Of each partition the first ints that are put there.
+    tried = 16 * n + 8 * n * each
+    while True:
+        where = placed(np.arange(tried, dtype=np.uint64))
+        order = np.argsort(where, kind="stable")
+        begin = np.searchsorted(where[order], np.arange(n + 1))
+        if (np.diff(begin) >= each).all():
+            return order[begin[:-1, None] + np.arange(each)].ravel().astype(np.int32)
+        tried *= 2
 
 
 def spread(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:

@@ -1,18 +1,26 @@
-"""LM scoring with a weighted backoff automaton.
-
-Tokens are the words of a lower-cased text (A-Z) and one end. The most frequent words are symbols of their own; every
-other word belongs to a class by its last two characters, and classes are symbols too. Over these ``symbols`` a bigram
-model with Witten-Bell smoothing is counted on all training texts. It becomes an automaton: the root and one state for
-each symbol just read, arcs for the bigrams that occur, and from each state a failure arc to the root that costs the
-backoff weight. A text is one traversal from the state of the end symbol: at each token the arc is taken, or the failure
-arc and then the root's arc, and its log-probability added. Failure arcs are resolved once into a table of symbols by
-symbols, so the size of what is sent to tasks is fixed by the parameter. Within a class, a word has Witten-Bell
-probability by its count, and all unknown words of the class share the probability of one new type.
-
-Counts of words grow with the corpus and are never sent anywhere whole. They lie in buckets by hash; the ``head`` most
-frequent words at most (a parameter) go to all tasks, and every occurrence of another word goes to its bucket as a packed
-row, is looked up there, and the sums come back to its text. A frequent word is counted in each task before it is sent,
-so no bucket gets more than one row of it from a task.
+"""LM scoring with a weighted backoff automaton over words.
+
+Tokens are the words of a lower-cased text (A-Z) and one end; a text begins after an end. All n-grams of the training
+texts up to ``order`` tokens are counted, none is left out, so the model grows with the corpus. Probabilities are
+smoothed with Dirichlet priors: p(w | h) = (c(hw) + m p(w | h')) / (c(h) + m), where h' is h without its first token and
+m the order's ``mass``; a single token has (c + 0.1) / (N + 0.1 (V + 1)), which unknown words share.
+
+The counted n-grams become an automaton. Its states are the empty history and every counted history of fewer than
+``order`` tokens; an arc for each counted n-gram reads a token, weighs log10 p(w | h) and leads to the longest state that
+ends with it; a state's failure arc drops the first token of its history and weighs log10(m / (c(h) + m)). A text is one
+left-to-right traversal, which carries the state: take the arc, or failure arcs until there is one.
+
+The automaton of a large corpus fits on no machine, but a block of texts reaches only the part that its own n-grams name:
+
+1. Each task turns its texts into blocks (word numbers and the block's words), which executors keep on disk.
+2. Each block sends its different n-grams with their training counts to buckets, single words as strings, longer ones as
+   sorted 64-bit hashes. A bucket adds up what all blocks sent and answers each block with the sums, in the order asked.
+   A block sends an n-gram once however often it occurs, so a frequent one is a short entry of each block.
+3. Each block builds the part of the automaton that it can reach and traverses its texts. Long texts are cut in segments,
+   which are traversed together; a segment starts ``order`` - 1 tokens early without adding, as the state depends on no more.
+
+The number of buckets follows the counted tokens, and partitions are read sorted by bucket or block, so a task holds one
+bucket or one block at a time. Two n-grams of two words or more with the same 64-bit hash would share a count.
 
 Null texts are empty: just an end. Rows with a null doc_id are held out, as no checksum of theirs exists. Repeated rows
 get a row each (and count as often). Other columns are ignored. Empty tables give empty results; without training
@@ -20,8 +28,6 @@ texts every count is zero.
 """
 
 import zlib
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,352 +37,388 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import LOWER, NO_ID, bucket_ids, by_value, hold, keyed_rows, pack, partitions, spread, table, trimmed, unpack, unpack_all
+from wayfind.llm.cells import mix
+from wayfind.llm.common import LOWER, NO_ID, bucket_ids, by_value, groups, hold, keyed_rows, partitions, table, trimmed
 
 by_value(__name__)
 
-CLASSES = 255
-HISTOGRAM = 8  # steps of a word count's logarithm to base 2
-FLUSH = 400_000
-STEP = 200  # texts that are handled together
-PACKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
-PACKED_SQL = "kind int, bucket int, blob binary"
-DOCS, TAIL = 0, 1
-DOC_KINDS = ("<i8", "<i8", "<i8", "<i8", "<f8", "<f8")  # row, doc_id (NO_ID: null), tokens, known, base, score
-PART_KINDS = ("<i8", "<i8", "<f8", "<f8")  # row, known, base, score
+ORDER, MASS = 3, 16.0
+BLOCK = 1 << 21  # tokens of a block; one text may have more
+BUCKET = 1 << 22  # n-grams that a bucket should get
+SEGMENT = 256  # tokens of a text that are traversed on end
+DOCS, WORDS, GRAMS = 0, 1, 2
+ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+ASKED_SQL = "bucket int, block long, kind int, blob binary"
+COUNTED = pa.schema([*ASKED, ("types", pa.int64()), ("tokens", pa.int64())])
+COUNTED_SQL = f"{ASKED_SQL}, types long, tokens long"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()
 
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word.decode()[-2:].encode()) % CLASSES
+def planes(a: np.ndarray) -> bytes:
+    """The bytes of an array, all first bytes before all second ones: numbers that are small compress well."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes()
 
 
-def word_blob(words: list[bytes], *arrays: np.ndarray) -> bytes:
-    """Words, and arrays with an element for each."""
-    head = b"\n".join(words)
-    raw = len(words).to_bytes(8, "little") + len(head).to_bytes(8, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def squeeze(*parts: bytes) -> bytes:
+    head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
 
 
-def word_unblob(blob: bytes, *kinds: str):
+def unsqueeze(blob: bytes) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, size = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:16], "little")
-    at, out = 16 + size, [raw[16 : 16 + size].split(b"\n") if n else []]
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += np.dtype(k).itemsize * n
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    at, out = 8 * (n + 1), []
+    for size in np.frombuffer(raw, np.int64, n, 8).tolist():
+        out.append(raw[at : at + size])
+        at += size
     return out
 
 
-def bucketed(words: list[bytes], ids: np.ndarray):
-    """(bucket, indexes) of the words."""
-    bucket = spread(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), ids)
-    order = np.argsort(bucket, kind="stable")
-    edge = np.flatnonzero(np.diff(bucket[order])) + 1
-    for own in np.split(order, edge):
-        if len(own):
-            yield int(bucket[own[0]]), own
+def unplanes(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
 
+def held_out(doc: int) -> bool:
+    return doc == NO_ID or zlib.crc32(str(doc).encode()) % 10 == 0
 
-def count_words(ids):
-    """mapInArrow function over training texts: their words' counts, by bucket."""
+
+def blocks(most):
+    """mapInArrow function over (doc_id, text): a row (block, blob) for each block. A block's numbers of words follow
+    their frequency; 0 is the end."""
 
     def run(batches):
-        counts: Counter = Counter()
+        block = TaskContext.get().partitionId() << 32
+        ids: dict[bytes, int] = {}
+        docs, sizes, tokens, held = [], [], [], 0
 
         def flush():
-            words, n = list(counts), np.array(list(counts.values()), np.int64)
-            counts.clear()
-            return keyed_rows(PACKED, [(0, k, word_blob([words[i] for i in own.tolist()], n[own])) for k, own in bucketed(words, ids)])
+            nonlocal ids, docs, sizes, tokens, block
+            flat = np.concatenate(tokens)
+            often = np.argsort(-np.bincount(flat, minlength=len(ids) + 1)[1:], kind="stable")
+            number = np.zeros(len(ids) + 1, np.uint32)
+            number[1 + often] = np.arange(1, len(ids) + 1)
+            words = list(ids)
+            blob = squeeze(planes(np.array(docs, np.int64)), planes(np.array(sizes, np.int64)), planes(number[flat]), b"\n".join([words[i] for i in often.tolist()]))
+            ids, docs, sizes, tokens = {}, [], [], []
+            block += 1
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([blob], pa.binary())], ["block", "blob"])
 
         for b in batches:
-            for t in b.column(0):
-                counts.update(words_of(t.as_py()))
-                if len(counts) > FLUSH:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = words_of(text.as_py())
+                number = ids.setdefault
+                tokens.append(np.array([*[number(w, len(ids) + 1) for w in words], 0], np.uint32))
+                docs.append(doc)
+                sizes.append(len(words) + 1)
+                held += len(words) + 1
+                if held >= most:
                     yield flush()
-        if counts:
+                    held = 0
+        if docs:
             yield flush()
 
     return run
 
 
-COUNTS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64()), ("histogram", pa.list_(pa.int64()))])
-COUNTS_SQL = "bucket int, blob binary, types long, tokens long, histogram array<long>"
+class Block:
+    """A block's documents, tokens and words, and its n-grams."""
+
+    def __init__(self, blob: bytes):
+        docs, sizes, tokens, words = unsqueeze(blob)
+        self.docs, self.sizes, self.tokens = unplanes(docs, "<i8"), unplanes(sizes, "<i8"), unplanes(tokens, "<u4").astype(np.int64)
+        self.words = [b"", *words.split(b"\n")] if words else [b""]  # the end has no letters, so its string is empty
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.place = np.arange(len(self.tokens)) - np.repeat(self.begin, self.sizes)  # of each token in its text
+        self.train = np.repeat([not held_out(d) for d in self.docs.tolist()], self.sizes) if len(self.docs) else np.zeros(0, bool)
+        self.word_hash = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
+        self.by_hash = np.argsort(self.word_hash, kind="stable")  # the order in which words are asked for
+
+    def word_counts(self) -> np.ndarray:
+        return np.bincount(self.tokens[self.train], minlength=len(self.words))
+
+    def grams(self, order: int):
+        """Of the n-grams of 2 to ``order`` tokens, for each length: the sorted hashes, for each of them a place of its last
+        token, and for each token the number of the n-gram that ends there (-1: none does)."""
+        own = self.word_hash[self.tokens]
+        history = np.where(self.place > 0, np.r_[np.uint64(0), own[:-1]], self.word_hash[0])
+        out = []
+        with np.errstate(over="ignore"):
+            for k in range(2, order + 1):
+                here = joined(history, k, own)
+                at = np.flatnonzero(self.place >= k - 2)
+                by = np.argsort(here[at])
+                name = here[at][by]
+                new = np.r_[True, name[1:] != name[:-1]]
+                number = np.full(len(here), -1, np.int64)
+                number[at[by]] = np.cumsum(new) - 1
+                out.append((name[new], at[by][new], number) if len(at) else (name, at, number))
+                history = np.r_[np.uint64(0), here[:-1]]
+        return out
 
 
-def merge_counts(batches):
-    """mapInArrow function: the counts of a partition's buckets as one row each."""
-    held: dict[int, Counter] = {}
-    for b in batches:
-        for k, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            words, n = word_unblob(blob, "<i8")
-            own = held.setdefault(k, Counter())
-            for w, c in zip(words, n.tolist(), strict=True):
-                own[w] += c
-    rows = []
-    for k, own in held.items():
-        n = np.array(list(own.values()), np.int64)
-        rows.append((k, word_blob(list(own), n), len(n), int(n.sum()), np.bincount((np.log2(n) * HISTOGRAM).astype(np.int64), minlength=64 * HISTOGRAM).tolist()))
-    yield keyed_rows(COUNTS, rows)
+def joined(history: np.ndarray, k: int, token: np.ndarray) -> np.ndarray:
+    """Hash of n-grams of k tokens: a history of k - 1 and one more."""
+    return mix(mix(history + np.uint64(k)) + token)
 
 
-def frequent(least_step):
-    def run(batches):
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                words, n = word_unblob(blob, "<i8")
-                top = np.flatnonzero((np.log2(n) * HISTOGRAM).astype(np.int64) >= least_step)
-                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in top.tolist()], pa.binary()), pa.array(n[top])], ["word", "n"])
+def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    """0 to n - 1, which rises with the hash."""
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
-    return run
 
-
-def class_sums(own_symbols):
-    """mapInArrow function: tokens and types of each class in a bucket."""
+def ask_words(ids):
+    """mapInArrow function over blocks: their words and training counts, by bucket."""
 
     def run(batches):
-        own = own_symbols.value
-        out = np.zeros((CLASSES, 2), np.int64)
         for b in batches:
-            for blob in b.column(0).to_pylist():
-                words, n = word_unblob(blob, "<i8")
-                for w, c in zip(words, n.tolist(), strict=True):
-                    if w not in own:
-                        out[class_of(w)] += (c, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["class", "tokens", "types"])
+            for number, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                block = Block(blob.as_py())
+                count = block.word_counts()
+                rows = []
+                for k, s in groups(bucket_of(block.word_hash[block.by_hash], len(ids))):
+                    own = block.by_hash[s]
+                    rows.append((int(ids[k]), number, WORDS, squeeze(np.int64(k).tobytes(), b"\n".join([block.words[i] for i in own.tolist()]), planes(count[own]))))
+                yield keyed_rows(ASKED, rows)
 
     return run
 
 
-class Symbols:
-    """Symbols of words: 0 is the end, then the classes, then the words that are symbols themselves."""
-
-    def __init__(self, own: list[bytes], head: dict[bytes, int]):
-        self.n = 1 + CLASSES + len(own)
-        self.index = {w: i for i, w in enumerate(head)}
-        place = {w: i for i, w in enumerate(own)}
-        self.symbol = np.array([1 + CLASSES + place[w] if w in place else 1 + class_of(w) for w in head], np.int64)
-
-    @classmethod
-    def again(cls, state: dict):
-        """Symbols with the attributes of others: a broadcast holds plain values, as it names classes by their module."""
-        out = cls.__new__(cls)
-        out.__dict__ = state
-        return out
-
-    def __call__(self, texts: list[list[bytes]], classes: dict[bytes, int]):
-        """For all words of the texts, on end: each one's text, its place in the head or -1, the words that are not in
-        the head, and for the tokens (words and ends) the symbols. classes: remembers the other words' classes."""
-        flat = [w for t in texts for w in t]
-        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        place = np.array(list(map(self.index.get, flat, repeat(-1))), np.int64)
-        rest = [flat[i] for i in np.flatnonzero(place < 0).tolist()]
-        if len(classes) > FLUSH:
-            classes.clear()
-        for w in set(rest).difference(classes):
-            classes[w] = class_of(w)
-        symbol = self.symbol[place] if len(self.symbol) else np.zeros(len(flat), np.int64)
-        symbol[place < 0] = [1 + classes[w] for w in rest]
-        tokens = np.zeros(len(flat) + len(texts), np.int64)
-        tokens[np.arange(len(flat)) + text] = symbol
-        return text, place, rest, tokens
-
-
-def count_bigrams(symbols, ids):
-    """mapInArrow function over training texts: counts of symbol pairs, by bucket. A task holds symbols ** 2 counts."""
+def by_bucket(answer, schema):
+    """mapInArrow function over rows sorted by their first column: ``answer`` gets the rows of one bucket at a time."""
 
     def run(batches):
-        s = Symbols.again(symbols.value)
-        total, classes = np.zeros(s.n * s.n, np.int64), {}
-        for part in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
-            _, _, _, tokens = s([words_of(t) for t in part.column(0).to_pylist()], classes)
-            total += np.bincount(np.r_[0, tokens[:-1]] * s.n + tokens, minlength=len(total))  # a text begins after an end
-        key = np.flatnonzero(total)
-        bucket = spread(key, ids)
-        order = np.argsort(bucket, kind="stable")
-        rows = [(0, int(bucket[own[0]]), pack(key[own], total[key[own]])) for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(own)]
-        yield keyed_rows(PACKED, rows)
+        now, held = None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != now and held:
+                    yield keyed_rows(schema, answer(held))
+                    held = []
+                now = row[0]
+                held.append(row)
+        if held:
+            yield keyed_rows(schema, answer(held))
 
     return run
 
 
-def merge_bigrams(batches):
-    held: Counter = Counter()
-    for b in batches:
-        for blob in b.column(2).to_pylist():
-            key, n = unpack(blob, "<i8", "<i8")
-            for k, c in zip(key.tolist(), n.tolist(), strict=True):
-                held[k] += c
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["key", "n"])
+def add_words(rows):
+    """Of one bucket's questions the answers; the first row also has the bucket's types and tokens."""
+    total: dict[bytes, int] = {}
+    asked = []
+    for _, block, _, blob in rows:
+        head, words, count = unsqueeze(blob)
+        words, count = words.split(b"\n"), unplanes(count, "<i8")
+        asked.append((block, head, words))
+        for w, c in zip(words, count.tolist(), strict=True):
+            total[w] = total.get(w, 0) + c
+    out = [(rows[0][0], block, WORDS, squeeze(head, planes(np.array([total[w] for w in words], np.int64))), 0, 0) for block, head, words in asked]
+    return [(*out[0][:4], sum(c > 0 for c in total.values()), sum(total.values())), *out[1:]]
 
 
-class Automaton:
-    """Arcs of the bigrams seen, failure arcs to the root, and the table in which both are resolved."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray, symbols: int):
-        self.symbols = symbols
-        to = np.bincount(key % symbols, n, symbols)
-        types, tokens = np.count_nonzero(to), to.sum()
-        self.root = np.log10((to + types / symbols) / (tokens + types)) if tokens else np.full(symbols, -np.log10(symbols))
-        state = key // symbols
-        seen, kinds = np.bincount(state, n, symbols), np.bincount(state, minlength=symbols)
-        self.state, self.symbol = state, key % symbols
-        self.arc = np.log10(n / (seen + kinds)[state])
-        left = 1 - np.bincount(state, 10 ** self.root[self.symbol], symbols)  # the root's mass that arcs leave over
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.failure = np.where(kinds > 0, np.log10(kinds / (seen + kinds) / np.maximum(left, 1e-300)), 0.0)
-        self.failure[kinds == symbols] = 0.0  # nothing is left to fail on
-
-    def resolved(self) -> np.ndarray:
-        """Log-probability of each symbol in each state, failure arcs followed."""
-        out = self.failure[:, None] + self.root[None, :]
-        out[self.state, self.symbol] = self.arc
-        return out
+def ask_grams(order, ids):
+    """mapInArrow function over blocks: hashes and training counts of their n-grams of two tokens or more, by bucket."""
 
-    def step(self, state: int, symbol: int) -> tuple[int, float]:
-        """Next state and log-probability, by the arcs themselves."""
-        hit = np.flatnonzero((self.state == state) & (self.symbol == symbol))
-        return symbol, float(self.arc[hit[0]] if len(hit) else self.failure[state] + self.root[symbol])
+    def run(batches):
+        for b in batches:
+            for number, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                block, parts = Block(blob.as_py()), []
+                for name, _, of in block.grams(order):
+                    own = of[block.train]
+                    parts.append((name, np.bincount(own[own >= 0], minlength=len(name)).astype(np.uint32), edges(name, len(ids))))
+                rows = []
+                for k in range(len(ids)):
+                    own = [(name[e[k] : e[k + 1]], count[e[k] : e[k + 1]]) for name, count, e in parts]
+                    if any(len(name) for name, _ in own):
+                        blobs = [x for name, count in own for x in (planes(np.diff(name, prepend=np.uint64(0))), planes(count))]
+                        rows.append((int(ids[k]), number, GRAMS, squeeze(np.int64(k).tobytes(), *blobs)))
+                yield keyed_rows(ASKED, rows)
 
+    return run
 
-def score_docs(model, ids):
-    """mapInArrow function over all texts: DOCS rows with what the head decides, TAIL rows with the other words."""
 
-    def run(batches):
-        m = model.value
-        s, table_, row = Symbols.again(m["symbols"]), m["table"], TaskContext.get().partitionId() << 40
-        n = m["counts"]
-        base_of = np.log10((n + 0.1) / m["below"])
-        whole = np.r_[1, np.maximum(1, m["classes"].sum(1))]
-        in_class = s.symbol <= CLASSES
-        class_log = np.where(in_class, np.log10(n / whole[np.where(in_class, s.symbol, 0)]), 0.0)
-        end_base = np.log10((m["ends"] + 0.1) / m["below"])
-        docs, tail, held, classes = [], [], 0, {}
-        for part in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
-            texts = [words_of(t) for t in part.column(1).to_pylist()]
-            text, place, rest, tokens = s(texts, classes)
-            size = np.bincount(text, minlength=len(texts))
-            met, k = text[place >= 0], place[place >= 0]
-            logs = table_[np.r_[0, tokens[:-1]], tokens]  # one traversal: each token's state is the symbol before it
-            total = np.add.reduceat(logs, np.cumsum(size + 1) - size - 1) + np.bincount(met, class_log[k], len(texts))
-            base = end_base + np.bincount(met, base_of[k], len(texts))
-            rows = row + np.arange(len(texts))
-            row += len(texts)
-            docs.append((rows, np.array(part.column(0)), size + 1, np.bincount(met, minlength=len(texts)) + (m["ends"] > 0), base, total))
-            tail.append((rest, rows[text[place < 0]]))
-            held += len(rest) + len(texts)
-            if held > FLUSH:
-                yield flush(docs, tail)
-                held = 0
-        if docs:
-            yield flush(docs, tail)
+def edges(name: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the n buckets begins in sorted hashes, and the end."""
+    return np.searchsorted(bucket_of(name, n), np.arange(n + 1))
 
-    def flush(docs, tail):
-        arrays = [np.concatenate(x) for x in zip(*docs, strict=True)]
-        rows = dealt(DOCS, arrays[0], arrays, ids)
-        words, at = [w for ws, _ in tail for w in ws], np.concatenate([r for _, r in tail])
-        rows += [(TAIL, k, word_blob([words[i] for i in own.tolist()], at[own])) for k, own in bucketed(words, ids)] if words else []
-        docs.clear()
-        tail.clear()
-        return keyed_rows(PACKED, rows)
 
-    return run
+def add_grams(rows):
+    """Of one bucket's questions the answers: the sums of the counts, in the order asked."""
+    names, counts, sizes, heads = [], [], [], []
+    for _, _, _, blob in rows:
+        head, *parts = unsqueeze(blob)
+        heads.append(head)
+        names += [np.cumsum(unplanes(x, "<u8"), dtype=np.uint64) for x in parts[::2]]
+        counts += [unplanes(x, "<u4") for x in parts[1::2]]
+        sizes.append(sum(map(len, counts[-len(parts) // 2 :])))
+    name, count = np.concatenate(names), np.concatenate(counts).astype(np.int64)
+    by = np.argsort(name)
+    new = np.r_[True, name[by][1:] != name[by][:-1]]
+    total = np.empty(len(name), np.int64)
+    total[by] = np.add.reduceat(count[by], np.flatnonzero(new))[np.cumsum(new) - 1]
+    ends = np.cumsum(sizes).tolist()
+    return [(bucket, block, GRAMS, squeeze(head, planes(total[e - n : e]))) for (bucket, block, _, _), head, n, e in zip(rows, heads, sizes, ends, strict=True)]
 
 
-def dealt(kind, key, arrays, ids):
-    bucket = spread(key, ids)
-    order = np.argsort(bucket, kind="stable")
-    return [(kind, int(bucket[own[0]]), pack(*(a[own] for a in arrays))) for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(own)]
-
-
-def look_up(model, ids):
-    """Cogrouped function of a bucket's counts and the words that texts ask for: sums by text."""
-
-    def run(key, counts, asked):
-        m = model.value
-        n_of: dict[bytes, int] = {}
-        for blob in counts.column("blob").to_pylist():
-            words, n = word_unblob(blob, "<i8")
-            n_of.update(zip(words, n.tolist(), strict=True))
-        per_class, below = m["classes"], m["below"]
-        unknown = np.log10(np.maximum(per_class[:, 1], 1) / np.maximum(1, per_class.sum(1)))
-        parts = []
-        for blob in asked.column("blob").to_pylist():
-            words, row = word_unblob(blob, "<i8")
-            values = {w: (n_of.get(w, 0), class_of(w)) for w in set(words)}
-            n, c = (np.array([values[w][k] for w in words], np.int64) for k in (0, 1))
-            base = np.log10((n + 0.1) / below)
-            score = np.where(n > 0, np.log10(np.maximum(n, 1) / np.maximum(1, per_class[c].sum(1))), unknown[c])
-            to, at = np.unique(row, return_inverse=True)
-            parts.append((to, np.bincount(at, n > 0).astype(np.int64), np.bincount(at, base), np.bincount(at, score)))
-        rows = dealt(TAIL, *(lambda x: (x[0], x))([np.concatenate(x) for x in zip(*parts, strict=True)]), ids) if parts else []
-        return pa.Table.from_batches([keyed_rows(PACKED, rows)])
+class Automaton:
+    """States, arcs and failure arcs for the n-grams of a block. State 0 is the empty history, then come the histories
+    of one token by word, of two by number, and so on. Arcs lie in the order of their hashes, which state and token give,
+    with a table of where each leading part of the hash begins."""
+
+    def __init__(self, block: Block, words: np.ndarray, grams: list, counts: list[np.ndarray], tokens: int, types: int, mass: float):
+        """words: counts of the block's words in all training texts; grams, counts: what block.grams() gives and the counts
+        of it; tokens, types: of all training texts."""
+        chance = (words + 0.1) / (tokens + 0.1 * (types + 1))
+        self.root, self.known, self.word_hash = np.log10(chance), words > 0, block.word_hash
+        back = lambda count: np.log10(mass / (count + mass))
+        with np.errstate(over="ignore"):
+            keys = [np.zeros(1, np.uint64), mix(block.word_hash + np.uint64(2))]
+        failure, weight = [np.zeros(1 + len(words), np.int64)], [np.zeros(1), back(words)]
+        names, logs, targets = [], [], []
+        count, number, first = words, block.tokens, 1  # of the histories: counts, the one that ends at each token, the first's state
+        for k, ((name, here, of), own) in enumerate(zip(grams, counts, strict=True)):
+            shorter = number[here]
+            history = np.where(block.place[here] > 0, number[here - 1], 0)  # a text begins after an end
+            chance = (own + mass * chance[shorter]) / (count[history] + mass)
+            met = own > 0
+            names.append(name[met])
+            logs.append(np.log10(chance[met]))
+            after, last = first + len(count), k == len(grams) - 1
+            targets.append(first + shorter[met] if last else after + np.flatnonzero(met))
+            if not last:
+                failure.append(first + shorter)
+                weight.append(back(own))
+                with np.errstate(over="ignore"):
+                    keys.append(mix(name + np.uint64(k + 3)))
+                count, number, first = own, of, after
+        self.keys, self.failure, self.weight = np.concatenate(keys), np.concatenate(failure), np.concatenate(weight)
+        name = np.concatenate(names)
+        order = np.argsort(name)
+        self.names, self.logs, self.targets = np.r_[name[order], np.uint64(0)], np.concatenate(logs)[order], np.concatenate(targets)[order]
+        self.shift = np.uint64(64 - max(1, len(name).bit_length()))
+        parts = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.begin = np.r_[np.searchsorted(name[order], parts), len(name)]
+
+    def arc(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The number of each arc, or -1."""
+        with np.errstate(over="ignore"):
+            name = mix(self.keys[state] + self.word_hash[token])
+        part = (name >> self.shift).astype(np.int64)
+        at, end = self.begin[part], self.begin[part + 1]
+        out = np.full(len(name), -1, np.int64)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            i = at[open_]
+            hit = self.names[i] == name[open_]
+            out[open_[hit]] = i[hit]
+            at[open_] = i + 1
+            open_ = open_[~hit & (i + 1 < end[open_])]
+        return out
 
-    return run
+    def step(self, state: np.ndarray, token: np.ndarray):
+        """The next state and the log-probability of each token in its state: an arc, or failure arcs until there is one."""
+        after, log = np.empty(len(state), np.int64), np.zeros(len(state))
+        open_ = np.arange(len(state))
+        while len(open_):
+            root = state == 0
+            at, read = open_[root], token[root]
+            log[at] += self.root[read]
+            after[at] = np.where(self.known[read], 1 + read, 0)
+            open_, state, token = open_[~root], state[~root], token[~root]
+            arc = self.arc(state, token)
+            hit = arc >= 0
+            log[open_[hit]] += self.logs[arc[hit]]
+            after[open_[hit]] = self.targets[arc[hit]]
+            open_, state, token = open_[~hit], state[~hit], token[~hit]
+            log[open_] += self.weight[state]
+            state = self.failure[state]
+        return after, log
+
+    def traverse(self, block: Block, order: int, segment: int) -> np.ndarray:
+        """Log-probability of each text. A segment but a text's first one starts at the empty history ``order`` - 1 tokens
+        early: then its state is the longest one that ends with these tokens, as it would be on the way from the text's begin."""
+        parts = -(-block.sizes // segment)
+        text = np.repeat(np.arange(len(block.sizes)), parts)
+        rank = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        early = np.where(rank > 0, order - 1, 0)
+        begin = block.begin[text] + rank * segment - early
+        size = np.minimum(block.sizes[text] - rank * segment, segment) + early
+        way = np.argsort(-size, kind="stable")
+        text, rank, early, begin, size = (a[way] for a in (text, rank, early, begin, size))
+        state = np.where((rank == 0) & self.known[0], 1, 0)
+        total = np.zeros(len(text))
+        for t in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -t))  # segments that have more than t tokens
+            state, log = self.step(state[:n], block.tokens[begin[:n] + t])
+            total[:n] += np.where(early[:n] <= t, log, 0.0)
+        return np.bincount(text, total, len(block.sizes))
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def add_up(model):
-    """mapInArrow function over a partition's texts and sums: a RESULT row for each text."""
+def scores(order, mass, segment, tokens, types, n_grams):
+    """mapInArrow function over blocks and the answers to them, sorted by block: a RESULT row for each text.
+    n_grams: number of the buckets for n-grams."""
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    names = [c.split()[0] for c in RESULT.split(", ")]
+
+    def one(rows):
+        block = next(Block(blob) for _, kind, blob in rows if kind == DOCS)
+        answers = lambda kind: sorted((int(np.frombuffer(x[0], np.int64)[0]), unplanes(x[1], "<i8")) for x in (unsqueeze(blob) for _, k, blob in rows if k == kind))
+        words = np.zeros(len(block.words), np.int64)
+        words[block.by_hash] = np.concatenate([count for _, count in sorted(answers(WORDS), key=lambda x: x[0])])
+        grams = block.grams(order)
+        cut = [edges(name, n_grams) for name, _, _ in grams]
+        parts: list[list] = [[] for _ in cut]
+        for k, count in answers(GRAMS):
+            for own, e in zip(parts, cut, strict=True):
+                n = e[k + 1] - e[k]
+                own.append(count[:n])
+                count = count[n:]
+        counts = [np.concatenate([np.zeros(0, np.int64), *own]) for own in parts]
+        base = np.log10((words + 0.1) / (tokens + 0.1 * (types + 1)))
+        log = Automaton(block, words, grams, counts, tokens, types, mass).traverse(block, order, segment)
+        known = np.add.reduceat((words > 0)[block.tokens].astype(np.int64), block.begin)
+        out = [None if d == NO_ID else d for d in block.docs.tolist()]
+        held = [held_out(d) for d in block.docs.tolist()]
+        columns = [out, held, block.sizes, known, np.full(len(out), tokens, np.int64), np.add.reduceat(base[block.tokens], block.begin), log]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def run(batches):
-        blobs: dict[int, list[bytes]] = {DOCS: [], TAIL: []}
+        held: list = []
         for b in batches:
-            for kind, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                blobs[kind].append(blob)
-        row, doc, tokens, known, base, score = unpack_all(blobs[DOCS], *DOC_KINDS)
-        order = np.argsort(row)
-        row, doc, tokens, known, base, score = (a[order] for a in (row, doc, tokens, known, base, score))
-        to, n, b_, s_ = unpack_all(blobs[TAIL], *PART_KINDS)
-        at = np.searchsorted(row, to)
-        known = known + np.bincount(at, n, len(row)).astype(np.int64)
-        base, score = base + np.bincount(at, b_, len(row)), score + np.bincount(at, s_, len(row))
-        out = [(None if d == NO_ID else d) for d in doc.tolist()]
-        held = [d is None or zlib.crc32(str(d).encode()) % 10 == 0 for d in out]
-        columns = [pa.array(out, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens), pa.array(known), pa.array(np.full(len(row), model.value["n"], np.int64)), pa.array(base), pa.array(score)]
-        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
+            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("block", "kind", "blob")), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield one(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield one(held)
 
     return run
 
 
-def score(docs: DataFrame, symbols: int = 1024, head: int = 250_000) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, block: int = BLOCK, bucket: int = BUCKET, segment: int = SEGMENT) -> DataFrame:
     """RESULT of each document (doc_id, text). Training texts are those whose crc32(doc_id as text) mod 10 isn't 0.
-    symbols: the automaton's symbols at most, at least 300; head: words at most whose counts go to all tasks."""
+    order: tokens of the longest n-grams, at least 2; mass: of the priors. block, bucket, segment: sizes in which the work
+    is done, which change no result."""
     spark = docs.sparkSession
-    send = spark.sparkContext.broadcast
     p = partitions(spark)
-    ids = bucket_ids(p)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    train = rows.filter((F.col("doc_id") != NO_ID) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)).select("text")
-    counts = hold(train.mapInArrow(trimmed(count_words(ids)), PACKED_SQL).repartition(p, "bucket").mapInArrow(merge_counts, COUNTS_SQL))
-    ends = train.count()
-    types, tokens = counts.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    steps = {r[0]: r[1] for r in counts.select(F.posexplode("histogram")).groupBy("pos").agg(F.sum("col")).collect()}
-    step, held = 64 * HISTOGRAM, 0
-    while step and held + steps.get(step - 1, 0) <= head:
-        step -= 1
-        held += steps.get(step, 0)
-    top = sorted(((bytes(r.word), r.n) for r in counts.select("blob").mapInArrow(frequent(step), "word binary, n long").collect()), key=lambda x: (-x[1], x[0]))
-    own = [w for w, _ in top[: symbols - 1 - CLASSES]]
-    classes = np.zeros((CLASSES, 2), np.int64)
-    for c, a, b in counts.select("blob").mapInArrow(class_sums(send(frozenset(own))), "class long, tokens long, types long").groupBy("class").agg(F.sum("tokens"), F.sum("types")).collect():
-        classes[c] = a, b
-    of = Symbols(own, dict(top))
-    pairs = train.mapInArrow(trimmed(count_bigrams(send(vars(of)), ids)), PACKED_SQL).repartition(p, "bucket").mapInArrow(merge_bigrams, "key long, n long").toArrow()
-    key, n = (pairs.column(k).to_numpy().astype(np.int64) for k in (0, 1))
-    order = np.argsort(key)
-    total = int(tokens) + ends
-    below = total + 0.1 * (int(types) + (ends > 0) + 1)
-    model = send({"counts": np.array([n for _, n in top], np.int64), "symbols": vars(of), "classes": classes, "table": Automaton(key[order], n[order], of.n).resolved(), "n": total, "below": below, "ends": ends})
-    scored = hold(rows.mapInArrow(trimmed(score_docs(model, ids)), PACKED_SQL))
-    asked = scored.filter(F.col("kind") == TAIL).repartition(p, "bucket").groupBy("bucket")
-    sums = counts.select("bucket", "blob").repartition(p, "bucket").groupBy("bucket").cogroup(asked).applyInArrow(look_up(model, ids), PACKED_SQL)
-    return scored.filter(F.col("kind") == DOCS).unionByName(sums).repartition(p, "bucket").mapInArrow(trimmed(add_up(model)), RESULT)
+    held = hold(rows.mapInArrow(trimmed(blocks(block)), "block long, blob binary"))
+    dealt = lambda df, key: df.repartition(p, key).sortWithinPartitions(key)
+    # Every text's tokens are counted by its block, so the buckets follow the number of tokens.
+    words = hold(dealt(held.mapInArrow(trimmed(ask_words(bucket_ids(p))), ASKED_SQL), "bucket").mapInArrow(trimmed(by_bucket(add_words, COUNTED)), COUNTED_SQL))
+    types, tokens = words.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    n = p * max(1, -(-(order - 1) * int(tokens) // (bucket * p)))
+    grams = dealt(held.mapInArrow(trimmed(ask_grams(order, bucket_ids(p, n))), ASKED_SQL), "bucket").mapInArrow(trimmed(by_bucket(add_grams, ASKED)), ASKED_SQL)
+    texts = held.select(F.lit(-1).alias("bucket"), "block", F.lit(DOCS).alias("kind"), "blob")
+    all_ = texts.unionByName(words.select("bucket", "block", "kind", "blob")).unionByName(grams)
+    return dealt(all_, "block").mapInArrow(trimmed(scores(order, mass, segment, int(tokens), int(types), n)), RESULT)
 
 
 def op5_lm_scoring(spark, sf_dir):
