@@ -14,13 +14,14 @@ The automaton of a large corpus fits on no machine, but a block of texts reaches
 
 1. Each task turns its texts into blocks (word numbers and the block's words), which executors keep on disk.
 2. Each block sends its different n-grams with their training counts to buckets, single words as strings, longer ones as
-   sorted 64-bit hashes. A bucket adds up what all blocks sent and answers each block with the sums, in the order asked.
+   sorted 56-bit hashes. A bucket adds up what all blocks sent and answers each block with the sums, in the order asked.
    A block sends an n-gram once however often it occurs, so a frequent one is a short entry of each block.
 3. Each block builds the part of the automaton that it can reach and traverses its texts. Long texts are cut in segments,
    which are traversed together; a segment starts ``order`` - 1 tokens early without adding, as the state depends on no more.
 
 The number of buckets follows the counted tokens, and partitions are read sorted by bucket or block, so a task holds one
-bucket or one block at a time. Two n-grams of two words or more with the same 64-bit hash would share a count.
+bucket or one block at a time. Two n-grams of two tokens or more with the same 56-bit hash share a count: of n different
+n-grams about n / 2 ** 56 of all meet another one so.
 
 Null texts are empty: just an end. Rows with a null doc_id are held out, as no checksum of theirs exists. Repeated rows
 get a row each (and count as often). Other columns are ignored. Empty tables give empty results; without training
@@ -38,13 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm.cells import mix
-from wayfind.llm.common import LOWER, NO_ID, bucket_ids, by_value, groups, hold, keyed_rows, partitions, table, trimmed
+from wayfind.llm.common import LOWER, NO_ID, bucket_ids, by_value, groups, hold, keyed_rows, partitions, table, trim, trimmed
 
 by_value(__name__)
 
 ORDER, MASS = 3, 16.0
-BLOCK = 1 << 21  # tokens of a block; one text may have more
-BUCKET = 1 << 22  # n-grams that a bucket should get
+BLOCK = 3 << 19  # tokens of a block; one text may have more
+BUCKET = 1 << 21  # n-grams that a bucket should get
+NAME = 56  # bits of an n-gram's hash
 SEGMENT = 256  # tokens of a text that are traversed on end
 DOCS, WORDS, GRAMS = 0, 1, 2
 ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -58,30 +60,39 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def planes(a: np.ndarray) -> bytes:
-    """The bytes of an array, all first bytes before all second ones: numbers that are small compress well."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes()
+    """An array's first bytes, its second ones and so on, each compressed by itself: small numbers take little."""
+    rows = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T)
+    parts = [zstandard.ZstdCompressor(level=1).compress(r.tobytes()) for r in rows]
+    return framed(*parts)
 
 
-def squeeze(*parts: bytes) -> bytes:
-    head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+def unplanes(raw: bytes, kind: str) -> np.ndarray:
+    rows = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in unframed(raw)]
+    return np.ascontiguousarray(np.stack(rows, 1)).reshape(-1).view(kind)
+
+
+def text_of(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(words))
+
+
+def words_in(raw: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(raw).split(b"\n")
+
 
+def framed(*parts: bytes) -> bytes:
+    """Byte strings on end, with their lengths."""
+    return np.array([len(parts), *map(len, parts)], np.uint32).tobytes() + b"".join(parts)
 
-def unsqueeze(blob: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    at, out = 8 * (n + 1), []
-    for size in np.frombuffer(raw, np.int64, n, 8).tolist():
+
+def unframed(raw: bytes) -> list[bytes]:
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    at, out = 4 * (n + 1), []
+    for size in np.frombuffer(raw, np.uint32, n, 4).tolist():
         out.append(raw[at : at + size])
         at += size
     return out
 
 
-def unplanes(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
-
-
 def held_out(doc: int) -> bool:
     return doc == NO_ID or zlib.crc32(str(doc).encode()) % 10 == 0
 
@@ -102,7 +113,7 @@ def blocks(most):
             number = np.zeros(len(ids) + 1, np.uint32)
             number[1 + often] = np.arange(1, len(ids) + 1)
             words = list(ids)
-            blob = squeeze(planes(np.array(docs, np.int64)), planes(np.array(sizes, np.int64)), planes(number[flat]), b"\n".join([words[i] for i in often.tolist()]))
+            blob = framed(planes(np.array(docs, np.int64)), planes(np.array(sizes, np.int64)), planes(number[flat]), text_of([b"", *(words[i] for i in often.tolist())]))
             ids, docs, sizes, tokens = {}, [], [], []
             block += 1
             return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([blob], pa.binary())], ["block", "blob"])
@@ -128,11 +139,11 @@ class Block:
     """A block's documents, tokens and words, and its n-grams."""
 
     def __init__(self, blob: bytes):
-        docs, sizes, tokens, words = unsqueeze(blob)
-        self.docs, self.sizes, self.tokens = unplanes(docs, "<i8"), unplanes(sizes, "<i8"), unplanes(tokens, "<u4").astype(np.int64)
-        self.words = [b"", *words.split(b"\n")] if words else [b""]  # the end has no letters, so its string is empty
+        docs, sizes, tokens, words = unframed(blob)
+        self.docs, self.sizes, self.tokens = unplanes(docs, "<i8"), unplanes(sizes, "<i8"), unplanes(tokens, "<i4")
+        self.words = words_in(words)  # the end has no letters, so its string is empty
         self.begin = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(self.tokens)) - np.repeat(self.begin, self.sizes)  # of each token in its text
+        self.place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat(self.begin.astype(np.int32), self.sizes)  # of each token in its text
         self.train = np.repeat([not held_out(d) for d in self.docs.tolist()], self.sizes) if len(self.docs) else np.zeros(0, bool)
         self.word_hash = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
         self.by_hash = np.argsort(self.word_hash, kind="stable")  # the order in which words are asked for
@@ -146,23 +157,30 @@ class Block:
         own = self.word_hash[self.tokens]
         history = np.where(self.place > 0, np.r_[np.uint64(0), own[:-1]], self.word_hash[0])
         out = []
-        with np.errstate(over="ignore"):
-            for k in range(2, order + 1):
-                here = joined(history, k, own)
-                at = np.flatnonzero(self.place >= k - 2)
-                by = np.argsort(here[at])
-                name = here[at][by]
-                new = np.r_[True, name[1:] != name[:-1]]
-                number = np.full(len(here), -1, np.int64)
-                number[at[by]] = np.cumsum(new) - 1
-                out.append((name[new], at[by][new], number) if len(at) else (name, at, number))
-                history = np.r_[np.uint64(0), here[:-1]]
+        for k in range(2, order + 1):
+            here = joined(opened(history, k), own)
+            at = np.flatnonzero(self.place >= k - 2).astype(np.int32)
+            by = np.argsort(here[at]).astype(np.int32)
+            at = at[by]
+            name = here[at]
+            new = np.r_[True, name[1:] != name[:-1]][: len(name)]
+            number = np.full(len(here), -1, np.int32)
+            number[at] = np.cumsum(new, dtype=np.int32) - 1
+            out.append((name[new], at[new], number))
+            history = np.r_[np.uint64(0), here[:-1]]
         return out
 
 
-def joined(history: np.ndarray, k: int, token: np.ndarray) -> np.ndarray:
-    """Hash of n-grams of k tokens: a history of k - 1 and one more."""
-    return mix(mix(history + np.uint64(k)) + token)
+def opened(history: np.ndarray, k: int) -> np.ndarray:
+    """Hash of a history of k - 1 tokens that awaits one more."""
+    with np.errstate(over="ignore"):
+        return mix(history + np.uint64(k))
+
+
+def joined(history: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Hash of n-grams: NAME bits, the others are 0."""
+    with np.errstate(over="ignore"):
+        return mix(history + token) >> np.uint64(64 - NAME) << np.uint64(64 - NAME)
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -181,7 +199,7 @@ def ask_words(ids):
                 rows = []
                 for k, s in groups(bucket_of(block.word_hash[block.by_hash], len(ids))):
                     own = block.by_hash[s]
-                    rows.append((int(ids[k]), number, WORDS, squeeze(np.int64(k).tobytes(), b"\n".join([block.words[i] for i in own.tolist()]), planes(count[own]))))
+                    rows.append((int(ids[k]), number, WORDS, framed(np.int64(k).tobytes(), text_of([block.words[i] for i in own.tolist()]), planes(count[own]))))
                 yield keyed_rows(ASKED, rows)
 
     return run
@@ -210,12 +228,12 @@ def add_words(rows):
     total: dict[bytes, int] = {}
     asked = []
     for _, block, _, blob in rows:
-        head, words, count = unsqueeze(blob)
-        words, count = words.split(b"\n"), unplanes(count, "<i8")
+        head, words, count = unframed(blob)
+        words, count = words_in(words), unplanes(count, "<i8")
         asked.append((block, head, words))
         for w, c in zip(words, count.tolist(), strict=True):
             total[w] = total.get(w, 0) + c
-    out = [(rows[0][0], block, WORDS, squeeze(head, planes(np.array([total[w] for w in words], np.int64))), 0, 0) for block, head, words in asked]
+    out = [(rows[0][0], block, WORDS, framed(head, planes(np.array([total[w] for w in words], np.int64))), 0, 0) for block, head, words in asked]
     return [(*out[0][:4], sum(c > 0 for c in total.values()), sum(total.values())), *out[1:]]
 
 
@@ -231,10 +249,10 @@ def ask_grams(order, ids):
                     parts.append((name, np.bincount(own[own >= 0], minlength=len(name)).astype(np.uint32), edges(name, len(ids))))
                 rows = []
                 for k in range(len(ids)):
-                    own = [(name[e[k] : e[k + 1]], count[e[k] : e[k + 1]]) for name, count, e in parts]
+                    own = [(name[e[k] : e[k + 1]] >> np.uint64(64 - NAME), count[e[k] : e[k + 1]]) for name, count, e in parts]
                     if any(len(name) for name, _ in own):
                         blobs = [x for name, count in own for x in (planes(np.diff(name, prepend=np.uint64(0))), planes(count))]
-                        rows.append((int(ids[k]), number, GRAMS, squeeze(np.int64(k).tobytes(), *blobs)))
+                        rows.append((int(ids[k]), number, GRAMS, framed(np.int64(k).tobytes(), *blobs)))
                 yield keyed_rows(ASKED, rows)
 
     return run
@@ -249,7 +267,7 @@ def add_grams(rows):
     """Of one bucket's questions the answers: the sums of the counts, in the order asked."""
     names, counts, sizes, heads = [], [], [], []
     for _, _, _, blob in rows:
-        head, *parts = unsqueeze(blob)
+        head, *parts = unframed(blob)
         heads.append(head)
         names += [np.cumsum(unplanes(x, "<u8"), dtype=np.uint64) for x in parts[::2]]
         counts += [unplanes(x, "<u4") for x in parts[1::2]]
@@ -260,7 +278,7 @@ def add_grams(rows):
     total = np.empty(len(name), np.int64)
     total[by] = np.add.reduceat(count[by], np.flatnonzero(new))[np.cumsum(new) - 1]
     ends = np.cumsum(sizes).tolist()
-    return [(bucket, block, GRAMS, squeeze(head, planes(total[e - n : e]))) for (bucket, block, _, _), head, n, e in zip(rows, heads, sizes, ends, strict=True)]
+    return [(bucket, block, GRAMS, framed(head, planes(total[e - n : e]))) for (bucket, block, _, _), head, n, e in zip(rows, heads, sizes, ends, strict=True)]
 
 
 class Automaton:
@@ -274,9 +292,8 @@ class Automaton:
         chance = (words + 0.1) / (tokens + 0.1 * (types + 1))
         self.root, self.known, self.word_hash = np.log10(chance), words > 0, block.word_hash
         back = lambda count: np.log10(mass / (count + mass))
-        with np.errstate(over="ignore"):
-            keys = [np.zeros(1, np.uint64), mix(block.word_hash + np.uint64(2))]
-        failure, weight = [np.zeros(1 + len(words), np.int64)], [np.zeros(1), back(words)]
+        keys = [np.zeros(1, np.uint64), opened(block.word_hash, 2)]
+        failure, weight = [np.zeros(1 + len(words), np.int32)], [np.zeros(1), back(words)]
         names, logs, targets = [], [], []
         count, number, first = words, block.tokens, 1  # of the histories: counts, the one that ends at each token, the first's state
         for k, ((name, here, of), own) in enumerate(zip(grams, counts, strict=True)):
@@ -287,25 +304,30 @@ class Automaton:
             names.append(name[met])
             logs.append(np.log10(chance[met]))
             after, last = first + len(count), k == len(grams) - 1
-            targets.append(first + shorter[met] if last else after + np.flatnonzero(met))
+            targets.append((first + shorter[met] if last else after + np.flatnonzero(met)).astype(np.int32))
             if not last:
                 failure.append(first + shorter)
                 weight.append(back(own))
-                with np.errstate(over="ignore"):
-                    keys.append(mix(name + np.uint64(k + 3)))
+                keys.append(opened(name, k + 3))
                 count, number, first = own, of, after
         self.keys, self.failure, self.weight = np.concatenate(keys), np.concatenate(failure), np.concatenate(weight)
+        del chance
         name = np.concatenate(names)
-        order = np.argsort(name)
-        self.names, self.logs, self.targets = np.r_[name[order], np.uint64(0)], np.concatenate(logs)[order], np.concatenate(targets)[order]
-        self.shift = np.uint64(64 - max(1, len(name).bit_length()))
-        parts = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
-        self.begin = np.r_[np.searchsorted(name[order], parts), len(name)]
+        names.clear()
+        order = np.argsort(name).astype(np.int32)
+        bits = max(1, len(name).bit_length() - 1)
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.r_[0, np.cumsum(np.bincount((name >> self.shift).astype(np.int64), minlength=1 << bits), dtype=np.int32)]
+        self.names = name[order]
+        del name
+        for parts, held in ((logs, "logs"), (targets, "targets")):
+            whole = np.concatenate(parts)
+            parts.clear()
+            setattr(self, held, whole[order])
 
     def arc(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
         """The number of each arc, or -1."""
-        with np.errstate(over="ignore"):
-            name = mix(self.keys[state] + self.word_hash[token])
+        name = joined(self.keys[state], self.word_hash[token])
         part = (name >> self.shift).astype(np.int64)
         at, end = self.begin[part], self.begin[part + 1]
         out = np.full(len(name), -1, np.int64)
@@ -368,7 +390,7 @@ def scores(order, mass, segment, tokens, types, n_grams):
 
     def one(rows):
         block = next(Block(blob) for _, kind, blob in rows if kind == DOCS)
-        answers = lambda kind: sorted((int(np.frombuffer(x[0], np.int64)[0]), unplanes(x[1], "<i8")) for x in (unsqueeze(blob) for _, k, blob in rows if k == kind))
+        answers = lambda kind: sorted((int(np.frombuffer(x[0], np.int64)[0]), unplanes(x[1], "<i8")) for x in (unframed(blob) for _, k, blob in rows if k == kind))
         words = np.zeros(len(block.words), np.int64)
         words[block.by_hash] = np.concatenate([count for _, count in sorted(answers(WORDS), key=lambda x: x[0])])
         grams = block.grams(order)
@@ -381,7 +403,10 @@ def scores(order, mass, segment, tokens, types, n_grams):
                 count = count[n:]
         counts = [np.concatenate([np.zeros(0, np.int64), *own]) for own in parts]
         base = np.log10((words + 0.1) / (tokens + 0.1 * (types + 1)))
-        log = Automaton(block, words, grams, counts, tokens, types, mass).traverse(block, order, segment)
+        automaton = Automaton(block, words, grams, counts, tokens, types, mass)
+        del grams, counts, parts
+        trim()
+        log = automaton.traverse(block, order, segment)
         known = np.add.reduceat((words > 0)[block.tokens].astype(np.int64), block.begin)
         out = [None if d == NO_ID else d for d in block.docs.tolist()]
         held = [held_out(d) for d in block.docs.tolist()]
