@@ -1,7 +1,6 @@
 import random
 
 import corpus_pipeline
-from tests.llm import test_pipeline as T
 from tests.llm.test_paragraph_dedup import shingled
 
 
@@ -51,13 +50,11 @@ def test_ids_that_repeat_or_are_null(spark):
     assert sorted(((x.doc_id or 0), x.text[0]) for x in got.collect()) == [(0, "a"), (0, "a"), (2, "b"), (2, "c")]
 
 
-def test_whole_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
-    """The run of test_pipeline.py, held against the near copies that the stage is to find."""
-    monkeypatch.setattr(T.H, "brute_print", lambda t: t)
-
-    def classes(texts, radius):
-        kept = brute(list(texts.items()))
-        return {d: d if d in kept else None for d in texts}
-
-    monkeypatch.setattr(T.H, "brute_classes", classes)
-    T.test_run_against_brute_force(spark, tmp_path)
+def test_columns_with_any_names_long_texts_and_empty_tables(spark):
+    a, b = " ".join(f"a{i}" for i in range(60_000)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x", "p"), (2, a + " more", "y", "p"), (3, b, "x", "q"), (4, None, "x", "q"), (5, " \n", "x", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part string, digest string").selectExpr("*", "part as n", "digest as fp", "doc_id as bucket")
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted((x.doc_id, x.part, x.digest, x.n, x.bucket) for x in got.collect()) == [(1, "x", "p", "x", 1), (3, "x", "q", "x", 3), (4, "x", "q", "x", 4)]
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0

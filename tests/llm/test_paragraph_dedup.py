@@ -53,7 +53,7 @@ def corpus(seed):
 
 def result(spark, rows, **more):
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, part int").repartition(4)
-    got = P.repeats(df, **more).collect()
+    got = P.repeats(df, windows=False, **more).collect()
     out = {(r.doc_id, r.paragraph): (r.first_doc_id, r.first_paragraph, r.n_members, r.kept) for r in got}
     assert len(out) == len(got)
     return out
@@ -72,7 +72,18 @@ def test_blocks_of_large_keys_meet(spark):
 
 
 def test_bands_and_edges(spark):
-    assert P.tune_bands(0.8, 0.995, 48) == (11, 4)
-    df = spark.createDataFrame([(1, "a " * 30), (1, "a " * 30), (2, "b " * 30)], "doc_id long, text string")
+    assert P.banding.tune_bands(0.8, 0.995, 48) == (11, 4)
+    df = spark.createDataFrame([(1, "a " * 30, 7), (1, "a " * 30, 8), (2, "b " * 30, 9)], "doc_id long, text string, line int")
     assert P.repeats(df.limit(0)).count() == 0
     assert [(r.doc_id, r.kept) for r in P.repeats(df).collect()] == [(1, True), (1, True)]
+
+
+def test_one_doc_id_with_several_texts_and_a_very_long_text(spark):
+    """Many texts without an id, and a text of 200,000 words that holds a line of each."""
+    r = random.Random(5)
+    line = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    texts = [line(30) for _ in range(50)]
+    rows = [(None, t) for t in texts] + [(1, line(199_000) + "\n" + "\n".join(texts[:10]))]
+    got = P.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), windows=False).collect()
+    assert len({(g.first_doc_id, g.first_part) for g in got}) == 10
+    assert sorted((g.doc_id or 0, g.kept, g.n_members) for g in got) == [(0, True, 2)] * 10 + [(1, False, 2)] * 10

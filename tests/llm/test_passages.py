@@ -1,23 +1,41 @@
 import random
 
+import numpy as np
+
 from wayfind.llm import paragraph_dedup as P
 
 
-def test_passages_in_longer_lines_and_short_lines(spark, tmp_path):
+def test_any_shared_fifty_words_are_found_wherever_lines_end(spark, tmp_path):
     r = random.Random(9)
-    text = lambda n: " ".join(f"w{r.randint(0, 9999)}" for _ in range(n))
-    passages = [text(50) for _ in range(30)]
-    rows = [(2 * i + k, f"{text(r.randint(3, 60))} {p} {text(r.randint(3, 60))}\nShort  line {i}") for i, p in enumerate(passages) for k in (0, 1)]
-    rows += [(d, text(120)) for d in range(100, 110)]
+    words = lambda n: [f"w{r.randint(0, 9999)}" for _ in range(n)]
+    broken = lambda ws: "".join(w + r.choice([" ", " ", " ", "  ", "\n"]) for w in ws)
+    passages = [words(50) for _ in range(40)]
+    rows = [(2 * i + k, " ".join(words(r.randint(3, 60))) + " " + (broken(p) if i % 2 else " ".join(p)) + " " + " ".join(words(r.randint(3, 60)))) for i, p in enumerate(passages) for k in (0, 1)]
+    # Clean texts share lines of up to 19 words, and passages of 24.
+    short, passage = words(19), words(24)
+    rows += [(d, " ".join(words(60)) + "\n" + " ".join(short) + "\n" + " ".join(words(60) + passage + words(60))) for d in range(100, 130)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     got = P.op9_paragraph_dedup(spark, str(tmp_path)).collect()
-    lines = {d: [t.split() for t in text.lower().split("\n")] for d, text in rows}
-    assert all(g.doc_id < 60 for g in got)
-    for i in range(30):
-        pair = (2 * i, 2 * i + 1)
-        windows = [g for g in got if g.doc_id in pair and g.paragraph == 0]
-        assert {(g.doc_id, g.kept) for g in windows} == {(pair[0], True), (pair[1], False)}
-        for g in windows:
-            own, first = (lines[d][0][a : a + g.n_words] for d, a in ((g.doc_id, g.first_word), (g.first_doc_id, g.first_first_word)))
-            assert g.n_words == 25 and own == first
-        assert [(g.doc_id, g.n_members, g.kept) for g in sorted(got) if g.doc_id in pair and g.paragraph == 1] == [(pair[0], 2, True), (pair[1], 2, False)]
+    texts = {d: [line.lower().split() for line in text.split("\n")] for d, text in rows}
+    after = lambda d, line, word, n: (texts[d][line][word:] + [w for x in texts[d][line + 1 :] for w in x])[:n]
+    assert {g.doc_id for g in got} == set(range(80))
+    for g in got:
+        assert after(g.doc_id, g.paragraph, g.first_word, g.n_words) == after(g.first_doc_id, g.first_paragraph, g.first_first_word, g.n_words)
+        assert (g.first_doc_id, g.n_members, g.kept) == (g.doc_id // 2 * 2, 2, g.doc_id % 2 == 0)
+
+
+def test_anchors_against_their_definition():
+    rng = np.random.RandomState(2)
+    for _ in range(30):
+        sizes = rng.randint(1, 120, rng.randint(1, 6))
+        ends = np.cumsum(sizes)
+        h = rng.randint(0, 1 << 60, ends[-1]).astype(np.uint64) * np.uint64(3)
+        got = set(P.anchors(h, ends).tolist())
+        with np.errstate(over="ignore"):
+            five = P.mix(P.gram_hash(h, 5)) if len(h) >= 5 else h
+        want = set()
+        for e, n in zip(ends.tolist(), sizes.tolist(), strict=True):
+            for a in range(e - n, e - P.PASSAGE + 1):
+                run = range(a, a + P.PASSAGE - P.WINDOW + 1)
+                want |= {i for i in run if five[i] == min(five[j] for j in run)}
+        assert got == want

@@ -4,17 +4,16 @@ import public_tokenizers
 
 import corpus_pipeline as P
 from tests.llm import test_decontaminate as D
+from tests.llm import test_near_documents as N
 from tests.llm import test_quality_rules as Q
-from tests.llm import test_simhash_dedup as H
 from tests.llm import test_suffix_dedup as S
 from wayfind.llm import byte_bpe
 
 
 def brute(docs, items):
     docs = [(d, t) for d, t in docs if Q.brute(t)[6]]
-    prints = {d: H.brute_print(t) for d, t in docs}
-    classes = H.brute_classes(prints, 2)
-    docs = [(d, t) for d, t in docs if classes[d] == d]
+    one = N.brute(docs)
+    docs = [(d, t) for d, t in docs if d in one]
     first, out = {}, []
     for d, t in sorted(docs):
         b = t.encode()

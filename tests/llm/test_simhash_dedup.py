@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from wayfind.llm import bits as B
 from wayfind.llm import simhash_dedup as S
 from wayfind.llm.components import components, forest
 
@@ -47,9 +48,8 @@ def test_query_against_brute_force(spark):
     prints = {i: brute_print(t) for i, t in rows}
     assert {i: f for i, (f, _) in got.items()} == prints
     assert {i: c for i, (_, c) in got.items()} == brute_classes(prints, 2)
-    kept = S.one_of_each(df)
-    assert kept.columns == df.columns
-    assert sorted(x.doc_id for x in kept.collect()) == sorted({c for _, c in got.values()})
+    # Buckets of more than three fingerprints, cut into blocks that all meet, give the same.
+    assert {x.doc_id: x.component_id for x in S.near_duplicates(df, block=3).collect()} == {i: c for i, (_, c) in got.items()}
 
 
 def test_bit_planes_against_all_pairs():
@@ -57,16 +57,45 @@ def test_bit_planes_against_all_pairs():
     for n in (1, 2, 17, 64, 65, 300):
         base = rng.randint(0, 1 << 62, 4).astype(np.uint64)
         prints = np.unique(base[rng.randint(0, 4, n)] ^ (np.uint64(1) << rng.randint(0, 64, n).astype(np.uint64)) ^ (np.uint64(1) << rng.randint(0, 64, n).astype(np.uint64)))
-        planes = S.planes_of(prints)
+        planes = B.planes_of(prints)
         for radius in (0, 1, 2, 3, 7):
             near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= radius
             for i, x in enumerate(prints):
-                assert S.within(planes, len(prints), int(x), radius).tolist() == np.flatnonzero(near[i]).tolist()
+                assert B.within(planes, len(prints), int(x), radius).tolist() == np.flatnonzero(near[i]).tolist()
             want = forest(np.argwhere(np.triu(near, 1)))
-            got = forest(S.linked(prints, radius))
+            got = forest(B.linked(prints, radius))
             assert sorted(map(tuple, want)) == sorted(map(tuple, got))
 
 
+def test_near_links_in_small_and_large_groups():
+    """Exact links of sets within a radius, in groups on both sides of SMALL, against all pairs."""
+    rng = np.random.RandomState(4)
+    for _ in range(6):
+        sets, end = [], []
+        for m in rng.choice([1, 2, 5, B.SMALL, B.SMALL + 1, 150], 4):
+            base = [rng.randint(0, 1 << 60, 40) for _ in range(3)]
+            for _ in range(m):
+                own = base[rng.randint(3)].copy()
+                own[rng.randint(0, 40, rng.randint(0, 9))] = rng.randint(0, 1 << 60)
+                sets.append(np.unique(own).astype(np.uint64))
+            end += [len(end) + m] * m
+        size = np.array([len(s) for s in sets])
+        prints = B.fingerprints(np.concatenate(sets), size)
+        flat, begin = np.concatenate(sets), np.cumsum(size) - size
+        got = S.banding.near_links(prints, np.array(end), flat, begin, size, 24, 0.8)
+        want = []
+        for i in range(len(sets)):
+            for j in range(i + 1, end[i]):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= 0.8 * (size[i] + size[j] - both) - 1e-9 and int(prints[i] ^ prints[j]).bit_count() <= 24:
+                    want.append((i, j))
+        assert sorted(map(tuple, got.tolist())) == sorted(map(tuple, forest(np.array(want).reshape(-1, 2)).tolist()))
+        near = S.banding.near_in_keys(prints, np.diff(np.r_[0, np.unique(end)]), 24, 100)
+        far = [not any(i != j and end[i] == end[j] and int(prints[i] ^ prints[j]).bit_count() <= 24 for j in range(len(sets))) for i in range(len(sets))]
+        sizes = np.bincount(end)[end]
+        assert near.tolist() == [bool(m > 100 or not f) for f, m in zip(far, sizes, strict=True)]
+
+
 def test_ids_that_repeat_or_are_null(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "q r s t u"), (2, "q r s t u")], "doc_id long, text string")
     got = sorted((str(x.doc_id), str(x.component_id)) for x in S.near_duplicates(df).collect())

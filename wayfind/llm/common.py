@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import StorageLevel, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACE = b" \t\n\r\x0b\x0c"  # fixed values: the white space that ends a word
@@ -60,9 +60,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; set here only where unset)."""
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a local session
+    gets a temporary folder, and any other an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='wayfind-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -104,17 +107,53 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it as long as a column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def shorter(df: DataFrame, row: int = 32) -> DataFrame:
+    """The shorter side of a join, whose rows have about ``row`` bytes: broadcast if as many as there are fit Spark's own limit,
+    and otherwise a hash table in each partition, for which the longer side needn't be sorted."""
+    df = hold(df)
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return F.broadcast(df) if row * df.count() <= limit else df.hint("shuffle_hash")
+
+
+def several_texts(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, digest, part) of the texts of each doc_id that has several different ones: part counts them in the order of
+    their digests. None if no doc_id has. Documents: (doc_id, text) without nulls. A doc_id with very many texts, such as
+    that of all nulls, is counted in 4,096 parts."""
+    short = docs.select("doc_id", F.md5("text").alias("digest")).distinct()
+    if not short.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return None
+    many = short.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    texts = short.join(many, "doc_id", "left_semi").withColumn("head", F.substring("digest", 1, 3))
+    before = Window.partitionBy("doc_id").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = texts.groupBy("doc_id", "head").count().select("doc_id", "head", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    inside = texts.withColumn("inside", F.row_number().over(Window.partitionBy("doc_id", "head").orderBy("digest")) - 1)
+    return inside.join(heads, ["doc_id", "head"]).select("doc_id", "digest", (F.col("before") + F.col("inside")).cast("long").alias("part"))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id long, part long, text string) of documents: null texts are empty, null ids are NO_ID. part is 0, but
-    counts the different texts of a doc_id that has several (in text order); rows that agree in both are one document."""
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
-    )
-    if rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() == 0:
+    """(doc_id long, part long, text string) of documents: null texts are empty, null ids are NO_ID. part is 0, but counts
+    the different texts of a doc_id that has several (in the order of their digests); rows that agree in both are one
+    document. Only then are texts joined with anything."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    parts = several_texts(rows)
+    if parts is None:
         return rows.select("doc_id", F.lit(0).cast("long").alias("part"), "text")
-    from pyspark.sql import Window
+    joined = rows.withColumn("digest", F.md5("text")).join(shorter(parts, 96), ["doc_id", "digest"], "left")
+    return joined.select("doc_id", F.coalesce("part", F.lit(0)).cast("long").alias("part"), "text")
 
-    return rows.select("doc_id", (F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text")) - 1).cast("long").alias("part"), "text")
+
+def doc_key(doc: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """What documents are dealt by: ids with several texts, such as null, are spread."""
+    with np.errstate(over="ignore"):
+        return doc.astype(np.uint64) + part.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -208,14 +247,14 @@ DOC_BLOBS = "bucket int, blob binary"
 
 
 def pack_docs(ids: np.ndarray, most: int = 8 << 20):
-    """mapInArrow function: documents as compressed blobs by bucket of doc_id."""
+    """mapInArrow function: documents as compressed blobs by bucket of doc_key()."""
 
     def run(batches):
         held, size = [], 0
 
         def flush():
-            held.sort(key=lambda x: x[0])
-            buckets = spread(np.array([d for d, _, _ in held], np.int64), ids)
+            held.sort(key=lambda x: x[:2])
+            buckets = spread(doc_key(np.array([d for d, _, _ in held], np.int64), np.array([p for _, p, _ in held], np.int64)), ids)
             order, rows = np.argsort(buckets, kind="stable"), []
             for k, s in groups(buckets[order]):
                 own = [held[i] for i in order[s]]

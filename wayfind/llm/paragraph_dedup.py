@@ -1,394 +1,105 @@
 """Substring dedup by paragraph MinHash banding.
 
-A paragraph is a line of ``least`` words or more, lower-cased (A-Z), its words split at white space. op9 also takes,
-as exact matches, shorter lines, and from each line of 50 words or more windows of 25 words at content-defined places, so
-that any 50 words that two longer lines share hold an equal window; windows in repeated lines get rows too. Windows
-do not go through the bands: neighbours in one line overlap and would be linked as near copies of each other. Its MinHash comes from its five-word shingles. Bands are tuned for recall: the longest rows that, within a
-number of hash functions, still find a pair at the threshold with the wanted probability.
+A paragraph is a line of ``least`` words or more, lower-cased (A-Z), its words split at white space. Paragraphs that share
+a band meet, are compared by the exact Jaccard similarity of their five-word shingles, and form classes (banding.py).
 
-1. Each task sends, for each band of each different paragraph it holds, a cell (band key, paragraph's hash, place), packed
-   by bucket of the key. Equal paragraphs of a task go once.
-2. Where a key holds several paragraphs, these are asked for by document and come back, with their exact shingle sets,
-   under the key. A key with more than ``block`` paragraphs is cut into blocks, and each pair of blocks is a group of its
-   own: every pair still meets, in groups of bounded size.
-3. Each group computes exact Jaccard similarities, of one paragraph with all others at once, and gives a spanning forest
-   of its links. Connected components of the links, and equal paragraphs, are the classes.
-4. Every occurrence whose class has another one gets a row; the first of a class (smallest doc_id, then line) is kept,
-   the others are removals. Counts and first places are aggregated before they are joined, and adaptive execution splits
-   the joins where a class holds a large part of all rows.
-
-Equality of paragraphs is that of 128-bit hashes; within a key, and as vertices, of 64 bits.
+Longer passages inside lines that differ, or that run over several short lines, are found by windows: WINDOW words at
+places that the words themselves decide, over the whole text without regard to lines, so that any PASSAGE words that two
+texts share hold an equal window. Windows are matched by equality alone: neighbours overlap, and bands would link them as
+near copies of each other. Their names are two 64-bit hashes over the hashes of their words. A line of fewer than ``least``
+words is no paragraph of its own, but its words are in the windows.
 
 Null texts have no paragraphs. A null doc_id comes first and stays null. Different texts with one doc_id are told apart by
-``part`` (text order); rows that agree in both are one document. Other columns are ignored; empty tables give an empty
-result.
+``part``; rows that agree in both are one document. Other columns are ignored; empty tables give an empty result. Texts of
+any length are treated whole.
 """
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from wayfind.llm.cells import mix
-from wayfind.llm.common import (
-    DOC_BLOBS,
-    LOWER,
-    NO_ID,
-    bucket_ids,
-    by_value,
-    groups,
-    hold,
-    keyed_rows,
-    numbered,
-    pack,
-    pack_docs,
-    pack_with,
-    partitions,
-    spread,
-    table,
-    texts_of,
-    trimmed,
-    unpack_all,
-    unpack_docs,
-    unpack_with,
-)
-from wayfind.llm.components import components, forest
+from wayfind.llm import banding
+from wayfind.llm.banding import BLOCK, HASHES, PART, RECALL, THRESHOLD, name_of
+from wayfind.llm.cells import gram_hash, mix, sliding_min
+from wayfind.llm.common import LOWER, by_value, table
 
 by_value(__name__)
 
-LEAST, SHINGLE, THRESHOLD, RECALL, HASHES, BLOCK = 20, 5, 0.8, 0.995, 48, 4000
-PASSAGE, WINDOW = 50, 25  # a passage of so many words in longer lines is found by windows of so many
-PART = 40
-STEP = 1 << 20  # bytes of text that are hashed at once
-FLUSH = 1 << 18  # cells that a task holds before it deals them out
-ROWS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
-ROWS_SQL = "bucket int, blob binary"
-CELLS = ("<u8", "<u8", "<i8", "<i8")  # band key, paragraph's hash, doc_id, place
-SETS = ("<u8", "<u8", "<u4")  # key, paragraph's hash, shingles
+LEAST = 20
+PASSAGE, WINDOW = 50, 25  # a passage of so many words is found by windows of so many
 
 
-def tune_bands(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
-    """(bands, rows): the most rows, and for these the fewest bands, with which a pair at the threshold shares a band
-    with a probability of ``recall``."""
-    for rows in range(hashes, 0, -1):
-        for bands in range(1, hashes // rows + 1):
-            if 1 - (1 - threshold**rows) ** bands >= recall:
-                return bands, rows
-    return hashes, 1
+def paragraphs(least: int):
+    """Of a text the (number, line, first word in the line, words) of each paragraph; a number is twice its first word's place."""
 
+    def cut(text: bytes):
+        at = 0
+        for i, line in enumerate(text.translate(LOWER).split(b"\n")):
+            words = line.split()
+            if len(words) >= least:
+                yield 2 * at, i, 0, words
+            at += len(words)
 
-def paragraphs(text: bytes, least: int):
-    """(number, line, first word in the line, words) of each paragraph; numbers are lines."""
-    for i, line in enumerate(text.split(b"\n")):
-        words = line.translate(LOWER).split()
-        if len(words) >= least:
-            yield i, i, 0, words
+    return cut
 
 
-def anchors(words: list[bytes]) -> np.ndarray:
-    """Words at which windows begin: the least shingle hash in each run of PASSAGE - WINDOW + 1 places. Any PASSAGE words
-    hold a whole window whose place depends on them alone."""
-    h = shingle_hashes([words])[0][: len(words) - WINDOW + 1]
+def anchors(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words at which windows begin, of texts that end at ``ends``: those with the least hash of five words in a run of
+    PASSAGE - WINDOW + 1 places. Any PASSAGE words hold a whole window whose place depends on them alone."""
     run = PASSAGE - WINDOW + 1
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, run).argmin(1) + np.arange(len(h) - run + 1))
-
-
-def lines_and_windows(text: bytes):
-    """As paragraphs(): every line with a word, and content-defined windows of the lines with PASSAGE words or more.
-    Numbers are twice the first word's place in the text, one more for windows."""
-    at = 0
-    for i, line in enumerate(text.split(b"\n")):
-        words = line.translate(LOWER).split()
-        if words:
-            yield 2 * at, i, 0, words
-        if len(words) >= PASSAGE:
-            for a in anchors(words).tolist():
-                yield 2 * (at + a) + 1, i, a, words[a : a + WINDOW]
-        at += len(words)
-
-
-def whole(text: bytes):
-    """A whole text as its only paragraph, number 0, with words or without."""
-    yield 0, 0, 0, text.translate(LOWER).split()
-
-
-def name_of(words: list[bytes]) -> tuple[int, int]:
-    """128-bit hash of a paragraph."""
-    h = xxhash.xxh3_128_intdigest(b" ".join(words))
-    return h >> 64, h & (1 << 64) - 1
-
-
-def shingle_hashes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all shingles, one paragraph after another, and each one's number of them."""
-    flat = [w for ws in words for w in ws]
-    known = {w: xxhash.xxh64_intdigest(w) for w in set(flat)}
-    h = np.array([known[w] for w in flat], np.uint64)
-    size = np.array([len(ws) for ws in words], np.int64)
-    n = np.maximum(size - SHINGLE + 1, 1)
-    begin = np.cumsum(size) - size
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-    last = np.repeat(begin + size, n)
-    out = np.zeros(len(at), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(SHINGLE):
-            inside = at + k < last
-            out = np.where(inside, mix(out + h[np.minimum(at + k, len(h) - 1)] + np.uint64(k)), out)
-    return out, n
-
-
-def band_keys(shingles: np.ndarray, n: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Keys by paragraph and band."""
-    factors = mix(np.arange(1, 2 * bands * rows + 1).astype(np.uint64))
-    begin = np.cumsum(n) - n
-    keys = np.zeros((len(n), bands), np.uint64)
+    if len(h) < PASSAGE:
+        return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        for b in range(bands):
-            for r in range(rows):
-                k = 2 * (b * rows + r)
-                least = np.minimum.reduceat(shingles * (factors[k] | np.uint64(1)) + factors[k + 1], begin)
-                keys[:, b] = mix(keys[:, b] + least + np.uint64(b))
-    return keys
-
-
-def deal(key, arrays, ids):
-    bucket = spread(key, ids)
-    order = np.argsort(bucket, kind="stable")
-    return [(int(k), pack(*(a[order[s]] for a in arrays))) for k, s in groups(bucket[order])]
-
-
-def cells(cut, bands, rows, ids):
-    """mapInArrow function: cells of the different paragraphs of a task, by band key."""
-
-    def run(batches):
-        held, count, size = [], 0, 0
-        seen: set = set()
-        new: list = []  # (doc_id, place, name, words)
-
-        def hashed():
-            keys = band_keys(*shingle_hashes([w for *_, w in new]), bands, rows)
-            doc, place, name = (np.array([x[k] for x in new], t) for k, t in ((0, np.int64), (1, np.int64), (2, np.uint64)))
-            held.append((keys.ravel(), np.repeat(name, bands), np.repeat(doc, bands), np.repeat(place, bands)))
-            new.clear()
-
-        def flush():
-            arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
-            held.clear()
-            seen.clear()
-            return keyed_rows(ROWS, deal(arrays[0], arrays, ids))
-
-        for d, part, t in texts_of(batches):
-            for i, _, _, words in cut(t):
-                name = name_of(words)
-                if words and name not in seen:
-                    seen.add(name)
-                    new.append((d, (part << PART) + i, name[0], words))
-                    size += 7 * len(words)
-            if size > STEP:
-                count += bands * len(new)
-                hashed()
-                size = 0
-            if count > FLUSH:
-                yield flush()
-                count = 0
-        if new:
-            hashed()
-        if held:
-            yield flush()
+        five = mix(gram_hash(h, 5))[: len(h) - WINDOW + 1]
+    least = sliding_min(five, run)  # of the run from each place
+    begin = np.arange(len(least))
+    whole = begin + PASSAGE <= ends[np.searchsorted(ends, begin, side="right")]
+    # A place is an anchor where the least hash of a run that holds it is its own.
+    most = ~sliding_min(np.r_[np.full(run - 1, ~np.uint64(0)), np.where(whole, ~least, ~np.uint64(0)), np.full(run - 1, ~np.uint64(0))], run)
+    return np.flatnonzero(most == five)
+
+
+def paragraphs_and_windows(least: int):
+    """As banding.named(): every line of ``least`` words or more, and the windows; a window's number is twice the place of
+    its first word, and one more."""
+
+    def run(rows):
+        found, hashes, meta, ends, at = [], [], [], [], 0
+        for d, part, text in rows:
+            here = 0
+            known: dict = {}
+            for i, line in enumerate(text.translate(LOWER).split(b"\n")):
+                words = line.split()
+                if len(words) >= least:
+                    found.append((*name_of(words), d, (part << PART) + 2 * here, i, 0, len(words)))
+                if words:
+                    known.update((w, xxhash.xxh64_intdigest(w)) for w in set(words).difference(known))
+                    hashes += map(known.__getitem__, words)
+                    meta.append((at + here, i, here, d, part))
+                    here += len(words)
+            if here:
+                at += here
+                ends.append(at)
+        columns = list(zip(*found, strict=True)) or [()] * 7
+        lines = [np.array(c, np.uint64).view(np.int64) for c in columns[:2]] + [np.array(c, np.int64) for c in columns[2:]]
+        h = np.array(hashes, np.uint64)
+        place = anchors(h, np.array(ends, np.int64))
+        if not len(place):
+            return lines
+        begin, line, before, doc, part = np.array(meta, np.int64)[np.searchsorted([m[0] for m in meta], place, side="right") - 1].T
+        with np.errstate(over="ignore"):
+            names = [mix(gram_hash(x, WINDOW)[place]).view(np.int64) for x in (h, mix(h))]
+        number = (part << PART) + 2 * (before + place - begin) + 1
+        windows = [*names, doc, number, line, place - begin, np.full(len(place), WINDOW)]
+        return [np.r_[a, b] for a, b in zip(lines, windows, strict=True)]
 
     return run
 
 
-def colliding(ids, block):
-    """mapInArrow function over all cells of some keys: those whose key holds several paragraphs, by document."""
-
-    def run(batches):
-        blobs = [x for b in batches for x in b.column(1).to_pylist()]
-        if not blobs:
-            return
-        key, name, doc, place = unpack_all(blobs, *CELLS)
-        blobs.clear()
-        order = np.lexsort((place, doc, name, key))
-        key, name, doc, place = (a[order] for a in (key, name, doc, place))
-        first = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])]
-        key, name, doc, place = (a[first] for a in (key, name, doc, place))
-        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[begin, len(key)])
-        with np.errstate(over="ignore"):  # keys of several bands with the same paragraphs are one group, named by these
-            key = np.repeat(mix(np.add.reduceat(mix(name), begin)), size)
-        rank = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
-        size = np.repeat(size, size)
-        several, many = (size > 1) & (size <= block), np.flatnonzero(size > block)
-        arrays = [a[several] for a in (key, name, doc, place)]
-        if len(many):  # member of block b goes to the groups (b, 0), (b, 1) and so on; a pair is the same both ways
-            n = -(-size[many] // block)
-            at, other = np.repeat(many, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            own = rank[at] // block
-            with np.errstate(over="ignore"):
-                sub = mix(mix(key[at] + np.minimum(own, other).astype(np.uint64)) + np.maximum(own, other).astype(np.uint64))
-            arrays = [np.r_[a, b] for a, b in zip(arrays, (sub, name[at], doc[at], place[at]), strict=True)]
-        rows = deal(arrays[2], arrays, ids)
-        for at in range(0, len(rows), 2000):
-            yield keyed_rows(ROWS, rows[at : at + 2000])
-
-    return run
-
-
-def sets(cut, ids):
-    """Cogrouped function of a bucket's documents and asked paragraphs: exact shingle sets, by key."""
-
-    def run(key_, docs, asked):
-        blobs = asked.column("blob").to_pylist()
-        if not blobs:
-            return pa.Table.from_batches([keyed_rows(ROWS, [])])
-        key, name, doc, place = unpack_all(blobs, *CELLS)
-        blobs.clear()
-        order = np.lexsort((name, key))
-        key, name, doc, place = (a[order] for a in (key, name, doc, place))
-        first = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])]
-        key, name, doc, place = (a[first] for a in (key, name, doc, place))
-        wanted: dict[tuple, set] = {}
-        for d, x in set(zip(doc.tolist(), place.tolist(), strict=True)):
-            wanted.setdefault((d, x >> PART), set()).add(x)
-        own: dict[tuple, np.ndarray] = {}
-        for d, p, t in unpack_docs(docs.column("blob").to_pylist()):
-            if mine := wanted.pop((d, p), None):
-                own.update(((d, (p << PART) + i), np.unique(shingle_hashes([words])[0])) for i, _, _, words in cut(t) if (p << PART) + i in mine)
-        bucket = spread(key, ids)
-        order = np.argsort(bucket, kind="stable")
-        rows = []
-        for k, s in groups(bucket[order]):
-            mine = order[s]
-            parts = [own[x] for x in zip(doc[mine].tolist(), place[mine].tolist(), strict=True)]
-            rows.append((int(k), pack_with(b"".join(p.tobytes() for p in parts), key[mine], name[mine], np.array([len(p) for p in parts], np.uint32))))
-        return pa.Table.from_batches([keyed_rows(ROWS, rows)])
-
-    return run
-
-
-def links_of(flat: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs of indexes that join all sets linked in a group; the sets lie one after another in ``flat``."""
-    names, code = np.unique(flat, return_inverse=True)
-    begin = np.cumsum(size) - size
-    edges, mark = [], np.zeros(len(names), np.int64)
-    root = np.arange(len(size))
-    for i in range(len(size) - 1):
-        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1  # what is joined already needs no link
-        if not len(rest):
-            continue
-        mine = code[begin[i] : begin[i] + size[i]]
-        mark[mine] = 1
-        n = size[rest]
-        if 2 * len(rest) > len(size) - i:
-            both = np.add.reduceat(mark[code[begin[i + 1] :]], begin[i + 1 :] - begin[i + 1])[rest - i - 1]
-        else:
-            start = np.cumsum(n) - n
-            both = np.add.reduceat(mark[code[np.arange(n.sum()) + np.repeat(begin[rest] - start, n)]], start)
-        mark[mine] = 0
-        j = rest[both >= threshold * (size[i] + n - both) - 1e-9]
-        if len(j):
-            edges.append(np.stack([np.full(len(j), i), j], 1))
-            root[np.isin(root, root[j])] = root[i]
-        if len(edges) > 64:
-            edges = [forest(np.concatenate(edges))]
-    return forest(np.concatenate(edges)) if edges else np.zeros((0, 2), np.int64)
-
-
-def verified(threshold):
-    """mapInArrow function over all sets of some keys: links (a, b) between paragraphs' hashes."""
-
-    def run(batches):
-        parts = [unpack_with(x, *SETS) for b in batches for x in b.column(1).to_pylist()]
-        if not parts:
-            return
-        key, name, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        data = np.concatenate([np.frombuffer(p[3].tobytes(), np.uint64) for p in parts])
-        n = n.astype(np.int64)
-        begin = np.cumsum(n) - n
-        order = np.lexsort((name, key))
-        out = []
-        for _, s in groups(key[order]):
-            own = order[s]
-            if len(own) > 1:
-                flat = np.concatenate([data[begin[i] : begin[i] + n[i]] for i in own])
-                out.append(name[own][links_of(flat, n[own], threshold)])
-        pairs = forest(np.concatenate(out).view(np.int64)) if out else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-    return run
-
-
-OCCURRENCES = "p1 long, p2 long, doc_id long, place long, line long, first_word long, n_words long"
-
-
-def occurrences(cut):
-    def run(batches):
-        rows = []
-
-        def batch():
-            names = np.array([r[0] for r in rows], np.uint64).view(np.int64), np.array([r[1] for r in rows], np.uint64).view(np.int64)
-            out = pa.RecordBatch.from_arrays([*map(pa.array, names), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(2, 7))], [c.split()[0] for c in OCCURRENCES.split(", ")])
-            rows.clear()
-            return out
-
-        for d, part, t in texts_of(batches):
-            for i, line, first, words in cut(t):
-                rows.append((*name_of(words), d, (part << PART) + i, line, first, len(words)))
-            if len(rows) > 20_000:
-                yield batch()
-        if rows:
-            yield batch()
-
-    return run
-
-
-def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK, cut=None, equal=None) -> DataFrame:
-    """(doc_id, part, paragraph, n_words, first_doc_id, first_part, first_paragraph, n_members, kept, first_word, first_first_word) of each
-    paragraph (line, and word in it, from 0) whose class has more than one occurrence. Documents: (doc_id, text). cut: a function that gives
-    paragraphs of a text as paragraphs() does, instead of lines of ``least`` words; equal: one that gives these and
-    others, which are matched by equality alone."""
-    cut = cut or (lambda text: paragraphs(text, least))
-    spark = docs.sparkSession
-    p = partitions(spark)
-    ids = bucket_ids(p)
-    bands, per_band = tune_bands(threshold, recall, hashes)
-    rows = numbered(docs)
-    asked = rows.mapInArrow(trimmed(cells(cut, bands, per_band, ids)), ROWS_SQL).repartition(p, "bucket").mapInArrow(trimmed(colliding(ids, block)), ROWS_SQL)
-    packed = rows.mapInArrow(trimmed(pack_docs(ids)), DOC_BLOBS).repartition(p, "bucket").groupBy("bucket")
-    found = packed.cogroup(asked.repartition(p, "bucket").groupBy("bucket")).applyInArrow(sets(cut, ids), ROWS_SQL)
-    joined = components(found.repartition(p, "bucket").mapInArrow(trimmed(verified(threshold)), "a long, b long"))
-    root = joined.unionByName(joined.select(F.col("component").alias("vertex"), "component").distinct())
-    all_ = hold(rows.mapInArrow(trimmed(occurrences(equal or cut)), OCCURRENCES))
-    names = all_.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place", "line", "first_word")).alias("first"))
-    classes = hold(names.join(root, names.p1 == F.col("vertex"), "left").filter("n > 1 or component is not null").select("p1", "p2", "n", "first", F.coalesce("component", "p1").alias("c1"), F.when(F.col("component").isNull(), F.col("p2")).otherwise(0).alias("c2")))
-    whole = classes.groupBy("c1", "c2").agg(F.sum("n").alias("n_members"), F.min("first").alias("first"))
-    # The keys are written anew, so that both sides are exchanged and a hot class can be split.
-    whole = whole.select(*[F.col(c).bitwiseXOR(F.lit(0).cast("long")).alias(c) for c in ("c1", "c2")], "n_members", "first")
-    each = classes.drop("n", "first").join(whole, ["c1", "c2"]).select("p1", "p2", "n_members", "first")
-    clean = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    return all_.join(each, ["p1", "p2"]).select(
-        clean("doc_id").alias("doc_id"), F.shiftright("place", PART).alias("part"), F.col("line").alias("paragraph"), "n_words",
-        clean("first.doc_id").alias("first_doc_id"), F.shiftright("first.place", PART).alias("first_part"), F.col("first.line").alias("first_paragraph"),
-        F.col("n_members"), (F.struct("doc_id", "place") == F.struct("first.doc_id", "first.place")).alias("kept"),
-        "first_word", F.col("first.first_word").alias("first_first_word"),
-    )
-
-
-def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.9999, hashes: int = 72) -> DataFrame:
-    """Documents, whole texts compared: of each class of near copies the one with the smallest doc_id (of several rows
-    with that doc_id the one whose text comes first) stays. Links are exact Jaccard similarities of five-word shingles;
-    texts without words are copies of each other. Rows without a doc_id all stay, and their copies with one go."""
-    gone = repeats(docs, threshold=threshold, recall=recall, hashes=hashes, cut=whole).filter("not kept and doc_id is not null").select("doc_id", F.col("part").alias("_part")).distinct()
-    known, rest = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
-    if known.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        in_order = Window.partitionBy("doc_id").orderBy(F.coalesce(F.col("text"), F.lit("")))
-        known = known.withColumn("_part", F.dense_rank().over(in_order).cast("long") - 1)
-        known = known.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_part").orderBy("_part"))).filter("_n = 1")
-    else:
-        known = known.withColumn("_part", F.lit(0).cast("long"))
-    # Ids are hashed, so that texts need no sort.
-    return known.join(gone.hint("shuffle_hash"), ["doc_id", "_part"], "left_anti").select(docs.columns).unionByName(rest)
+def repeats(docs: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK, windows: bool = True) -> DataFrame:
+    """What banding.repeats() gives of the paragraphs of documents (doc_id, text), and of their windows unless told not to."""
+    return banding.repeats(docs, paragraphs(least), threshold, recall, hashes, block, name=paragraphs_and_windows(least) if windows else None)
 
 
 def op9_paragraph_dedup(spark, sf_dir):
-    return repeats(table(spark, sf_dir, "documents"), equal=lines_and_windows).drop("part", "first_part")
+    return repeats(table(spark, sf_dir, "documents")).drop("part", "first_part")

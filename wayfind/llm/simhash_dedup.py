@@ -1,18 +1,22 @@
 """SimHash near-dedup with bit-sliced comparison.
 
 Each text gets a 64-bit fingerprint from its word shingles. Fingerprints within ``radius`` bits are linked, and linked
-documents form classes. Equal fingerprints go as one (with their smallest doc_id) before any comparison.
+documents form classes. Equal fingerprints go as one (with their smallest doc_id) before any comparison. Distances come from
+bit planes and carry-save counters (bits.py).
 
-Candidates: the 64 bits are cut into ``radius + 4`` blocks; two fingerprints within the radius agree in 4 blocks at
-least, so each fingerprint goes under one key for each choice of 4 blocks, and none is missed. A bucket of equal keys
-compares all its fingerprints, with the bits stored vertically: plane b holds bit b of 64 fingerprints in each word.
-The distances of one fingerprint to all others grow in carry-save counters, one word operation for 64 of them, and a
-comparison ends as soon as every distance is over the radius. A bucket gives no pairs but the edges of a spanning
-forest. What differs within a bucket are the other ``radius`` blocks, so it has at most 2 ** (11 * radius) members
-however large the table, for a radius of 2 at most 2 ** 22; identical texts never add to it.
+near_duplicates() links by fingerprints alone, for a small radius. Candidates: the 64 bits are cut into ``radius + 4`` blocks;
+two fingerprints within the radius agree in 4 blocks at least, so each fingerprint goes under one key for each choice of 4
+blocks, and none is missed. A bucket of equal keys compares all its fingerprints and gives no pairs but the edges of a
+spanning forest. A bucket of more than ``block`` different fingerprints is cut into blocks, and each pair of blocks is a
+bucket of its own, in tasks of their own; identical texts never add to a bucket.
+
+one_of_each() removes near copies by exact similarity. At a Jaccard similarity of 0.8 fingerprints of different texts differ
+in about 10 bits with a deviation of 3, for which no choice of blocks is selective. There, MinHash bands give the
+candidates, bit-sliced comparison leaves those within a wide radius, and the exact Jaccard similarity decides (banding.py).
 
 Null texts are empty: no words, fingerprint zero, linked like any other. A null doc_id counts as the smallest and stays
-null. Repeated ids keep a row each. Other columns are ignored; an empty table gives an empty result.
+null. Repeated ids keep a row each. Other columns are ignored; an empty table gives an empty result. Texts of any length
+are hashed whole.
 """
 
 from itertools import combinations
@@ -20,16 +24,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import LOWER, NO_ID, by_value, hold, partitions, table, trimmed
-from wayfind.llm.components import components, forest
+from wayfind.llm import banding
+from wayfind.llm.bits import SMALL, fingerprints, linked, linked_in_small
+from wayfind.llm.common import LOWER, NO_ID, by_value, hold, partitions, several_texts, shorter, table, trimmed, unused
+from wayfind.llm.components import components
 
 by_value(__name__)
 
 SEED = 42
-SMALL = 64  # members of a bucket that are compared by distance in the bucket
+BLOCK = 1 << 14  # different fingerprints of a bucket that are compared in one task
 PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
@@ -44,18 +50,8 @@ def shingle_hashes(text: bytes, n: int):
     return [digest(b" ".join(words[i : i + n]), SEED) for i in range(len(words) - n + 1)]
 
 
-def fingerprints(hashes: list[list[int]]) -> np.ndarray:
-    """A fingerprint for each list: a bit is set if it is set in over half of the hashes."""
-    size = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros(len(hashes), np.uint64)
-    full = np.flatnonzero(size)
-    if len(full):
-        flat = np.array([x for h in hashes for x in h], np.uint64)
-        begin = np.cumsum(size) - size
-        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        count = np.add.reduceat(bits, begin[full], axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * count > size[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
+def printed(hashes: list[list[int]]) -> np.ndarray:
+    return fingerprints(np.array([x for h in hashes for x in h], np.uint64), np.array([len(h) for h in hashes], np.int64))
 
 
 def print_texts(n):
@@ -69,83 +65,14 @@ def print_texts(n):
                 held.append(shingle_hashes(t.as_py(), n))
                 rows += len(held[-1])
                 if rows > 100_000:
-                    done.append(fingerprints(held))
+                    done.append(printed(held))
                     held, rows = [], 0
-            done.append(fingerprints(held))
+            done.append(printed(held))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(done).view(np.int64))], schema=PRINTS)
 
     return run
 
 
-def planes_of(prints: np.ndarray) -> np.ndarray:
-    """Bit planes: row b holds bit b of all fingerprints, 64 in each word."""
-    n = (len(prints) + 63) // 64 * 64
-    padded = np.zeros(n, np.uint64)
-    padded[: len(prints)] = prints
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
-
-
-def within(planes: np.ndarray, n: int, one: int, radius: int) -> np.ndarray:
-    """Indexes of the n fingerprints that differ from ``one`` in at most radius bits."""
-    width = (radius + 1).bit_length()
-    counter = [np.zeros(planes.shape[1], np.uint64) for _ in range(width)]
-    over = np.zeros(planes.shape[1], np.uint64)  # distances that passed the counters' range
-    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for b in range(64):
-        carry = planes[b] ^ ones if one >> b & 1 else planes[b]
-        for i in range(width):
-            counter[i], carry = counter[i] ^ carry, counter[i] & carry
-        over |= carry
-        if b % 8 == 7:
-            more = over | above(counter, radius)
-            if (more == ones).all():
-                return np.zeros(0, np.int64)
-    near = ~(over | above(counter, radius))
-    return np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[:n])
-
-
-def above(counter, radius):
-    """Which of the vertical counters hold more than radius."""
-    more, same = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
-    for i in reversed(range(len(counter))):
-        if radius >> i & 1:
-            same = same & counter[i]
-        else:
-            more, same = more | (same & counter[i]), same & ~counter[i]
-    return more
-
-
-def linked(prints: np.ndarray, radius: int) -> np.ndarray:
-    """Pairs of indexes that join all linked fingerprints of a large bucket: a spanning forest of the links. Blocks of
-    the others are compared with one fingerprint at a time."""
-    edges, block = [], 1 << 16
-    for at in range(0, len(prints), block):
-        part = prints[at : at + block]
-        planes = planes_of(part)
-        for i in range(at + len(part) - 1):
-            j = within(planes, len(part), int(prints[i]), radius) + at
-            j = j[j > i]
-            if len(j):
-                edges.append(np.stack([np.full(len(j), i), j], 1))
-        edges = [forest(np.concatenate(edges))] if edges else []
-    return edges[0] if edges else np.zeros((0, 2), np.int64)
-
-
-def linked_in_small(prints: np.ndarray, end: np.ndarray, radius: int) -> np.ndarray:
-    """Pairs of indexes that are linked and lie in one bucket, for many small buckets one after another; ``end`` is the
-    end of each fingerprint's bucket. Members k places apart are compared together, as planes of their differences."""
-    edges = []
-    here, k = np.arange(len(prints)), 1
-    while True:
-        here = here[here + k < end[here]]
-        if not len(here):
-            return np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
-        i = here[within(planes_of(prints[here] ^ prints[here + k]), len(here), 0, radius)]
-        edges.append(np.stack([i, i + k], 1))
-        k += 1
-
-
 def keyed(radius, shared=4):
     """For each choice of ``shared`` of radius + shared blocks a mask of its bits."""
     edges = np.linspace(0, 64, radius + shared + 1).astype(int)
@@ -154,7 +81,8 @@ def keyed(radius, shared=4):
 
 
 def compare(radius):
-    """mapInArrow function over (tab, key, fp, rep) sorted by tab and key: edges (a, b) between representatives."""
+    """mapInArrow function over (tab, key, sub, fp, rep) sorted by the first three, which name a bucket: edges (a, b) between
+    representatives."""
 
     def run(batches):
         rest = None
@@ -165,7 +93,7 @@ def compare(radius):
             if not len(now):
                 continue
             last = len(now) - 1
-            while last and (now[last - 1, :2] == now[-1, :2]).all():
+            while last and (now[last - 1, :3] == now[-1, :3]).all():
                 last -= 1
             rest = now[last:]
             yield from solve(now[:last])
@@ -175,15 +103,15 @@ def compare(radius):
     def solve(rows):
         if len(rows) < 2:
             return
-        new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)]
+        new = np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(1)]
         begin = np.flatnonzero(new)
         size = np.diff(np.r_[begin, len(rows)])
-        values, out = np.ascontiguousarray(rows[:, 2]).view(np.uint64), []
+        values, out = np.ascontiguousarray(rows[:, 3]).view(np.uint64), []
         small = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
         if len(small):
             last = np.searchsorted(small, (begin + size)[np.cumsum(new) - 1][small])
-            out.append(rows[small, 3][linked_in_small(values[small], last, radius)])
-        out += [rows[a : a + n, 3][linked(values[a : a + n], radius)] for a, n in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True)]
+            out.append(rows[small, 4][linked_in_small(values[small], last, radius)])
+        out += [rows[a : a + n, 4][linked(values[a : a + n], radius)] for a, n in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True)]
         pairs = np.concatenate([x.reshape(-1, 2) for x in out]) if out else np.zeros((0, 2), np.int64)
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -197,28 +125,57 @@ def prints(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.mapInArrow(trimmed(print_texts(words)), "doc_id long, fp long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+def cut_up(cells: DataFrame, block: int) -> DataFrame:
+    """Cells (tab, key, fp, rep) with the bucket's part, sub: 0, or in a bucket of more than ``block`` a number of each pair of
+    its blocks that the cell is in."""
+    many = hold(cells.groupBy("tab", "key").count().filter(F.col("count") > block))
+    if not many.limit(1).count():
+        return cells.select("tab", "key", F.lit(0).cast("long").alias("sub"), "fp", "rep")
+    n = F.ceil(F.col("count") / block)
+    own = F.pmod(F.xxhash64("fp"), n)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda other: F.least(own, other) * n + F.greatest(own, other) + 1)
+    both = cells.join(many, ["tab", "key"], "left")
+    return both.select("tab", "key", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("sub"), "fp", "rep")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) of each document; component_id is the smallest doc_id that links can reach."""
     found = hold(prints(docs, words))
     distinct = hold(found.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     masks = keyed(radius)
     cells = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("tab"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)])).alias("k"), "fp", "rep").select("k.tab", "k.key", "fp", "rep")
-    spark = docs.sparkSession
-    edges = cells.repartition(partitions(spark), "tab", "key").sortWithinPartitions("tab", "key").mapInArrow(compare(radius), "a long, b long")
+    bucket = ["tab", "key", "sub"]
+    edges = cut_up(cells, block).repartition(partitions(docs.sparkSession), *bucket).sortWithinPartitions(*bucket).mapInArrow(compare(radius), "a long, b long")
     # The key is written anew, so that both sides of the join below are exchanged and a hot fingerprint can be split.
     joined = distinct.join(components(edges), distinct.rep == F.col("vertex"), "left").select(F.col("fp").bitwiseXOR(F.lit(0).cast("long")).alias("fp"), F.coalesce("component", "rep").alias("component_id"))
     return found.join(joined, "fp").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "fp", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """Of each class the document whose doc_id is the smallest; of several rows with that doc_id the one whose text
-    comes first. Rows without a doc_id stay, as nothing tells them apart."""
-    kept = near_duplicates(docs, words, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-        out = out.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return out.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+def copies(docs: DataFrame, threshold: float = 0.8, radius: int = 24, recall: float = 0.9999, hashes: int = 72) -> DataFrame:
+    """Classes of whole texts (doc_id, text) by five-word shingles, as banding.repeats() gives them. radius: bits within which
+    pairs are verified; of pairs at 0.8 about one in a million differs in more."""
+    return banding.repeats(docs, banding.whole, threshold, recall, hashes, radius=radius)
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, **more) -> DataFrame:
+    """Documents with their columns: of each class of near copies the one with the smallest doc_id stays (of several texts with
+    that doc_id the one that numbered() puts first). Texts without words are copies of each other. Rows without a doc_id
+    all stay, as nothing tells them apart, and their copies with one go; of other rows that agree in doc_id and text one
+    stays. More arguments are those of copies()."""
+    digest, part = unused(docs, "digest"), unused(docs, "part")
+    gone = copies(docs, threshold, **more).filter("not kept and doc_id is not null").select("doc_id", F.col("part").alias(part)).distinct()
+    known, rest = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    if not known.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return known.join(shorter(gone.drop(part)), "doc_id", "left_anti").select(docs.columns).unionByName(rest)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    parts = several_texts(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text")))
+    known = known.withColumn(digest, F.md5(text))
+    if parts is None:
+        known = known.withColumn(part, F.lit(0).cast("long"))
+    else:
+        known = known.join(shorter(parts.select("doc_id", F.col("digest").alias(digest), F.col("part").alias(part)), 96), ["doc_id", digest], "left").withColumn(part, F.coalesce(part, F.lit(0)))
+    stay = known.join(shorter(gone), ["doc_id", part], "left_anti").dropDuplicates(["doc_id", digest])
+    return stay.select(docs.columns).unionByName(rest)
 
 
 def op7_simhash_near_dedup(spark, sf_dir):

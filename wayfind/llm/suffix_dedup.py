@@ -36,6 +36,7 @@ from wayfind.llm.common import (
     NO_ID,
     bucket_ids,
     by_value,
+    doc_key,
     groups,
     hold,
     keyed_rows,
@@ -44,12 +45,14 @@ from wayfind.llm.common import (
     pack_docs,
     pack_with,
     partitions,
+    shorter,
     spread,
     texts_of,
     trimmed,
     unpack_all,
     unpack_docs,
     unpack_with,
+    unused,
 )
 from wayfind.llm.suffix import longest_previous_factors
 
@@ -100,6 +103,11 @@ def merged(doc, lo, n):
     return doc[new], lo[new], (lo[last] + n[last] - lo[new]).astype(np.uint32)
 
 
+def to_docs(kind, arrays, ids):
+    """dealt() of arrays that end with doc_id, offset and a number, by document."""
+    return dealt(kind, doc_key(arrays[-3], arrays[-2] >> PART), arrays, ids)
+
+
 def dealt(kind, key, arrays, ids):
     """Rows (kind, bucket, blob) of the arrays, by bucket of key."""
     bucket = spread(key, ids)
@@ -125,14 +133,14 @@ def cut(size, ids, hot):
             new = new_h | np.r_[True, c[1:] != c[:-1]]
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = ~new & ((doc != doc[lead]) | (lo != lo[lead]))
-            rows = dealt(SPAN, *(lambda x: (x[0], x))(merged(doc[later], lo[later], n[later])), ids)
+            rows = to_docs(SPAN, merged(doc[later], lo[later], n[later]), ids)
             h, c, doc, lo, n, new_h = h[new], c[new], doc[new], lo[new], n[new], new_h[new]
             group = np.cumsum(new_h) - 1
             many = np.bincount(group, minlength=1)[group] > hot
             fresh = np.setdiff1d(h[many], known)
             known = np.union1d(known, fresh)
             many |= np.isin(h, known)
-            rows += dealt(START, doc[many], (h[many], doc[many], lo[many], n[many]), ids)
+            rows += to_docs(START, (h[many], doc[many], lo[many], n[many]), ids)
             z = np.zeros(len(fresh), np.int64)
             h, c = np.r_[h[~many], fresh], np.r_[c[~many], z.astype(np.uint64)]
             rows += dealt(CELL, h, (h, c, np.r_[doc[~many], z], np.r_[lo[~many], z], np.r_[n[~many], z].astype(np.uint32)), ids)
@@ -178,15 +186,14 @@ def settle(ids, hot):
         new = new_h | np.r_[True, c[1:] != c[:-1]]
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = ~new & ((doc != doc[lead]) | (lo != lo[lead]))
-        spans = merged(doc[later], lo[later], n[later])
-        rows = dealt(SPAN, spans[0], spans, ids)
+        rows = to_docs(SPAN, merged(doc[later], lo[later], n[later]), ids)
         h, doc, lo, n, new_h = h[new], doc[new], lo[new], n[new], new_h[new]
         group = np.cumsum(new_h) - 1
         contents = np.bincount(group)[group]
         single = np.isin(h, flagged) | (contents > hot)
         asked = ~single & (contents > 1)
-        rows += dealt(START, doc[single], (h[single], doc[single], lo[single], n[single]), ids)
-        rows += dealt(WINDOW, doc[asked], (h[asked], doc[asked], lo[asked], n[asked]), ids)
+        rows += to_docs(START, (h[single], doc[single], lo[single], n[single]), ids)
+        rows += to_docs(WINDOW, (h[asked], doc[asked], lo[asked], n[asked]), ids)
         for at in range(0, len(rows), 2000):
             yield keyed_rows(ROWS, rows[at : at + 2000])
 
@@ -223,7 +230,7 @@ def fetch(size, ids):
                     starts.append((C.mix(C.gram_hash(code, size)), C.mix(C.gram_hash(C.mix(code), size)), np.full(n[i], doc[i]), lo[i] + np.arange(n[i])))
         if starts:
             first, later = earliest(*(np.concatenate(x) for x in zip(*starts, strict=True)))
-            rows += dealt(SPAN, later[0], later, ids) + dealt(START, first[0], first, ids)
+            rows += to_docs(SPAN, later, ids) + dealt(START, first[0], first, ids)
         return keyed_rows_table(rows)
 
     return run
@@ -256,7 +263,7 @@ def resolve(size, ids):
                     (windows if kind == WINDOW else hashes).append(blob)
         if hashes:
             _, later = earliest(*unpack_all(hashes, *HASHES))
-            yield keyed_rows(ROWS, dealt(SPAN, later[0], later, ids))
+            yield keyed_rows(ROWS, to_docs(SPAN, later, ids))
         if not windows:
             return
         parts = [unpack_with(b, *ASKED) for b in windows]
@@ -285,7 +292,7 @@ def resolve(size, ids):
             spans.append(merged(d[gone], o[gone], np.ones(gone.sum(), np.uint32)))
             at = end
         out = merged(*(np.concatenate(x) for x in zip(*spans, strict=True)))
-        yield keyed_rows(ROWS, dealt(SPAN, out[0], out, ids))
+        yield keyed_rows(ROWS, to_docs(SPAN, out, ids))
 
     return run
 
@@ -342,33 +349,37 @@ def dedup(docs: DataFrame, size: int = 100, hot: int = 4096, hot_in_task: int =
     return packed.cogroup(spans).applyInArrow(apply_spans(size, keep_bytes), RESULT)
 
 
-def without_spans(batches):
-    """mapInArrow function: rows with their _spans cut out of text; _cut tells whether there were any."""
-    for b in batches:
-        texts, spans = b.column(b.schema.get_field_index("text")).to_pylist(), b.column(b.schema.get_field_index("_spans")).to_pylist()
-        for i, s in enumerate(spans):
-            if s is not None:
-                raw, kept, at = texts[i].encode(), [], 0
-                for x, y in np.frombuffer(s, "<i8").reshape(-1, 2).tolist():
-                    kept.append(raw[at:x])
-                    at = y
-                texts[i] = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
-        cut_ = pa.array([s is not None for s in spans], pa.bool_())
-        yield b.drop_columns(["_spans", "text"]).append_column("text", pa.array(texts, pa.string())).append_column("_cut", cut_)
+def without_spans(text: str, spans: str, cut: str):
+    """mapInArrow function: rows with their spans cut out of text; ``cut`` tells whether there were any."""
+
+    def run(batches):
+        for b in batches:
+            texts, own = b.column(b.schema.get_field_index(text)).to_pylist(), b.column(b.schema.get_field_index(spans)).to_pylist()
+            for i, s in enumerate(own):
+                if s is not None:
+                    raw, kept, at = texts[i].encode(), [], 0
+                    for x, y in np.frombuffer(s, "<i8").reshape(-1, 2).tolist():
+                        kept.append(raw[at:x])
+                        at = y
+                    texts[i] = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
+            flag = pa.array([s is not None for s in own], pa.bool_())
+            yield b.drop_columns([spans, text]).append_column(text, pa.array(texts, pa.string())).append_column(cut, flag)
+
+    return run
 
 
 def deduped_documents(docs: DataFrame, size: int = 100) -> DataFrame:
     """``docs`` without the removed bytes, with the same columns: text loses them (and what is left of characters that a
     cut splits), n_chars is counted again where there is such a column. Documents that lose all their text go; those
-    that had none stay as they are."""
+    that had none stay as they are. Columns may have any names."""
     from pyspark.sql import types as T
 
-    spans = dedup(docs, size, keep_bytes=True).filter("n_removed > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("spans").alias("_spans")).distinct()
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_sha", F.sha2("text", 256))
-    joined = keyed.join(spans, ["_id", "_sha"], "left").select(*docs.columns, "_spans")
-    rest = [f for f in docs.schema if f.name != "text"]
-    flag = [T.StructField("text", T.StringType()), T.StructField("_cut", T.BooleanType())]
-    out = joined.mapInArrow(without_spans, T.StructType([*rest, *flag])).filter("not _cut or text <> ''")
+    id_, sha, runs, cut = (unused(docs, x) for x in ("id", "sha", "spans", "cut"))
+    spans = dedup(docs, size, keep_bytes=True).filter("n_removed > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(id_), F.col("text_sha256").alias(sha), F.col("spans").alias(runs)).distinct()
+    keyed = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(sha, F.sha2("text", 256))
+    joined = keyed.join(shorter(spans, 200), [id_, sha], "left").select(*docs.columns, runs)
+    flag = [T.StructField("text", T.StringType()), T.StructField(cut, T.BooleanType())]
+    out = joined.mapInArrow(without_spans("text", runs, cut), T.StructType([*(f for f in docs.schema if f.name != "text"), *flag])).filter((~F.col(cut)) | (F.col("text") != ""))
     return out.select(*[F.length("text").cast(f.dataType).alias(f.name) if f.name == "n_chars" else F.col(f.name) for f in docs.schema])
 
 
