@@ -44,7 +44,7 @@ from wayfind.llm.common import LOWER, NO_ID, bucket_ids, by_value, groups, hold,
 by_value(__name__)
 
 ORDER, MASS = 3, 16.0
-BLOCK = 3 << 19  # tokens of a block; one text may have more
+BLOCK = 7 << 18  # tokens of a block; one text may have more
 BUCKET = 1 << 21  # n-grams that a bucket should get
 NAME = 56  # bits of an n-gram's hash
 SEGMENT = 256  # tokens of a text that are traversed on end
@@ -62,7 +62,7 @@ def words_of(text: str | None) -> list[bytes]:
 def planes(a: np.ndarray) -> bytes:
     """An array's first bytes, its second ones and so on, each compressed by itself: small numbers take little."""
     rows = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T)
-    parts = [zstandard.ZstdCompressor(level=1).compress(r.tobytes()) for r in rows]
+    parts = [zstandard.ZstdCompressor(level=3).compress(r.tobytes()) for r in rows]
     return framed(*parts)
 
 
@@ -72,7 +72,7 @@ def unplanes(raw: bytes, kind: str) -> np.ndarray:
 
 
 def text_of(words: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(words))
+    return zstandard.ZstdCompressor(level=6).compress(b"\n".join(words))
 
 
 def words_in(raw: bytes) -> list[bytes]:
@@ -99,7 +99,7 @@ def held_out(doc: int) -> bool:
 
 def blocks(most):
     """mapInArrow function over (doc_id, text): a row (block, blob) for each block. A block's numbers of words follow
-    their frequency; 0 is the end."""
+    their frequency, then their spelling; 0 is the end."""
 
     def run(batches):
         block = TaskContext.get().partitionId() << 32
@@ -109,10 +109,11 @@ def blocks(most):
         def flush():
             nonlocal ids, docs, sizes, tokens, block
             flat = np.concatenate(tokens)
-            often = np.argsort(-np.bincount(flat, minlength=len(ids) + 1)[1:], kind="stable")
+            words = list(ids)
+            spelt = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)  # neighbours compress together
+            often = spelt[np.argsort(-np.bincount(flat, minlength=len(ids) + 1)[1:][spelt], kind="stable")]
             number = np.zeros(len(ids) + 1, np.uint32)
             number[1 + often] = np.arange(1, len(ids) + 1)
-            words = list(ids)
             blob = framed(planes(np.array(docs, np.int64)), planes(np.array(sizes, np.int64)), planes(number[flat]), text_of([b"", *(words[i] for i in often.tolist())]))
             ids, docs, sizes, tokens = {}, [], [], []
             block += 1
@@ -146,11 +147,17 @@ class Block:
         self.place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat(self.begin.astype(np.int32), self.sizes)  # of each token in its text
         self.train = np.repeat([not held_out(d) for d in self.docs.tolist()], self.sizes) if len(self.docs) else np.zeros(0, bool)
         self.word_hash = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
-        self.by_hash = np.argsort(self.word_hash, kind="stable")  # the order in which words are asked for
 
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.tokens[self.train], minlength=len(self.words))
 
+    def by_bucket(self, n: int):
+        """The numbers of the words of each of n buckets, (bucket, numbers), in the order in which they are asked for."""
+        bucket = bucket_of(self.word_hash, n)
+        order = np.argsort(bucket, kind="stable")
+        for k, s in groups(bucket[order]):
+            yield int(k), np.array(sorted(order[s].tolist(), key=self.words.__getitem__), np.int64)
+
     def grams(self, order: int):
         """Of the n-grams of 2 to ``order`` tokens, for each length: the sorted hashes, for each of them a place of its last
         token, and for each token the number of the n-gram that ends there (-1: none does)."""
@@ -197,8 +204,7 @@ def ask_words(ids):
                 block = Block(blob.as_py())
                 count = block.word_counts()
                 rows = []
-                for k, s in groups(bucket_of(block.word_hash[block.by_hash], len(ids))):
-                    own = block.by_hash[s]
+                for k, own in block.by_bucket(len(ids)):
                     rows.append((int(ids[k]), number, WORDS, framed(np.int64(k).tobytes(), text_of([block.words[i] for i in own.tolist()]), planes(count[own]))))
                 yield keyed_rows(ASKED, rows)
 
@@ -382,17 +388,18 @@ class Automaton:
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(order, mass, segment, tokens, types, n_grams):
+def scores(order, mass, segment, tokens, types, n_words, n_grams):
     """mapInArrow function over blocks and the answers to them, sorted by block: a RESULT row for each text.
-    n_grams: number of the buckets for n-grams."""
+    n_words, n_grams: numbers of the buckets for words and n-grams."""
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = [c.split()[0] for c in RESULT.split(", ")]
 
     def one(rows):
         block = next(Block(blob) for _, kind, blob in rows if kind == DOCS)
-        answers = lambda kind: sorted((int(np.frombuffer(x[0], np.int64)[0]), unplanes(x[1], "<i8")) for x in (unframed(blob) for _, k, blob in rows if k == kind))
+        answers = lambda kind: sorted(((int(np.frombuffer(x[0], np.int64)[0]), unplanes(x[1], "<i8")) for x in (unframed(blob) for _, k, blob in rows if k == kind)), key=lambda x: x[0])
         words = np.zeros(len(block.words), np.int64)
-        words[block.by_hash] = np.concatenate([count for _, count in sorted(answers(WORDS), key=lambda x: x[0])])
+        for (_, own), (_, count) in zip(block.by_bucket(n_words), answers(WORDS), strict=True):
+            words[own] = count
         grams = block.grams(order)
         cut = [edges(name, n_grams) for name, _, _ in grams]
         parts: list[list] = [[] for _ in cut]
@@ -443,7 +450,7 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, block: int =
     grams = dealt(held.mapInArrow(trimmed(ask_grams(order, bucket_ids(p, n))), ASKED_SQL), "bucket").mapInArrow(trimmed(by_bucket(add_grams, ASKED)), ASKED_SQL)
     texts = held.select(F.lit(-1).alias("bucket"), "block", F.lit(DOCS).alias("kind"), "blob")
     all_ = texts.unionByName(words.select("bucket", "block", "kind", "blob")).unionByName(grams)
-    return dealt(all_, "block").mapInArrow(trimmed(scores(order, mass, segment, int(tokens), int(types), n)), RESULT)
+    return dealt(all_, "block").mapInArrow(trimmed(scores(order, mass, segment, int(tokens), int(types), p, n)), RESULT)
 
 
 def op5_lm_scoring(spark, sf_dir):
