@@ -1,15 +1,21 @@
 """License scans: exact phrases, and a fuzzy search for short notices.
 
 A text is scanned as its lower-cased words with one space between them. A notice of n characters may be met with
-``n // every`` edits (insertions, deletions, replacements). Cut into one piece more than that, it keeps at least one
-piece unchanged in every such occurrence; one pass of an automaton over the text finds all pieces, each of which marks
-the only stretch that the occurrence can lie in. There the regex library's bounded-error matching decides and gives the
-span and the number of edits. Nothing is missed, and texts without a piece cost one pass.
+``n // every`` edits (insertions, deletions, replacements); an occurrence begins and ends with whole words. Cut into one
+piece more than that, the notice keeps at least one piece unchanged in every occurrence; one pass of an automaton over
+the text finds all pieces, each of which marks the only stretch that the occurrence can lie in. A stretch goes on only if it
+holds enough of the notice's half pieces, of which an occurrence can break no more than one for each edit. There the regex
+library's bounded-error matching decides and gives the span and the number of edits.
+
+Of each notice the spans reported are those that a choice by fewest edits, then by place, makes among all its occurrences,
+leaving out what overlaps one chosen before; so a worse occurrence beside a better one is reported too.
 
 Null texts are empty: no words, no labels (an empty string), a score of zero. Texts of any length are scanned whole.
 doc_id is passed through; repeated rows get a row each; other columns are ignored; an empty table gives an empty result.
 """
 
+from bisect import bisect
+
 import ahocorasick
 import pyarrow as pa
 import regex
@@ -52,13 +58,14 @@ COLUMNS = "doc_id long, n_words long, n_base long, first_word long, last_word lo
 class Scanner:
     def __init__(self, phrases: dict[str, str], notices: dict[str, str], every: int):
         self.phrases = [(f" {p} ", label) for p, label in phrases.items()]
-        self.notices = []
+        self.notices, self.halves = [], []
         seeds: dict[str, list] = {}
         for n, (notice, label) in enumerate(notices.items()):
             edits = len(notice) // every
             self.notices.append((notice, label, edits, regex.compile(f"(?b)(?:{regex.escape(notice, special_only=True)}){{e<={edits}}}")))
-            cut = [len(notice) * k // (edits + 1) for k in range(edits + 2)]
-            for a, b in zip(cut, cut[1:]):  # noqa: B905
+            cut = [len(notice) * k // (2 * edits + 2) for k in range(2 * edits + 3)]
+            self.halves.append([notice[a:b] for a, b in zip(cut, cut[1:])])  # noqa: B905
+            for a, b in zip(cut[::2], cut[2::2]):  # noqa: B905
                 seeds.setdefault(notice[a:b], []).append((n, a))
         self.seeds = ahocorasick.Automaton()
         for piece, where in seeds.items():
@@ -73,24 +80,41 @@ class Scanner:
                 yield line.count(" ", 0, at + 1) - 1, label
                 at = line.find(phrase, at + 1)
 
-    def found(self, line: str):
-        """(notice, start, end, edits) of the notices in a text, by bounded-error matching around their pieces."""
-        near: dict[int, list] = {}
+    def stretches(self, line: str) -> dict[int, list[tuple[int, int]]]:
+        """By notice the stretches of a text in which it may occur."""
+        near: dict[int, set] = {}
         for last, (size, where) in self.seeds.iter(line):
             for n, offset in where:
                 notice, _, edits, _ = self.notices[n]
-                a = last + 1 - size - offset
-                a, b = max(0, a - edits), min(len(line), a + len(notice) + edits)
-                spans = near.setdefault(n, [])
-                if spans and a <= spans[-1][1]:
-                    spans[-1][0], spans[-1][1] = min(a, spans[-1][0]), max(b, spans[-1][1])
-                else:
-                    spans.append([a, b])
-        for n, spans in sorted(near.items()):
-            for a, b in spans:
-                while m := self.notices[n][3].search(line, a, b):
-                    yield n, m.start(), m.end(), sum(m.fuzzy_counts)
-                    a = max(m.end(), m.start() + 1)
+                a = last + 1 - size - offset  # where the notice would begin; a space stands on both sides of it
+                near.setdefault(n, set()).add((max(0, a - edits - 1), min(len(line), a + len(notice) + edits + 1)))
+        return {n: own for n, spans in sorted(near.items()) if (own := sorted(x for x in spans if self.enough(n, line[x[0] : x[1]])))}
+
+    def enough(self, n: int, stretch: str) -> bool:
+        halves = self.halves[n]
+        return sum(map(stretch.__contains__, halves)) >= len(halves) - self.notices[n][2]
+
+    def occurrences(self, n: int, line: str, a: int, b: int):
+        """(edits, start, end) of the notice's occurrences in a stretch: each run of its whole words with a possible length."""
+        notice, _, edits, pattern = self.notices[n]
+        spaces = [i for i in range(a, b) if line[i] == " "]
+        for k, before in enumerate(spaces):
+            for after in spaces[k + 1 :]:
+                size = after - before - 1
+                if size > len(notice) + edits:
+                    break
+                if size >= len(notice) - edits and self.enough(n, line[before + 1 : after]) and (m := pattern.fullmatch(line, before + 1, after)):
+                    yield sum(m.fuzzy_counts), before + 1, after
+
+    def found(self, line: str):
+        """(notice, start, end, edits) of the notices in a text."""
+        for n, stretches in self.stretches(line).items():
+            taken: list[tuple[int, int, int]] = []
+            for edits, a, b in sorted({x for stretch in stretches for x in self.occurrences(n, line, *stretch)}):
+                i = bisect(taken, (a, b, 0))
+                if not (i and taken[i - 1][1] > a or i < len(taken) and taken[i][0] < b):
+                    taken.insert(i, (a, b, edits))
+            yield from ((n, *span) for span in taken)
 
     def scan(self, text: str):
         words = text.encode().translate(WORDS).split()
@@ -128,4 +152,5 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
 
 
 def op1_license_scan(spark, sf_dir):
-    return scan(table(spark, sf_dir, "documents")).drop("matches")
+    """The digest columns, and the spans of all notices as JSON."""
+    return scan(table(spark, sf_dir, "documents")).withColumn("matches", F.to_json("matches"))
