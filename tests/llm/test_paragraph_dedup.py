@@ -53,8 +53,11 @@ def corpus(seed):
 
 def result(spark, rows, **more):
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, part int").repartition(4)
-    got = P.repeats(df, windows=False, **more).collect()
-    out = {(r.doc_id, r.paragraph): (r.first_doc_id, r.first_paragraph, r.n_members, r.kept) for r in got}
+    got = P.repeats(df, **more).collect()
+    place = lambda d, line: sum(len(x.split()) for x in (dict(rows)[d] or "").split("\n")[:line])
+    lines = {(d, place(d, i)): i for d, t in rows for i, x in enumerate((t or "").split("\n")) if x.split()}
+    assert all(lines[r.doc_id, r.number] == r.paragraph for r in got)
+    out = {(r.doc_id, r.paragraph): (r.first_doc_id, lines[r.first_doc_id, r.first_number], r.n_members, r.kept) for r in got}
     assert len(out) == len(got)
     return out
 
@@ -84,6 +87,6 @@ def test_one_doc_id_with_several_texts_and_a_very_long_text(spark):
     line = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
     texts = [line(30) for _ in range(50)]
     rows = [(None, t) for t in texts] + [(1, line(199_000) + "\n" + "\n".join(texts[:10]))]
-    got = P.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), windows=False).collect()
+    got = P.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert len({(g.first_doc_id, g.first_part) for g in got}) == 10
     assert sorted((g.doc_id or 0, g.kept, g.n_members) for g in got) == [(0, True, 2)] * 10 + [(1, False, 2)] * 10

@@ -16,11 +16,12 @@ def test_any_shared_fifty_words_are_found_wherever_lines_end(spark, tmp_path):
     rows += [(d, " ".join(words(60)) + "\n" + " ".join(short) + "\n" + " ".join(words(60) + passage + words(60))) for d in range(100, 130)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     got = P.op9_paragraph_dedup(spark, str(tmp_path)).collect()
-    texts = {d: [line.lower().split() for line in text.split("\n")] for d, text in rows}
-    after = lambda d, line, word, n: (texts[d][line][word:] + [w for x in texts[d][line + 1 :] for w in x])[:n]
+    texts = {d: text.lower().split() for d, text in rows}
+    lines = {d: [i for i, line in enumerate(text.split("\n")) for _ in line.split()] for d, text in rows}
     assert {g.doc_id for g in got} == set(range(80))
     for g in got:
-        assert after(g.doc_id, g.paragraph, g.first_word, g.n_words) == after(g.first_doc_id, g.first_paragraph, g.first_first_word, g.n_words)
+        assert texts[g.doc_id][g.first_word :][: g.n_words] == texts[g.first_doc_id][g.first_first_word :][: g.n_words]
+        assert lines[g.doc_id][g.first_word] == g.paragraph
         assert (g.first_doc_id, g.n_members, g.kept) == (g.doc_id // 2 * 2, 2, g.doc_id % 2 == 0)
 
 
@@ -39,3 +40,30 @@ def test_anchors_against_their_definition():
                 run = range(a, a + P.PASSAGE - P.WINDOW + 1)
                 want |= {i for i in run if five[i] == min(five[j] for j in run)}
         assert got == want
+
+
+def test_windows_against_all_windows(spark, monkeypatch):
+    """Repeated windows, also within a text, and ones that a large part of all texts share; small blocks and buckets."""
+    r = random.Random(3)
+    words = lambda n: [f"w{r.randint(0, 9999)}" for _ in range(n)]
+    hot, other = words(70), words(60)
+    rows = [(None, " ".join(hot)), (1, None), (2, ""), (3, " ".join(other * 3)), (3, " ".join(hot)), (3, " ".join(hot))]
+    rows += [(d, " ".join(words(r.randint(0, 80)) + r.choice([hot, other[5:], []]) + words(r.randint(0, 9)))) for d in range(10, 90)]
+    rows += [(200, " ".join(words(30_000) + hot))]
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, block int, kind int").repartition(5)
+    for size in (1 << 19, 40):
+        monkeypatch.setattr(P, "HELD", size)
+        monkeypatch.setattr(P, "BUCKET", size)
+        got = sorted(((g.doc_id or 0, g.part, g.number), (g.first_doc_id or 0, g.first_part, g.first_number), g.n_members, g.kept) for g in P.windows(df).collect())
+        import hashlib
+
+        parts = {t: i for i, t in enumerate(sorted({t for d, t in rows if d == 3}, key=lambda t: hashlib.md5(t.encode()).hexdigest()))}
+        occurs = {}
+        for d, t in rows:  # rows that agree in both give rows of their own
+            w = (t or "").split()
+            h = np.array([P.xxhash.xxh64_intdigest(x.encode()) for x in w], np.uint64)
+            for a in P.anchors(h, np.array([len(w)])).tolist() if w else ():
+                occurs.setdefault(tuple(w[a : a + 25]), []).append((d or 0, parts[t] if d == 3 else 0, a))
+        want = sorted((o, min(own), len(own), o == min(own)) for own in occurs.values() if len(own) > 1 for o in own)
+        assert len(want) > 100 and got == want
+    assert P.windows(df.limit(0)).count() == 0

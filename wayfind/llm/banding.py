@@ -76,7 +76,7 @@ def tune_bands(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
 
 def whole(text: bytes):
     """A whole text as its only paragraph, number 0, with words or without."""
-    yield 0, 0, 0, text.translate(LOWER).split()
+    yield 0, 0, text.translate(LOWER).split()
 
 
 def name_of(words: list[bytes]) -> tuple[int, int]:
@@ -155,7 +155,7 @@ def cells(cut, bands, rows, ids, radius):
             return keyed_rows(ROWS, deal(arrays[0], arrays, ids))
 
         for d, part, t in texts_of(batches):
-            for i, _, _, words in cut(t):
+            for i, _, words in cut(t):
                 name = name_of(words)
                 if words and name not in seen:
                     seen.add(name)
@@ -252,7 +252,7 @@ def sets(cut, ids):
         own: dict[tuple, np.ndarray] = {}
         for d, p, t in unpack_docs(docs.column("blob").to_pylist()):
             if mine := wanted.pop((d, p), None):
-                own.update(((d, (p << PART) + i), np.unique(shingle_hashes([words])[0])) for i, _, _, words in cut(t) if (p << PART) + i in mine)
+                own.update(((d, (p << PART) + i), np.unique(shingle_hashes([words])[0])) for i, _, words in cut(t) if (p << PART) + i in mine)
         bucket = spread(key, ids)
         order = np.argsort(bucket, kind="stable")
         rows = []
@@ -375,43 +375,41 @@ def verified(threshold, radius):
     return run
 
 
-OCCURRENCES = "p1 long, p2 long, doc_id long, place long, line long, first_word long, n_words long"
+OCCURRENCES = "p1 long, p2 long, doc_id long, place long, line long, n_words long"
 
 
-def named(cut):
-    """Of rows (doc_id, part, text) the arrays of OCCURRENCES, for the units that ``cut`` gives."""
-
-    def run(rows):
-        found = [(*name_of(words), d, (part << PART) + i, line, first, len(words)) for d, part, t in rows for i, line, first, words in cut(t)]
-        columns = list(zip(*found, strict=True)) or [()] * 7
-        return [np.array(c, np.uint64).view(np.int64) for c in columns[:2]] + [np.array(c, np.int64) for c in columns[2:]]
-
-    return run
+def occurrences(cut):
+    """mapInArrow function: OCCURRENCES of the units that ``cut`` gives."""
 
+    def run(batches):
+        rows = []
 
-def occurrences(name):
-    """mapInArrow function: OCCURRENCES of the units that ``name`` finds in some rows at once."""
-    names = [c.split()[0] for c in OCCURRENCES.split(", ")]
+        def batch():
+            names = (np.array([r[k] for r in rows], np.uint64).view(np.int64) for k in (0, 1))
+            out = pa.RecordBatch.from_arrays([*map(pa.array, names), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(2, 6))], [c.split()[0] for c in OCCURRENCES.split(", ")])
+            rows.clear()
+            return out
 
-    def run(batches):
-        rows, size = [], 0
-        for row in texts_of(batches):
-            rows.append(row)
-            size += len(row[2])
-            if size > STEP:
-                yield pa.RecordBatch.from_arrays([*map(pa.array, name(rows))], names)
-                rows, size = [], 0
+        for d, part, t in texts_of(batches):
+            for i, line, words in cut(t):
+                rows.append((*name_of(words), d, (part << PART) + i, line, len(words)))
+            if len(rows) > 20_000:
+                yield batch()
         if rows:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, name(rows))], names)
+            yield batch()
 
     return run
 
 
-def repeats(docs: DataFrame, cut, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK, radius: int | None = None, name=None) -> DataFrame:
-    """(doc_id, part, paragraph, n_words, first_doc_id, first_part, first_paragraph, n_members, kept, first_word, first_first_word) of
-    each unit (line, and word in it, from 0) whose class has more than one occurrence. Documents: (doc_id, text). cut: a
-    function that gives a text's units, (number, line, first word in the line, words) each. name: one that gives OCCURRENCES
-    of these units and of others, which are matched by equality alone."""
+def clean(c):
+    """A doc_id without the stand-in for null."""
+    return F.nullif(F.col(c), F.lit(NO_ID))
+
+
+def repeats(docs: DataFrame, cut, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK, radius: int | None = None) -> DataFrame:
+    """(doc_id, part, number, paragraph, n_words, first_doc_id, first_part, first_number, n_members, kept) of each unit whose
+    class has more than one occurrence. Documents: (doc_id, text). cut: a function that gives a text's units, (number, line,
+    words) each; paragraph is the line."""
     spark = docs.sparkSession
     p = partitions(spark)
     ids = bucket_ids(p)
@@ -422,18 +420,17 @@ def repeats(docs: DataFrame, cut, threshold: float = THRESHOLD, recall: float =
     found = packed.cogroup(asked.repartition(p, "bucket").groupBy("bucket")).applyInArrow(sets(cut, ids), ROWS_SQL)
     joined = components(found.repartition(p, "bucket").mapInArrow(trimmed(verified(threshold, radius)), "a long, b long"))
     root = joined.unionByName(joined.select(F.col("component").alias("vertex"), "component").distinct())
-    all_ = hold(rows.mapInArrow(trimmed(occurrences(name or named(cut))), OCCURRENCES))
+    all_ = hold(rows.mapInArrow(trimmed(occurrences(cut)), OCCURRENCES))
     all_.count()  # else several stages that run together would each make what they don't find yet
-    names = all_.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place", "line", "first_word")).alias("first"))
+    names = all_.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
     classes = hold(names.join(root, names.p1 == F.col("vertex"), "left").filter("n > 1 or component is not null").select("p1", "p2", "n", "first", F.coalesce("component", "p1").alias("c1"), F.when(F.col("component").isNull(), F.col("p2")).otherwise(0).alias("c2")))
     whole = classes.groupBy("c1", "c2").agg(F.sum("n").alias("n_members"), F.min("first").alias("first"))
     # The keys are written anew, so that both sides are exchanged and a hot class can be split.
     whole = whole.select(*[F.col(c).bitwiseXOR(F.lit(0).cast("long")).alias(c) for c in ("c1", "c2")], "n_members", "first")
     each = classes.drop("n", "first").join(whole, ["c1", "c2"]).select("p1", "p2", "n_members", "first")
-    clean = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
+    number = lambda c: F.col(c).bitwiseAND((1 << PART) - 1)
     return all_.join(each, ["p1", "p2"]).select(
-        clean("doc_id").alias("doc_id"), F.shiftright("place", PART).alias("part"), F.col("line").alias("paragraph"), "n_words",
-        clean("first.doc_id").alias("first_doc_id"), F.shiftright("first.place", PART).alias("first_part"), F.col("first.line").alias("first_paragraph"),
+        clean("doc_id").alias("doc_id"), F.shiftright("place", PART).alias("part"), number("place").alias("number"), F.col("line").alias("paragraph"), "n_words",
+        clean("first.doc_id").alias("first_doc_id"), F.shiftright("first.place", PART).alias("first_part"), number("first.place").alias("first_number"),
         F.col("n_members"), (F.struct("doc_id", "place") == F.struct("first.doc_id", "first.place")).alias("kept"),
-        "first_word", F.col("first.first_word").alias("first_first_word"),
     )

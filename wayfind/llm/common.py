@@ -289,3 +289,57 @@ def unpack_docs(blobs):
 
 def keyed_rows(schema: pa.Schema, rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def planes(a: np.ndarray) -> bytes:
+    """An array's first bytes, its second ones and so on, each compressed by itself: small numbers take little."""
+    rows = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T)
+    parts = [zstandard.ZstdCompressor(level=3).compress(r.tobytes()) for r in rows]
+    return framed(*parts)
+
+
+def unplanes(raw: bytes, kind: str) -> np.ndarray:
+    rows = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in unframed(raw)]
+    return np.ascontiguousarray(np.stack(rows, 1)).reshape(-1).view(kind)
+
+
+def framed(*parts: bytes) -> bytes:
+    """Byte strings on end, with their lengths."""
+    return np.array([len(parts), *map(len, parts)], np.uint32).tobytes() + b"".join(parts)
+
+
+def unframed(raw: bytes) -> list[bytes]:
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    at, out = 4 * (n + 1), []
+    for size in np.frombuffer(raw, np.uint32, n, 4).tolist():
+        out.append(raw[at : at + size])
+        at += size
+    return out
+
+
+def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    """0 to n - 1, which rises with the hash."""
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def edges(name: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the n buckets begins in sorted hashes, and the end."""
+    return np.searchsorted(bucket_of(name, n), np.arange(n + 1))
+
+
+def by_bucket(answer, schema):
+    """mapInArrow function over rows sorted by their first column: ``answer`` gets the rows of one bucket at a time."""
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != now and held:
+                    yield keyed_rows(schema, answer(held))
+                    held = []
+                now = row[0]
+                held.append(row)
+        if held:
+            yield keyed_rows(schema, answer(held))
+
+    return run

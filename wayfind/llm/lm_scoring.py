@@ -39,7 +39,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm.cells import mix
-from wayfind.llm.common import LOWER, NO_ID, bucket_ids, by_value, groups, hold, keyed_rows, partitions, table, trim, trimmed
+from wayfind.llm.common import (
+    LOWER,
+    NO_ID,
+    bucket_ids,
+    bucket_of,
+    by_bucket,
+    by_value,
+    edges,
+    framed,
+    groups,
+    hold,
+    keyed_rows,
+    partitions,
+    planes,
+    table,
+    trim,
+    trimmed,
+    unframed,
+    unplanes,
+)
 
 by_value(__name__)
 
@@ -59,18 +78,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()
 
 
-def planes(a: np.ndarray) -> bytes:
-    """An array's first bytes, its second ones and so on, each compressed by itself: small numbers take little."""
-    rows = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T)
-    parts = [zstandard.ZstdCompressor(level=3).compress(r.tobytes()) for r in rows]
-    return framed(*parts)
-
-
-def unplanes(raw: bytes, kind: str) -> np.ndarray:
-    rows = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in unframed(raw)]
-    return np.ascontiguousarray(np.stack(rows, 1)).reshape(-1).view(kind)
-
-
 def text_of(words: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=6).compress(b"\n".join(words))
 
@@ -79,20 +86,6 @@ def words_in(raw: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(raw).split(b"\n")
 
 
-def framed(*parts: bytes) -> bytes:
-    """Byte strings on end, with their lengths."""
-    return np.array([len(parts), *map(len, parts)], np.uint32).tobytes() + b"".join(parts)
-
-
-def unframed(raw: bytes) -> list[bytes]:
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    at, out = 4 * (n + 1), []
-    for size in np.frombuffer(raw, np.uint32, n, 4).tolist():
-        out.append(raw[at : at + size])
-        at += size
-    return out
-
-
 def held_out(doc: int) -> bool:
     return doc == NO_ID or zlib.crc32(str(doc).encode()) % 10 == 0
 
@@ -190,11 +183,6 @@ def joined(history: np.ndarray, token: np.ndarray) -> np.ndarray:
         return mix(history + token) >> np.uint64(64 - NAME) << np.uint64(64 - NAME)
 
 
-def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    """0 to n - 1, which rises with the hash."""
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def ask_words(ids):
     """mapInArrow function over blocks: their words and training counts, by bucket."""
 
@@ -211,24 +199,6 @@ def ask_words(ids):
     return run
 
 
-def by_bucket(answer, schema):
-    """mapInArrow function over rows sorted by their first column: ``answer`` gets the rows of one bucket at a time."""
-
-    def run(batches):
-        now, held = None, []
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[0] != now and held:
-                    yield keyed_rows(schema, answer(held))
-                    held = []
-                now = row[0]
-                held.append(row)
-        if held:
-            yield keyed_rows(schema, answer(held))
-
-    return run
-
-
 def add_words(rows):
     """Of one bucket's questions the answers; the first row also has the bucket's types and tokens."""
     total: dict[bytes, int] = {}
@@ -264,11 +234,6 @@ def ask_grams(order, ids):
     return run
 
 
-def edges(name: np.ndarray, n: int) -> np.ndarray:
-    """Where each of the n buckets begins in sorted hashes, and the end."""
-    return np.searchsorted(bucket_of(name, n), np.arange(n + 1))
-
-
 def add_grams(rows):
     """Of one bucket's questions the answers: the sums of the counts, in the order asked."""
     names, counts, sizes, heads = [], [], [], []
