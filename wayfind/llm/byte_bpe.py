@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with two-tier lookup.
 
-Tier one: a minimal perfect hash over the vocabulary gives each pre-token one slot, and a comparison with the slot's
-token tells whether it is that token. Tier two, for the others: bytes in a linked list, with the merges that are
+Tier one: a minimal perfect hash over the vocabulary gives each pre-token one slot, which holds a token and its id; a
+comparison with that token tells whether the pre-token is it. Tier two, for the others: bytes in a linked list, with the merges that are
 possible in a heap by (rank, place); an entry that a merge has outdated is skipped. That is O(n log n) for a pre-token
 of any length. Pre-tokens already met are remembered, up to a fixed number of them, which changes no result.
 
@@ -73,9 +73,9 @@ class BPE:
         keys = list(self.ranks)
         hashes = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
         self.hash = PerfectHash(hashes)
-        self.slots: list = [b""] * len(keys)
+        self.slots: list = [(b"", b"")] * len(keys)  # by the hash's number: the token, and its packed id
         for k, i in zip(keys, self.hash(hashes).tolist(), strict=True):
-            self.slots[i] = k
+            self.slots[i] = k, struct.pack("<I", self.ranks[k])
         self.known: dict[str, bytes] = {}
 
     def merged(self, piece: bytes) -> list[int]:
@@ -107,11 +107,10 @@ class BPE:
         """Ids of pre-tokens that aren't remembered."""
         raw = [p.encode() for p in pieces]
         slots = self.hash(np.array([xxhash.xxh64_intdigest(b) for b in raw], np.uint64)).tolist()
-        ranks, tokens, merged, pack = self.ranks, self.slots, self.merged, struct.pack
         out = {}
         for p, b, s in zip(pieces, raw, slots, strict=True):
-            ids = (ranks[b],) if s >= 0 and tokens[s] == b else merged(b)
-            out[p] = pack(f"<{len(ids)}I", *ids)
+            token, packed = self.slots[s]  # -1 is the last slot, whose token differs too
+            out[p] = packed if token == b else struct.pack(f"<{len(ids := self.merged(b))}I", *ids)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
