@@ -4,9 +4,10 @@ An event inserts a document's count, deletes it, or revises it; it is signed, as
 batch of events is summed by key, with partial sums before the shuffle, so a source with a third of all rows is one row
 of each task. Totals are additive: they are the sums of the committed batches, and no document is read again.
 
-A batch is committed once: its sums are written beside their place and renamed to ``batch=<id>``, which either happens
-or doesn't. Committing an id again, after a retry or a replay, changes nothing. Compaction folds the batches that exist
-into one snapshot that names them; a reader uses the latest snapshot and the batches that it doesn't name.
+A batch is committed once: its sums are written to a folder of their own, and a file that names this folder is renamed to
+``batch=<id>``, which either happens or doesn't. Committing an id again, after a retry or a replay, changes nothing.
+Compaction folds the batches of one listing into a snapshot that names them; a reader uses the latest snapshot and the
+batches that it doesn't name.
 
 Null keys form a group of their own. A null text has no tokens. Counts that are null count as zero. Events of an unknown
 kind fail the batch before anything is committed. Repeated rows are events of their own. Other columns are ignored; an
@@ -47,69 +48,91 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in ``folder``, a path that executors share."""
+    """Totals in ``folder``, a path that executors share. A batch's sums lie in a folder of their own; the file ``batch=<id>``
+    names it. Snapshots lie in folders that files ``snapshot=<number>`` name."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         fs, path = fs_of(spark, folder)
         fs.mkdirs(path)
 
-    def names(self, prefix: str) -> list[str]:
+    def names(self) -> tuple[list[str], str | None]:
+        """One listing: the names of the batches that are there, and of the latest snapshot."""
         fs, path = fs_of(self.spark, self.folder)
-        return sorted(n for s in fs.listStatus(path) if (n := s.getPath().getName()).startswith(prefix) and not n.endswith(".tmp"))
+        found = sorted(s.getPath().getName() for s in fs.listStatus(path))
+        return [n for n in found if n.startswith("batch=")], max((n for n in found if n.startswith("snapshot=")), default=None)
 
-    def put(self, df: DataFrame, name: str) -> bool:
-        """Write and rename; False if the name exists."""
+    def named(self, name: str) -> str:
+        """The folder that a file names."""
+        return f"{self.folder}/{self.spark.read.text(f'{self.folder}/{name}').first()[0]}"
+
+    def put(self, name: str, *rows: tuple[str, DataFrame]) -> bool:
+        """Write the rows to a new folder, and the file ``name`` by one rename; False, and nothing stays, if there is one."""
         fs, final = fs_of(self.spark, f"{self.folder}/{name}")
         if fs.exists(final):
             return False
-        temp = f"{self.folder}/{uuid.uuid4().hex}.tmp"
-        df.write.parquet(temp)
-        if fs.exists(final) or not fs.rename(fs_of(self.spark, temp)[1], final):
-            fs_delete(self.spark, temp)
+        own = f"rows-{uuid.uuid4().hex}"
+        for part, df in rows:
+            df.coalesce(1).write.parquet(f"{self.folder}/{own}/{part}")
+        temp = fs_of(self.spark, f"{self.folder}/{own}.tmp")[1]
+        out = fs.create(temp)
+        out.write(own.encode())
+        out.close()
+        # Renaming a file never moves it into another one, as it would with a folder.
+        if fs.exists(final) or not fs.rename(temp, final):
+            fs_delete(self.spark, f"{self.folder}/{own}.tmp")
+            fs_delete(self.spark, f"{self.folder}/{own}")
             return False
         return True
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Add a batch of events; False, and no change, if the batch is already there."""
-        if f"batch={batch}" in self.names("batch=") or batch in self.folded():
+        found, last = self.names()
+        if f"batch={batch}" in found or self.folded(last, [batch]):
             return False
         is_ = lambda k: (F.col("kind") == k).cast("long")
         known = F.when(F.col("kind").isin("insert", "delete", "revise"), is_("insert") - is_("delete")).otherwise(F.raise_error(F.lit("unknown kind of event")).cast("long"))
         delta = rows.groupBy(*KEYS).agg(F.sum(known).alias("n_docs"), F.sum(F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0))).cast("long").alias("n_tokens"), F.sum(is_("insert")).alias("n_inserts"), F.sum(is_("delete")).alias("n_deletes"), F.sum(is_("revise")).alias("n_revisions"))
-        return self.put(delta.coalesce(1), f"batch={batch}")
-
-    def snapshot(self) -> str | None:
-        return next(reversed(self.names("snapshot=")), None)
+        return self.put(f"batch={batch}", ("sums", delta))
 
-    def folded(self) -> set[str]:
-        last = self.snapshot()
-        if last is None:
+    def folded(self, snapshot: str | None, batches: list[str]) -> set[str]:
+        """Those of the batches that a snapshot holds."""
+        if snapshot is None or not batches:
             return set()
-        return {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.folder}/{last}/batches").collect()}
+        return {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.named(snapshot)}/batches").filter(F.col("batch").isin(batches)).collect()}
 
-    def totals(self) -> DataFrame:
-        """KEYS and SUMS of all committed batches. Keys whose documents are all gone stay, with zeros."""
-        last, done = self.snapshot(), self.folded()
-        paths = [f"{self.folder}/{n}" for n in self.names("batch=") if n.removeprefix("batch=") not in done] + ([f"{self.folder}/{last}/totals"] if last else [])
+    def open_(self, found: list[str], last: str | None) -> list[str]:
+        """Of the batches found those that the snapshot doesn't hold."""
+        ids = [n.removeprefix("batch=") for n in found]
+        done = self.folded(last, ids)
+        return [i for i in ids if i not in done]
+
+    def sums(self, batches: list[str], last: str | None) -> DataFrame:
+        paths = [f"{self.named(f'batch={i}')}/sums" for i in batches] + ([f"{self.named(last)}/sums"] if last else [])
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(*paths).groupBy(*KEYS).agg(*[F.sum(s).alias(s) for s in SUMS])
 
-    def compact(self) -> bool:
-        """Fold the batches into a snapshot and delete them."""
-        done = sorted(self.folded() | {n.removeprefix("batch=") for n in self.names("batch=")})
-        last = self.snapshot()
+    def totals(self) -> DataFrame:
+        """KEYS and SUMS of all committed batches. Keys whose documents are all gone stay, with zeros."""
+        found, last = self.names()
+        return self.sums(self.open_(found, last), last)
+
+    def compact(self, listing: tuple[list[str], str | None] | None = None) -> bool:
+        """Fold the batches of one listing into a snapshot; one that is committed meanwhile is not in the listing, and stays for
+        the next. What the snapshot before it had folded is deleted now, so a reader of that one is not disturbed."""
+        found, last = listing or self.names()
+        new = self.open_(found, last)
         number = int(last.removeprefix("snapshot=")) + 1 if last else 0
-        temp = f"{self.folder}/{uuid.uuid4().hex}.tmp"
-        self.totals().coalesce(1).write.parquet(f"{temp}/totals")
-        self.spark.createDataFrame([(b,) for b in done], "batch string").coalesce(1).write.parquet(f"{temp}/batches")
-        fs, final = fs_of(self.spark, f"{self.folder}/snapshot={number:08d}")
-        if fs.exists(final) or not fs.rename(fs_of(self.spark, temp)[1], final):
-            fs_delete(self.spark, temp)
+        names = self.spark.createDataFrame([(i,) for i in new], "batch string")
+        if last:
+            names = names.unionByName(self.spark.read.schema("batch string").parquet(f"{self.named(last)}/batches"))
+        if not self.put(f"snapshot={number:08d}", ("sums", self.sums(new, last)), ("batches", names)):
             return False
-        for n in [f"batch={b}" for b in done] + ([last] if last else []):
-            fs_delete(self.spark, f"{self.folder}/{n}")
+        for name in [n for n in found if n.removeprefix("batch=") not in new]:
+            own = self.named(name)
+            fs_delete(self.spark, f"{self.folder}/{name}")
+            fs_delete(self.spark, own)
         return True
 
 
