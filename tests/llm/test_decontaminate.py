@@ -61,3 +61,29 @@ def test_against_all_windows(spark):
     assert clean.columns == df.columns
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, *_ in want}
     assert D.contaminated(df.limit(0), bench).count() == 0 and D.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_very_long_texts_long_items_and_repeated_rows(spark):
+    r = random.Random(1)
+    text = lambda n: [f"v{r.randint(0, 99999)}" for _ in range(n)]
+    long_, short = text(20_000), text(30)
+    near = list(long_)
+    near[7], near[15_000] = "changed", "also"
+    items = [(1, " ".join(long_)), (2, " ".join(short)), (2, " ".join(short))]
+    docs = [(1, " ".join(text(100_000) + near + text(999))), (2, " ".join(text(50) + short)), (2, " ".join(text(50) + short)), (3, " ".join(text(100_000))), (4, "the " * 200_000)]
+    df = spark.createDataFrame([(d, t, 0.0, 1) for d, t in docs], "doc_id long, text string, similarity double, first_word int")
+    got = D.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id, x.first_word, x.n_words) for x in got) == [(1, 1, 100_000, 20_000)] + [(2, 2, 50, 30)] * 4
+    assert D.clean_documents(df, spark.createDataFrame(items, "item_id long, text string")).columns == df.columns
+
+
+def test_the_blocks_lists_miss_none_within_the_radius():
+    import numpy as np
+
+    r = random.Random(4)
+    items = [(i, " ".join(f"x{r.randint(0, 50)}" for _ in range(12))) for i in range(200)]
+    index = D.Index(items, D.RADIUS)
+    own = index.near[12][0]
+    prints = own[np.random.RandomState(1).randint(0, 200, 500)] ^ np.array([sum(1 << b for b in r.sample(range(64), r.randint(0, 24))) for _ in range(500)], np.uint64)
+    want = np.argwhere(np.bitwise_count(prints[:, None] ^ own[None]) <= D.RADIUS)
+    assert sorted(zip(*(x.tolist() for x in index.candidates(12, prints)), strict=True)) == sorted(map(tuple, want.tolist()))
