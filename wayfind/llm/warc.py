@@ -1,29 +1,35 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Records are range-partitioned and sorted by page_id. Each range is a shard; a shard's file is closed when its compressed
-size reaches a limit. Headers and digests are made anew from the payload, with a fixed date and record ids that follow
-from page_id and digest, and each record is a gzip member of its own, so equal input gives equal bytes. Ranges come from
-exact quantiles of a histogram of page_id, not from a random sample.
+Records are range-partitioned and sorted by page_id and digest. Each range is a shard; a shard's file is closed when its
+compressed size reaches a limit. Headers and digests are made anew from the payload, with a fixed date and record ids that
+follow from page_id and digest, and each record is a gzip member of its own, so equal input gives equal bytes. Ranges come
+from exact quantiles of a histogram of page_id, not from a random sample; an id with more rows than a range should have (such
+as null) is cut by digest.
 
 Of equal payloads of ``least`` bytes or more, the record with the smallest page_id is the response and the others refer to it.
 Digests are counted with partial aggregation, and only digests that occur twice are joined back, so a payload that a
 third of all pages share is a skewed join of short rows, which adaptive execution splits.
 
 Commit: a task writes each file under a temporary name of its own and renames it when it is complete; attempts of one
-task give the same bytes, so whichever renames last does no harm. The rows about the files become a manifest, which is
-written beside its place and renamed; readers open only what a manifest names. Paths are in a folder that driver and
-executors share, opened by pyarrow's file systems.
+task give the same bytes, so whichever renames last does no harm. Each write has a folder of its own, and the rows about its
+files become a numbered manifest by one rename. Readers open only what the latest manifest names, so until then they see the
+write before; the one before that is deleted. Paths are in a folder that driver and executors share, opened by pyarrow's
+file systems.
 
 Null html is an empty payload. A null page_id comes first and is written as an empty field. Rows that share a page_id
-are records in the order of their digests. Other columns are ignored. An empty table gives a manifest without files.
+are records in the order of their digests. Control characters and spaces of a url are percent-encoded. Other columns are
+ignored. An empty table gives a manifest without files. A payload of any length is one record.
 """
 
 import gzip
 import hashlib
 import io
+import re
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
@@ -36,9 +42,15 @@ by_value(__name__)
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "file string, first_page long, last_page long, n_records long, n_bytes long, sha256 string"
+FILES_REST = [c.split()[0] for c in FILES.split(", ")][1:]
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string"
 
 
+def encoded(url: str) -> str:
+    """A url without what would end its header line."""
+    return "" if url is None else re.sub(r"[\x00-\x20\x7f\x85\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+
+
 def record(page, url, digest, payload, size, refers_to):
     """A record's bytes, compressed."""
     revisit = refers_to is not None
@@ -46,7 +58,7 @@ def record(page, url, digest, payload, size, refers_to):
     block = http if revisit else http + payload
     own = uuid.uuid5(uuid.NAMESPACE_URL, f"{page}/{digest}")
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{own}>", f"WARC-Date: {DATE}"]
-    lines += [f"WARC-Target-URI: {url}"] * bool(url) + [f"X-Page-ID: {'' if page == NO_ID else page}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}"]
+    lines += [f"WARC-Target-URI: {encoded(url)}"] * bool(url) + [f"X-Page-ID: {'' if page == NO_ID else page}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}"]
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers_to}/{digest}')}>", f"X-Refers-To-Page: {'' if refers_to == NO_ID else refers_to}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -168,14 +180,15 @@ class Counted(io.RawIOBase):
         return len(data)
 
 
-def ranges(ids: DataFrame, n: int) -> list[int]:
-    """At most n - 1 bounds that cut page_id into ranges with about as many rows each. They come from exact counts of
-    equal intervals; an interval with more rows than a range should have is cut again, down to pairs of ids."""
+def ranges(ids: DataFrame, n: int) -> list[tuple[int, str]]:
+    """Bounds (page_id, digest) that cut rows (page_id, digest) into about n ranges with about as many rows each. They come
+    from exact counts of equal intervals; an interval with more rows than a range should have is cut again, down to pairs
+    of ids, and these, like the rows without an id, into equal parts of the digests."""
+    nulls = ids.filter(F.col("page_id") == NO_ID).count()
     ids = ids.filter(F.col("page_id") != NO_ID).select(F.shiftright("page_id", 1).alias("page_id"))  # differences fit a long
     low, high, rows = ids.agg(F.min("page_id"), F.max("page_id"), F.count("page_id")).first()
-    if not rows:
-        return []
-    most, open_, done = -(-rows // n), [(low, high + 1)], []
+    most, open_, done = -(-(rows + nulls) // n), [(low, high + 1)] if rows else [], []
+    digests = lambda c: [f"{0xFFFFFFFF * i // parts:08x}" for i in range(1, parts)] if (parts := -(-c // max(1, most))) > 1 else []
     while open_:
         parts = max(2, max(4096, 8 * n) // len(open_))
         cut = F.lit(None).cast("long")
@@ -192,21 +205,38 @@ def ranges(ids: DataFrame, n: int) -> list[int]:
             else:
                 done.append((k, c))
         open_ = more
-    bounds, held = [], 0
+    bounds, held = [(NO_ID, d) for d in digests(nulls)], nulls
     for k, c in sorted(done):
-        if held and held + c > most and len(bounds) < n - 1:
-            bounds.append(2 * k)
+        if held and held + c > most:
+            bounds.append((2 * k, ""))
             held = 0
         held += c
+        if c > most:
+            bounds += [(2 * k, d) for d in digests(c)] + [(2 * k + 1, d) for d in ["", *digests(c)]]
     return bounds
 
 
-def placed(bounds: list[int], values: list[int]):
-    """Column: values[i] where page_id lies in the i-th range, by a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(values[0])
-    m = len(bounds) // 2
-    return F.when(F.col("page_id") < bounds[m], placed(bounds[:m], values[: m + 1])).otherwise(placed(bounds[m + 1 :], values[m + 1 :]))
+def range_of(bounds: list[tuple[int, str]], names: list[int]):
+    """Column function: names[i] of the i-th range, in which (page_id, digest) lies."""
+    pages = np.array([p for p, _ in bounds], np.int64)
+    cut = {p: np.array([d for q, d in bounds if q == p]) for p in {q for q, d in bounds if d}}
+    name = np.array(names, np.int32)
+
+    @F.pandas_udf("int")
+    def of(page: pd.Series, digest: pd.Series) -> pd.Series:
+        page = page.to_numpy()
+        at = np.searchsorted(pages, page, side="right")
+        for p, digests in cut.items():
+            own = page == p
+            at[own] = np.searchsorted(pages, p) + np.searchsorted(digests, digest.to_numpy(dtype=str)[own], side="right")
+        return pd.Series(name[at])
+
+    return of("page_id", "digest")
+
+
+def manifests(spark, folder: str) -> list[str]:
+    fs, root = fs_of(spark, folder)
+    return sorted(n for s in fs.listStatus(root) if (n := s.getPath().getName()).startswith("manifest-") and not n.endswith(".tmp")) if fs.exists(root) else []
 
 
 def write(pages: DataFrame, folder: str, least: int = 100, roll: int = 256 << 20, shards: int | None = None) -> str:
@@ -222,22 +252,28 @@ def write(pages: DataFrame, folder: str, least: int = 100, roll: int = 256 << 20
     verdicts = long_.join(again, "digest").select("page_id", "digest", F.lit(False).alias("is_page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first")
     both = verdicts.unionByName(rows.select("page_id", "digest", F.lit(True).alias("is_page"), "url", "html", F.lit(None).cast("long").alias("first")))
     bounds = ranges(short, n)
-    ids = bucket_ids(n).tolist()
-    dealt = both.select(placed(bounds, ids[: len(bounds) + 1]).alias("shard"), "*").repartition(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "is_page")
-    files = dealt.mapInArrow(writer(folder, roll, {k: i for i, k in enumerate(ids)}), FILES)
+    ids = bucket_ids(n, len(bounds) + 1).reshape(n, -1).T.ravel().tolist()  # ranges go round the partitions
     fs, root = fs_of(spark, folder)
     fs.mkdirs(root)
-    temp, final = f"{folder}/manifest-{uuid.uuid4().hex}.tmp", f"{folder}/manifest"
-    files.repartition(max(1, n // 64)).sortWithinPartitions("file").write.json(temp)
-    fs_delete(spark, final)
+    before = manifests(spark, folder)
+    number = int(before[-1].split("-")[1]) + 1 if before else 0
+    own = f"{number:08d}-{uuid.uuid4().hex}"
+    fs.mkdirs(fs_of(spark, f"{folder}/files-{own}")[1])
+    dealt = both.select(range_of(bounds, ids[: len(bounds) + 1]).alias("shard"), "*").repartition(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "is_page")
+    files = dealt.mapInArrow(writer(f"{folder}/files-{own}", roll, {k: i for i, k in enumerate(ids)}), FILES)
+    temp, final = f"{folder}/manifest-{own}.tmp", f"{folder}/manifest-{own}"
+    files.select(F.concat(F.lit(f"files-{own}/"), "file").alias("file"), *FILES_REST).repartition(max(1, n // 64)).sortWithinPartitions("file").write.json(temp)
     if not fs.rename(fs_of(spark, temp)[1], fs_of(spark, final)[1]):
         raise OSError(f"{final} can't be committed")
+    for old in before[:-1]:
+        fs_delete(spark, f"{folder}/{old}")
+        fs_delete(spark, f"{folder}/{old.replace('manifest-', 'files-', 1)}")
     return final
 
 
 def read(spark, folder: str) -> DataFrame:
-    """RECORDS of the archives in ``folder`` that its manifest names; wrong digests, lengths or counts raise."""
-    files = spark.read.schema(FILES).json(f"{folder}/manifest").select("file", "n_records", "n_bytes", "sha256")
+    """RECORDS of the archives in ``folder`` that its latest manifest names; wrong digests, lengths or counts raise."""
+    files = spark.read.schema(FILES).json(f"{folder}/{manifests(spark, folder)[-1]}").select("file", "n_records", "n_bytes", "sha256")
     return files.repartition(partitions(spark), "file").mapInArrow(reader(folder), RECORDS)
 
 
@@ -245,3 +281,19 @@ def op6_warc(spark, sf_dir):
     folder = shared(spark, "warc")
     write(table(spark, sf_dir, "pages"), folder)
     return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Without repeated page_ids, which are told apart by their place among equal payloads.
+OP6_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as html from pages
+), d as (
+  select page_id, cast(strlen(html) as bigint) as payload_bytes, sha256(html) as payload_digest from p
+), f as (
+  select *, min(page_id) over (partition by payload_digest) as first, row_number() over (partition by payload_digest order by page_id) as n from d
+)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and n > 1 then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and n > 1 then first end as refers_to
+from f
+"""
