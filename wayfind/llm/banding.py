@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.bits import SMALL, fingerprints, linked, linked_in_small, planes_of, within
+from wayfind.llm.bits import SMALL, fingerprints, linked_in_small, planes_of, within
 from wayfind.llm.cells import mix
 from wayfind.llm.common import (
     DOC_BLOBS,
@@ -126,10 +126,12 @@ def deal(key, arrays, ids):
 def prints_of(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
     """SimHash fingerprints of units, of their different shingles."""
     unit = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((shingles, unit))
-    flat = shingles[order]
-    new = np.r_[True, (flat[1:] != flat[:-1]) | (unit[1:] != unit[:-1])]
-    return fingerprints(flat[new], np.bincount(unit[new], minlength=len(n)))
+    with np.errstate(over="ignore"):
+        key = shingles + mix(unit.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key)
+    new = np.ones(len(key), bool)
+    new[order[1:][key[order][1:] == key[order][:-1]]] = False
+    return fingerprints(shingles[new], np.bincount(unit[new], minlength=len(n)))
 
 
 def cells(cut, bands, rows, ids, radius):
@@ -186,8 +188,11 @@ def near_in_keys(prints: np.ndarray, size: np.ndarray, radius: int, block: int)
         last = np.searchsorted(small, np.repeat(end, size)[small])
         near[small[linked_in_small(prints[small], last, radius)].ravel()] = True
     for g in np.flatnonzero((size > SMALL) & (size <= block)).tolist():
-        a = int(end[g] - size[g])
-        near[a + linked(prints[a : end[g]], radius).ravel()] = True
+        own, found = prints[end[g] - size[g] : end[g]], near[end[g] - size[g] : end[g]]
+        planes = planes_of(own)
+        for i in range(len(own)):
+            if not found[i] and len(j := within(planes, len(own), int(own[i]), radius)) > 1:
+                found[j] = True
     return near
 
 

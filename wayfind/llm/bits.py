@@ -20,10 +20,16 @@ def fingerprints(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
     out = np.zeros(len(size), np.uint64)
     full = np.flatnonzero(size)
     if len(full):
+        size = size[full]
         begin = np.cumsum(size) - size
+        # Up to 255 hashes add up in bytes, eight of which are a word.
+        parts = -(-size // 255)
+        first = np.cumsum(parts) - parts
+        at = np.repeat(begin, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
         bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        count = np.add.reduceat(bits, begin[full], axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * count > size[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        bytes_ = np.add.reduceat(bits.view(np.uint64), at, axis=0).view(np.uint8)
+        count = np.add.reduceat(bytes_, first, axis=0, dtype=np.int32)
+        out[full] = np.packbits(2 * count > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 

@@ -115,12 +115,10 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def shorter(df: DataFrame, row: int = 32) -> DataFrame:
-    """The shorter side of a join, whose rows have about ``row`` bytes: broadcast if as many as there are fit Spark's own limit,
-    and otherwise a hash table in each partition, for which the longer side needn't be sorted."""
-    df = hold(df)
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return F.broadcast(df) if row * df.count() <= limit else df.hint("shuffle_hash")
+def shorter(df: DataFrame) -> DataFrame:
+    """The shorter side of a join with whole texts: a hash table in each partition, so the texts needn't be sorted. It grows
+    with the corpus, so it isn't broadcast at any size."""
+    return df.hint("shuffle_hash")
 
 
 def several_texts(docs: DataFrame) -> DataFrame | None:
@@ -146,7 +144,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     parts = several_texts(rows)
     if parts is None:
         return rows.select("doc_id", F.lit(0).cast("long").alias("part"), "text")
-    joined = rows.withColumn("digest", F.md5("text")).join(shorter(parts, 96), ["doc_id", "digest"], "left")
+    joined = rows.withColumn("digest", F.md5("text")).join(shorter(parts), ["doc_id", "digest"], "left")
     return joined.select("doc_id", F.coalesce("part", F.lit(0)).cast("long").alias("part"), "text")
 
 

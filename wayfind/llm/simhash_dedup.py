@@ -173,7 +173,7 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, **more) -> DataFrame:
     if parts is None:
         known = known.withColumn(part, F.lit(0).cast("long"))
     else:
-        known = known.join(shorter(parts.select("doc_id", F.col("digest").alias(digest), F.col("part").alias(part)), 96), ["doc_id", digest], "left").withColumn(part, F.coalesce(part, F.lit(0)))
+        known = known.join(shorter(parts.select("doc_id", F.col("digest").alias(digest), F.col("part").alias(part))), ["doc_id", digest], "left").withColumn(part, F.coalesce(part, F.lit(0)))
     stay = known.join(shorter(gone), ["doc_id", part], "left_anti").dropDuplicates(["doc_id", digest])
     return stay.select(docs.columns).unionByName(rest)
 

@@ -377,7 +377,7 @@ def deduped_documents(docs: DataFrame, size: int = 100) -> DataFrame:
     id_, sha, runs, cut = (unused(docs, x) for x in ("id", "sha", "spans", "cut"))
     spans = dedup(docs, size, keep_bytes=True).filter("n_removed > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(id_), F.col("text_sha256").alias(sha), F.col("spans").alias(runs)).distinct()
     keyed = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(sha, F.sha2("text", 256))
-    joined = keyed.join(shorter(spans, 200), [id_, sha], "left").select(*docs.columns, runs)
+    joined = keyed.join(shorter(spans), [id_, sha], "left").select(*docs.columns, runs)
     flag = [T.StructField("text", T.StringType()), T.StructField(cut, T.BooleanType())]
     out = joined.mapInArrow(without_spans("text", runs, cut), T.StructType([*(f for f in docs.schema if f.name != "text"), *flag])).filter((~F.col(cut)) | (F.col("text") != ""))
     return out.select(*[F.length("text").cast(f.dataType).alias(f.name) if f.name == "n_chars" else F.col(f.name) for f in docs.schema])
