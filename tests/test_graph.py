@@ -163,7 +163,7 @@ def test_ask_one_and_chat(spark, graph):
     assert got(multihop=True)[0].context == "1. [Drug] Metformin --TREATS--> [Disease] Chronic liver scarring\n2. " + got(multihop=True)[0].context.split("\n2. ")[1]
     assert got(entity="zz", multihop=True)[0].context == C.NOTHING_ON_PATHS.format("zz")
     assert [r.context for r in A.ask_one(graph, "so?", multihop=True).collect()] == [C.NO_ENTITY]
-    assert A.chat_context(graph, "jaundice").first().context == '{"name":"Jaundice","text":"Yellow skin, common in CIRRHOSIS"}'
+    assert A.chat_context(graph, "jaundice").first().context == '{\n  "name": "Jaundice",\n  "text": "Yellow skin, common in CIRRHOSIS"\n}'
     assert A.chat_context(graph, "zz").first().context == C.NO_CHAT_MATCH
     turns = spark.sql("select array(named_struct('patient', 'a', 'doctor', 'b'), named_struct('patient', 'c', 'doctor', null)) as t")
     text = turns.select(C.chat_prompt(F.col("t"), F.lit("ctx")).alias("p")).first().p
@@ -172,26 +172,154 @@ def test_ask_one_and_chat(spark, graph):
     assert r.question == "jaundice" and r.status == "ok" and r.prompt_length > r.context_length
 
 
-def test_model_chain():
-    tried = []
-
-    def post(body):
-        tried.append(body["model"])
-        if body["model"] != "gemma2-9b-it":
-            raise OSError("model is decommissioned")
-        return {"choices": [{"message": {"content": " yes "}}]}
-
-    m = M.Http("groq", "http://x", "llama-3.1-8b-instant", post=post)
-    assert m("p") == "yes" and m("p") == "yes"
-    assert tried == ["llama-3.1-8b-instant", "gemma2-9b-it", "gemma2-9b-it"]
-    assert M.Http("huggingface", "", "m", post=lambda b: [{"generated_text": "t"}])("p") == "t"
-    assert M.Http("ollama", "", "m", post=lambda b: {"response": "r"})("p") == "r"
-
-    def broken(body):
-        raise OSError("timeout")
-
-    with pytest.raises(OSError, match="timeout"):
-        M.Http("groq", "", "m", post=broken)("p")
+class Backend:
+    """A server that answers POSTs by ``reply``: a function of the body to (status, JSON)."""
+
+    def __init__(self, reply):
+        import http.server
+        import json
+        import threading
+
+        outer = self
+        self.seen = []
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                outer.seen.append(body)
+                status, out = reply(body)
+                raw = out if isinstance(out, bytes) else json.dumps(out).encode()
+                self.send_response(status)
+                self.send_header("Content-Length", str(len(raw)))
+                self.end_headers()
+                self.wfile.write(raw)
+
+            def log_message(self, *_):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_port}/"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.server.shutdown()
+        self.server.server_close()
+
+
+def test_a_model_that_has_gone_is_replaced_over_http():
+    said = lambda text: {"choices": [{"message": {"content": text}}]}
+    gone = lambda m: {"error": {"message": f"The model {m} has been Decommissioned"}}
+    with Backend(lambda b: (200, said(" yes ")) if b["model"] == "gemma2-9b-it" else (404, gone(b["model"]))) as server:
+        m = M.Http("groq", server.url, "old", key="k", system="be brief")
+        assert m("p") == "yes" and m("p") == "yes" and m.model == "gemma2-9b-it"
+        assert [b["model"] for b in server.seen] == ["old", "llama-3.1-8b-instant", "gemma2-9b-it", "gemma2-9b-it"]
+        assert server.seen[0] | {"model": ""} == {"model": "", "messages": [{"role": "system", "content": "be brief"}, {"role": "user", "content": "p"}], "temperature": 0.2, "max_tokens": 800, "top_p": 0.95, "stream": False}
+        one = M.Http("groq", server.url, "old", settings=M.PLAIN, fallbacks=["llama-3.1-8b-instant"])
+        with pytest.raises(M.ModelError, match="All fallback models failed"):
+            one("p")
+        assert server.seen[-1]["max_tokens"] == 500
+    with Backend(lambda b: (429, {"error": {"message": "rate limit"}})) as server:
+        with pytest.raises(M.ModelError, match="rate limit") as e:
+            M.Http("groq", server.url, "m")("p")
+        assert e.value.status == 429 and len(server.seen) == 1
+    with Backend(lambda b: (500, b"no json")) as server, pytest.raises(M.ModelError, match="no json"):
+        M.Http("cohere", server.url, "m")("p")
+    with pytest.raises(OSError):
+        M.Http("groq", "http://127.0.0.1:1/", "m")("p")
+
+
+def test_what_each_backend_is_asked_and_answers():
+    ask = lambda kind, out, **more: M.Http(kind, "", "m", post=lambda b: sent.append(b) or out, **more)("p")
+    sent = []
+    assert ask("huggingface", [{"generated_text": " t "}]) == "t" and ask("huggingface", {"generated_text": "u\n"}) == "u" and ask("huggingface", []) == ""
+    assert ask("ollama", {"response": " r "}) == "r" and ask("cohere", {"text": " c "}) == "c"
+    assert sent[0] == {"inputs": "p", "parameters": {"max_new_tokens": 600, "temperature": 0.2, "top_p": 0.95, "return_full_text": False}}
+    assert sent[3] == {"model": "m", "prompt": "p", "stream": False, "options": {"temperature": 0.2, "num_predict": 700}}
+    assert sent[4] == {"model": "m", "message": "p", "temperature": 0.4}
+    assert M.TIMEOUTS["ollama"] == 60
+    with pytest.raises(ValueError, match="unknown backend"):
+        M.Http("other", "")
+
+    def old(body):
+        if body["model"] != "new":
+            raise OSError("no")
+        return {"text": "ok"}
+
+    m = M.Http("cohere", "", "old", post=old)
+    assert m.probe(("older", "new")) and m.model == "new" and not M.Http("cohere", "", "x", post=old).probe()
+
+
+def test_front_ends(graph):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from wayfind import serve
+
+    told, asked = [], []
+    said = iter(["hm", "it appears to be a cold", "likely cause"])
+    lines = iter([" hello ", "cough", "fever", " BYE"])
+    turns = serve.chat_loop(lambda m, t: asked.append((m, list(t))) or next(said), lambda _: next(lines), told.append)
+    assert turns == [("hello", "hm"), ("cough", "it appears to be a cold"), ("fever", "likely cause")]
+    assert asked[1] == ("cough", [("hello", "hm")]) and sum("diagnosis" in t for t in told) == 1
+    told.clear()
+    lines = iter(["What of Metformin?", "", "n", "What?", "zz", "y", "Q"])
+    serve.ask_loop(graph, lambda _: next(lines), told.append)
+    assert told[0].startswith("1. [Drug] ★★★ Metformin\nContext: ") and told[1].startswith(C.NOTHING_ON_PATHS.format("zz"))
+
+    http = serve.server(serve.chat_replies(graph))
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{http.server_port}"
+
+    def post(path, raw):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"{url}{path}", raw)) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    assert json.loads(urllib.request.urlopen(f"{url}/health").read()) == {"status": "ok"}
+    for message in ("jaundice", "zz"):
+        body = {"message": message, "conversation": [{"patient": "a", "doctor": "b"}, {"patient": "c"}]}
+        want = serve.chat_replies(graph)(message, [("a", "b"), ("c", None)])
+        assert post("/chat", json.dumps(body).encode()) == (200, {"response": want})
+    assert post("/chat", b"[1]")[0] == 400 and post("/chat", b"{")[0] == 400 and post("/other", b"{}")[0] == 404
+    http.shutdown()
+    http.server_close()
+
+
+def test_stored_graphs_and_encoded_texts(spark, graph, tmp_path):
+    from wayfind.plans import embed as B
+    from wayfind.sources import store as T
+
+    folder = f"file://{tmp_path}/g"
+    own = T.save_graph(graph, folder, "Disease")
+    assert sorted(r.node_id for r in own.nodes.collect()) == sorted(n[0] for n in NODES) and own.edges.count() == len(EDGES)
+    assert [r.node_id for r in S.scored(own, "cirrhosis").select("node_id").distinct().orderBy("node_id").collect()] == ["n1", "n2", "n3", "n4", "n7"]
+    T.put(graph.edges.filter("type = 'TREATS'"), f"{folder}/edges", "type")
+    assert T.open_graph(spark, folder).edges.count() == 1 and T.get(spark, f"{folder}/edges", 1).count() == len(EDGES) and T.versions(spark, f"{folder}/edges") == [1, 2]
+    twice = spark.createDataFrame([("a",), ("a",), (None,), (None,)], "canonical_id string")
+    with pytest.raises(ValueError, match="canonical_id a occurs 2 times"):
+        T.unique(twice, "canonical_id")
+    with pytest.raises(FileNotFoundError):
+        T.get(spark, f"{folder}/none")
+
+    nodes = spark.createDataFrame([("1", "x", "red bolt", None), ("2", "x", None, None), ("3", "y", "", [1.0]), ("4", None, "blue", None)], "node_id string, original_id string, text string, embedding array<float>")
+    got = {r.node_id: r.embedding for r in B.embed_nodes(nodes, lambda: B.Hashed(16)).collect()}
+    assert got["1"] == got["2"] and len(got["1"]) == 16 and got["3"] == [1.0] and got["4"] is None
+    run = B.encoded(nodes, lambda: B.Hashed(4), batch=2)
+    assert run.schema["embedding"].dataType.simpleString() == "array<float>"
+    assert [len(r.embedding or ()) for r in run.orderBy("node_id").collect()] == [4, 0, 4, 4]
+
+
+def test_limits_are_whole_numbers(graph):
+    for call in (lambda: S.scored(graph, "x", -1), lambda: S.chat(graph, "x", "5; drop"), lambda: P.multi_hop(graph, "x", 0), lambda: P.multi_hop(graph, "x", 2, 1.5)):
+        with pytest.raises(ValueError, match="must be a whole number"):
+            call()
 
 
 def test_dialog(spark):

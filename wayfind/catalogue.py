@@ -9,12 +9,14 @@ from wayfind.operators import ingest as I
 from wayfind.operators import paths as P
 from wayfind.operators import search as S
 from wayfind.operators.similarity import links
+from wayfind.plans import models as M
+from wayfind.plans.ask import ask, ask_with_fallback, contexts
 from wayfind.plans.ask import chat_context as chat_text
-from wayfind.plans.ask import contexts
-from wayfind.sources.graph import Graph, load, table
+from wayfind.plans.embed import Hashed, embed_nodes
+from wayfind.sources.graph import Graph, table
+from wayfind.sources.store import stored
 
 NEEDLE, WIDE, NEEDLES = "red bolt", "red", ["red bolt", "blue", "supplier#000000001", "È", "no such thing"]
-COMMON = ["the ", "que ", "und "]
 SIMILAR = 0.3
 
 NODES = """nodes as (
@@ -87,43 +89,43 @@ HIT = "node_id, label, name, {0} edge_id, type, target_id, target_label"
 
 @query(f"{GRAPH}, {SCORED} select {HIT.format('relevance,')} from hits")
 def scored_search(spark, d):
-    return hits(S.scored(load(spark, d), NEEDLE))
+    return hits(S.scored(stored(spark, d), NEEDLE))
 
 
 @query(f"{GRAPH}, {SCORED} select {HIT.format('relevance,')} from hits qualify row_number() over (partition by node_id order by edge_id nulls last) = 1")
 def scored_search_first_edge(spark, d):
-    return hits(S.scored(load(spark, d), NEEDLE, first_edge=True))
+    return hits(S.scored(stored(spark, d), NEEDLE, first_edge=True))
 
 
 @query(f"{GRAPH} select {sql_score(repr(WIDE))} as relevance, count(*) as n from nodes where {sql_match(repr(WIDE))} group by 1")
 def scored_search_tiers(spark, d):
-    return S.matches(load(spark, d), WIDE).groupBy(X.relevance(F.lit(WIDE)).alias("relevance")).agg(F.count("*").alias("n"))
+    return S.matches(stored(spark, d), WIDE).groupBy(X.relevance(F.lit(WIDE)).alias("relevance")).agg(F.count("*").alias("n"))
 
 
 @query(f"{GRAPH} select needle, node_id, {sql_score('needle')} as relevance, cast(row_number() over (partition by needle order by {sql_score('needle')} desc, node_id) as int) as rank from nodes, (values {', '.join(f'({n!r})' for n in NEEDLES)}) t(needle) where {sql_match('needle')} qualify rank <= 15")
 def scored_search_batch(spark, d):
     asked = spark.createDataFrame(list(enumerate(NEEDLES)), "qid long, entity string")
-    return S.scored_batch(load(spark, d), asked).select("needle", "node_id", "relevance", "rank")
+    return S.scored_batch(stored(spark, d), asked).select("needle", "node_id", "relevance", "rank")
 
 
 @query(f"{GRAPH}, {PLAIN} select node_id, label, edge_id, type, target_id, target_label from hits")
 def proto_search(spark, d):
-    return hits(S.plain(load(spark, d), NEEDLE)).drop("name")
+    return hits(S.plain(stored(spark, d), NEEDLE)).drop("name")
 
 
 @query(f"{GRAPH} select node_id, label, name, text from nodes where coalesce(contains(lower(name), '{WIDE}'), false) or coalesce(contains(lower(text), '{WIDE}'), false) order by node_id limit 5")
 def chat_search(spark, d):
-    return S.chat(load(spark, d), WIDE).select("node_id", X.label().alias("label"), "name", "text")
+    return S.chat(stored(spark, d), WIDE).select("node_id", X.label().alias("label"), "name", "text")
 
 
 @query(f"{GRAPH} select node_id, label from nodes where name is not null or text is not null order by node_id limit 5")
 def chat_search_empty_needle(spark, d):
-    return S.chat(load(spark, d), "").select("node_id", X.label().alias("label"))
+    return S.chat(stored(spark, d), "").select("node_id", X.label().alias("label"))
 
 
 @query(f"{PATHS} select * from top")
 def multihop_search(spark, d):
-    return P.multi_hop(load(spark, d), WIDE, 2, 20)
+    return P.multi_hop(stored(spark, d), WIDE, 2, 20)
 
 
 @query(f"""{GRAPH}, starts as (select needle, node_id from nodes, (values {', '.join(f'({n!r})' for n in NEEDLES)}) t(needle) where {sql_match('needle')}),
@@ -133,42 +135,42 @@ w as (select needle, start_id, end_id, 1 as path_length, edge_id as path, type a
 select needle, start_id, end_id, path_length, path, types from w qualify row_number() over (partition by needle order by path_length, start_id, path, end_id) <= 20""")
 def multihop_batch(spark, d):
     asked = spark.createDataFrame(list(enumerate(NEEDLES)), "qid long, entity string")
-    return P.multi_hop_batch(load(spark, d), asked, 2, 20)
+    return P.multi_hop_batch(stored(spark, d), asked, 2, 20)
 
 
 @query(f"{GRAPH}, {WALKS.format(repr('x') + ' = ' + repr('x') + ' and n.node_id = ' + repr('part:1'), 3)} select start_id, end_id, path_length, array_to_string(ids, ',') as path from w")
 def multihop_recursive(spark, d):
-    return P.recursive(load(spark, d), "part:1", 3)
+    return P.recursive(stored(spark, d), "part:1", 3)
 
 
 @query(f"{GRAPH} select n.node_id, n.name, e.edge_id, m.node_id as target_id, m.name as target_name from nodes n join edges e on e.src = n.node_id join nodes m on m.node_id = e.dst where n.label = 'Part' and contains(lower(n.name), '{WIDE}') order by n.node_id, e.edge_id limit 15")
 def label_substring_expand(spark, d):
-    return S.labelled(load(spark, d), "Part", WIDE).select("node_id", "name", "edge_id", "target_id", "target_name")
+    return S.labelled(stored(spark, d), "Part", WIDE).select("node_id", "name", "edge_id", "target_id", "target_name")
 
 
 @query(f"{GRAPH} select label, count(*) as n from nodes group by label")
 def node_label_counts(spark, d):
-    return load(spark, d).nodes.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return stored(spark, d).nodes.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(f"{GRAPH} select type, count(*) as n from edges group by type")
 def rel_type_counts(spark, d):
-    return load(spark, d).edges.groupBy("type").agg(F.count("*").alias("n"))
+    return stored(spark, d).edges.groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(f"{GRAPH} select 'labels' as kind, string_agg(distinct label, ',' order by label) as names from nodes union all select 'types', string_agg(distinct type, ',' order by type) from edges")
 def schema_summary(spark, d):
-    return S.schema(load(spark, d))
+    return S.schema(stored(spark, d))
 
 
 @query(f"{GRAPH} select node_id, label, name, canonical_name from nodes order by node_id limit 5")
 def sample_nodes(spark, d):
-    return S.sample(load(spark, d))
+    return S.sample(stored(spark, d))
 
 
 @query(f"{GRAPH} select label, count(*) as n from nodes where text is not null and text <> '' group by label")
 def custom_query(spark, d):
-    return S.select(load(spark, d), "select labels[0] as label, count(*) as n from nodes where text is not null and text <> :empty group by labels[0]", {"empty": ""})
+    return S.select(stored(spark, d), "select labels[0] as label, count(*) as n from nodes where text is not null and text <> :empty group by labels[0]", {"empty": ""})
 
 
 def similarity(spark, d):
@@ -177,7 +179,7 @@ def similarity(spark, d):
 
 
 def similar_graph(spark, d) -> Graph:
-    g = load(spark, d)
+    g = stored(spark, d)
     edges = similarity(spark, d).select(F.concat(F.lit("vec:"), "a").alias("src"), F.concat(F.lit("vec:"), "b").alias("dst"), "score").select(F.concat_ws("|", "src", F.lit("SIMILAR_TO"), "dst").alias("edge_id"), "src", "dst", F.lit("SIMILAR_TO").alias("type"), "score")
     return Graph(g.nodes, g.edges.unionByName(edges))
 
@@ -229,23 +231,25 @@ def edge_upsert_rejected(spark, d):
 
 @query("select cast(label as varchar) as key, count(*) as n from embeddings where label is not null group by label having count(*) > 1")
 def duplicate_keys(spark, d):
-    return I.duplicates(load(spark, d).nodes.filter(F.array_contains("labels", "EntityCanonical")), "original_id")
+    return I.duplicates(stored(spark, d).nodes.filter(F.array_contains("labels", "EntityCanonical")), "original_id")
 
 
 @query(f"{GRAPH} select node_id, cast(null as varchar) as original_id, text from nodes where text is not null and text <> ''")
 def harvest_text(spark, d):
-    return I.harvest(load(spark, d).nodes)
+    return I.harvest(stored(spark, d).nodes)
 
 
-@query("select vec_id, cast(label as varchar) as original_id, round(last_e[1]::double, 6) as first_value from embeddings join (select label as l, arg_max(embedding, vec_id) as last_e from embeddings where label is not null group by label) t on l = label union all select vec_id, null, round(embedding[1]::double, 6) from embeddings where label is null")
+@query("""with new as (select vec_id, label, embedding as e from embeddings where label is null
+  union all select vec_id, label, last_e from embeddings join (select label as l, arg_max(embedding, vec_id) as last_e from embeddings where label is not null group by label) t on l = label)
+select vec_id, cast(label as varchar) as original_id, cast(i as bigint) as place, round(e[i + 1]::double, 6) as value from (select *, unnest(range(len(e))) as i from new)""")
 def embedding_update(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("original_id"), "embedding")
     out = I.update_embeddings(v, v.select(F.col("vec_id").alias("row_no"), "original_id", "embedding"))
-    return out.select("vec_id", "original_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value"))
+    return out.select("vec_id", "original_id", F.posexplode("embedding").alias("place", "value")).select("vec_id", "original_id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 def scored_lines(spark, d):
-    return C.lines(S.scored(load(spark, d), NEEDLE), [F.desc("relevance"), F.col("node_id"), F.col("edge_id").asc_nulls_first()], [])
+    return C.lines(S.scored(stored(spark, d), NEEDLE), [F.desc("relevance"), F.col("node_id"), F.col("edge_id").asc_nulls_first()], [])
 
 
 @query(f"{GRAPH}, {SCORED}, {SCORED_LINES} select i, node_line, edge_line from lines")
@@ -260,13 +264,13 @@ def scored_context(spark, d):
 
 @query("{}, {}, lines as (select i, case when shown <> '' then i || '. ' || label || ': ' || {} end as node_line, case when edge_id is not null and target <> '' then '   → ' || type || ': ' || target_label || ' - ' || {} end as edge_line from (select *, row_number() over (order by node_id, edge_id nulls first) as i from hits)) {}".format(GRAPH, PLAIN, sql_clip("shown", 200), sql_clip("target", 150), JOINED))
 def proto_context(spark, d):
-    rows = C.lines(S.plain(load(spark, d), NEEDLE), [F.col("node_id"), F.col("edge_id").asc_nulls_first()], [], plain=True)
+    rows = C.lines(S.plain(stored(spark, d), NEEDLE), [F.col("node_id"), F.col("edge_id").asc_nulls_first()], [], plain=True)
     return C.or_else(C.joined(rows, []), C.NOTHING.format(NEEDLE))
 
 
 @query(f"{PATHS}, lines as (select i, case when a <> '' and b <> '' then i || '. [' || la || '] ' || a || ' --' || types || '--> [' || lb || '] ' || b end as node_line, null as edge_line from (select row_number() over (order by path_length, start_id, path, end_id) as i, types, s.label as la, left({SHOWN.format('s.')}, 150) as a, t.label as lb, left({SHOWN.format('t.')}, 150) as b from top join nodes s on s.node_id = start_id join nodes t on t.node_id = end_id) where i <= 10) {JOINED}")
 def path_context(spark, d):
-    g = load(spark, d)
+    g = stored(spark, d)
     return C.or_else(C.joined(C.path_lines(P.multi_hop(g, WIDE, 2, 20), g.nodes), []), C.NOTHING_ON_PATHS.format(WIDE))
 
 
@@ -283,15 +287,15 @@ ENTITY = rf"trim(coalesce(list_filter({WORDS}, lambda w: length(w) > 4 and regex
 @query(f"""{GRAPH} select string_agg(i || '. ' || j, chr(10) order by i) as context
   from (select row_number() over (order by node_id) as i, to_json(struct_pack(node_id := node_id, name := name))::varchar as j from nodes where label = 'Nation' qualify i <= 15)""")
 def record_context(spark, d):
-    rows = S.select(load(spark, d), "select node_id, name from nodes where array_contains(labels, :label) order by node_id", {"label": "Nation"})
+    rows = S.select(stored(spark, d), "select node_id, name from nodes where array_contains(labels, :label) order by node_id", {"label": "Nation"})
     return C.or_else(C.joined(C.records(rows), []), C.NOTHING_FROM_QUERY)
 
 
 @query(f"""{GRAPH} select coalesce(string_agg(j, chr(10) order by node_id), '{C.NO_CHAT_MATCH}') as context
-  from (select node_id, json_merge_patch('{{}}'::json, to_json(struct_pack(name := name, canonical_name := canonical_name, text := text)))::varchar as j from nodes
+  from (select node_id, '{{' || chr(10) || concat_ws(',' || chr(10), '  "name": ' || to_json(name)::varchar, '  "canonical_name": ' || to_json(canonical_name)::varchar, '  "text": ' || to_json(text)::varchar) || chr(10) || '}}' as j from nodes
   where contains(lower(coalesce(name, '')), '{NEEDLE}') or contains(lower(coalesce(text, '')), '{NEEDLE}') order by node_id limit 5)""")
 def chat_context(spark, d):
-    return chat_text(load(spark, d), NEEDLE)
+    return chat_text(stored(spark, d), NEEDLE)
 
 
 @query(f"select conv_id, turn, {ENTITY} as entity from conversations")
@@ -304,19 +308,38 @@ def auto_entity_proto(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.entity_plain(F.col("text")).alias("entity"))
 
 
-@query("select conv_id, turn, coalesce(contains(lower(text), 'not enough information') or contains(lower(text), 'context doesn''t contain'), false) as again from conversations where role = 'assistant'")
+#: Conversations in which some users leave, and some replies name a diagnosis or say that the context doesn't do.
+SPOKEN = """spoken as (select conv_id, turn, role, case
+  when role = 'user' and (conv_id + turn) % 7 = 0 then '  QUIT' || chr(10)
+  when role = 'user' and (conv_id + turn) % 11 = 0 then text || ' quit'
+  when role = 'assistant' and (conv_id + turn) % 5 = 0 then text || ' It APPEARS to be a cold.'
+  when role = 'assistant' and (conv_id + turn) % 3 = 0 then 'The context doesn''t contain this. ' || text
+  else text end as text from conversations)"""
+
+
+def spoken(spark, d):
+    at, user, said = F.col("conv_id") + F.col("turn"), F.col("role") == "user", F.col("role") == "assistant"
+    text = (
+        F.when(user & (at % 7 == 0), F.lit("  QUIT\n")).when(user & (at % 11 == 0), F.concat("text", F.lit(" quit")))
+        .when(said & (at % 5 == 0), F.concat("text", F.lit(" It APPEARS to be a cold."))).when(said & (at % 3 == 0), F.concat(F.lit("The context doesn't contain this. "), "text"))
+        .otherwise(F.col("text"))
+    )
+    return table(spark, d, "conversations").withColumn("text", text)
+
+
+@query(f"with {SPOKEN} select conv_id, turn, coalesce(contains(lower(text), 'not enough information') or contains(lower(text), 'context doesn''t contain'), false) as again from spoken where role = 'assistant'")
 def insufficient_answers(spark, d):
-    return table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", D.insufficient(F.col("text")).alias("again"))
+    return spoken(spark, d).filter("role = 'assistant'").select("conv_id", "turn", D.insufficient(F.col("text")).alias("again"))
 
 
-@query("with h as (select conv_id, turn, role, case when role = 'assistant' and ({}) then 1 else 0 end as hit from conversations), r as (select *, max(hit) over (partition by conv_id order by turn rows unbounded preceding) as now, coalesce(max(hit) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as before from h) select conv_id, turn, role, now = 1 as suggested, hit = 1 and before = 0 as notice from r".format(" or ".join(f"contains(lower(text), '{w}')" for w in COMMON)))
+@query("with {}, h as (select conv_id, turn, role, case when role = 'assistant' and ({}) then 1 else 0 end as hit from spoken), r as (select *, max(hit) over (partition by conv_id order by turn rows unbounded preceding) as now, coalesce(max(hit) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as before from h) select conv_id, turn, role, now = 1 as suggested, hit = 1 and before = 0 as notice from r".format(SPOKEN, " or ".join(f"contains(lower(text), '{w}')" for w in D.DIAGNOSIS)))
 def diagnosis_latch(spark, d):
-    return D.latch(table(spark, d, "conversations"), COMMON)
+    return D.latch(spoken(spark, d))
 
 
-@query(r"with o as (select *, max(case when role = 'user' and lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) in ('quit', 'exit', 'bye') then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as gone from conversations) select conv_id, turn, role, text from o where gone = 0")
+@query(rf"with {SPOKEN}, o as (select *, max(case when role = 'user' and lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) in ('quit', 'exit', 'bye') then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as gone from spoken) select conv_id, turn, role, text from o where gone = 0")
 def exit_cut(spark, d):
-    return D.until_exit(table(spark, d, "conversations")).select("conv_id", "turn", "role", "text")
+    return D.until_exit(spoken(spark, d)).select("conv_id", "turn", "role", "text")
 
 
 @query("select conv_id, count(*) as n_turns, string_agg(case when role = 'user' then 'Patient: ' else 'Doctor: ' end || coalesce(text, ''), chr(10) order by turn) as transcript from conversations where role in ('user', 'assistant') group by conv_id")
@@ -333,4 +356,87 @@ c as (select needle, coalesce(string_agg(s, chr(10) order by i), '') as context
 select conv_id, turn, entity, case when entity is null then '{C.NO_ENTITY}' else coalesce(context, 'No results found for ''' || entity || '''.') end as context from q left join c on needle = entity""")
 def ask_batch(spark, d):
     q = table(spark, d, "conversations").filter("role = 'user'").select(F.struct("conv_id", "turn").alias("qid"), F.col("text").alias("question"), F.lit(None).cast("string").alias("entity"))
-    return contexts(load(spark, d), q).select("qid.conv_id", "qid.turn", "entity", "context")
+    return contexts(stored(spark, d), q).select("qid.conv_id", "qid.turn", "entity", "context")
+
+ANSWERED = "'Answer from the context alone.' || chr(10) || chr(10) || 'Context:' || chr(10) || {0} || chr(10) || chr(10) || 'Question: ' || {1} || chr(10) || 'Answer:'"
+
+
+@query("select doc_id, md5({}) as prompt_md5 from documents".format(ANSWERED.format(sql_clip("coalesce(text, '-')", 4500, "chr(10) || '... (context truncated)'"), "'What of ' || lang || '?'")))
+def prompts(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.md5(C.prompt(F.concat(F.lit("What of "), "lang", F.lit("?")), F.coalesce("text", F.lit("-")))).alias("prompt_md5"))
+
+
+@query("""with t as (select conv_id, turn, text as patient, lead(case when role = 'assistant' then text end) over (partition by conv_id order by turn) as doctor, role from conversations where role in ('user', 'assistant')),
+s as (select conv_id, string_agg('Patient: ' || coalesce(patient, '') || coalesce(chr(10) || 'Doctor: ' || doctor, ''), chr(10) order by turn) as said from t where role = 'user' group by conv_id)
+select conv_id, 'Reply to the patient: ask what is still open, or say what is likely and what to do.' || chr(10) || chr(10) || 'Conversation:' || chr(10) || said || chr(10) || chr(10) || 'Context:' || chr(10) || 'none' || chr(10) || chr(10) || 'Reply:' as prompt from s""")
+def chat_prompts(spark, d):
+    return D.pairs(table(spark, d, "conversations")).select("conv_id", C.chat_prompt(F.col("turns"), F.lit("none")).alias("prompt"))
+
+
+ASKED = [(1, "What of it?", NEEDLE), (2, "And blue things?", "blue"), (3, "Who else?", "no such thing"), (4, "so?", None), (5, "è", "È"), (6, "Which Supplier#000000001 is it", None), (7, "Where?", "EUROPE")]
+GIVEN = "asked as (select * from (values {}) v(qid, question, given)), q as (select qid, question, given, coalesce(given, {}) as entity from asked)".format(", ".join(f"({i}, '{q}', {'null' if e is None else repr(e)})" for i, q, e in ASKED), ENTITY.replace("text", "question"))
+CONTEXTS = f"""top as (select n.*, needle, {sql_score('needle')} as relevance from nodes n, (select distinct entity as needle from q where entity is not null) where {sql_match('needle', 'n.')} qualify row_number() over (partition by needle order by relevance desc, node_id) <= 15),
+hits as (select top.*, e.edge_id, e.type, m.label as target_label, {SHOWN.format('m.')} as target, {SHOWN.format('top.')} as shown from top left join edges e on e.src = top.node_id left join nodes m on m.node_id = e.dst),
+lines as (select needle, i, case when shown <> '' then i || '. [' || label || '] ' || repeat('★', least(3, relevance // 3)::int) || ' ' || {sql_clip('shown', 300)} end as node_line, case when edge_id is not null and target <> '' then '   → ' || type || ': [' || target_label || '] ' || {sql_clip('target', 200)} end as edge_line
+  from (select *, row_number() over (partition by needle order by relevance desc, node_id, edge_id nulls first) as i from hits)),
+c as (select needle, coalesce(string_agg(s, chr(10) order by i), '') as context from (select needle, i, nullif(concat_ws(chr(10), node_line, edge_line), '') as s from lines) group by needle),
+first as (select qid, question, given, entity, case when entity is null then '{C.NO_ENTITY}' else coalesce(context, 'No results found for ''' || entity || '''.') end as context from q left join c on needle = entity)"""
+RECORD = "qid, question, {0} as answer, context, 'extract' as backend, 'extract' as model, cast(length({1}) as int) as prompt_length, cast(length(context) as int) as context_length, 'ok' as status"
+CAPPED = sql_clip("context", 4500, "chr(10) || '... (context truncated)'")
+PROMPT = ANSWERED.format(CAPPED, "question")
+LINE = f"split_part({CAPPED}, chr(10), 1)"
+GOOD = f"(contains({PROMPT}, '→') or contains({PROMPT}, '--'))"
+
+
+def asked(spark):
+    return spark.createDataFrame(ASKED, "qid int, question string, entity string")
+
+
+@query(f"{GRAPH}, {GIVEN}, {CONTEXTS} select {RECORD.format(LINE, PROMPT)} from first")
+def answer_records(spark, d):
+    return ask(stored(spark, d), asked(spark))
+
+
+@query(f"""{GRAPH}, {GIVEN}, {CONTEXTS}, judged as (select *, {GOOD} as good from first),
+starts as (select needle, node_id from nodes, (select distinct entity as needle from judged where not good and entity is not null) where {sql_match('needle')}),
+one as (select needle, node_id as start_id, dst as end_id, edge_id, type from starts join edges on src = node_id),
+w as (select needle, start_id, end_id, 1 as path_length, edge_id as path, type as types from one
+  union all select needle, start_id, e.dst, 2, one.edge_id || ',' || e.edge_id, one.type || ' → ' || e.type from one join edges e on e.src = one.end_id and e.edge_id <> one.edge_id),
+few as (select * from w qualify row_number() over (partition by needle order by path_length, start_id, path, end_id) <= 20),
+chains as (select needle, i, case when a <> '' and b <> '' then i || '. [' || la || '] ' || a || ' --' || types || '--> [' || lb || '] ' || b end as s from (select needle, row_number() over (partition by needle order by path_length, start_id, path, end_id) as i, types, s.label as la, left({SHOWN.format('s.')}, 150) as a, t.label as lb, left({SHOWN.format('t.')}, 150) as b from few join nodes s on s.node_id = start_id join nodes t on t.node_id = end_id) where i <= 10),
+p as (select needle, coalesce(string_agg(s, chr(10) order by i), '') as context from chains group by needle),
+again as (select qid, question, coalesce(p.context, 'No multi-hop results found for ''' || entity || '''.') as context from judged j left join p on p.needle = j.entity where not good and entity is not null),
+all_ as (select qid, question, context from judged where good or entity is null union all select * from again)
+select {RECORD.format(f"case when {GOOD} then {LINE} else 'There is not enough information.' end", PROMPT)} from all_""")
+def fallback_records(spark, d):
+    return ask_with_fallback(stored(spark, d), asked(spark), make=M.Doubting)
+
+
+@query(f"""select 'search' as kind, 'No results found for ''no such thing''.' as context union all select 'plain', 'No results found for ''no such thing''.' union all select 'paths', 'No multi-hop results found for ''no such thing''.'
+  union all select 'statement', '{C.NOTHING_FROM_QUERY}' union all select 'chat', '{C.NO_CHAT_MATCH}' union all select 'no entity', '{C.NO_ENTITY}'""")
+def empty_results(spark, d):
+    g, missing = stored(spark, d), NEEDLES[-1]
+    rows = lambda df, plain: C.lines(df, [F.col("node_id"), F.col("edge_id").asc_nulls_first()], [], plain)
+    found = {
+        "search": C.or_else(C.joined(rows(S.scored(g, missing), False), []), C.NOTHING.format(missing)),
+        "plain": C.or_else(C.joined(rows(S.plain(g, missing), True), []), C.NOTHING.format(missing)),
+        "paths": C.or_else(C.joined(C.path_lines(P.multi_hop(g, missing), g.nodes), []), C.NOTHING_ON_PATHS.format(missing)),
+        "statement": C.or_else(C.joined(C.records(S.select(g, "select name from nodes where false")), []), C.NOTHING_FROM_QUERY),
+        "chat": chat_text(g, missing),
+        "no entity": contexts(g, spark.createDataFrame([(1, "so?", None)], "qid int, question string, entity string")).select("context"),
+    }
+    out = None
+    for kind, df in found.items():
+        one = df.select(F.lit(kind).alias("kind"), "context")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select cast(label as varchar) as original_id, count(*) as n_nodes, cast(64 as int) as size, true as unit from embeddings where label is not null group by label")
+def encoded_texts(spark, d):
+    """Vectors of texts, which every node with the id gets; the default encoder gives vectors of length one."""
+    nodes = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("node_id"), F.col("label").cast("string").alias("original_id"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"), F.lit(None).cast("array<float>").alias("embedding"))
+    out = embed_nodes(nodes, lambda: Hashed(64)).filter("original_id is not null")
+    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: (x * x).cast("double")), F.lit(0.0), lambda a, b: a + b))
+    return out.groupBy("original_id").agg(F.count("*").alias("n_nodes"), F.max(F.size("embedding")).alias("size"), F.min(F.abs(norm - 1) < 1e-5).alias("unit"))

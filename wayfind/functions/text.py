@@ -9,6 +9,13 @@ SEARCHED = ("text", "name", "canonical_name")
 CHAT_SEARCHED = ("name", "text", "description", "disease", "symptom", "title")
 
 
+def whole(n: int, least: int = 0, name: str = "limit") -> int:
+    """A checked number that comes from a caller."""
+    if isinstance(n, bool) or not isinstance(n, int) or n < least:
+        raise ValueError(f"{name} must be a whole number of at least {least}, not {n!r}")
+    return n
+
+
 def holds(needle: Column, columns=SEARCHED) -> Column:
     """Whether one of the columns contains the needle, whatever the case. An empty needle is in every value but null."""
     return reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lower(needle)), F.lit(False)) for c in columns))

@@ -1,5 +1,7 @@
 """Rows to text: numbered lines, contexts, prompts."""
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,10 +90,19 @@ def records(rows: DataFrame, most: int = 15) -> DataFrame:
     return numbered.select("i", F.concat(F.col("i").cast("string"), F.lit(". "), F.col("s")).alias("node_line"), F.lit(None).cast("string").alias("edge_line"))
 
 
+def spread_out(rows: DataFrame) -> Column:
+    """JSON of a row with a line for each property, two spaces in; nulls are absent."""
+    fields = {f.name: c for f in rows.schema if (c := plain_values(f)) is not None}
+    value = lambda c: F.to_json(F.struct(c.alias("v")))
+    pairs = [F.when(c.isNotNull(), F.concat(F.lit(f"  {json.dumps(k, ensure_ascii=False)}: "), F.substr(value(c), F.lit(6), F.length(value(c)) - 6))) for k, c in fields.items()]
+    body = F.concat_ws(",\n", *pairs)
+    return F.when(body == "", F.lit("{}")).otherwise(F.concat(F.lit("{\n"), body, F.lit("\n}")))
+
+
 def dumped(nodes: DataFrame) -> DataFrame:
     """(i, node_line, edge_line) of a few nodes by node_id: JSON of all their properties but vectors."""
     i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("node_id"))
-    return nodes.select(i.alias("i"), as_json(nodes.drop("node_id", "labels")).alias("node_line"), F.lit(None).cast("string").alias("edge_line"))
+    return nodes.select(i.alias("i"), spread_out(nodes.drop("node_id", "labels")).alias("node_line"), F.lit(None).cast("string").alias("edge_line"))
 
 
 def capped(context: Column, most: int = 4500, mark: str = CUT) -> Column:

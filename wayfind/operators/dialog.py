@@ -42,5 +42,14 @@ def transcript(turns: DataFrame) -> DataFrame:
     return out.select("conv_id", F.size("l").cast("long").alias("n_turns"), F.array_join(F.transform("l", lambda x: x["s"]), "\n").alias("transcript"))
 
 
+def pairs(turns: DataFrame) -> DataFrame:
+    """(conv_id, turns) of conversations with a patient's turn: an array of (patient, doctor), in order; the doctor is null where
+    the next turn isn't a reply."""
+    both = turns.filter(F.col("role").isin("user", "assistant"))
+    reply = F.lead(F.when(F.col("role") == "assistant", F.col("text"))).over(Window.partitionBy("conv_id").orderBy("turn"))
+    said = both.withColumn("doctor", reply).filter("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("patient"), "doctor"))).alias("turns"))
+    return said.select("conv_id", F.transform("turns", lambda x: F.struct(x["patient"].alias("patient"), x["doctor"].alias("doctor"))).alias("turns"))
+
+
 def insufficient(answer: Column) -> Column:
     return F.coalesce(any_of(answer, INSUFFICIENT), F.lit(False))

@@ -13,25 +13,28 @@ ORDER = ["path_length", "start_id", "path", "end_id"]
 def walks(starts: DataFrame, graph: Graph, hops: int, limit: int | None = None, keys: tuple = ()) -> DataFrame:
     """(keys, start_id, end_id, path_length, path, types) of all walks of 1 to ``hops`` edges from starts (keys, node_id).
     With a limit the first ones of each key by ORDER: as shorter ones come first, each level gives its own first ``limit``,
-    while the next level goes on from the whole level."""
-    if hops < 1:
-        raise ValueError("hops must be at least 1")
+    while the next level goes on from the whole level, but only for keys that shorter walks have not filled."""
+    X.whole(hops, 1, "hops")
+    if limit is not None:
+        X.whole(limit)
+    by = list(keys) or ["_all"]
+    starts = starts if keys else starts.withColumn("_all", F.lit(0))
 
     def first(rows):
         if limit is None:
             return rows
-        if not keys:
-            return rows.orderBy(*ORDER).limit(limit)
-        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER))).filter(F.col("_n") <= limit).drop("_n")
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*ORDER))).filter(F.col("_n") <= limit).drop("_n")
 
     step = graph.edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), "edge_id", "type")
-    level = starts.select(*keys, F.col("node_id").alias("start_id"), F.col("node_id").alias("end_id"), F.array().cast("array<string>").alias("edge_ids"), F.array().cast("array<string>").alias("types_"))
+    level = starts.select(*by, F.col("node_id").alias("start_id"), F.col("node_id").alias("end_id"), F.array().cast("array<string>").alias("edge_ids"), F.array().cast("array<string>").alias("types_"))
     out = None
     for n in range(1, hops + 1):
-        level = level.join(step, (F.col("end_id") == F.col("_src")) & ~F.array_contains("edge_ids", F.col("edge_id"))).select(*keys, "start_id", F.col("_dst").alias("end_id"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), F.array_append("types_", F.col("type")).alias("types_"))
-        rows = first(level.select(*keys, "start_id", "end_id", F.lit(n).alias("path_length"), F.array_join("edge_ids", ",").alias("path"), F.array_join("types_", " → ").alias("types")))
+        if limit is not None and out is not None:
+            level = level.join(out.groupBy(*by).count().filter(F.col("count") >= limit).select(*by), by, "left_anti")
+        level = level.join(step, (F.col("end_id") == F.col("_src")) & ~F.array_contains("edge_ids", F.col("edge_id"))).select(*by, "start_id", F.col("_dst").alias("end_id"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), F.array_append("types_", F.col("type")).alias("types_"))
+        rows = first(level.select(*by, "start_id", "end_id", F.lit(n).alias("path_length"), F.array_join("edge_ids", ",").alias("path"), F.array_join("types_", " → ").alias("types")))
         out = rows if out is None else out.unionByName(rows)
-    return out if limit is None else first(out)
+    return first(out).select(*keys, *[c for c in out.columns if c not in by])
 
 
 def multi_hop(graph: Graph, needle: str, hops: int = 2, limit: int = 20) -> DataFrame:

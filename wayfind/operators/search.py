@@ -28,7 +28,7 @@ def matches(graph: Graph, needle: str) -> DataFrame:
 def top_scored(graph: Graph, needle: str, limit: int = 15) -> DataFrame:
     """The ``limit`` most relevant nodes, by relevance and node_id."""
     found = matches(graph, needle).select("node_id", "labels", *X.SEARCHED, X.relevance(F.lit(needle)).alias("relevance"))
-    return found.orderBy(F.desc("relevance"), "node_id").limit(limit)
+    return found.orderBy(F.desc("relevance"), "node_id").limit(X.whole(limit))
 
 
 def scored(graph: Graph, needle: str, limit: int = 15, first_edge: bool = False) -> DataFrame:
@@ -122,18 +122,18 @@ def scored_batch(graph: Graph, questions: DataFrame, limit: int = 15) -> DataFra
 
 def plain(graph: Graph, needle: str, limit: int = 5) -> DataFrame:
     """Unscored search: matches with their edges, limited after expansion."""
-    return expanded(matches(graph, needle).select("node_id", "labels", *X.SEARCHED), graph).orderBy("node_id", F.col("edge_id").asc_nulls_first()).limit(limit)
+    return expanded(matches(graph, needle).select("node_id", "labels", *X.SEARCHED), graph).orderBy("node_id", F.col("edge_id").asc_nulls_first()).limit(X.whole(limit))
 
 
 def chat(graph: Graph, message: str, limit: int = 5) -> DataFrame:
     """Search of the whole message in six properties."""
-    return graph.nodes.filter(X.holds(F.lit(message), X.CHAT_SEARCHED)).orderBy("node_id").limit(limit)
+    return graph.nodes.filter(X.holds(F.lit(message), X.CHAT_SEARCHED)).orderBy("node_id").limit(X.whole(limit))
 
 
 def labelled(graph: Graph, name: str, needle: str, limit: int = 15) -> DataFrame:
     """Nodes of a label whose name contains the needle, with the edges they must have."""
     starts = graph.nodes.filter(F.array_contains("labels", name) & F.contains(F.lower("name"), F.lit(needle.lower()))).select("node_id", "labels", *X.SEARCHED)
-    return expanded(starts, graph, "inner").orderBy("node_id", "edge_id").limit(limit)
+    return expanded(starts, graph, "inner").orderBy("node_id", "edge_id").limit(X.whole(limit))
 
 
 def schema(graph: Graph) -> DataFrame:
@@ -144,7 +144,7 @@ def schema(graph: Graph) -> DataFrame:
 
 
 def sample(graph: Graph, limit: int = 5) -> DataFrame:
-    return graph.nodes.orderBy("node_id").limit(limit).select("node_id", X.label().alias("label"), "name", "canonical_name")
+    return graph.nodes.orderBy("node_id").limit(X.whole(limit)).select("node_id", X.label().alias("label"), "name", "canonical_name")
 
 
 def select(graph: Graph, statement: str, args: dict | None = None) -> DataFrame:

@@ -22,7 +22,8 @@ def contexts(graph: Graph, questions: DataFrame, limit: int = 15) -> DataFrame:
     short = Graph(graph.nodes.withColumn("text", F.left("text", F.lit(CLIP))), graph.edges)
     rows = S.expanded(top, short)
     found = C.joined(C.lines(rows, [F.col("rank"), F.col("edge_id").asc_nulls_first()], ["needle"]), ["needle"])
-    nothing = F.concat(F.lit("No results found for '"), F.col("entity"), F.lit("'."))
+    before, after = C.NOTHING.split("{}")
+    nothing = F.concat(F.lit(before), F.col("entity"), F.lit(after))
     text = F.when(F.col("entity").isNull(), C.NO_ENTITY).otherwise(F.coalesce("context", nothing))
     return asked.join(found, asked.entity == found.needle, "left").select("qid", "question", "entity", text.alias("context"))
 
@@ -49,7 +50,7 @@ def ask_with_fallback(graph: Graph, questions: DataFrame, make=M.Extract, backen
     """Scored search first; questions whose answer says that the context doesn't do are asked again with multi-hop search,
     all in one pass."""
     first = ask(graph, questions, 15, make, backend).persist()
-    weak = insufficient(F.col("answer")) | (F.lit(when_empty) & F.col("context").startswith("No results found"))
+    weak = insufficient(F.col("answer")) | (F.lit(when_empty) & F.col("context").startswith(C.NOTHING.split("'")[0]))
     again = first.filter(weak).join(questions.select("qid", F.col("entity").alias("given")), "qid").select("qid", "question", F.coalesce("given", X.entity(F.col("question"))).alias("entity")).filter("entity is not null").persist()
     return first.join(again.select("qid"), "qid", "left_anti").unionByName(ask_paths(graph, again, 20, make, backend))
 
