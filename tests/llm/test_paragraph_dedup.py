@@ -69,6 +69,14 @@ def test_against_all_pairs(spark):
     assert result(spark, rows) == want
 
 
+def test_many_small_buckets(spark, monkeypatch):
+    import wayfind.llm.common as common
+
+    monkeypatch.setattr(common, "BUCKET_BYTES", 300)
+    rows = corpus(3)
+    assert result(spark, rows) == brute(rows)
+
+
 def test_blocks_of_large_keys_meet(spark):
     rows = corpus(2)
     assert result(spark, rows, block=3) == brute(rows)

@@ -60,6 +60,16 @@ def test_against_all_strings(spark):
             assert got == brute(rows, 100)
 
 
+def test_many_small_buckets(spark, monkeypatch):
+    import wayfind.llm.common as common
+
+    monkeypatch.setattr(common, "BUCKET_BYTES", 300)
+    rows = corpus(4)
+    assert len(S.buckets_for(spark.createDataFrame(rows, "doc_id long, text string"))) > 16
+    got, n = result(spark, rows)
+    assert n == len(rows) and got == brute(rows, 100)
+
+
 def test_long_texts_are_cut_in_pieces(spark, monkeypatch):
     rows = corpus(9)
     monkeypatch.setattr(S.C, "CHUNK", 300)

@@ -32,9 +32,10 @@ from wayfind.llm.common import (
     DOC_BLOBS,
     LOWER,
     NO_ID,
-    bucket_ids,
+    buckets_for,
     by_value,
     doc_key,
+    each_bucket,
     groups,
     hold,
     keyed_rows,
@@ -43,6 +44,7 @@ from wayfind.llm.common import (
     pack_docs,
     pack_with,
     partitions,
+    sorted_by_bucket,
     spread,
     texts_of,
     trimmed,
@@ -417,13 +419,13 @@ def repeats(docs: DataFrame, cut, threshold: float = THRESHOLD, recall: float =
     words) each; paragraph is the line."""
     spark = docs.sparkSession
     p = partitions(spark)
-    ids = bucket_ids(p)
     bands, per_band = tune_bands(threshold, recall, hashes)
     rows = numbered(docs)
-    asked = rows.mapInArrow(trimmed(cells(cut, bands, per_band, ids, radius)), ROWS_SQL).repartition(p, "bucket").mapInArrow(trimmed(colliding(ids, block, radius)), ROWS_SQL)
+    ids = buckets_for(rows)
+    asked = sorted_by_bucket(rows.mapInArrow(trimmed(cells(cut, bands, per_band, ids, radius)), ROWS_SQL)).mapInArrow(trimmed(each_bucket(colliding(ids, block, radius))), ROWS_SQL)
     packed = rows.mapInArrow(trimmed(pack_docs(ids)), DOC_BLOBS).repartition(p, "bucket").groupBy("bucket")
     found = packed.cogroup(asked.repartition(p, "bucket").groupBy("bucket")).applyInArrow(sets(cut, ids), ROWS_SQL)
-    joined = components(found.repartition(p, "bucket").mapInArrow(trimmed(verified(threshold, radius)), "a long, b long"))
+    joined = components(sorted_by_bucket(found).mapInArrow(trimmed(each_bucket(verified(threshold, radius))), "a long, b long"))
     root = joined.unionByName(joined.select(F.col("component").alias("vertex"), "component").distinct())
     all_ = hold(rows.mapInArrow(trimmed(occurrences(cut)), OCCURRENCES))
     all_.count()  # else several stages that run together would each make what they don't find yet

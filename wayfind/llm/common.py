@@ -341,3 +341,37 @@ def by_bucket(answer, schema):
             yield keyed_rows(schema, answer(held))
 
     return run
+
+
+BUCKET_BYTES = 32 << 20  # of text for each bucket
+
+
+def buckets_for(rows: DataFrame) -> np.ndarray:
+    """Bucket numbers for documents (text): as many in each partition as the bytes of all texts ask for."""
+    p = partitions(rows.sparkSession)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return bucket_ids(p, p * max(1, -(-int(size) // (p * BUCKET_BYTES))))
+
+
+def sorted_by_bucket(df: DataFrame) -> DataFrame:
+    """Rows (bucket, ...) by partition, one bucket after another."""
+    return df.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+def each_bucket(run):
+    """mapInArrow function over rows sorted by bucket: ``run`` gets the batches of one bucket at a time."""
+
+    def whole(batches):
+        now, held = None, []
+        for b in batches:
+            bucket = np.asarray(b.column(b.schema.get_field_index("bucket")))
+            for k, s in groups(bucket):
+                if k != now and held:
+                    yield from run(iter(held))
+                    held = []
+                now = k
+                held.append(b.slice(s.start, s.stop - s.start))
+        if held:
+            yield from run(iter(held))
+
+    return whole

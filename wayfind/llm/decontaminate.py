@@ -252,3 +252,21 @@ def clean_documents(docs: DataFrame, items: DataFrame, least: float = LEAST, rad
 
 def op3_decontaminate(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Exact similarities of all windows around shared shingles, without fingerprints.
+OP3_SQL = rf"""
+with w as (select r, id, kind, regexp_extract_all(translate(coalesce(t, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from (
+  select row_number() over () as r, doc_id as id, 'doc' as kind, text as t from documents union all select row_number() over (), item_id, 'item', text from benchmark)),
+items as (select r, id, ws, len(ws) as n, least({SHINGLE}, len(ws)) as k from w where kind = 'item' and len(ws) > 0),
+owned as (select r, array_to_string(list_slice(ws, p + 1, p + k), ' ') as s, count(*) as c from (select r, ws, k, unnest(range(n - k + 1)) as p from items) group by 1, 2),
+docs as (select r, id, ws, len(ws) as n from w where kind = 'doc' and len(ws) > 0),
+shingled as (select r, n, k, p, array_to_string(list_slice(ws, p + 1, p + k), ' ') as s from (select docs.r, ws, n, k, unnest(range(n - k + 1)) as p from docs, (select distinct k from items) where n >= k)),
+hits as (select d.r as doc, i.r as item, d.p, d.s, o.c, least(i.n, d.n) as size, i.k, i.n as whole, d.n from shingled d join owned o on o.s = d.s join items i on i.r = o.r and i.k = d.k),
+starts as (select distinct doc, item, size, k, whole, unnest(range(greatest(0, least(p - (size - k), n - size)), least(p, n - size) + 1)) as a from hits),
+shared as (select x.doc, x.item, x.a, x.size, x.k, x.whole, h.s, least(count(*), any_value(h.c)) as c from starts x join hits h on h.doc = x.doc and h.item = x.item and h.p between x.a and x.a + x.size - x.k group by all),
+sums as (select doc, item, a, size, sum(c) / cast(any_value((size - k + 1) + (whole - k + 1)) - sum(c) as double) as similarity from shared group by doc, item, a, size)
+select docs.id as doc_id, items.id as item_id, similarity, cast(a as bigint) as first_word, cast(size as bigint) as n_words
+from sums join docs on docs.r = doc join items on items.r = item where similarity >= {LEAST}
+qualify row_number() over (partition by doc, item order by similarity desc, a) = 1
+"""

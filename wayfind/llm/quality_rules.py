@@ -143,3 +143,42 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
 def op4_quality_rules(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"))
+
+
+def op4_sql(levels: int = 16) -> str:
+    """The rules in SQL, for texts of fewer than 2 ** ``levels`` words. Windows of 2 ** k words are told by hashes of two halves;
+    the longest repeat is found bit by bit, as every part of a repeat is a repeat."""
+    space = r"\x20\x09-\x0D"
+    window = "partition by r order by i"
+    hashes = [f"h{k} as materialized (select *, case when i + {1 << k} <= n then hash(h{k - 1}, lead(h{k - 1}, {1 << k - 1}) over ({window})) end as h{k} from h{k - 1})" for k in range(1, levels)]
+    steps = [f"l{levels} as materialized (select r, i, 0 as size, cast(0 as ubigint) as c from h0)"]
+    for k in reversed(range(levels)):
+        steps.append(f"t{k} as materialized (select l.r, l.i, l.size, l.c, case when h.h{k} is not null then hash(l.c, h.h{k}) end as d from l{k + 1} l left join h{levels - 1} h on h.r = l.r and h.i = l.i + l.size)")
+        steps.append(f"g{k} as (select r from (select r, d from t{k} where d is not null group by r, d having count(*) > 1) group by r)")
+        steps.append(f"l{k} as materialized (select t.r, i, case when g.r is null then size else size + {1 << k} end as size, case when g.r is null then c else d end as c from t{k} t left join g{k} g on g.r = t.r where g.r is null or d is not null)")
+
+    def covered(size: int, name: str) -> str:
+        ids = [f"lead(word, {j}) over ({window})" for j in range(1, size)]
+        return f"""{name}_w as (select r, i, case when i + {size} <= n then hash(word, {", ".join(ids)}) end as d from words),
+{name}_s as (select r, i, d is not null and count(*) over (partition by r, d) > 1 as again from {name}_w),
+{name} as (select r, count(*) as n from (select r, max(again) over ({window} rows between {size - 1} preceding and current row) as inside from {name}_s) where inside group by r)"""
+
+    return f"""with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+m as (select r, doc_id, t, regexp_extract_all(t, '[^{space}]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{space}]')) as lines from docs),
+words as materialized (select r, len(ws) as n, unnest(ws) as word, unnest(range(len(ws))) as i from m),
+h0 as materialized (select r, n, i, hash(word) as h0 from words),
+{", ".join(hashes)},
+{", ".join(steps)},
+longest as (select r, max(size) as size from l0 group by r),
+{covered(3, "three")},
+{covered(LEAST, "many")},
+f as (select m.*, len(ws) as n, coalesce(three.n, 0) as n3, coalesce(many.n, 0) as n8, case when size >= {LEAST} then size else 0 end as size
+  from m left join three on three.r = m.r left join many on many.r = m.r left join longest on longest.r = m.r)
+select doc_id, n as n_words, length(regexp_replace(t, '[{space}]', '', 'g')) as word_chars, cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) as n_symbols,
+  cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, n3 as n_repeat_words, n < 50 or 100 * n3 > 50 * n as base_failed,
+  not (n < 50 or 100 * n3 > 50 * n) and n8 <= cast({MAX_COVERED} as double) * n and coalesce(size, 0) <= cast({MAX_LONGEST} as double) * n as kept,
+  n8 as covered_words, cast(coalesce(size, 0) as bigint) as longest_repeat
+from f"""
+
+
+OP4_SQL = op4_sql()

@@ -34,9 +34,10 @@ from wayfind.llm import cells as C
 from wayfind.llm.common import (
     DOC_BLOBS,
     NO_ID,
-    bucket_ids,
+    buckets_for,
     by_value,
     doc_key,
+    each_bucket,
     groups,
     hold,
     keyed_rows,
@@ -46,6 +47,7 @@ from wayfind.llm.common import (
     pack_with,
     partitions,
     shorter,
+    sorted_by_bucket,
     spread,
     texts_of,
     trimmed,
@@ -338,13 +340,13 @@ def dedup(docs: DataFrame, size: int = 100, hot: int = 4096, hot_in_task: int =
         raise ValueError(f"size must be at least {C.K}")
     spark = docs.sparkSession
     p = partitions(spark)
-    ids = bucket_ids(p)
     rows = numbered(docs)
-    found = hold(rows.mapInArrow(trimmed(cut(size, ids, hot_in_task)), ROWS_SQL).repartition(p, "bucket").mapInArrow(trimmed(settle(ids, hot)), ROWS_SQL))
+    ids = buckets_for(rows)
+    found = hold(sorted_by_bucket(rows.mapInArrow(trimmed(cut(size, ids, hot_in_task)), ROWS_SQL)).mapInArrow(trimmed(each_bucket(settle(ids, hot))), ROWS_SQL))
     packed = rows.mapInArrow(trimmed(pack_docs(ids)), DOC_BLOBS).repartition(p, "bucket").groupBy("bucket")
     asked = found.filter(F.col("kind") != SPAN).repartition(p, "bucket").groupBy("bucket")
     windows = packed.cogroup(asked).applyInArrow(fetch(size, ids), ROWS_SQL)
-    more = windows.repartition(p, "bucket").mapInArrow(trimmed(resolve(size, ids)), ROWS_SQL)
+    more = sorted_by_bucket(windows).mapInArrow(trimmed(each_bucket(resolve(size, ids))), ROWS_SQL)
     spans = found.filter(F.col("kind") == SPAN).unionByName(more).repartition(p, "bucket").groupBy("bucket")
     return packed.cogroup(spans).applyInArrow(apply_spans(size, keep_bytes), RESULT)
 
@@ -387,3 +389,27 @@ def op10_suffix_dedup(spark, sf_dir):
     from wayfind.llm.common import table
 
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: For distinct doc_ids. Strings of 100 bytes are told by 64-bit hashes.
+OP10_SQL = """
+with d as (
+  select doc_id, coalesce(doc_id, -9223372036854775808) as id, hex(encode(coalesce(text, ''))) as x from documents
+), s as (
+  select id, i, hash(substr(x, cast(2 * i + 1 as bigint), 200)) as h from (select id, x, unnest(range(0, cast(length(x) / 2 as bigint) - 99)) as i from d where length(x) >= 200)
+), gone as (
+  select id, i from (select id, i, row_number() over (partition by h order by id, i) as n from s) where n > 1
+), runs as (
+  select id, min(i) as a, max(i) + 100 as b from (
+    select id, i, sum(fresh) over (partition by id order by i) as run from (
+      select id, i, case when i <= lag(i) over (partition by id order by i) + 100 then 0 else 1 end as fresh from gone))
+  group by id, run
+), cut as (
+  select d.id, a, b, substr(x, 2 * coalesce(lag(b) over (partition by d.id order by a), 0) + 1, 2 * (a - coalesce(lag(b) over (partition by d.id order by a), 0))) as before, x from d join runs on runs.id = d.id
+), kept as (
+  select id, sum(b - a) as n_removed, count(*) as n_spans, string_agg(before, '' order by a) || substr(any_value(x), 2 * max(b) + 1) as x from cut group by id
+)
+select doc_id, cast(length(d.x) / 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(kept.x, d.x))) as kept_sha256
+from d left join kept on kept.id = d.id
+"""
