@@ -60,3 +60,37 @@ def test_run_against_brute_force(spark, tmp_path):
     documents = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in P.STAGES[:-1]:
         assert stage(spark, documents, str(tmp_path)).schema.simpleString() == documents.schema.simpleString(), name
+
+
+ODD = [(1, None, "a"), (2, "", "b"), (3, " \n", "c"), (None, "x y", "d"), (None, "x y", "d"), (4, "x y", "e"), (4, "x y", "e"), (5, "z " * 100_000, "f"), (6, "one two three four five six seven", "g"), (6, "other words of the same id", "h")]
+
+
+def odd(spark):
+    """Nulls, blanks, ties, repeated rows and ids, a very long text, and columns whose names operators use themselves."""
+    df = spark.createDataFrame([(d, t, x, 1) for d, t, x in ODD], "doc_id long, text string, part string, bucket int")
+    return df.selectExpr("*", "part as _id", "part as sha", "part as spans", "part as cut", "part as digest", "part as kind", "part as blob", "bucket as n", "part as component_id")
+
+
+def test_every_stage_takes_odd_rows_and_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six seven"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd(spark)
+    got = {}
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "encoding":
+            assert out.columns == docs.columns, name
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0 and empty.columns == out.columns, name
+        got[name] = sorted((r.doc_id or 0, getattr(r, "part", None) or "") for r in out.collect())
+    all_ = sorted((d or 0, x) for d, _, x in ODD)
+    assert got["quality"] == []
+    assert got["near_dedup"] == [(0, "d"), (0, "d"), (1, "a"), (5, "f"), (6, "g"), (6, "h")]
+    assert got["string_dedup"] == all_
+    assert got["decontamination"] == [x for x in all_ if x != (6, "g")]
+    assert [d for d, _ in got["encoding"]] == [d for d, _ in all_]
+
+
+def test_run_of_an_empty_table(spark, tmp_path):
+    odd(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0

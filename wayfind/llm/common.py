@@ -82,8 +82,18 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 def hold(df: DataFrame) -> DataFrame:
     """``df``, whose partitions executors keep on disk for its several readers; what is lost with one is made again.
-    Held until spark.catalog.clearCache()."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    Held until release(), or spark.catalog.clearCache()."""
+    held.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
+held: list[DataFrame] = []
+
+
+def release() -> None:
+    """Let go of all that hold() keeps, when what reads it has been written."""
+    while held:
+        held.pop().unpersist()
 
 
 def drop(df: DataFrame | None) -> None:
