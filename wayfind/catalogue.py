@@ -163,7 +163,7 @@ def schema_summary(spark, d):
     return S.schema(stored(spark, d))
 
 
-@query(f"{GRAPH} select node_id, label, name, canonical_name from nodes order by node_id limit 5")
+@query(f"{GRAPH} select node_id, label, name, canonical_name, text, {', '.join(f'cast(null as varchar) as {c}' for c in ('title', 'description', 'disease', 'symptom', 'canonical_id', 'original_id'))} from nodes order by node_id limit 5")
 def sample_nodes(spark, d):
     return S.sample(stored(spark, d))
 
@@ -234,6 +234,13 @@ def duplicate_keys(spark, d):
     return I.duplicates(stored(spark, d).nodes.filter(F.array_contains("labels", "EntityCanonical")), "original_id")
 
 
+@query("select cast(vec_id as varchar) as key, count(*) as n from (select vec_id from embeddings union all select vec_id from embeddings where vec_id % 10 = 3) group by vec_id having count(*) > 1")
+def constraint_violations(spark, d):
+    """What a uniqueness constraint on canonical_id would refuse: every tenth node is there twice."""
+    nodes = stored(spark, d).nodes.filter(F.array_contains("labels", "EntityCanonical"))
+    return I.duplicates(nodes.unionByName(nodes.filter(F.col("canonical_id").cast("long") % 10 == 3)), "canonical_id")
+
+
 @query(f"{GRAPH} select node_id, cast(null as varchar) as original_id, text from nodes where text is not null and text <> ''")
 def harvest_text(spark, d):
     return I.harvest(stored(spark, d).nodes)
@@ -285,10 +292,12 @@ ENTITY = rf"trim(coalesce(list_filter({WORDS}, lambda w: length(w) > 4 and regex
 
 
 @query(f"""{GRAPH} select string_agg(i || '. ' || j, chr(10) order by i) as context
-  from (select row_number() over (order by node_id) as i, to_json(struct_pack(node_id := node_id, name := name))::varchar as j from nodes where label = 'Nation' qualify i <= 15)""")
+  from (select row_number() over (order by node_id) as i, to_json(struct_pack(node_id := node_id, name := name, n := length(name), vowel := contains('AEIOU', left(name, 1)), s := struct_pack(k := name, n := 1)))::varchar as j from nodes where label = 'Nation' qualify i <= 15)""")
 def record_context(spark, d):
-    rows = S.select(stored(spark, d), "select node_id, name from nodes where array_contains(labels, :label) order by node_id", {"label": "Nation"})
-    return C.or_else(C.joined(C.records(rows), []), C.NOTHING_FROM_QUERY)
+    """Strings, numbers, booleans and structs of these; vectors and other arrays within structs go."""
+    statement = """select node_id, name, length(name) as n, contains('AEIOU', left(name, 1)) as vowel, named_struct('k', name, 'n', 1, 'embedding', array(1.0), 'l', array(1)) as s, array(0.5) as embedding
+      from nodes where array_contains(labels, :label) order by node_id"""
+    return C.or_else(C.joined(C.records(S.select(stored(spark, d), statement, {"label": "Nation"})), []), C.NOTHING_FROM_QUERY)
 
 
 @query(f"""{GRAPH} select coalesce(string_agg(j, chr(10) order by node_id), '{C.NO_CHAT_MATCH}') as context

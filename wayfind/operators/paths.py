@@ -37,15 +37,22 @@ def walks(starts: DataFrame, graph: Graph, hops: int, limit: int | None = None,
     return first(out).select(*keys, *[c for c in out.columns if c not in by])
 
 
+def leaving(graph: Graph) -> DataFrame:
+    """Nodes that an edge leaves. Each gives a walk of one edge, and these come first by start: of a needle's nodes the first
+    ``limit`` such starts hold all that a limited search can return."""
+    return graph.nodes.join(graph.edges.select(F.col("src").alias("node_id")), "node_id", "left_semi")
+
+
 def multi_hop(graph: Graph, needle: str, hops: int = 2, limit: int = 20) -> DataFrame:
-    return walks(graph.nodes.filter(X.holds(F.lit(needle))).select("node_id"), graph, hops, limit)
+    starts = leaving(graph).filter(X.holds(F.lit(needle))).select("node_id").orderBy("node_id").limit(X.whole(limit))
+    return walks(starts, graph, hops, limit)
 
 
 def multi_hop_batch(graph: Graph, questions: DataFrame, hops: int = 2, limit: int = 20) -> DataFrame:
     """The first walks of each entity of questions (entity, ...), under ``needle``: one plan for all of them. Entities that
     are equal but for case are searched and walked from once."""
     needles = needles_of(questions)
-    found = walks(hits_of(graph, needles, None).select("q", "node_id"), graph, hops, limit, ("q",))
+    found = walks(hits_of(leaving(graph), needles, limit, ranked=False).select("q", "node_id"), graph, hops, limit, ("q",))
     return found.join(needles, "q").drop("q")
 
 

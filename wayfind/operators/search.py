@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as X
-from wayfind.sources.graph import Graph
+from wayfind.sources.graph import NODE, Graph
 
 TARGET = ["edge_id", "type", "target_id", "target_labels", "target_text", "target_name", "target_canonical_name"]
 BLOCK_NEEDLES, BLOCK_BYTES = 50_000, 8 << 20  # needles that one pass over the nodes looks for
@@ -39,9 +39,10 @@ def scored(graph: Graph, needle: str, limit: int = 15, first_edge: bool = False)
     return out
 
 
-def searched(block, limit: int | None):
+def searched(block, limit: int, ranked: bool):
     """mapInArrow function over (node_id, text, name, canonical_name), all in lower case: (q, node_id, relevance) of the
-    needles of ``block`` that a node holds; of each needle the task's ``limit`` most relevant nodes, or all."""
+    needles of ``block`` that a node holds; of each needle the task's first ``limit`` nodes by relevance, if ``ranked``, and
+    node_id."""
 
     def run(batches):
         import ahocorasick
@@ -67,22 +68,17 @@ def searched(block, limit: int | None):
                 yield pa.RecordBatch.from_arrays([pa.array([needles[i] for i, _, _ in part], pa.string()), pa.array([n for _, _, n in part], pa.string()), pa.array([-r for _, r, _ in part], pa.int32())], ["q", "node_id", "relevance"])
 
         for b in batches:
-            all_ = []
             for node, text, name, canonical in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 level = dict.fromkeys(inside(text), 1)
                 level |= dict.fromkeys(inside(name) | inside(canonical), 5)
                 level |= {place[v]: 10 for v in (name, canonical) if v in place}
                 for i, r in level.items():
-                    if limit is None:
-                        all_.append((i, -r, node))
-                        continue
                     own = best.setdefault(i, [])
-                    own.append((-r, node))
+                    own.append((-r if ranked else 0, node, -r))
                     if len(own) > 4 * limit:
                         own.sort()
                         del own[limit:]
-            yield from rows(all_)
-        yield from rows([(i, r, n) for i, own in best.items() for r, n in sorted(own)[:limit]])
+        yield from rows([(i, r, n) for i, own in best.items() for _, n, r in sorted(own)[:limit]])
 
     return run
 
@@ -92,21 +88,23 @@ def needles_of(questions: DataFrame) -> DataFrame:
     return questions.filter("entity is not null").select(F.col("entity").alias("needle")).distinct().withColumn("q", F.lower("needle"))
 
 
-def hits_of(graph: Graph, needles: DataFrame, limit: int | None) -> DataFrame:
-    """(q, node_id, relevance) of needles (q, ...) in lower case. A substring is no join key, so an automaton of all
-    needles reads each value once, whatever their number. Needles go to the tasks in blocks of a checked size; each block
-    is one pass over the nodes. limit: what a needle keeps in each task, None for all."""
-    spark = graph.nodes.sparkSession
+def hits_of(nodes: DataFrame, needles: DataFrame, limit: int, ranked: bool = True) -> DataFrame:
+    """(q, node_id, relevance, rank) of needles (q, ...) in lower case: the first ``limit`` nodes of each by relevance, if
+    ``ranked``, and node_id. A substring is no join key, so an automaton of all needles reads each value once, whatever
+    their number. Needles go to the tasks in blocks of a checked size; each block is one pass over the nodes. The limit is
+    applied in each task first, so a word that every node holds costs no more rows than another."""
+    spark = nodes.sparkSession
     asked = needles.select("q").distinct()
     n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("q")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_NEEDLES), -(-size // BLOCK_BYTES))
-    values = graph.nodes.select("node_id", *[F.lower(c).alias(c) for c in X.SEARCHED])
+    values = nodes.select("node_id", *[F.lower(c).alias(c) for c in X.SEARCHED])
     out = None
     for k in range(blocks):
         part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k)
-        found = values.mapInArrow(searched(spark.sparkContext.broadcast([r.q for r in part.collect()]), limit), "q string, node_id string, relevance int")
+        found = values.mapInArrow(searched(spark.sparkContext.broadcast([r.q for r in part.collect()]), X.whole(limit), ranked), "q string, node_id string, relevance int")
         out = found if out is None else out.unionByName(found)
-    return out
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(*([F.desc("relevance")] if ranked else []), "node_id"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
 def scored_batch(graph: Graph, questions: DataFrame, limit: int = 15) -> DataFrame:
@@ -114,8 +112,7 @@ def scored_batch(graph: Graph, questions: DataFrame, limit: int = 15) -> DataFra
     applied before rows are brought together, in each task, and only the rows that are left fetch their texts. node_id is
     the nodes' key."""
     needles = needles_of(questions)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("relevance"), "node_id"))
-    top = hits_of(graph, needles, limit).withColumn("rank", rank).filter(F.col("rank") <= limit)
+    top = hits_of(graph.nodes, needles, limit)
     own = graph.nodes.select("node_id", "labels", *X.SEARCHED)
     return top.join(needles, "q").join(own, "node_id").select("needle", "node_id", "labels", *X.SEARCHED, "relevance", "rank")
 
@@ -144,7 +141,8 @@ def schema(graph: Graph) -> DataFrame:
 
 
 def sample(graph: Graph, limit: int = 5) -> DataFrame:
-    return graph.nodes.orderBy("node_id").limit(X.whole(limit)).select("node_id", X.label().alias("label"), "name", "canonical_name")
+    """A few nodes with all their properties."""
+    return graph.nodes.orderBy("node_id").limit(X.whole(limit)).select("node_id", X.label().alias("label"), *NODE)
 
 
 def select(graph: Graph, statement: str, args: dict | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from wayfind.operators.dialog import insufficient
 from wayfind.operators.paths import multi_hop_batch
 from wayfind.plans import models as M
 from wayfind.sources.graph import Graph
+from wayfind.sources.store import kept
 
 CLIP = 301  # characters that travel of a text: lines clip at 300 at most, and must see that there are more
 
@@ -48,10 +49,10 @@ def ask_paths(graph: Graph, questions: DataFrame, limit: int = 20, make=M.Extrac
 
 def ask_with_fallback(graph: Graph, questions: DataFrame, make=M.Extract, backend: str = "extract", when_empty: bool = False) -> DataFrame:
     """Scored search first; questions whose answer says that the context doesn't do are asked again with multi-hop search,
-    all in one pass."""
-    first = ask(graph, questions, 15, make, backend).persist()
+    all in one pass. The first answers are stored, so no model is asked twice for one."""
+    first = kept(ask(graph, questions, 15, make, backend), "answers")
     weak = insufficient(F.col("answer")) | (F.lit(when_empty) & F.col("context").startswith(C.NOTHING.split("'")[0]))
-    again = first.filter(weak).join(questions.select("qid", F.col("entity").alias("given")), "qid").select("qid", "question", F.coalesce("given", X.entity(F.col("question"))).alias("entity")).filter("entity is not null").persist()
+    again = first.filter(weak).join(questions.select("qid", F.col("entity").alias("given")), "qid").select("qid", "question", F.coalesce("given", X.entity(F.col("question"))).alias("entity")).filter("entity is not null")
     return first.join(again.select("qid"), "qid", "left_anti").unionByName(ask_paths(graph, again, 20, make, backend))
 
 

@@ -56,6 +56,13 @@ def get(spark: SparkSession, folder: str, version: int | None = None) -> DataFra
     return spark.read.parquet(f"{folder}/version={found[-1] if version is None else version}")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to a new table in the shared folder and read from there."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    put(df, folder)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/version=1")
+
+
 def unique(df: DataFrame, key: str) -> DataFrame:
     """``df``, after a check that no value of ``key`` but null occurs twice; raises and names one otherwise."""
     twice = duplicates(df, key).limit(1).collect()
