@@ -12,9 +12,11 @@ One suffix array of the whole corpus would move every suffix. Instead:
    fetched as a window of its bytes, and the windows of an anchor are put in suffix order; starts whose longest
    previous factor reaches ``size`` go too.
 3. An anchor with very many contents (a passage in a third of all texts, each in its own surroundings) would be one
-   large group. Its starts are dealt one by one, by a 128-bit hash of their strings, earliest first.
+   large group. Its starts are decided by their longest previous factors in each bucket of documents first; those that
+   remain, one of each string and bucket, go to sub-groups by their strings' hashes, and are decided there in the same way.
 
-Equality of whole cells is that of two 64-bit hashes, of the anchor and of the content.
+Equality of whole cells is that of two 64-bit hashes, of the anchor and of the content; all other removals are by compared
+bytes.
 
 Each document takes its starts back, merges them to spans and drops the spans. Nothing is dropped, capped or sampled.
 
@@ -68,7 +70,6 @@ ROWS_SQL = "kind int, bucket int, blob binary"
 CELLS = ("<u8", "<u8", "<i8", "<i8", "<u4")  # anchor, content, doc_id, offset, starts (0: the anchor is hot)
 SPANS = ("<i8", "<i8", "<u4")  # doc_id, offset, starts
 ASKED = ("<u8", "<i8", "<i8", "<u4")  # anchor, doc_id, offset, starts
-HASHES = ("<u8", "<u8", "<i8", "<i8")  # two hashes of a string, doc_id, offset
 
 
 def chunks(rows, size):
@@ -202,99 +203,87 @@ def settle(ids, hot):
     return run
 
 
+def decided(h, doc, lo, n, data, size):
+    """Of windows (anchor, doc_id, offset, starts, bytes on end) some whole anchors at a time, about 262,000 starts: the bytes, and
+    of each start its place in them, doc_id, offset and whether its longest previous factor reaches ``size``."""
+    width = n.astype(np.int64) + size - 1
+    begin = np.cumsum(width) - width
+    order = np.lexsort((lo, doc, h))
+    total = np.cumsum(n[order].astype(np.int64))
+    at = 0
+    while at < len(order):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 18))))
+        while end < len(order) and h[order[end]] == h[order[end - 1]]:
+            end += 1
+        own = order[at:end]
+        m = n[own].astype(np.int64)
+        off = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        one = np.concatenate([data[begin[i] : begin[i] + width[i]] for i in own])
+        start = np.repeat(np.cumsum(width[own]) - width[own], m) + off
+        d, o, g = np.repeat(doc[own], m), np.repeat(lo[own], m) + off, np.repeat(h[own], m)
+        place = np.empty(len(d), np.int64)
+        by = np.lexsort((o, d))
+        place[by] = np.cumsum(np.r_[False, (d[by][1:] != d[by][:-1]) | (o[by][1:] != o[by][:-1])])
+        yield one, start, d, o, longest_previous_factors(one, start, place, size, g) >= size
+        at = end
+
+
 def fetch(size, ids):
-    """Cogrouped function of a bucket's documents and asked cells: WINDOW rows (with bytes, by anchor), and START rows
-    (hashes, by hash; equal strings in the bucket go as the earliest, the others as SPAN rows)."""
+    """Cogrouped function of a bucket's documents and asked cells: WINDOW rows (with bytes) by anchor. Of hot anchors, the starts
+    that are the first of their string in the bucket go as windows of their own, by the string's hash; the others as
+    SPAN rows."""
 
     def run(key, docs, asked):
         kinds = asked.column("kind").to_pylist()
         blobs = asked.column("blob").to_pylist()
-        rows, starts = [], []
-        texts = {}
+        rows, texts = [], {}
         if blobs:
-            for d, part, t in unpack_docs(docs.column("blob").to_pylist()):
-                texts[d, part] = t
+            texts = {(d, part): t for d, part, t in unpack_docs(docs.column("blob").to_pylist())}
         for kind in (WINDOW, START):
             h, doc, lo, n = unpack_all([b for b, k in zip(blobs, kinds, strict=True) if k == kind], *ASKED)
-            bytes_ = []
-            for d, a, m in zip(doc.tolist(), lo.tolist(), n.tolist(), strict=True):
-                part, at = a >> PART, a & ((1 << PART) - 1)
-                bytes_.append(texts[d, part][at : at + m + size - 1])
+            bytes_ = [texts[d, a >> PART][a & ((1 << PART) - 1) :][: m + size - 1] for d, a, m in zip(doc.tolist(), lo.tolist(), n.tolist(), strict=True)]
             if kind == WINDOW and len(h):
                 bucket = spread(h, ids)
                 order = np.argsort(bucket, kind="stable")
                 for k, s in groups(bucket[order]):
                     own = order[s]
                     rows.append((WINDOW, int(k), pack_with(b"".join(bytes_[i] for i in own), h[own], doc[own], lo[own], n[own])))
-            for i in range(len(h)) if kind == START else ():
-                code = C.BYTE[np.frombuffer(bytes_[i], np.uint8)]
-                with np.errstate(over="ignore"):
-                    starts.append((C.mix(C.gram_hash(code, size)), C.mix(C.gram_hash(C.mix(code), size)), np.full(n[i], doc[i]), lo[i] + np.arange(n[i])))
-        if starts:
-            first, later = earliest(*(np.concatenate(x) for x in zip(*starts, strict=True)))
-            rows += to_docs(SPAN, later, ids) + dealt(START, first[0], first, ids)
-        return keyed_rows_table(rows)
+            if kind == START and len(h):
+                for one, start, d, o, gone in decided(h, doc, lo, n, np.frombuffer(b"".join(bytes_), np.uint8), size):
+                    rows += to_docs(SPAN, merged(d[gone], o[gone], np.ones(gone.sum(), np.uint32)), ids)
+                    start, d, o = start[~gone], d[~gone], o[~gone]
+                    with np.errstate(over="ignore"):
+                        string = C.mix(C.gram_hash(C.BYTE[one], size))[start]
+                    bucket = spread(string, ids)
+                    order = np.argsort(bucket, kind="stable")
+                    for k, s in groups(bucket[order]):
+                        own = order[s]
+                        text = one[start[own][:, None] + np.arange(size)].tobytes()
+                        rows.append((WINDOW, int(k), pack_with(text, string[own], d[own], o[own], np.ones(len(own), np.uint32))))
+        return pa.Table.from_batches([keyed_rows(ROWS, rows)])
 
     return run
 
 
-def keyed_rows_table(rows):
-    return pa.Table.from_batches([keyed_rows(ROWS, rows)])
-
-
-def earliest(a, b, doc, lo):
-    """The earliest start of each string (by its hashes), and the spans of the others."""
-    order = np.lexsort((lo, doc, b, a))
-    a, b, doc, lo = a[order], b[order], doc[order], lo[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = ~new & ((doc != doc[lead]) | (lo != lo[lead]))
-    return (a[new], b[new], doc[new], lo[new]), merged(doc[later], lo[later], np.ones(later.sum(), np.uint32))
-
-
 def resolve(size, ids):
-    """mapInArrow function over all windows of some anchors and all hashes of some strings: SPAN rows."""
+    """mapInArrow function over all windows of some anchors and of some strings: SPAN rows."""
 
     def run(batches):
-        windows, hashes = [], []
+        windows = []
         for b in batches:
-            for kind, blob, bucket in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for kind, bucket, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == SPAN:
                     yield keyed_rows(ROWS, [(kind, bucket, blob)])
                 else:
-                    (windows if kind == WINDOW else hashes).append(blob)
-        if hashes:
-            _, later = earliest(*unpack_all(hashes, *HASHES))
-            yield keyed_rows(ROWS, to_docs(SPAN, later, ids))
+                    windows.append(blob)
         if not windows:
             return
         parts = [unpack_with(b, *ASKED) for b in windows]
         h, doc, lo, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
         data = np.concatenate([p[4] for p in parts])
         parts.clear()
-        width = n.astype(np.int64) + size - 1
-        begin = np.cumsum(width) - width
-        order = np.lexsort((lo, doc, h))
-        spans = []
-        at = 0
-        while at < len(order):  # whole anchors, about 262,000 starts at once
-            end = at + max(1, int(np.searchsorted(np.cumsum(n[order[at:]].astype(np.int64)), 1 << 18)))
-            while end < len(order) and h[order[end]] == h[order[end - 1]]:
-                end += 1
-            own = order[at:end]
-            m = n[own].astype(np.int64)
-            off = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            one = np.concatenate([data[begin[i] : begin[i] + width[i]] for i in own])
-            start = np.repeat(np.cumsum(width[own]) - width[own], m) + off
-            d, o, g = np.repeat(doc[own], m), np.repeat(lo[own], m) + off, np.repeat(h[own], m)
-            place = np.empty(len(d), np.int64)
-            by = np.lexsort((o, d))
-            place[by] = np.cumsum(np.r_[False, (d[by][1:] != d[by][:-1]) | (o[by][1:] != o[by][:-1])])
-            gone = longest_previous_factors(one, start, place, size, g) >= size
-            spans.append(merged(d[gone], o[gone], np.ones(gone.sum(), np.uint32)))
-            at = end
-        out = merged(*(np.concatenate(x) for x in zip(*spans, strict=True)))
-        yield keyed_rows(ROWS, to_docs(SPAN, out, ids))
+        spans = [merged(d[gone], o[gone], np.ones(gone.sum(), np.uint32)) for _, _, d, o, gone in decided(h, doc, lo, n, data, size)]
+        yield keyed_rows(ROWS, to_docs(SPAN, merged(*(np.concatenate(x) for x in zip(*spans, strict=True))), ids))
 
     return run
 
