@@ -7,7 +7,8 @@ Longer passages inside lines that differ, or that run over several short lines,
 places that the words themselves decide, over the whole text without regard to lines, so that any PASSAGE words that two
 texts share hold an equal window. Windows are matched by equality alone: neighbours overlap, and bands would link them as
 near copies of each other. A line of fewer than ``least`` words is no paragraph of its own, but its words are in the
-windows. Windows go in blocks, as packed arrays: each block asks buckets once for each different window it holds, a bucket
+windows. Windows are for passages that texts share: one that occurs in a single document only is no copy, while paragraphs
+are compared within a document too. Windows go in blocks, as packed arrays: each block asks buckets once for each different window it holds, a bucket
 adds up what all blocks hold and answers each of them, and a block gives a row for each of its windows that has copies. So
 a window that a third of all texts share is a short entry of each block. A window's name has 96 bits.
 
@@ -151,39 +152,46 @@ def unblock(blob: bytes):
 
 
 def ask(ids):
-    """mapInArrow function over blocks: of each different window its name, its number and its first place, by bucket."""
+    """mapInArrow function over blocks: of each different window its name, its number, its first place and how far the last
+    document with it is from the first, by bucket."""
 
     def run(batches):
         for b in batches:
             for block, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 name, more, doc, place, _, first = unblock(blob.as_py())
-                count = np.diff(np.r_[first, len(name)]).astype(np.uint32)
+                last = np.r_[first[1:], len(name)] - 1
+                with np.errstate(over="ignore"):
+                    apart = doc[last] - doc[first], (place[last] >> PART) - (place[first] >> PART)
+                count = (last - first + 1).astype(np.uint32)
                 name, more, doc, place = name[first], more[first], doc[first], place[first]
                 e, rows = edges(name, len(ids)), []
                 for k in np.flatnonzero(np.diff(e)).tolist():
                     s = slice(e[k], e[k + 1])
-                    rows.append((int(ids[k]), block, ANSWERS, framed(np.int64(k).tobytes(), planes(np.diff(name[s], prepend=np.uint64(0))), *(planes(a[s]) for a in (more, count, doc, place)))))
+                    rows.append((int(ids[k]), block, ANSWERS, framed(np.int64(k).tobytes(), planes(np.diff(name[s], prepend=np.uint64(0))), *(planes(a[s]) for a in (more, count, doc, place, *apart)))))
                 yield keyed_rows(ROWS, rows)
 
     return run
 
 
 def add_up(rows):
-    """Of one bucket's questions the answers: of each asked window the number in all blocks, and if that is over one the
-    first place."""
+    """Of one bucket's questions the answers: of each asked window the number in all blocks, and the first place; 1 and none if
+    one document has them all."""
     heads, parts = [], []
     for _, _, _, blob in rows:
         head, name, *rest = unframed(blob)
         heads.append(head)
-        parts.append([np.cumsum(unplanes(name, "<u8"), dtype=np.uint64), *(unplanes(x, k) for x, k in zip(rest, ("<u4", "<u4", "<i8", "<i8"), strict=True))])
-    name, more, count, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.append([np.cumsum(unplanes(name, "<u8"), dtype=np.uint64), *(unplanes(x, k) for x, k in zip(rest, ("<u4", "<u4", "<i8", "<i8", "<i8", "<i8"), strict=True))])
+    name, more, count, doc, place, far, parts_far = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((place, doc, more, name))
     new = np.r_[True, (name[order][1:] != name[order][:-1]) | (more[order][1:] != more[order][:-1])]
     first = np.flatnonzero(new)
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
     total = np.add.reduceat(count[order].astype(np.int64), first)
+    with np.errstate(over="ignore"):
+        last = np.maximum.reduceat((doc + far)[order], first), np.maximum.reduceat(((place >> PART) + parts_far)[order], first)
     doc, place = doc[order][first], place[order][first]
+    total[(last[0] == doc) & (last[1] == place >> PART)] = 1
     out, at = [], 0
     for (bucket, block, kind, _), head, p in zip(rows, heads, parts, strict=True):
         own = of[at : at + len(p[0])]
@@ -223,8 +231,8 @@ def found(batches):
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """The columns of banding.repeats() of each window of WINDOW words that occurs more than once in documents (doc_id, text).
-    paragraph is the line in which it begins."""
+    """The columns of banding.repeats() of each window of WINDOW words that several documents (doc_id, text) have. paragraph is
+    the line in which it begins."""
     p = partitions(docs.sparkSession)
     held = hold(numbered(docs).mapInArrow(trimmed(blocks), "block long, n long, blob binary"))
     n = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
