@@ -1,5 +1,7 @@
 """Queries by name, each over whole tables, and DuckDB SQL with the same results."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as X
@@ -10,11 +12,12 @@ from wayfind.operators import paths as P
 from wayfind.operators import search as S
 from wayfind.operators.similarity import links
 from wayfind.plans import models as M
-from wayfind.plans.ask import ask, ask_with_fallback, contexts
+from wayfind.plans.ask import ask, ask_one, ask_with_fallback, contexts
 from wayfind.plans.ask import chat_context as chat_text
 from wayfind.plans.embed import Hashed, embed_nodes
-from wayfind.sources.graph import Graph, table
-from wayfind.sources.store import stored
+from wayfind.sources.graph import Graph, read_links, table
+from wayfind.sources.store import get, put, shared_folder, stored
+from wayfind.streaming.chat import notices
 
 NEEDLE, WIDE, NEEDLES = "red bolt", "red", ["red bolt", "blue", "supplier#000000001", "È", "no such thing"]
 SIMILAR = 0.3
@@ -326,14 +329,17 @@ SPOKEN = """spoken as (select conv_id, turn, role, case
   else text end as text from conversations)"""
 
 
-def spoken(spark, d):
+def said_text():
     at, user, said = F.col("conv_id") + F.col("turn"), F.col("role") == "user", F.col("role") == "assistant"
-    text = (
+    return (
         F.when(user & (at % 7 == 0), F.lit("  QUIT\n")).when(user & (at % 11 == 0), F.concat("text", F.lit(" quit")))
         .when(said & (at % 5 == 0), F.concat("text", F.lit(" It APPEARS to be a cold."))).when(said & (at % 3 == 0), F.concat(F.lit("The context doesn't contain this. "), "text"))
         .otherwise(F.col("text"))
     )
-    return table(spark, d, "conversations").withColumn("text", text)
+
+
+def spoken(spark, d):
+    return table(spark, d, "conversations").withColumn("text", said_text())
 
 
 @query(f"with {SPOKEN} select conv_id, turn, coalesce(contains(lower(text), 'not enough information') or contains(lower(text), 'context doesn''t contain'), false) as again from spoken where role = 'assistant'")
@@ -449,3 +455,50 @@ def encoded_texts(spark, d):
     out = embed_nodes(nodes, lambda: Hashed(64)).filter("original_id is not null")
     norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: (x * x).cast("double")), F.lit(0.0), lambda a, b: a + b))
     return out.groupBy("original_id").agg(F.count("*").alias("n_nodes"), F.max(F.size("embedding")).alias("size"), F.min(F.abs(norm - 1) < 1e-5).alias("unit"))
+
+@query("select cast(vec_id as varchar) as source, cast(vec_id + 1 as varchar) as target, cast(case when vec_id % 5 = 0 then null else vec_id / 8.0 end as double) as score from embeddings where vec_id % 7 <> 0")
+def csv_links(spark, d):
+    """A CSV table of links whose columns are found by their names; rows without an endpoint go."""
+    v, here = table(spark, d, "embeddings"), f"{shared_folder(spark)}/links-{uuid.uuid4().hex}"
+    rows = v.select(F.lit("x").alias("note"), F.when(F.col("vec_id") % 7 != 0, F.col("vec_id")).alias("Source_Node"), (F.col("vec_id") + 1).alias("tgt"), F.when(F.col("vec_id") % 5 != 0, F.col("vec_id") / 8.0).alias("simScore"))
+    rows.write.option("header", True).csv(here)
+    return read_links(spark, here).select("source", "target", "score")
+
+
+@query(ORACLE["edge_upsert"])
+def stored_upsert(spark, d):
+    """Edges as a table in versions: the update is the second version, and the one that is read."""
+    keys, old, rows = upsert_input(spark, d)
+    here = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
+    put(old, here)
+    put(I.upsert_edges(keys, get(spark, here), rows), here)
+    return get(spark, here)
+
+
+@query(f"""select 'entity' as kind, context from ({ORACLE['scored_context']}) union all select 'paths', context from ({ORACLE['path_context']})
+union all select 'statement', '1. {{"n":' || count(*) || '}}' from nation union all select 'none', '{C.NO_ENTITY}'""")
+def ask_dispatch(spark, d):
+    """What one question leads to: a statement before an entity, and an entity before one that is taken from the question."""
+    g = stored(spark, d)
+    kinds = {
+        "entity": ask_one(g, "What of Supplier#000000001?", NEEDLE),
+        "paths": ask_one(g, "What of it?", WIDE, multihop=True),
+        "statement": ask_one(g, "How many?", NEEDLE, "select count(*) as n from nodes where array_contains(labels, :label)", {"label": "Nation"}),
+        "none": ask_one(g, "so?"),
+    }
+    out = None
+    for kind, df in kinds.items():
+        one = df.select(F.lit(kind).alias("kind"), "context")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"select conv_id, turn, notice from ({ORACLE['diagnosis_latch']})")
+def stream_notices(spark, d):
+    """The latch over a stream of turns, run until the stream's end."""
+    stream = spark.readStream.schema(table(spark, d, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    same = stream.withColumn("text", said_text()).select("conv_id", "turn", "role", "text")
+    here = f"{shared_folder(spark)}/notices-{uuid.uuid4().hex}"
+    run = notices(same).writeStream.format("parquet").option("checkpointLocation", f"{here}/checkpoint").option("path", f"{here}/rows").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("conv_id long, turn long, notice boolean").parquet(f"{here}/rows")
