@@ -74,6 +74,15 @@ def test_ranges_follow_clustered_ids(spark):
     assert len(bounds) == 9 and max(sizes) <= 250
 
 
+def test_ranges_of_very_large_ids(spark):
+    base = (1 << 62) + 1
+    ids = spark.createDataFrame([(base + 2 * i, "7") for i in range(4000)] + [(-base, "7")], "page_id long, digest string")
+    bounds = W.ranges(ids, 8)
+    keys = sorted(r.page_id for r in ids.collect())
+    sizes = [sum(1 for k in keys if a <= k < b) for a, b in zip([-(1 << 63), *(p for p, _ in bounds)], [*(p for p, _ in bounds), 1 << 63], strict=True)]
+    assert sum(sizes) == 4001 and max(sizes) <= 502
+
+
 def test_an_id_with_very_many_rows_is_cut_by_digest(spark):
     rows = [(None, f"{i} " * 60) for i in range(300)] + [(7, f"{i}x" * 60) for i in range(300)] + [(7, "y" * 200)] * 20 + [(i, "") for i in range(20)]
     df = spark.createDataFrame(rows, "page_id long, html string").repartition(4)

@@ -27,6 +27,7 @@ import io
 import re
 import uuid
 import zlib
+from bisect import bisect
 
 import numpy as np
 import pandas as pd
@@ -191,14 +192,11 @@ def ranges(ids: DataFrame, n: int) -> list[tuple[int, str]]:
     digests = lambda c: [f"{0xFFFFFFFF * i // parts:08x}" for i in range(1, parts)] if (parts := -(-c // max(1, most))) > 1 else []
     while open_:
         parts = max(2, max(4096, 8 * n) // len(open_))
-        cut = F.lit(None).cast("long")
-        for a, b in open_:
-            width = -(-(b - a) // parts)
-            cut = F.when((F.col("page_id") >= a) & (F.col("page_id") < b), F.lit(a) + F.floor((F.col("page_id") - a) / F.lit(width)) * F.lit(width)).otherwise(cut)
-        counts = ids.select(cut.cast("long").alias("k")).filter("k is not null").groupBy("k").count().collect()
+        open_.sort()
+        counts = ids.select(begin_of(open_, parts).alias("k")).filter(F.col("k") != NO_ID).groupBy("k").count().collect()
         more = []
         for k, c in counts:
-            a, b = next(x for x in open_ if x[0] <= k < x[1])
+            a, b = open_[bisect(open_, (k, high + 1)) - 1]
             width = -(-(b - a) // parts)
             if c > most and width > 1:
                 more.append((k, min(k + width, b)))
@@ -216,6 +214,21 @@ def ranges(ids: DataFrame, n: int) -> list[tuple[int, str]]:
     return bounds
 
 
+def begin_of(intervals: list[tuple[int, int]], parts: int):
+    """Column: the begin of the part in which page_id lies, of these intervals in order, each cut into equal parts; else NO_ID."""
+    a, b = (np.array(x, np.int64) for x in zip(*intervals, strict=True))
+    width = -(-(b - a) // parts)
+
+    @F.pandas_udf("long")
+    def of(page: pd.Series) -> pd.Series:
+        page = page.to_numpy()
+        i = np.maximum(np.searchsorted(a, page, side="right") - 1, 0)
+        inside = (page >= a[i]) & (page < b[i])
+        return pd.Series(np.where(inside, a[i] + (page - a[i]) // width[i] * width[i], NO_ID))
+
+    return of("page_id")
+
+
 def range_of(bounds: list[tuple[int, str]], names: list[int]):
     """Column function: names[i] of the i-th range, in which (page_id, digest) lies."""
     pages = np.array([p for p, _ in bounds], np.int64)
