@@ -353,7 +353,7 @@ def by_bucket(answer, schema):
     return run
 
 
-BUCKET_BYTES = 32 << 20  # of text for each bucket
+BUCKET_BYTES = 8 << 20  # of text for each bucket
 
 
 def buckets_for(rows: DataFrame) -> np.ndarray:
