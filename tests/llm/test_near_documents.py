@@ -43,6 +43,38 @@ def test_stage_finds_all_near_copies_and_no_others(spark):
     assert sorted(x.doc_id for x in got.collect()) == sorted(want)
 
 
+def test_large_groups_are_cut_and_still_meet(spark, monkeypatch):
+    """Clusters with much text in common but not enough for a link, each a chain of edits, in groups far over the block."""
+    from wayfind.llm import simhash_dedup
+
+    r = random.Random(7)
+    common, rows = [f"c{i}" for i in range(55)], []
+    for cluster in range(30):
+        words = common + [f"k{cluster}w{i}" for i in range(14)]
+        for k in range(5):
+            rows.append((100 * cluster + k, " ".join(words)))
+            words = list(words)
+            words[r.randrange(55, 69)] = f"e{cluster}x{k}"
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(brute(rows))
+    assert 25 < len(want) < 60
+    again, second = [], simhash_dedup.banding.second_round
+    monkeypatch.setattr(simhash_dedup.banding, "second_round", lambda *x: again.append(second(*x)) or again[-1])
+    for block in (3, 7, 40):
+        assert sorted(x.doc_id for x in simhash_dedup.one_of_each(df, block=block).collect()) == want
+    assert all(x.count() > 100 for x in again) and len(again) == 3
+    monkeypatch.undo()
+    again.clear()
+    assert sorted(x.doc_id for x in simhash_dedup.one_of_each(df).collect()) == want and not again
+    # With a single band no other key makes up for links that the second round is there to find.
+    one = {"hashes": 1, "recall": 0.5}
+    whole = simhash_dedup.one_of_each(df, **one).count()
+    assert simhash_dedup.one_of_each(df, block=3, **one).count() == whole
+    monkeypatch.setattr(simhash_dedup.banding, "second_round", lambda *x: second(*x).limit(0))
+    assert simhash_dedup.one_of_each(df, block=3, **one).count() > whole
+
+
 def test_ids_that_repeat_or_are_null(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(None, a), (None, a), (1, a), (2, b), (2, b), (2, c), (3, b)]

@@ -6,11 +6,13 @@ that, within a number of hash functions, still find a pair at the threshold with
 1. Each task sends, for each band of each different unit it holds, a cell (band key, unit's hash, fingerprint, place), packed
    by bucket of the key. Equal units of a task go once.
 2. Where a key holds several units, these are asked for by document and come back, with their exact shingle sets, under
-   the key. A key with more than ``block`` units is cut into blocks, and each pair of blocks is a group of its own: every
-   pair still meets, in groups of bounded size.
+   the key. A key with more than ``block`` units is cut into blocks, each of which meets the first one.
 3. Each group computes exact Jaccard similarities and gives a spanning forest of its links. Connected components of the
    links, and equal units, are the classes.
-4. Every occurrence whose class has another one gets a row; the first of a class (smallest doc_id, then place) is kept,
+4. In a key that has been cut, blocks other than the first have not met each other. Units of one component need not. So
+   those outside the key's largest component meet all of the key's units in a second round, block by block: a large group of
+   copies costs as many comparisons as it has units, and no pair of different components is left out.
+5. Every occurrence whose class has another one gets a row; the first of a class (smallest doc_id, then place) is kept,
    the others are removals. Counts and first places are aggregated before they are joined, and adaptive execution splits
    the joins where a class holds a large part of all rows.
 
@@ -48,6 +50,7 @@ from wayfind.llm.common import (
     spread,
     texts_of,
     trimmed,
+    unpack,
     unpack_all,
     unpack_docs,
     unpack_with,
@@ -60,6 +63,9 @@ SHINGLE, THRESHOLD, RECALL, HASHES, BLOCK = 5, 0.8, 0.995, 48, 4000
 PART = 40
 STEP = 1 << 20  # bytes of text that are hashed at once
 FLUSH = 1 << 18  # cells that a task holds before it deals them out
+ASK, LATER = 0, 1
+ASKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
+ASKED_SQL = "kind int, bucket int, blob binary"
 ROWS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 ROWS_SQL = "bucket int, blob binary"
 CELLS = ("<u8", "<u8", "<u8", "<i8", "<i8")  # band key, unit's hash, fingerprint, doc_id, place
@@ -199,8 +205,8 @@ def near_in_keys(prints: np.ndarray, size: np.ndarray, radius: int, block: int)
 
 
 def colliding(ids, block, radius):
-    """mapInArrow function over all cells of some keys: those whose key holds several units (and, with a radius, one
-    within it), by document."""
+    """mapInArrow function over all cells of some keys: ASK rows by document of those whose key holds several units (and, with
+    a radius, one within it), and LATER rows by key of the keys that are cut."""
 
     def run(batches):
         blobs = [x for b in batches for x in b.column(1).to_pylist()]
@@ -225,21 +231,75 @@ def colliding(ids, block, radius):
         rank = np.arange(len(key)) - np.repeat(begin, size)
         size = np.repeat(size, size)
         several, many = (size > 1) & (size <= block), np.flatnonzero(size > block)
-        arrays = [a[several] for a in (key, name, fp, doc, place)]
-        if len(many):  # member of block b goes to the groups (b, 0), (b, 1) and so on; a pair is the same both ways
-            n = -(-size[many] // block)
-            at, other = np.repeat(many, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            own = rank[at] // block
+        arrays, rows = [a[several] for a in (key, name, fp, doc, place)], []
+        if len(many):  # members of the first block go to the group of every other block, and others to that of their own
+            rows = [(LATER, k, blob) for k, blob in deal(key[many], [a[many] for a in (key, name, fp, doc, place)], ids)]
+            own, n = rank[many] // block, -(-size[many] // block)
+            times = np.where(own == 0, n - 1, 1)
+            at = np.repeat(many, times)
+            other = np.where(np.repeat(own, times) == 0, np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1, np.repeat(own, times))
             with np.errstate(over="ignore"):
-                sub = mix(mix(key[at] + np.minimum(own, other).astype(np.uint64)) + np.maximum(own, other).astype(np.uint64))
+                sub = mix(mix(key[at]) + other.astype(np.uint64))
             arrays = [np.r_[a, b] for a, b in zip(arrays, (sub, name[at], fp[at], doc[at], place[at]), strict=True)]
-        rows = deal(doc_key(arrays[3], arrays[4] >> PART), arrays, ids)
+        rows += [(ASK, k, blob) for k, blob in deal(doc_key(arrays[3], arrays[4] >> PART), arrays, ids)]
         for at in range(0, len(rows), 2000):
-            yield keyed_rows(ROWS, rows[at : at + 2000])
+            yield keyed_rows(ASKED, rows[at : at + 2000])
 
     return run
 
 
+MEMBERS = "key long, name long, fp long, doc long, place long"
+
+
+def members(batches):
+    """mapInArrow function: LATER rows as MEMBERS."""
+    for b in batches:
+        for blob in b.column(0).to_pylist():
+            arrays = unpack(blob, *CELLS)
+            for at in range(0, len(arrays[0]), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 20_000].view(np.int64)) for a in arrays], [c.split()[0] for c in MEMBERS.split(", ")])
+
+
+def asked_again(ids):
+    """mapInArrow function: MEMBERS as packed rows by document."""
+
+    def run(batches):
+        held, count = [], 0
+
+        def flush():
+            arrays = [np.concatenate(x).view(k) for x, k in zip(zip(*held, strict=True), CELLS, strict=True)]
+            held.clear()
+            return keyed_rows(ROWS, deal(doc_key(arrays[3], arrays[4] >> PART), arrays, ids))
+
+        for b in batches:
+            if b.num_rows:
+                held.append([np.asarray(c) for c in b.columns])
+                count += b.num_rows
+            if count > FLUSH:
+                yield flush()
+                count = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def second_round(later: DataFrame, joined: DataFrame, block: int) -> DataFrame:
+    """MEMBERS of the groups in which what has not met in a cut key meets: units outside the key's largest component with all of
+    its units, in blocks."""
+    cells = later.select("blob").mapInArrow(members, MEMBERS)
+    own = hold(cells.join(joined, cells.name == F.col("vertex"), "left").select(*cells.columns, F.coalesce("component", "name").alias("component")))
+    sizes = own.groupBy("key", "component").count()
+    keys = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.sum("count").alias("n"), F.max("count").alias("most")).filter("n > most")
+    blocks = keys.select("key", "largest", F.ceil(F.col("n") / block).alias("n_all"), F.ceil((F.col("n") - F.col("most")) / block).alias("n_rest"))
+    rows = own.join(blocks, "key")
+    place = lambda n, salt: F.pmod(F.xxhash64("name", F.lit(salt)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    all_ = rows.select("*", every("n_rest").alias("rest"), place(F.col("n_all"), 1).alias("all"))
+    rest = rows.filter("component <> largest").select("*", place(F.col("n_rest"), 2).alias("rest"), every("n_all").alias("all"))
+    return all_.unionByName(rest).select(F.xxhash64("key", "rest", "all").alias("key"), "name", "fp", "doc", "place")
+
+
 def sets(cut, ids):
     """Cogrouped function of a bucket's documents and asked paragraphs: exact shingle sets, by key."""
 
@@ -422,10 +482,18 @@ def repeats(docs: DataFrame, cut, threshold: float = THRESHOLD, recall: float =
     bands, per_band = tune_bands(threshold, recall, hashes)
     rows = numbered(docs)
     ids = buckets_for(rows)
-    asked = sorted_by_bucket(rows.mapInArrow(trimmed(cells(cut, bands, per_band, ids, radius)), ROWS_SQL)).mapInArrow(trimmed(each_bucket(colliding(ids, block, radius))), ROWS_SQL)
+    asked = hold(sorted_by_bucket(rows.mapInArrow(trimmed(cells(cut, bands, per_band, ids, radius)), ROWS_SQL)).mapInArrow(trimmed(each_bucket(colliding(ids, block, radius))), ASKED_SQL))
     packed = rows.mapInArrow(trimmed(pack_docs(ids)), DOC_BLOBS).repartition(p, "bucket").groupBy("bucket")
-    found = packed.cogroup(asked.repartition(p, "bucket").groupBy("bucket")).applyInArrow(sets(cut, ids), ROWS_SQL)
-    joined = components(sorted_by_bucket(found).mapInArrow(trimmed(each_bucket(verified(threshold, radius))), "a long, b long"))
+
+    def links(asked):
+        found = packed.cogroup(asked.repartition(p, "bucket").groupBy("bucket")).applyInArrow(sets(cut, ids), ROWS_SQL)
+        return sorted_by_bucket(found).mapInArrow(trimmed(each_bucket(verified(threshold, radius))), "a long, b long")
+
+    joined = components(links(asked.filter(F.col("kind") == ASK).select("bucket", "blob")))
+    later = asked.filter(F.col("kind") == LATER)
+    if later.limit(1).count():
+        more = links(second_round(later, joined, block).mapInArrow(trimmed(asked_again(ids)), ROWS_SQL))
+        joined = components(more.unionByName(joined.select(F.col("vertex").alias("a"), F.col("component").alias("b"))))
     root = joined.unionByName(joined.select(F.col("component").alias("vertex"), "component").distinct())
     all_ = hold(rows.mapInArrow(trimmed(occurrences(cut)), OCCURRENCES))
     all_.count()  # else several stages that run together would each make what they don't find yet

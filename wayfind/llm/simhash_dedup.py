@@ -151,10 +151,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, block: int
     return found.join(joined, "fp").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "fp", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 
 
-def copies(docs: DataFrame, threshold: float = 0.8, radius: int = 24, recall: float = 0.9999, hashes: int = 72) -> DataFrame:
+def copies(docs: DataFrame, threshold: float = 0.8, radius: int = 24, recall: float = 0.9999, hashes: int = 72, block: int = banding.BLOCK) -> DataFrame:
     """Classes of whole texts (doc_id, text) by five-word shingles, as banding.repeats() gives them. radius: bits within which
     pairs are verified; of pairs at 0.8 about one in a million differs in more."""
-    return banding.repeats(docs, banding.whole, threshold, recall, hashes, radius=radius)
+    return banding.repeats(docs, banding.whole, threshold, recall, hashes, block, radius)
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, **more) -> DataFrame:
