@@ -14,7 +14,7 @@ by_value(__name__)
 
 K = 32  # bytes of an anchor; half of it goes into the hash by doubling, so a power of two
 POS = 23  # bits of a position in a chunk
-CHUNK = 1 << 20  # bytes that are hashed at once, which bounds a task's memory
+CHUNK = 1 << 19  # bytes that are hashed at once, which bounds a task's memory
 
 _rng = np.random.RandomState(20240)
 BYTE = _rng.randint(0, 1 << 62, 256).astype(np.uint64) * np.uint64(4) + _rng.randint(0, 4, 256).astype(np.uint64)

@@ -64,7 +64,7 @@ by_value(__name__)
 
 SPAN, WINDOW, START, CELL = 0, 1, 2, 3
 PART = 40  # the part of a document stands above so many bits of an offset
-FLUSH = 1 << 18  # cells that a task holds before it deals them out
+FLUSH = 1 << 17  # cells that a task holds before it deals them out
 ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 ROWS_SQL = "kind int, bucket int, blob binary"
 CELLS = ("<u8", "<u8", "<i8", "<i8", "<u4")  # anchor, content, doc_id, offset, starts (0: the anchor is hot)
