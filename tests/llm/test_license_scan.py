@@ -53,7 +53,7 @@ def texts():
     r = random.Random(8)
     out = ["", None, "...", "MIT License", "mit-license, MIT licenses CC BY CC BY, the ÉMIT license", "cc by", "ccby", "x " * 3000 + "Apache License"]
     for n in L.NOTICES:
-        for _ in range(8):
+        for _ in range(4):
             chars = list(n)
             for _ in range(r.randint(0, len(n) // 10 + 1)):
                 k = r.randrange(len(chars))
