@@ -6,7 +6,6 @@ import corpus_pipeline as P
 from tests.llm import test_decontaminate as D
 from tests.llm import test_near_documents as N
 from tests.llm import test_quality_rules as Q
-from tests.llm import test_suffix_dedup as S
 from wayfind.llm import byte_bpe
 
 
