@@ -51,7 +51,7 @@ def brute(t):
 
 def texts():
     r = random.Random(8)
-    out = ["", None, "...", "MIT License", "mit-license, MIT licenses CC BY CC BY, the ÉMIT license", "cc by", "ccby", "x " * 3000 + "Apache License"]
+    out = ["", None, "...", "MIT License", "mit-license, MIT licenses CC BY CC BY, the ÉMIT license", "cc by", "ccby", "x " * 60 + "Apache License"]
     for n in L.NOTICES:
         for _ in range(4):
             chars = list(n)
