@@ -95,10 +95,14 @@ _stored: dict[tuple[str, str], Graph] = {}
 
 def stored(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of the star schema's tables. Its edges are distinct pairs of the largest table: they are made once for a session
-    and directory, and after that read from storage by type."""
+    and directory, and after that read from storage by type. Where no folder is shared, they are made for each query."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _stored:
-        graph, folder = load(spark, sf_dir), f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+        graph = load(spark, sf_dir)
+        try:
+            folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+        except ValueError:
+            return graph
         put(by_source(graph.edges), folder, "type")
         _stored[key] = Graph(graph.nodes, get(spark, folder).select(*graph.edges.columns))
     return _stored[key]
