@@ -101,6 +101,21 @@ def test_ids_that_repeat_or_are_null(spark):
     got = sorted((str(x.doc_id), str(x.component_id)) for x in S.near_duplicates(df).collect())
     assert got == [("1", "1"), ("1", "None"), ("2", "1"), ("None", "None")]
     assert S.near_duplicates(df.limit(0)).count() == 0
+    least = -(1 << 63)  # a document's id like any other
+    near = "a b c d e f g h i j k l m n o p q r s t"
+    rows = [(7, near), (7, "other words that are near to nothing"), (3, near), (least, "one more text"), (None, "and one without an id")]
+    got = sorted((x.fp, str(x.doc_id), str(x.component_id)) for x in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    prints = [(p - (p >> 63 << 64), str(d), c) for (d, t), c in zip(rows, ["3", "7", "3", str(least), "None"], strict=True) for p in [brute_print(t)]]
+    assert got == sorted(prints)
+
+
+def test_repeated_ids_link_by_fingerprint_alone(spark, monkeypatch):
+    """Fingerprints, not ids, are what is linked: two texts of one id are two vertices."""
+    x, y, z = 0b0, 0b11, (1 << 40) - 1
+    given = {"X": x, "Y": y, "Z": z}
+    df = spark.createDataFrame([(7, "X"), (7, "Z"), (3, "Y")], "doc_id long, text string")
+    monkeypatch.setattr(S, "prints", lambda docs, words: docs.select("doc_id", S.F.expr("case " + " ".join(f"when text = '{k}' then {v}" for k, v in given.items()) + " end").cast("long").alias("fp")))
+    assert sorted((r.doc_id, r.fp, r.component_id) for r in S.near_duplicates(df).collect()) == [(3, y, 3), (7, x, 3), (7, z, 7)]
 
 
 def test_components_of_paths_stars_and_loops(spark):

@@ -52,6 +52,26 @@ def test_a_batch_that_is_committed_during_compaction_counts_once(spark):
     assert r.compact() and rows(r.totals()) == [("s", "en", "v", "2", "10", "2", "0", "0")]
 
 
+def test_a_replay_that_ends_after_its_batch_was_folded_counts_once(spark):
+    r = T.Rollup(spark, T.shared(spark, "rollup"))
+    docs = spark.createDataFrame([(f"s{i}", "en", 5) for i in range(50)], "source string, lang string, n long")
+    add = lambda name: r.commit(name, T.events(docs, "insert", "v", after=T.F.col("n")))
+    assert add("a") and add("b")
+    rows_of = r.sums(["a"], None)
+    assert r.compact() and add("c") and r.compact() and r.names()[0] == ["batch=c"]
+    want = rows(r.totals())
+    assert r.put("batch=a", ("sums", spark.createDataFrame([("s0", "en", "v", 1, 5, 1, 0, 0)], rows_of.schema)))
+    assert rows(r.totals()) == want and len(want) == 50 and want[0][3:5] == ("3", "15")
+    assert r.compact() and rows(r.totals()) == want
+
+
+def test_a_commit_of_many_keys_is_not_one_task(spark):
+    r = T.Rollup(spark, T.shared(spark, "rollup"))
+    delta = spark.range(1000).select(T.F.concat(T.F.lit("s"), "id").alias("source"), T.F.lit("en").alias("lang"), T.F.lit(1).cast("long").alias("n"))
+    assert "Coalesce" not in r.sums([], None)._jdf.queryExecution().toString()
+    assert r.commit("a", T.events(delta, "insert", "v", after=T.F.col("n"))) and r.totals().count() == 1000
+
+
 def test_very_long_texts_and_extra_columns(spark, tmp_path):
     docs = spark.createDataFrame([(1, "w " * 400_000, "en", "s", "insert"), (1, "w " * 400_000, "en", "s", "x")], "doc_id long, text string, lang string, source string, kind string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")

@@ -60,7 +60,7 @@ from wayfind.llm.components import components, forest
 by_value(__name__)
 
 SHINGLE, THRESHOLD, RECALL, HASHES, BLOCK = 5, 0.8, 0.995, 48, 4000
-PART = 40
+PART = 31  # a place in a text is below 2 ** 31, as texts are; the part of a document stands above it
 STEP = 1 << 20  # bytes of text that are hashed at once
 FLUSH = 1 << 18  # cells that a task holds before it deals them out
 ASK, LATER = 0, 1

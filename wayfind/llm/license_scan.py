@@ -73,11 +73,11 @@ class Scanner:
         self.seeds.make_automaton()
 
     def places(self, line: str):
-        """(place, label) of each phrase in a text of words with spaces around each."""
+        """(where, label) of each phrase in a text of words with spaces around each: the space before it."""
         for phrase, label in self.phrases:
             at = line.find(phrase)
             while at >= 0:
-                yield line.count(" ", 0, at + 1) - 1, label
+                yield at, label
                 at = line.find(phrase, at + 1)
 
     def stretches(self, line: str) -> dict[int, list[tuple[int, int]]]:
@@ -126,8 +126,9 @@ class Scanner:
         matches = [(n, a, b, e) for n, a, b, e in self.found(line)]
         labels = base | {self.notices[n][1] for n, *_ in matches}
         score = 1.0 if base else max((1 - e / len(self.notices[n][0]) for n, _, _, e in matches), default=0.0)
-        rows = [{"label": self.notices[n][1], "notice": self.notices[n][0], "first_word": line.count(" ", 0, a + 1) - 1, "start": a - 1, "end": b - 1, "edits": e} for n, a, b, e in matches]
-        at = [p for p, _ in places]
+        spaces = [i for i, c in enumerate(line) if c == " "] if places or matches else []
+        rows = [{"label": self.notices[n][1], "notice": self.notices[n][0], "first_word": bisect(spaces, a) - 1, "start": a - 1, "end": b - 1, "edits": e} for n, a, b, e in matches]
+        at = [bisect(spaces, p) - 1 for p, _ in places]
         return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, rows
 
 

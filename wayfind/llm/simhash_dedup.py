@@ -1,7 +1,8 @@
 """SimHash near-dedup with bit-sliced comparison.
 
 Each text gets a 64-bit fingerprint from its word shingles. Fingerprints within ``radius`` bits are linked, and linked
-documents form classes. Equal fingerprints go as one (with their smallest doc_id) before any comparison. Distances come from
+documents form classes. Equal fingerprints go as one before any comparison, and are the vertices of the links; only a class
+that is complete takes the smallest doc_id of its documents. Distances come from
 bit planes and carry-save counters (bits.py).
 
 near_duplicates() links by fingerprints alone, for a small radius. Candidates: the 64 bits are cut into ``radius + 4`` blocks;
@@ -81,8 +82,8 @@ def keyed(radius, shared=4):
 
 
 def compare(radius):
-    """mapInArrow function over (tab, key, sub, fp, rep) sorted by the first three, which name a bucket: edges (a, b) between
-    representatives."""
+    """mapInArrow function over (tab, key, sub, fp) sorted by the first three, which name a bucket: edges (a, b) between
+    fingerprints."""
 
     def run(batches):
         rest = None
@@ -106,12 +107,13 @@ def compare(radius):
         new = np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(1)]
         begin = np.flatnonzero(new)
         size = np.diff(np.r_[begin, len(rows)])
-        values, out = np.ascontiguousarray(rows[:, 3]).view(np.uint64), []
+        prints = np.ascontiguousarray(rows[:, 3])
+        values, out = prints.view(np.uint64), []
         small = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
         if len(small):
             last = np.searchsorted(small, (begin + size)[np.cumsum(new) - 1][small])
-            out.append(rows[small, 4][linked_in_small(values[small], last, radius)])
-        out += [rows[a : a + n, 4][linked(values[a : a + n], radius)] for a, n in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True)]
+            out.append(prints[small][linked_in_small(values[small], last, radius)])
+        out += [prints[a : a + n][linked(values[a : a + n], radius)] for a, n in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True)]
         pairs = np.concatenate([x.reshape(-1, 2) for x in out]) if out else np.zeros((0, 2), np.int64)
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -121,34 +123,36 @@ def compare(radius):
 
 def prints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) of documents (doc_id, text); fp holds the bits as a signed long."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(trimmed(print_texts(words)), "doc_id long, fp long")
 
 
 def cut_up(cells: DataFrame, block: int) -> DataFrame:
-    """Cells (tab, key, fp, rep) with the bucket's part, sub: 0, or in a bucket of more than ``block`` a number of each pair of
+    """Cells (tab, key, fp) with the bucket's part, sub: 0, or in a bucket of more than ``block`` a number of each pair of
     its blocks that the cell is in."""
     many = hold(cells.groupBy("tab", "key").count().filter(F.col("count") > block))
     if not many.limit(1).count():
-        return cells.select("tab", "key", F.lit(0).cast("long").alias("sub"), "fp", "rep")
+        return cells.select("tab", "key", F.lit(0).cast("long").alias("sub"), "fp")
     n = F.ceil(F.col("count") / block)
     own = F.pmod(F.xxhash64("fp"), n)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda other: F.least(own, other) * n + F.greatest(own, other) + 1)
     both = cells.join(many, ["tab", "key"], "left")
-    return both.select("tab", "key", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("sub"), "fp", "rep")
+    return both.select("tab", "key", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("sub"), "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) of each document; component_id is the smallest doc_id that links can reach."""
     found = hold(prints(docs, words))
-    distinct = hold(found.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    distinct = hold(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("unnamed")))
     masks = keyed(radius)
-    cells = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("tab"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)])).alias("k"), "fp", "rep").select("k.tab", "k.key", "fp", "rep")
+    cells = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("tab"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)])).alias("k"), "fp").select("k.tab", "k.key", "fp")
     bucket = ["tab", "key", "sub"]
     edges = cut_up(cells, block).repartition(partitions(docs.sparkSession), *bucket).sortWithinPartitions(*bucket).mapInArrow(compare(radius), "a long, b long")
+    classes = distinct.join(components(edges), distinct.fp == F.col("vertex"), "left").select("fp", F.coalesce("component", "fp").alias("class"), "least", "unnamed")
+    first = classes.groupBy("class").agg(F.when(~F.max("unnamed"), F.min("least")).alias("component_id"))
     # The key is written anew, so that both sides of the join below are exchanged and a hot fingerprint can be split.
-    joined = distinct.join(components(edges), distinct.rep == F.col("vertex"), "left").select(F.col("fp").bitwiseXOR(F.lit(0).cast("long")).alias("fp"), F.coalesce("component", "rep").alias("component_id"))
-    return found.join(joined, "fp").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "fp", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+    named = classes.select(F.col("fp").bitwiseXOR(F.lit(0).cast("long")).alias("fp"), "class").join(first, "class").select("fp", "component_id")
+    return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def copies(docs: DataFrame, threshold: float = 0.8, radius: int = 24, recall: float = 0.9999, hashes: int = 72, block: int = banding.BLOCK) -> DataFrame:

@@ -63,7 +63,7 @@ from wayfind.llm.suffix import longest_previous_factors
 by_value(__name__)
 
 SPAN, WINDOW, START, CELL = 0, 1, 2, 3
-PART = 40  # the part of a document stands above so many bits of an offset
+PART = 31  # an offset in a text is below 2 ** 31, as texts are; the part of a document stands above it
 FLUSH = 1 << 17  # cells that a task holds before it deals them out
 ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 ROWS_SQL = "kind int, bucket int, blob binary"

@@ -62,9 +62,9 @@ class Rollup:
         found = sorted(s.getPath().getName() for s in fs.listStatus(path))
         return [n for n in found if n.startswith("batch=")], max((n for n in found if n.startswith("snapshot=")), default=None)
 
-    def named(self, name: str) -> str:
-        """The folder that a file names."""
-        return f"{self.folder}/{self.spark.read.text(f'{self.folder}/{name}').first()[0]}"
+    def named(self, *names: str) -> list[str]:
+        """The folders that files name, in any order; one read for all."""
+        return [f"{self.folder}/{r[0]}" for r in self.spark.read.text([f"{self.folder}/{n}" for n in names]).collect()] if names else []
 
     def put(self, name: str, *rows: tuple[str, DataFrame]) -> bool:
         """Write the rows to a new folder, and the file ``name`` by one rename; False, and nothing stays, if there is one."""
@@ -73,7 +73,7 @@ class Rollup:
             return False
         own = f"rows-{uuid.uuid4().hex}"
         for part, df in rows:
-            df.coalesce(1).write.parquet(f"{self.folder}/{own}/{part}")
+            df.write.parquet(f"{self.folder}/{own}/{part}")
         temp = fs_of(self.spark, f"{self.folder}/{own}.tmp")[1]
         out = fs.create(temp)
         out.write(own.encode())
@@ -99,7 +99,7 @@ class Rollup:
         """Those of the batches that a snapshot holds."""
         if snapshot is None or not batches:
             return set()
-        return {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.named(snapshot)}/batches").filter(F.col("batch").isin(batches)).collect()}
+        return {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.named(snapshot)[0]}/batches").filter(F.col("batch").isin(batches)).collect()}
 
     def open_(self, found: list[str], last: str | None) -> list[str]:
         """Of the batches found those that the snapshot doesn't hold."""
@@ -108,7 +108,7 @@ class Rollup:
         return [i for i in ids if i not in done]
 
     def sums(self, batches: list[str], last: str | None) -> DataFrame:
-        paths = [f"{self.named(f'batch={i}')}/sums" for i in batches] + ([f"{self.named(last)}/sums"] if last else [])
+        paths = [f"{own}/sums" for own in self.named(*(f"batch={i}" for i in batches), *([last] if last else []))]
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(*paths).groupBy(*KEYS).agg(*[F.sum(s).alias(s) for s in SUMS])
@@ -126,11 +126,11 @@ class Rollup:
         number = int(last.removeprefix("snapshot=")) + 1 if last else 0
         names = self.spark.createDataFrame([(i,) for i in new], "batch string")
         if last:
-            names = names.unionByName(self.spark.read.schema("batch string").parquet(f"{self.named(last)}/batches"))
+            names = names.unionByName(self.spark.read.schema("batch string").parquet(f"{self.named(last)[0]}/batches"))
         if not self.put(f"snapshot={number:08d}", ("sums", self.sums(new, last)), ("batches", names)):
             return False
         for name in [n for n in found if n.removeprefix("batch=") not in new]:
-            own = self.named(name)
+            own = self.named(name)[0]
             fs_delete(self.spark, f"{self.folder}/{name}")
             fs_delete(self.spark, own)
         return True
