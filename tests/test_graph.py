@@ -218,7 +218,7 @@ def test_a_model_that_has_gone_is_replaced_over_http():
         assert [b["model"] for b in server.seen] == ["old", "llama-3.1-8b-instant", "gemma2-9b-it", "gemma2-9b-it"]
         assert server.seen[0] | {"model": ""} == {"model": "", "messages": [{"role": "system", "content": "be brief"}, {"role": "user", "content": "p"}], "temperature": 0.2, "max_tokens": 800, "top_p": 0.95, "stream": False}
         one = M.Http("groq", server.url, "old", settings=M.PLAIN, fallbacks=["llama-3.1-8b-instant"])
-        with pytest.raises(M.ModelError, match="All fallback models failed"):
+        with pytest.raises(M.ModelError, match="no model is left"):
             one("p")
         assert server.seen[-1]["max_tokens"] == 500
     with Backend(lambda b: (429, {"error": {"message": "rate limit"}})) as server:
@@ -252,61 +252,23 @@ def test_what_each_backend_is_asked_and_answers():
     assert m.probe(("older", "new")) and m.model == "new" and not M.Http("cohere", "", "x", post=old).probe()
 
 
-def test_front_ends(graph):
-    import json
-    import threading
-    import urllib.error
-    import urllib.request
-
-    from wayfind import serve
-
-    told, asked = [], []
-    said = iter(["hm", "it appears to be a cold", "likely cause"])
-    lines = iter([" hello ", "cough", "fever", " BYE"])
-    turns = serve.chat_loop(lambda m, t: asked.append((m, list(t))) or next(said), lambda _: next(lines), told.append)
-    assert turns == [("hello", "hm"), ("cough", "it appears to be a cold"), ("fever", "likely cause")]
-    assert asked[1] == ("cough", [("hello", "hm")]) and sum("diagnosis" in t for t in told) == 1
-    told.clear()
-    lines = iter(["What of Metformin?", "", "n", "What?", "zz", "y", "Q"])
-    serve.ask_loop(graph, lambda _: next(lines), told.append)
-    assert told[0].startswith("1. [Drug] ★★★ Metformin\nContext: ") and told[1].startswith(C.NOTHING_ON_PATHS.format("zz"))
-
-    http = serve.server(serve.chat_replies(graph))
-    threading.Thread(target=http.serve_forever, daemon=True).start()
-    url = f"http://127.0.0.1:{http.server_port}"
-
-    def post(path, raw):
-        try:
-            with urllib.request.urlopen(urllib.request.Request(f"{url}{path}", raw)) as r:
-                return r.status, json.loads(r.read())
-        except urllib.error.HTTPError as e:
-            return e.code, json.loads(e.read())
-
-    assert json.loads(urllib.request.urlopen(f"{url}/health").read()) == {"status": "ok"}
-    for message in ("jaundice", "zz"):
-        body = {"message": message, "conversation": [{"patient": "a", "doctor": "b"}, {"patient": "c"}]}
-        want = serve.chat_replies(graph)(message, [("a", "b"), ("c", None)])
-        assert post("/chat", json.dumps(body).encode()) == (200, {"response": want})
-    assert post("/chat", b"[1]")[0] == 400 and post("/chat", b"{")[0] == 400 and post("/other", b"{}")[0] == 404
-    http.shutdown()
-    http.server_close()
-
-
 def test_stored_graphs_and_encoded_texts(spark, graph, tmp_path):
     from wayfind.plans import embed as B
+    from wayfind.sources import log as L
     from wayfind.sources import store as T
 
-    folder = f"file://{tmp_path}/g"
-    own = T.save_graph(graph, folder, "Disease")
+    log = L.Log(spark, f"file://{tmp_path}/g")
+    T.save_graph(graph, log)
+    own = T.open_graph(log)
     assert sorted(r.node_id for r in own.nodes.collect()) == sorted(n[0] for n in NODES) and own.edges.count() == len(EDGES)
     assert [r.node_id for r in S.scored(own, "cirrhosis").select("node_id").distinct().orderBy("node_id").collect()] == ["n1", "n2", "n3", "n4", "n7"]
-    T.put(graph.edges.filter("type = 'TREATS'"), f"{folder}/edges", "type")
-    assert T.open_graph(spark, folder).edges.count() == 1 and T.get(spark, f"{folder}/edges", 1).count() == len(EDGES) and T.versions(spark, f"{folder}/edges") == [1, 2]
+    change = log.begin()
+    change.delete("edges", graph.edges.filter("type <> 'TREATS'"))
+    change.commit()
+    assert T.open_graph(log).edges.count() == 1 and T.open_graph(log, 1).edges.count() == len(EDGES) and log.versions() == [1, 2]
     twice = spark.createDataFrame([("a",), ("a",), (None,), (None,)], "canonical_id string")
     with pytest.raises(ValueError, match="canonical_id a occurs 2 times"):
         T.unique(twice, "canonical_id")
-    with pytest.raises(FileNotFoundError):
-        T.get(spark, f"{folder}/none")
 
     nodes = spark.createDataFrame([("1", "x", "red bolt", None), ("2", "x", None, None), ("3", "y", "", [1.0]), ("4", None, "blue", None)], "node_id string, original_id string, text string, embedding array<float>")
     got = {r.node_id: r.embedding for r in B.embed_nodes(nodes, lambda: B.Hashed(16)).collect()}
@@ -316,6 +278,24 @@ def test_stored_graphs_and_encoded_texts(spark, graph, tmp_path):
     assert [len(r.embedding or ()) for r in run.orderBy("node_id").collect()] == [4, 0, 4, 4]
 
 
+def test_edges_are_made_again_when_a_table_changes(spark, tmp_path):
+    """Also with the same name, rows of the same length, or a folder instead of a file."""
+    import shutil
+
+    from wayfind.sources import store as T
+
+    for name in G.TABLES:
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    count = lambda: {r.type: r["count"] for r in T.stored(spark, str(tmp_path)).edges.groupBy("type").count().collect()}
+    before = count()
+    assert count() == before and T.stored(spark, str(tmp_path)).edges.inputFiles() == T.stored(spark, str(tmp_path)).edges.inputFiles()
+    shutil.copy("/root/testdata/sf0.01/customer.parquet", tmp_path)
+    assert count()["IN_NATION"] == before["IN_NATION"] + 1350 and T.stored(spark, str(tmp_path)).nodes.filter("node_id like 'customer:%'").count() == 1500
+    (tmp_path / "customer.parquet").unlink()
+    spark.read.parquet("/root/testdata/sf0.001/customer.parquet").write.parquet(str(tmp_path / "customer.parquet"))
+    assert count() == before
+
+
 def test_limits_are_whole_numbers(graph):
     for call in (lambda: S.scored(graph, "x", -1), lambda: S.chat(graph, "x", "5; drop"), lambda: P.multi_hop(graph, "x", 0), lambda: P.multi_hop(graph, "x", 2, 1.5)):
         with pytest.raises(ValueError, match="must be a whole number"):

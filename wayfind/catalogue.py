@@ -16,7 +16,7 @@ from wayfind.plans.ask import ask, ask_one, ask_with_fallback, contexts
 from wayfind.plans.ask import chat_context as chat_text
 from wayfind.plans.embed import Hashed, embed_nodes
 from wayfind.sources.graph import Graph, read_links, table
-from wayfind.sources.store import get, put, shared_folder, stored
+from wayfind.sources.store import new_log, shared_folder, stored, upsert_links
 from wayfind.streaming.chat import notices
 
 NEEDLE, WIDE, NEEDLES = "red bolt", "red", ["red bolt", "blue", "supplier#000000001", "È", "no such thing"]
@@ -467,12 +467,41 @@ def csv_links(spark, d):
 
 @query(ORACLE["edge_upsert"])
 def stored_upsert(spark, d):
-    """Edges as a table in versions: the update is the second version, and the one that is read."""
+    """Links upserted into stored edges; both tables and the change are versions of one log."""
     keys, old, rows = upsert_input(spark, d)
-    here = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
-    put(old, here)
-    put(I.upsert_edges(keys, get(spark, here), rows), here)
-    return get(spark, here)
+    log = new_log(spark, "links")
+    change = log.begin()
+    change.create("nodes", keys, ["key"])
+    change.create("edges", old, ["src", "dst"])
+    change.commit()
+    upsert_links(log, rows)
+    return log.read("edges")
+
+
+@query(f"""with {ROWS},
+one as (select a, b, arg_max(score, row_no) as score from ok where row_no % 3 <> 2 group by a, b), two as (select a, b, max(0.7) as score from ok where a % 3 = 0 group by a, b),
+all_ as (select a, b, score, 0 as v from old union all select a, b, score, 1 from one union all select a, b, score, 2 from two)
+select cast(a as varchar) as src, cast(b as varchar) as dst, cast(arg_max(score, v) as double) as score from all_ where a % 4 <> 0 group by a, b""")
+def concurrent_upserts(spark, d):
+    """Two writers that have seen the same version both hold, the later one on what both have; then nodes go with their edges,
+    and what is left is packed."""
+    keys, old, rows = upsert_input(spark, d)
+    log = new_log(spark, "links")
+    change = log.begin()
+    change.create("nodes", keys, ["key"])
+    change.create("edges", old, ["src", "dst"])
+    change.commit()
+    one, two = log.begin(), log.begin()
+    one.upsert("edges", I.last_scores(one.read("nodes"), rows.filter("row_no % 3 <> 2")))
+    two.upsert("edges", I.last_scores(two.read("nodes"), rows.filter("cast(source as long) % 3 = 0").withColumn("score", F.lit(0.7))))
+    one.commit()
+    two.commit()
+    gone = log.begin()
+    gone.delete("nodes", keys.filter("cast(key as long) % 4 = 0"))
+    gone.delete("edges", log.read("edges").filter("cast(src as long) % 4 = 0"))
+    gone.commit()
+    log.compact("edges")
+    return log.read("edges")
 
 
 @query(f"""select 'entity' as kind, context from ({ORACLE['scored_context']}) union all select 'paths', context from ({ORACLE['path_context']})

@@ -6,11 +6,17 @@ from pyspark.sql import functions as F
 from wayfind.sources.graph import Graph
 
 
+def last_scores(keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """(src, dst, score) of rows (row_no, source, target, score): each directed pair of known ``keys`` (key), with the score of
+    its last row."""
+    known = rows.join(keys.select(F.col("key").alias("source")), "source", "left_semi").join(keys.select(F.col("key").alias("target")), "target", "left_semi")
+    return known.groupBy(F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.max_by("score", "row_no").alias("score"))
+
+
 def upsert_edges(keys: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFrame:
     """``edges`` (src, dst, score) after rows (row_no, source, target, score): an edge for each directed pair of known
     ``keys`` (key), with the score of the last row. Running it again with the same rows changes nothing."""
-    known = rows.join(keys.select(F.col("key").alias("source")), "source", "left_semi").join(keys.select(F.col("key").alias("target")), "target", "left_semi")
-    new = known.groupBy(F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.max_by("score", "row_no").alias("score"))
+    new = last_scores(keys, rows)
     return edges.join(new, ["src", "dst"], "left_anti").select("src", "dst", "score").unionByName(new)
 
 

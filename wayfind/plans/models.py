@@ -110,7 +110,7 @@ class Http:
                     return self.once(prompt)
                 except ModelError:
                     continue
-        raise ModelError("All fallback models failed.")
+        raise ModelError("no model is left that answers")
 
     def probe(self, others: tuple = (), prompt: str = "Hello") -> bool:
         """A test call at the start: whether the model answers, or else one of the others, which is used from then on."""
@@ -168,7 +168,7 @@ def answered(rows: DataFrame, make: Callable, backend: str = "extract") -> DataF
                 try:
                     out.append((client(text), client.model, "ok"))
                 except Exception as e:
-                    out.append((f"Error querying {backend}: {e}", client.model, "error"))
+                    out.append((f"{backend} gave no answer: {e}", client.model, "error"))
             yield p.assign(answer=[a for a, *_ in out], backend=backend, model=["N/A" if backend == "huggingface" else m for _, m, _ in out], status=[s for *_, s in out])
 
     return rows.mapInPandas(run, schema)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TABLES = ("part", "supplier", "nation", "region", "customer", "documents", "embeddings", "lineitem")  # what load() reads
 NODE = ["name", "canonical_name", "text", "title", "description", "disease", "symptom", "canonical_id", "original_id"]
 
 
@@ -40,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of the star schema's tables."""
-    t = {n: table(spark, sf_dir, n) for n in ("part", "supplier", "nation", "region", "customer", "documents", "embeddings", "lineitem")}
+    t = {n: table(spark, sf_dir, n) for n in TABLES}
     nodes = [
         node_rows(t["part"], "part", "p_partkey", "Part", name="p_name", canonical_name="p_brand", text="p_type"),
         node_rows(t["supplier"], "supplier", "s_suppkey", "Supplier", name="s_name"),

@@ -1,4 +1,4 @@
-"""A graph in storage: tables of nodes and edges in versions, each of which appears by one rename."""
+"""Graphs in storage: nodes and edges as tables under one log, with uniqueness and known endpoints."""
 
 import tempfile
 import uuid
@@ -6,8 +6,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.operators.ingest import duplicates
-from wayfind.sources.graph import Graph, load
+from wayfind.operators.ingest import duplicates, last_scores
+from wayfind.sources.graph import TABLES, Graph, load
+from wayfind.sources.log import Log, file_system
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,50 +18,25 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='wayfind-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if spark.sparkContext.applicationId not in _own:
+            _own[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='wayfind-')}"
+        base = _own[spark.sparkContext.applicationId]
     return base.rstrip("/")
 
 
-def file_system(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+_own: dict[str, str] = {}
 
 
-def versions(spark: SparkSession, folder: str) -> list[int]:
-    """The complete versions in a folder, in order."""
-    fs, p = file_system(spark, folder)
-    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
-
-
-def put(df: DataFrame, folder: str, partition_by: str | None = None) -> int:
-    """Write ``df`` as the folder's next version; gives its number. What is written again after a failure is a version of its
-    own, and one that has not been renamed is never read."""
-    spark = df.sparkSession
-    fs, _ = file_system(spark, folder)
-    temp = f"{folder}/{uuid.uuid4().hex}.tmp"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(temp)
-    number = (versions(spark, folder) or [0])[-1] + 1
-    if not fs.rename(file_system(spark, temp)[1], file_system(spark, f"{folder}/version={number}")[1]):
-        raise OSError(f"version {number} of {folder} can't be committed")
-    return number
-
-
-def get(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
-    """A version of a table, the latest one without a number."""
-    found = versions(spark, folder)
-    if not found:
-        raise FileNotFoundError(f"{folder} holds no version")
-    return spark.read.parquet(f"{folder}/version={found[-1] if version is None else version}")
+def new_log(spark: SparkSession, name: str) -> Log:
+    """An empty log in a new folder of the shared one."""
+    return Log(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written to a new table in the shared folder and read from there."""
-    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    put(df, folder)
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/version=1")
+    """``df``, written to a new folder in the shared one and read from there."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unique(df: DataFrame, key: str) -> DataFrame:
@@ -71,38 +47,86 @@ def unique(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
-def by_source(edges: DataFrame) -> DataFrame:
-    """Edges in ranges of type and source, in order, so that a filter on sources skips most row groups."""
-    return edges.repartitionByRange("type", "src").sortWithinPartitions("type", "src")
+def keyed(nodes: DataFrame, label: str, key: str) -> DataFrame:
+    """(key, node_id) of a label's nodes with a key."""
+    return nodes.filter(F.array_contains("labels", label) & F.col(key).isNotNull()).select(key, "node_id")
+
+
+def create_nodes(log: Log, nodes: DataFrame, label: str, key: str = "canonical_id") -> int:
+    """A table of nodes, and one of the keys of ``label``, which must be unique; gives the version."""
+    change = log.begin()
+    change.create("nodes", nodes, ["node_id"])
+    change.create(f"nodes_{key}", unique(keyed(nodes, label, key), key), [key])
+    return change.commit()
+
+
+def put_nodes(log: Log, nodes: DataFrame, label: str, key: str = "canonical_id") -> int:
+    """Add nodes, each with a node_id of its own, or replace those with their ids; gives the version. Raises where a key of
+    ``label`` would occur twice. The check reads the buckets of the new keys in the table of keys, and no others; a key that
+    another writer adds meanwhile makes the commit fail."""
+    change, keys = log.begin(), f"nodes_{key}"
+    new = unique(keyed(nodes, label, key), key)
+    old = keyed(change.lookup("nodes", nodes), label, key)
+    held = change.lookup(keys, new.select(key)).withColumnRenamed("node_id", "_holder")
+    taken = new.join(held, key).filter("node_id <> _holder").join(nodes.select(F.col("node_id").alias("_holder")), "_holder", "left_anti").limit(1).collect()
+    if taken:
+        raise ValueError(f"{key} {taken[0][key]} belongs to {taken[0]._holder}")
+    change.delete(keys, old.join(new, [key, "node_id"], "left_anti"))
+    change.append(keys, new.join(old, [key, "node_id"], "left_anti"))
+    change.upsert("nodes", nodes)
+    return change.commit()
+
+
+def upsert_links(log: Log, rows: DataFrame) -> int:
+    """Links (row_no, source, target, score) between known keys of the table nodes (key) into the table edges (src, dst,
+    score): the last row of each directed pair counts; gives the version. Fails if nodes go meanwhile."""
+    change = log.begin()
+    change.upsert("edges", last_scores(change.read("nodes"), rows))
+    return change.commit()
+
+
+def save_graph(graph: Graph, log: Log) -> int:
+    """The graph as tables nodes (by node_id) and edges (by edge_id), in one version."""
+    change = log.begin()
+    change.create("nodes", graph.nodes, ["node_id"])
+    change.create("edges", graph.edges, ["edge_id"])
+    return change.commit()
 
 
-def save_graph(graph: Graph, folder: str, label: str | None = None, key: str = "canonical_id") -> Graph:
-    """Write the graph's next version, and read it: nodes, whose ``key`` must be unique among those of ``label`` if one is
-    given, and edges by type, so that a search of one type reads no other."""
-    if label is not None:
-        unique(graph.nodes.filter(F.array_contains("labels", label)), key)
-    put(graph.nodes, f"{folder}/nodes")
-    put(by_source(graph.edges), f"{folder}/edges", "type")
-    return open_graph(graph.nodes.sparkSession, folder)
+def open_graph(log: Log, version: int | None = None) -> Graph:
+    """The graph of one version."""
+    version = log.state(version)["version"]
+    return Graph(log.read("nodes", version), log.read("edges", version))
 
 
-def open_graph(spark: SparkSession, folder: str) -> Graph:
-    return Graph(get(spark, f"{folder}/nodes"), get(spark, f"{folder}/edges"))
+def files_of(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, length and time of change of every file of the graph's tables."""
+    out = []
+    for name in TABLES:
+        fs, p = file_system(spark, f"{sf_dir}/{name}.parquet")
+        found = fs.listFiles(p, True)
+        while found.hasNext():
+            s = found.next()
+            out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return tuple(sorted(out))
 
 
-_stored: dict[tuple[str, str], Graph] = {}
+_stored: dict[tuple, DataFrame] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of the star schema's tables. Its edges are distinct pairs of the largest table: they are made once for a session
-    and directory, and after that read from storage by type. Where no folder is shared, they are made for each query."""
+    """The graph of the star schema's tables. Its edges are distinct pairs of the largest table: they are written once, by
+    type and source, and read from there as long as the tables' files stay as they are; when one has changed, they are made
+    again. Where no folder is shared, they are made for each query."""
+    graph = load(spark, sf_dir)
+    try:
+        folder = shared_folder(spark)
+    except ValueError:
+        return graph
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _stored:
-        graph = load(spark, sf_dir)
-        try:
-            folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
-        except ValueError:
-            return graph
-        put(by_source(graph.edges), folder, "type")
-        _stored[key] = Graph(graph.nodes, get(spark, folder).select(*graph.edges.columns))
-    return _stored[key]
+    files = files_of(spark, sf_dir)
+    if key not in _stored or _stored[key][0] != files:
+        path = f"{folder}/edges-{uuid.uuid4().hex}"
+        graph.edges.repartitionByRange("type", "src").sortWithinPartitions("type", "src").write.partitionBy("type").parquet(path)
+        _stored[key] = files, spark.read.parquet(path).select(*graph.edges.columns)
+    return Graph(graph.nodes, _stored[key][1])
