@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as X
+from wayfind.operators import adjacency as A
 from wayfind.operators import context as C
 from wayfind.operators import dialog as D
 from wayfind.operators import ingest as I
@@ -15,7 +16,8 @@ from wayfind.plans import models as M
 from wayfind.plans.ask import ask, ask_one, ask_with_fallback, contexts
 from wayfind.plans.ask import chat_context as chat_text
 from wayfind.plans.embed import Hashed, embed_nodes
-from wayfind.sources.graph import Graph, read_links, table
+from wayfind.sources import indexed as N
+from wayfind.sources.graph import Graph, load, read_links, table
 from wayfind.sources.store import new_log, shared_folder, stored, upsert_links
 from wayfind.streaming.chat import notices
 
@@ -531,3 +533,69 @@ def stream_notices(spark, d):
     run = notices(same).writeStream.format("parquet").option("checkpointLocation", f"{here}/checkpoint").option("path", f"{here}/rows").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("conv_id long, turn long, notice boolean").parquet(f"{here}/rows")
+
+
+@query(ORACLE["scored_search"])
+def indexed_search(spark, d):
+    """The same search by trigrams: postings, and the rows that they name."""
+    return hits(S.scored(N.stored_index(spark, d), NEEDLE))
+
+
+@query(ORACLE["scored_search_batch"])
+def indexed_search_batch(spark, d):
+    asked = spark.createDataFrame(list(enumerate(NEEDLES)), "qid long, entity string")
+    return S.scored_batch(N.stored_index(spark, d), asked).select("needle", "node_id", "relevance", "rank")
+
+
+@query(ORACLE["chat_search"])
+def indexed_chat(spark, d):
+    return S.chat(N.stored_index(spark, d), WIDE).select("node_id", X.label().alias("label"), "name", "text")
+
+
+@query(ORACLE["multihop_batch"])
+def indexed_paths_batch(spark, d):
+    """Walks over segments of edges: found by trigrams, and read from the beginning of each source."""
+    asked = spark.createDataFrame(list(enumerate(NEEDLES)), "qid long, entity string")
+    return P.multi_hop_batch(N.stored_index(spark, d), asked, 2, 20)
+
+
+CHANGED = """changed as (select node_id, label, case when label = 'Part' and cast(substr(node_id, 6) as bigint) % 3 <> 0 then 'old ' || name else name end as name, canonical_name, text from nodes where label <> 'Customer')"""
+
+
+@query(f"{GRAPH}, {CHANGED} select needle, {sql_score('needle')} as relevance, count(*) as n from changed, (values ('red bolt'), ('old red'), ('customer#'), ('the')) t(needle) where {sql_match('needle')} group by 1, 2")
+def indexed_changes(spark, d):
+    """An index that follows its graph: nodes come in two batches, some are replaced, and some go."""
+    g, log = load(spark, d), new_log(spark, "index")
+    is_ = lambda label: F.array_contains("labels", label)
+    N.build(Graph(g.nodes.filter(~is_("Part")), g.edges), log)
+    parts = g.nodes.filter(is_("Part"))
+    N.put_nodes(log, parts.withColumn("name", F.concat(F.lit("old "), "name")))
+    N.put_nodes(log, parts.filter("cast(substr(node_id, 6) as long) % 3 = 0"))
+    N.delete_nodes(log, g.nodes.filter(is_("Customer")))
+    own = N.open_indexed(log)
+    found = own.found(spark.createDataFrame([("red bolt",), ("old red",), ("customer#",), ("the",)], "q string"))
+    return found.groupBy(F.col("q").alias("needle"), "relevance").agg(F.count("*").alias("n"))
+
+
+HUBS = ["FRANCE", "united", "no such thing", "a"]
+
+
+@query(f"""{GRAPH}, rev as (select edge_id, dst as src, src as dst, 'HAS' as type from edges where type <> 'SUPPLIED_BY'),
+top as (select n.*, needle, {sql_score('needle')} as relevance from nodes n, (values {', '.join(f"('{h}')" for h in HUBS)}) t(needle) where label in ('Nation', 'Region') and ({sql_match('needle', 'n.')}) qualify row_number() over (partition by needle order by relevance desc, node_id) <= 15),
+hits as (select top.*, e.edge_id, e.type, m.label as target_label, {SHOWN.format('m.')} as target, {SHOWN.format('top.')} as shown from top left join rev e on e.src = top.node_id left join nodes m on m.node_id = e.dst),
+lines as (select needle, i, case when shown <> '' then i || '. [' || label || '] ' || repeat('★', least(3, relevance // 3)::int) || ' ' || {sql_clip('shown', 300)} end as node_line, case when edge_id is not null and target <> '' then '   → ' || type || ': [' || target_label || '] ' || {sql_clip('target', 200)} end as edge_line
+  from (select *, row_number() over (partition by needle order by relevance desc, node_id, edge_id nulls first) as i from hits))
+select needle, left(context, 4500) as context, cast(length(context) as bigint) as context_length from (select needle, coalesce(string_agg(s, chr(10) order by i), '') as context from (select needle, i, nullif(concat_ws(chr(10), node_line, edge_line), '') as s from lines) group by needle)""")
+def hub_contexts(spark, d):
+    """Contexts of hubs, nations with all their customers: the beginning of each, and the length of the whole."""
+    g = stored(spark, d)
+    back = g.edges.filter("type <> 'SUPPLIED_BY'").select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("HAS").alias("type"), "score")
+    places = Graph(g.nodes.filter(F.array_contains("labels", "Nation") | F.array_contains("labels", "Region")), back)
+    top = S.scored_batch(places, spark.createDataFrame(list(enumerate(HUBS)), "qid long, entity string"))
+    return A.bounded_context(top, A.segments(back), g.nodes)
+
+
+@query(f"{GRAPH}, {GIVEN}, {CONTEXTS}, cut as (select qid, question, context as whole, left(context, 4501) as context from first) select {RECORD.format(LINE, PROMPT).replace('length(context)', 'length(whole)')} from cut")
+def bounded_records(spark, d):
+    """Answer records with cut contexts and whole lengths, over the stored index."""
+    return ask(N.stored_index(spark, d), asked(spark), bounded=True)

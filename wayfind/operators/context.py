@@ -19,6 +19,15 @@ CUT = "\n... (context truncated)"
 CUT_PLAIN = "\n... (truncated for length)"
 
 
+def node_text(name: Column, text: Column, relevance: Column) -> Column:
+    """A node's line behind its number."""
+    return F.concat(F.lit(". ["), name, F.lit("] "), X.stars(relevance), F.lit(" "), X.clipped(text, 300))
+
+
+def edge_text(kind: Column, name: Column, text: Column) -> Column:
+    return F.concat(F.lit("   → "), kind, F.lit(": ["), name, F.lit("] "), X.clipped(text, 200))
+
+
 def lines(rows: DataFrame, order: list, keys: list[str], plain: bool = False) -> DataFrame:
     """(keys, i, node_line, edge_line) of search rows: numbered first, so rows without a text use a number up."""
     w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(0)).orderBy(*order)
@@ -29,8 +38,8 @@ def lines(rows: DataFrame, order: list, keys: list[str], plain: bool = False) ->
         node = F.concat(i, F.lit(". "), name, F.lit(": "), X.clipped(text, 200))
         edge = F.concat(F.lit("   → "), F.col("type"), F.lit(": "), target_name, F.lit(" - "), X.clipped(target, 150))
     else:
-        node = F.concat(i, F.lit(". ["), name, F.lit("] "), X.stars(F.col("relevance")), F.lit(" "), X.clipped(text, 300))
-        edge = F.concat(F.lit("   → "), F.col("type"), F.lit(": ["), target_name, F.lit("] "), X.clipped(target, 200))
+        node = F.concat(i, node_text(name, text, F.col("relevance")))
+        edge = edge_text(F.col("type"), target_name, target)
     numbered = rows.withColumn("i", F.row_number().over(w))
     return numbered.select(*keys, "i", F.when(text != "", node).alias("node_line"), F.when(F.col("edge_id").isNotNull() & (target != ""), edge).alias("edge_line"))
 

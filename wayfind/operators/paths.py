@@ -44,6 +44,8 @@ def leaving(graph: Graph) -> DataFrame:
 
 
 def multi_hop(graph: Graph, needle: str, hops: int = 2, limit: int = 20) -> DataFrame:
+    if hasattr(graph, "walked"):
+        return graph.walked(graph.matches(needle).select(F.lit(needle).alias("q"), "node_id"), hops, limit).drop("q")
     starts = leaving(graph).filter(X.holds(F.lit(needle))).select("node_id").orderBy("node_id").limit(X.whole(limit))
     return walks(starts, graph, hops, limit)
 
@@ -52,6 +54,8 @@ def multi_hop_batch(graph: Graph, questions: DataFrame, hops: int = 2, limit: in
     """The first walks of each entity of questions (entity, ...), under ``needle``: one plan for all of them. Entities that
     are equal but for case are searched and walked from once."""
     needles = needles_of(questions)
+    if hasattr(graph, "walked"):
+        return graph.walked(graph.starts(needles, limit), hops, limit).join(needles, "q").drop("q")
     found = walks(hits_of(leaving(graph), needles, limit, ranked=False).select("q", "node_id"), graph, hops, limit, ("q",))
     return found.join(needles, "q").drop("q")
 

@@ -21,8 +21,11 @@ def expanded(starts: DataFrame, graph: Graph, how: str = "left") -> DataFrame:
     return starts.join(found, "node_id", how)
 
 
-def matches(graph: Graph, needle: str) -> DataFrame:
-    return graph.nodes.filter(X.holds(F.lit(needle)))
+def matches(graph: Graph, needle: str, columns=X.SEARCHED) -> DataFrame:
+    """Nodes that hold the needle in one of the columns: by the graph's index, or by a scan where it has none."""
+    if hasattr(graph, "matches"):
+        return graph.matches(needle, columns)
+    return graph.nodes.filter(X.holds(F.lit(needle), columns))
 
 
 def top_scored(graph: Graph, needle: str, limit: int = 15) -> DataFrame:
@@ -103,8 +106,18 @@ def hits_of(nodes: DataFrame, needles: DataFrame, limit: int, ranked: bool = Tru
         part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k)
         found = values.mapInArrow(searched(spark.sparkContext.broadcast([r.q for r in part.collect()]), X.whole(limit), ranked), "q string, node_id string, relevance int")
         out = found if out is None else out.unionByName(found)
+    return ranked_first(out, limit, ranked)
+
+
+def ranked_first(found: DataFrame, limit: int, ranked: bool = True) -> DataFrame:
+    """The first ``limit`` of found rows (q, node_id, relevance) of each needle, with their rank."""
     rank = F.row_number().over(Window.partitionBy("q").orderBy(*([F.desc("relevance")] if ranked else []), "node_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
+def hits(graph: Graph, needles: DataFrame, limit: int, ranked: bool = True) -> DataFrame:
+    """What hits_of() gives: by the graph's index, or by a scan where it has none."""
+    return graph.hits(needles, limit, ranked) if hasattr(graph, "hits") else hits_of(graph.nodes, needles, limit, ranked)
 
 
 def scored_batch(graph: Graph, questions: DataFrame, limit: int = 15) -> DataFrame:
@@ -112,7 +125,7 @@ def scored_batch(graph: Graph, questions: DataFrame, limit: int = 15) -> DataFra
     applied before rows are brought together, in each task, and only the rows that are left fetch their texts. node_id is
     the nodes' key."""
     needles = needles_of(questions)
-    top = hits_of(graph.nodes, needles, limit)
+    top = hits(graph, needles, limit)
     own = graph.nodes.select("node_id", "labels", *X.SEARCHED)
     return top.join(needles, "q").join(own, "node_id").select("needle", "node_id", "labels", *X.SEARCHED, "relevance", "rank")
 
@@ -124,7 +137,7 @@ def plain(graph: Graph, needle: str, limit: int = 5) -> DataFrame:
 
 def chat(graph: Graph, message: str, limit: int = 5) -> DataFrame:
     """Search of the whole message in six properties."""
-    return graph.nodes.filter(X.holds(F.lit(message), X.CHAT_SEARCHED)).orderBy("node_id").limit(X.whole(limit))
+    return matches(graph, message, X.CHAT_SEARCHED).orderBy("node_id").limit(X.whole(limit))
 
 
 def labelled(graph: Graph, name: str, needle: str, limit: int = 15) -> DataFrame:

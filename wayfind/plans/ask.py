@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wayfind.functions import text as X
 from wayfind.operators import context as C
 from wayfind.operators import search as S
+from wayfind.operators.adjacency import bounded_context
 from wayfind.operators.dialog import insufficient
 from wayfind.operators.paths import multi_hop_batch
 from wayfind.plans import models as M
@@ -29,9 +30,20 @@ def contexts(graph: Graph, questions: DataFrame, limit: int = 15) -> DataFrame:
     return asked.join(found, asked.entity == found.needle, "left").select("qid", "question", "entity", text.alias("context"))
 
 
-def ask(graph: Graph, questions: DataFrame, limit: int = 15, make=M.Extract, backend: str = "extract") -> DataFrame:
-    """Answer records of questions (qid, question, entity)."""
-    rows = contexts(graph, questions, limit)
+def bounded_contexts(graph, questions: DataFrame, limit: int = 15, most: int = 4500) -> DataFrame:
+    """What contexts() gives, cut to ``most`` characters and with the whole length as context_length, for a graph with segments: no
+    hub's lines are collected."""
+    asked = questions.select("qid", "question", F.coalesce("entity", X.entity(F.col("question"))).alias("entity"))
+    found = bounded_context(S.scored_batch(graph, asked, limit), graph.segments(), graph.nodes, most=most + 1)
+    before, after = C.NOTHING.split("{}")
+    nothing = F.when(F.col("entity").isNull(), C.NO_ENTITY).otherwise(F.concat(F.lit(before), F.col("entity"), F.lit(after)))
+    text = F.coalesce("context", nothing)
+    return asked.join(found, asked.entity == found.needle, "left").select("qid", "question", "entity", text.alias("context"), F.coalesce(F.col("context_length"), F.length(text)).cast("int").alias("context_length"))
+
+
+def ask(graph: Graph, questions: DataFrame, limit: int = 15, make=M.Extract, backend: str = "extract", bounded: bool = False) -> DataFrame:
+    """Answer records of questions (qid, question, entity). ``bounded``: contexts in the records are cut, as prompts are."""
+    rows = bounded_contexts(graph, questions, limit) if bounded else contexts(graph, questions, limit)
     return M.record(M.answered(rows.withColumn("prompt", C.prompt(F.col("question"), F.col("context"))), make, backend))
 
 

@@ -176,4 +176,5 @@ def answered(rows: DataFrame, make: Callable, backend: str = "extract") -> DataF
 
 def record(rows: DataFrame) -> DataFrame:
     """The answer record: lengths of the prompt and of the whole, uncapped context among its fields."""
-    return rows.select("qid", "question", "answer", "context", "backend", "model", F.length("prompt").cast("int").alias("prompt_length"), F.length("context").cast("int").alias("context_length"), "status")
+    size = F.col("context_length") if "context_length" in rows.columns else F.length("context")
+    return rows.select("qid", "question", "answer", "context", "backend", "model", F.length("prompt").cast("int").alias("prompt_length"), size.cast("int").alias("context_length"), "status")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 16
+FEW = 1000  # values up to which a filter names them, so that a scan skips what has none of them
 SMALL = 1 << 20  # places of rows that have gone, up to which they are broadcast
 
 
@@ -59,6 +60,10 @@ def create(spark: SparkSession, path: str, text: str) -> bool:
         fs.delete(temp, False)
 
 
+def bucket_of(own: dict):
+    return F.pmod(F.xxhash64(*own["by"]), F.lit(own["buckets"])).cast("int")
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = file_system(spark, path)
     stream = fs.open(p)
@@ -109,6 +114,7 @@ class Log:
         return self.spark.read.schema(whole).option("basePath", f"{self.folder}/{name}").parquet(*[f"{self.folder}/{name}/layer={x}" for x in layers])
 
     def rows(self, own: dict, name: str) -> DataFrame:
+        """A table's rows with their places."""
         df = self.layered(own, name, sorted(own["layers"]))
         if not own["gone"]:
             return df
@@ -177,51 +183,76 @@ class Change:
         layer = f"L{uuid.uuid4().hex}"
         key = own["key"]
         names = [f["name"] for f in own["schema"]["fields"]]
-        rows = df.select(*names).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(own["buckets"])).cast("int"))
+        rows = df.select(*names).withColumn("bucket", bucket_of(own))
         dealt = rows.repartitionByRange("bucket", *key).sortWithinPartitions("bucket", *key).withColumn("_row", F.monotonically_increasing_id())
         writer = dealt.write.partitionBy("bucket")
-        for k in key:
+        for k in own["by"]:
             writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true")
         path = f"{self.log.folder}/{name}/layer={layer}"
         writer.parquet(path)
         return layer, self.spark.read.schema("_row long").parquet(path).count()
 
-    def create(self, name: str, df: DataFrame, key: list[str], buckets: int = BUCKETS) -> None:
-        """A new table of rows whose ``key`` is unique."""
+    def create(self, name: str, df: DataFrame, key: list[str], buckets: int = BUCKETS, by: list[str] | None = None) -> str:
+        """A new table of rows whose ``key`` is unique, dealt by the columns ``by`` of the key (all without it); gives the
+        layer, as all that adds rows does."""
         if name in self.base["tables"] or name in self.parts:
             raise ValueError(f"there is a table {name}")
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
         part = self.part(name)
-        part.new = {"key": key, "buckets": buckets, "schema": json.loads(schema.json()), "layers": {}, "gone": {}}
+        part.new = {"key": key, "by": by or key, "buckets": buckets, "schema": json.loads(schema.json()), "layers": {}, "gone": {}}
         layer, n = self.write(name, df)
         part.layers[layer] = n
+        return layer
 
     def keys(self, name: str, df: DataFrame) -> DataFrame:
         """The different keys of some rows, with their buckets."""
         own = self.spec(name)
-        return df.select(*own["key"]).distinct().withColumn("bucket", F.pmod(F.xxhash64(*own["key"]), F.lit(own["buckets"])).cast("int"))
+        return df.select(*own["key"]).distinct().withColumn("bucket", bucket_of(own))
 
     def found(self, name: str, keys: DataFrame, own: dict) -> DataFrame:
         """A table's rows with these keys. Only the keys' buckets are read, of which a table has few."""
         touched = sorted(r.bucket for r in keys.select("bucket").distinct().collect())
         return self.log.rows(own, name).filter(F.col("bucket").isin(touched)).join(keys.select(*own["key"]), own["key"], "left_semi")
 
+    def having(self, name: str, df: DataFrame) -> DataFrame:
+        """A table's rows, with their places, whose columns that it is dealt by are as in some rows. Only these rows' buckets are
+        read."""
+        own = self.log.table(self.base, name)
+        wanted = df.select(*own["by"]).distinct()
+        touched = sorted(r.bucket for r in wanted.select(bucket_of(own).alias("bucket")).distinct().collect())
+        rows = self.log.rows(own, name).filter(F.col("bucket").isin(touched))
+        few = wanted.limit(FEW + 1).collect()
+        if len(few) > FEW:
+            return rows.join(wanted, own["by"], "left_semi")
+        for c in own["by"]:
+            rows = rows.filter(F.col(c).isin(sorted({r[c] for r in few if r[c] is not None})))
+        return rows if len(own["by"]) == 1 else rows.join(self.spark.createDataFrame(few, wanted.schema), own["by"], "left_semi")
+
     def lookup(self, name: str, df: DataFrame) -> DataFrame:
         """A table's rows, as this change sees it, with the keys of some rows."""
         return self.found(name, self.keys(name, df), self.log.table(self.base, name)).drop("layer", "bucket", "_row")
 
-    def append(self, name: str, df: DataFrame) -> None:
-        """Rows whose keys the table doesn't have. If another change has added one of them before the commit, that fails."""
+    def add(self, name: str, df: DataFrame) -> str:
+        """Rows with keys that nobody else can have."""
         layer, n = self.write(name, df)
-        part = self.part(name)
-        part.layers[layer] = n
-        part.inserted.append(self.keys(name, self.log.layered(self.spec(name), name, [layer])))
+        self.part(name).layers[layer] = n
+        return layer
+
+    def append(self, name: str, df: DataFrame) -> str:
+        """Rows whose keys the table doesn't have. If another change has added one of them before the commit, that fails."""
+        layer = self.add(name, df)
+        self.part(name).inserted.append(self.keys(name, self.layer(name, layer)))
+        return layer
 
-    def upsert(self, name: str, df: DataFrame) -> None:
+    def upsert(self, name: str, df: DataFrame) -> str:
         """Rows, each with a key of its own, that replace those with these keys."""
-        layer, n = self.write(name, df)
-        self.part(name).layers[layer] = n
-        self.replace(name, self.keys(name, self.log.layered(self.spec(name), name, [layer])))
+        layer = self.add(name, df)
+        self.replace(name, self.keys(name, self.layer(name, layer)))
+        return layer
+
+    def layer(self, name: str, layer: str) -> DataFrame:
+        """The rows of one layer with their places (layer, bucket, _row)."""
+        return self.log.layered(self.spec(name), name, [layer])
 
     def delete(self, name: str, df: DataFrame) -> None:
         """Rows with the keys of these go."""
@@ -244,11 +275,12 @@ class Change:
         if n:
             self.part(name).gone[place] = n
 
-    def rewrite(self, name: str) -> None:
+    def rewrite(self, name: str, df: DataFrame | None = None) -> str:
+        """Write a table anew as one layer, with the rows that it has or others."""
         own = self.log.table(self.base, name)
-        part = self.part(name)
-        layer, n = self.write(name, self.log.rows(own, name))
-        part.layers[layer], part.drops = n, sorted(own["layers"])
+        layer = self.add(name, self.log.rows(own, name) if df is None else df)
+        self.part(name).drops = sorted(own["layers"])
+        return layer
 
     def rebase(self, latest: dict) -> None:
         """Put the change behind the versions that have been committed since its base."""
