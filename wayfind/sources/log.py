@@ -46,7 +46,8 @@ def create(spark: SparkSession, path: str, text: str) -> bool:
     out.close()
     try:
         if fs.getUri().getScheme() == "file":
-            jvm.java.nio.file.Files.createLink(jvm.java.nio.file.Paths.get(final.toUri()), jvm.java.nio.file.Paths.get(temp.toUri()))
+            local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(final), local(temp))
             return True
         options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
