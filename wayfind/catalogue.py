@@ -13,13 +13,17 @@ from wayfind.operators import paths as P
 from wayfind.operators import search as S
 from wayfind.operators.similarity import links
 from wayfind.plans import models as M
-from wayfind.plans.ask import ask, ask_one, ask_with_fallback, contexts
+from wayfind.plans import statements as Z
+from wayfind.plans.ask import ask, ask_one, ask_plain, ask_statement, ask_with_fallback, contexts
 from wayfind.plans.ask import chat_context as chat_text
 from wayfind.plans.embed import Hashed, embed_nodes
 from wayfind.sources import indexed as N
+from wayfind.sources import properties as V
+from wayfind.sources.buckets import save_bucketed
 from wayfind.sources.graph import Graph, load, read_links, table
 from wayfind.sources.store import new_log, shared_folder, stored, upsert_links
 from wayfind.streaming.chat import notices
+from wayfind.streaming.sessions import session_for, sessions
 
 NEEDLE, WIDE, NEEDLES = "red bolt", "red", ["red bolt", "blue", "supplier#000000001", "È", "no such thing"]
 SIMILAR = 0.3
@@ -577,7 +581,7 @@ def indexed_changes(spark, d):
     return found.groupBy(F.col("q").alias("needle"), "relevance").agg(F.count("*").alias("n"))
 
 
-HUBS = ["FRANCE", "united", "no such thing", "a"]
+HUBS = ["NATION_1", "europe", "no such thing", "a"]
 
 
 @query(f"""{GRAPH}, rev as (select edge_id, dst as src, src as dst, 'HAS' as type from edges where type <> 'SUPPLIED_BY'),
@@ -599,3 +603,156 @@ def hub_contexts(spark, d):
 def bounded_records(spark, d):
     """Answer records with cut contexts and whole lengths, over the stored index."""
     return ask(N.stored_index(spark, d), asked(spark), bounded=True)
+
+
+#: Columns of the tables by the kind of their values, as properties of nodes.
+KINDS = {
+    "Part": ("part", "p_partkey", {"BIGINT": ["p_partkey", "p_size"], "STRING": ["p_name", "p_brand", "p_type"], "DOUBLE": ["p_retailprice"]}),
+    "Supplier": ("supplier", "s_suppkey", {"BIGINT": ["s_suppkey", "s_nationkey"], "STRING": ["s_name"], "DOUBLE": ["s_acctbal"]}),
+    "Nation": ("nation", "n_nationkey", {"BIGINT": ["n_nationkey", "n_regionkey"], "STRING": ["n_name"]}),
+    "Region": ("region", "r_regionkey", {"BIGINT": ["r_regionkey"], "STRING": ["r_name"]}),
+    "Customer": ("customer", "c_custkey", {"BIGINT": ["c_custkey", "c_nationkey"], "STRING": ["c_name", "c_mktsegment"], "DOUBLE": ["c_acctbal"]}),
+    "Document": ("documents", "doc_id", {"BIGINT": ["doc_id", "n_chars"], "STRING": ["text", "lang", "source"]}),
+    "EntityCanonical": ("embeddings", "vec_id", {"BIGINT": ["vec_id", "label"]}),
+    "Order": ("orders", "o_orderkey", {"BIGINT": ["o_orderkey", "o_custkey"], "STRING": ["o_orderstatus", "o_orderpriority"], "DOUBLE": ["o_totalprice"]}),
+}
+UNPIVOTED = " union all ".join(f"select '{t}:' || {key} as node_id, '{label}' as label, '{c}' as key, '{kind}' as kind, cast({c} as varchar) as value, try_cast({c} as double) as number from {t} where {c} is not null" for label, (t, key, kinds) in KINDS.items() for kind, columns in kinds.items() for c in columns)
+
+
+@query(f"with p as ({UNPIVOTED}) select label, key, kind, count(*) as n, count(distinct value) as n_values, round(sum(case when kind <> 'STRING' then number end), 2) as total from p group by label, key, kind")
+def property_kinds(spark, d):
+    """What properties the nodes of each label have, of which kinds: strings, numbers and booleans, no vectors and no times."""
+    rows = V.properties(V.load_properties(spark, d))
+    number = F.when(F.col("kind") != "STRING", F.expr("try_variant_get(value, '$', 'double')"))
+    return rows.groupBy("label", "key", "kind").agg(F.count("*").alias("n"), F.count_distinct(F.expr("cast(value as string)")).alias("n_values"), F.round(F.sum(number), 2).alias("total"))
+
+
+@query(f"with p as ({UNPIVOTED}) select node_id, label, key from p where kind <> 'DOUBLE' and contains(lower(value), 'h#00000001') union all select 'part:' || p_partkey, 'Part', 'p_size' from part where p_size > 45 and p_brand = 'Brand#13'")
+def property_search(spark, d):
+    """Substrings of any plain property, and typed values of some."""
+    nodes = V.load_properties(spark, d)
+    sized = nodes.filter((V.typed("p_size", "int") > 45) & (V.typed("p_brand", "string") == "Brand#13")).select("node_id", "label", F.lit("p_size").alias("key"))
+    return V.holding(nodes, "H#00000001").unionByName(sized)
+
+
+@query(f"""with p as ({UNPIVOTED} union all select 'embeddings:' || vec_id, 'EntityCanonical', 'embedding', 'ARRAY<FLOAT>', '', null from embeddings where embedding is not null union all select 'orders:' || o_orderkey, 'Order', 'o_orderdate', 'TIMESTAMP_NTZ', '', null from orders where o_orderdate is not null)
+select label, 'OBJECT<' || string_agg(key || ': ' || kind, ', ' order by key) || '>' as schema from (select distinct label, key, kind from p) group by label""")
+def property_schemas(spark, d):
+    """The schema that each label's nodes turn out to have."""
+    return V.schemas(V.load_properties(spark, d))
+
+
+SPREAD = """'{' || chr(10) || concat_ws(',' || chr(10), '  "label": ' || to_json(label)::varchar, '  "n": ' || n, case when least_ is null then null else '  "s": {' || chr(10) || '    "least": ' || to_json(least_)::varchar || ',' || chr(10) || '    "many": ' || (n > 30) || chr(10) || '  }' end, '  "l": [' || chr(10) || '    1,' || chr(10) || '    2' || chr(10) || '  ]') || chr(10) || '}'"""
+
+
+@query(f"""{GRAPH}, r as (select label, count(*) as n, min(name) as least_ from nodes group by label)
+select 1 as qid, string_agg(i || '. ' || j, chr(10) order by i) as context from (select row_number() over (order by label) as i, {SPREAD} as j from r)
+union all select 2, string_agg(i || '. ' || j, chr(10) order by i) from (select row_number() over (order by node_id) as i, to_json(struct_pack(node_id := node_id, name := name))::varchar as j from nodes where label = 'Nation' qualify i <= 10)""")
+def statement_records(spark, d):
+    """Rows of statements as JSON: spread over lines at every level, 15 of them; and ten compact ones of the plain pipeline."""
+    g, one = stored(spark, d), lambda n: spark.createDataFrame([(n, "What?")], "qid int, question string")
+    statement = "select label, n, if(least is null, null, named_struct('least', least, 'many', n > :many, 'embedding', array(1.0))) as s, array(1, 2) as l from (select labels[0] as label, count(*) as n, min(name) as least from nodes group by labels[0]) order by label"
+    both = ask_statement(g, one(1), statement, {"many": 30}).unionByName(ask_statement(g, one(2), "select node_id, name from nodes where array_contains(labels, 'Nation') order by node_id", plain=True))
+    return both.select("qid", "context")
+
+
+@query(f"""{GRAPH}, {GIVEN.replace(ENTITY.replace("text", "question"), f"trim(list_filter({WORDS.replace('text', 'question')}, lambda w: length(w) > 4)[1], '?,.:;')")},
+found as (select n.*, needle from nodes n, (select distinct entity as needle from q where entity is not null) where {sql_match('needle', 'n.')}),
+hits as (select found.*, e.edge_id, e.type, m.label as target_label, {SHOWN.format('m.')} as target, {SHOWN.format('found.')} as shown from found left join edges e on e.src = found.node_id left join nodes m on m.node_id = e.dst qualify row_number() over (partition by needle order by found.node_id, e.edge_id nulls first) <= 5),
+lines as (select needle, i, case when shown <> '' then i || '. ' || label || ': ' || {sql_clip('shown', 200)} end as node_line, case when edge_id is not null and target <> '' then '   → ' || type || ': ' || target_label || ' - ' || {sql_clip('target', 150)} end as edge_line
+  from (select *, row_number() over (partition by needle order by node_id, edge_id nulls first) as i from hits)),
+c as (select needle, coalesce(string_agg(s, chr(10) order by i), '') as context from (select needle, i, nullif(concat_ws(chr(10), node_line, edge_line), '') as s from lines) group by needle),
+first as (select qid, question, case when entity is null then '{C.NO_ENTITY_PLAIN}' else coalesce(context, 'No results found for ''' || entity || '''.') end as context from q left join c on needle = entity)
+select {RECORD.format(LINE, ANSWERED.format(sql_clip("context", 3000, "chr(10) || '... (truncated for length)'"), "question"))} from first""")
+def plain_records(spark, d):
+    """Answer records of the plain pipeline."""
+    return ask_plain(stored(spark, d), asked(spark))
+
+
+@query("select doc_id, cast(length(t) as int) as context_length, md5({}) as prompt_md5 from (select doc_id, coalesce(text, '-') as t from documents)".format(ANSWERED.format(sql_clip("t", 3000, "chr(10) || '... (truncated for length)'"), "'Why?'")))
+def plain_prompts(spark, d):
+    """Prompts of the plain pipeline, with whole documents as contexts: cut at 3,000 characters."""
+    text = F.coalesce("text", F.lit("-"))
+    return table(spark, d, "documents").select("doc_id", F.length(text).alias("context_length"), F.md5(C.prompt(F.lit("Why?"), text, 3000, C.CUT_PLAIN)).alias("prompt_md5"))
+
+
+LATERAL = [(1, "red bolt"), (2, "Blue"), (3, "no such thing"), (4, "È d")]
+
+
+@query(f"""{GRAPH}, asked as (select * from (values {', '.join(f"({i}, '{n}')" for i, n in LATERAL)}) v(qid, needle)),
+found as (select qid, n.*, {sql_score('needle')} as relevance from nodes n, asked where {sql_match('needle', 'n.')} qualify row_number() over (partition by qid order by relevance desc, node_id) <= 15)
+select qid, node_id, relevance, edge_id, type, dst from found join edges on src = node_id""")
+def lateral_search(spark, d):
+    """Search and expansion as table functions in one SELECT, for each row of a table of needles."""
+    g = N.stored_index(spark, d)
+    Z.register(g)
+    spark.createDataFrame(LATERAL, "qid int, needle string").createOrReplaceTempView("asked_needles")
+    return S.select(g, f"select f.qid, f.node_id, f.relevance, e.edge_id, e.type, e.dst from ({Z.SEARCH.format(asked='asked_needles', limit=15)}) f, lateral node_edges(f.node_id) e")
+
+
+def many(*values):
+    return F.array(*[F.lit(v) for v in values])
+
+
+@query(f"""{GRAPH}, {WALKS.format("n.node_id = 'supplier:1'", 2)}, {SCORED.replace(f"'{NEEDLE}'", "'bolt'")},
+v as (select vec_id, count(*) over (partition by label) as n from embeddings)
+select 'by_key' as name, 'vec:' || vec_id || '|EntityCanonical' as line from embeddings where vec_id = 3
+union all select 'typed_edges', count(*)::varchar from edges where type = 'IN_NATION' and src like 'customer:%'
+union all select 'without_edges', count(*)::varchar from nodes where label = 'Part' and node_id not in (select src from edges) and node_id not in (select dst from edges)
+union all select 'labels', string_agg(distinct label, ',' order by label) from nodes union all select 'types', string_agg(distinct type, ',' order by type) from edges
+union all select 'given_rows', 'vec:' || vec_id || '|' || case vec_id when 1 then '0.5' else '0.25' end from embeddings where vec_id in (1, 2)
+union all select 'merge', 'vec:1|vec:2|0.75|true' union all select 'merge', 'vec:2|vec:1|0.25|true'
+union all select 'walks', start_id || '|' || end_id || '|' || path_length || '|' || array_to_string(ids, ',') from w
+union all select 'ranked_then_optional', top.node_id || '|' || name || '|' || relevance || '|' || e.type || '|' || e.dst from top join edges e on e.src = top.node_id
+union all (select 'label_expand', n.node_id || '|' || n.name || '|' || e.type || '|' || m.node_id || '|' || m.name from nodes n join edges e on e.src = n.node_id join nodes m on m.node_id = e.dst where n.label = 'Part' and contains(lower(n.name), 'red') order by n.node_id, e.edge_id limit 7)""")
+def statement_templates(spark, d):
+    """Every template of a statement, on the stored graph."""
+    g = stored(spark, d)
+    given = {
+        "label_expand": {"label": "Part", "needle": "RED", "limit": 7}, "ranked_then_optional": {"needle": "bolt", "limit": 15}, "by_key": {"key": "3", "label": "EntityCanonical"},
+        "typed_edges": {"type": "IN_NATION", "source": "Customer", "target": "Nation"}, "walks": {"start": "supplier:1", "hops": 2, "limit": 1000}, "without_edges": {"type": "SUPPLIED_BY", "label": "Part"},
+        "labels": {}, "types": {}, "given_rows": {"keys": many("1", "2", "x"), "scores": many(0.5, 0.25, 1.0)}, "duplicate_keys": {"label": "EntityCanonical"},
+        "merge": {"sources": many("1", "2", "1", "x"), "targets": many("2", "1", "2", "1"), "scores": many(0.5, 0.25, 0.75, 1.0), "type": "SIMILAR_TO"},
+    }
+    out = None
+    for name, args in given.items():
+        rows = S.select(g, Z.TEMPLATES[name], args)
+        one = rows.select(F.lit(name).alias("name"), F.concat_ws("|", *[F.col(c).cast("string") for c in rows.columns]).alias("line"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""{GRAPH} select n.label, e.type, m.label as target_label, count(*) as n, count(distinct n.node_id) as n_sources, sum(length({SHOWN.format('m.')}))::bigint as shown
+  from nodes n left join edges e on e.src = n.node_id left join nodes m on m.node_id = e.dst where contains(lower(coalesce(n.name, n.text)), 'e') group by all""")
+def bucketed_expansion(spark, d):
+    """Expansion of all nodes that a broad filter leaves: both tables lie in the same buckets, so neither is moved."""
+    own = save_bucketed(stored(spark, d), 8)
+    rows = own.expanded(own.nodes.filter(F.contains(F.lower(F.coalesce("name", "text")), F.lit("e"))))
+    target = F.when(F.col("target_id").isNotNull(), X.label("target_labels"))
+    return rows.groupBy(X.label().alias("label"), "type", target.alias("target_label")).agg(F.count("*").alias("n"), F.count_distinct("node_id").alias("n_sources"), F.sum(F.length(X.shown("target_"))).alias("shown"))
+
+
+FIRST_MINUTE = 28_333_333  # of the first turn, since 1970
+
+
+@query(rf"""with {SPOKEN}, t as (select *, conv_id % 7 + 2 * turn + case when turn >= 3 then 100 else 0 end as m from spoken),
+s as (select *, case when m - lag(m) over (partition by conv_id order by m, turn) <= 60 then 0 else 1 end as new from t),
+g as (select *, sum(new) over (partition by conv_id order by m, turn rows unbounded preceding) as part from s),
+f as (select *, min(m) over (partition by conv_id, part) as began, max(case when role = 'user' and lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) in ('quit', 'exit', 'bye') then 1 else 0 end) over (partition by conv_id, part order by m, turn rows unbounded preceding) as out_ from g),
+h as (select *, case when out_ = 0 and role = 'assistant' and ({" or ".join(f"contains(lower(text), '{w}')" for w in D.DIAGNOSIS)}) then 1 else 0 end as hit from f)
+select conv_id, turn, cast(began as bigint) as began, hit = 1 and coalesce(max(hit) over (partition by conv_id, part order by m, turn rows between unbounded preceding and 1 preceding), 0) = 0 as notice, out_ = 1 as gone from h""")
+def stream_sessions(spark, d):
+    """Sessions in event time over a stream whose turns come out of order, in several batches, until the stream's end."""
+    own, here = session_for(spark), f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    minute = F.col("conv_id") % 7 + 2 * F.col("turn") + F.when(F.col("turn") >= 3, 100).otherwise(0)
+    turns = spoken(spark, d).select("conv_id", "turn", "role", "text", F.timestamp_seconds((minute + FIRST_MINUTE) * 60).alias("ts"))
+    arrival = F.least(F.lit(5), F.floor((minute + F.pmod(F.xxhash64("conv_id", "turn"), F.lit(20))) / 40))
+    for k in range(6):
+        turns.filter(arrival == k).write.parquet(f"{here}/in/{k}")
+    end = spark.range(1).select(F.lit(None).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("end").alias("role"), F.lit("").alias("text"), F.timestamp_seconds(F.lit(2 * 10**9)).alias("ts"))
+    end.write.parquet(f"{here}/in/6")
+    stream = own.readStream.schema(turns.schema).option("maxFilesPerTrigger", 6).parquet(f"{here}/in/*")
+    run = sessions(stream, "90 minutes").writeStream.format("parquet").option("checkpointLocation", f"{here}/checkpoint").option("path", f"{here}/rows").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = spark.read.schema("conv_id long, began long, turn long, notice boolean, gone boolean").parquet(f"{here}/rows").filter("conv_id is not null")
+    return out.withColumn("began", F.expr(f"began div 60000000 - {FIRST_MINUTE}"))

@@ -92,9 +92,37 @@ def as_json(rows: DataFrame) -> Column:
     return F.to_json(F.struct(*[c for c in map(plain_values, rows.schema) if c is not None]))
 
 
-def records(rows: DataFrame, most: int = 15) -> DataFrame:
-    """(i, node_line, edge_line) of a query's first ``most`` rows, in the query's own order: numbered JSON."""
-    few = rows.limit(most).select(as_json(rows).alias("s"), F.monotonically_increasing_id().alias("n"))
+def written(c: Column, kind: T.DataType, level: int) -> Column:
+    """JSON of a value with a line for each member, two spaces in for each level; null members of structs are absent."""
+    pad, end = "\n" + "  " * (level + 1), "\n" + "  " * level
+
+    def around(parts: Column, left: str, right: str) -> Column:
+        return F.when(F.size(parts) == 0, left + right).otherwise(F.concat(F.lit(left + pad), F.array_join(parts, "," + pad), F.lit(end + right)))
+
+    if isinstance(kind, T.StructType):
+        own = [F.when(c[f.name].isNotNull(), F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ": "), written(c[f.name], f.dataType, level + 1))) for f in kind]
+        return around(F.array_compact(F.array(*own)) if own else F.array().cast("array<string>"), "{", "}")
+    if isinstance(kind, T.MapType):
+        name = lambda e: F.to_json(F.struct(e["key"].cast("string").alias("k")))
+        pairs = F.transform(F.map_entries(c), lambda e: F.concat(F.substr(name(e), F.lit(6), F.length(name(e)) - 6), F.lit(": "), F.coalesce(written(e["value"], kind.valueType, level + 1), F.lit("null"))))
+        return F.when(c.isNotNull(), around(pairs, "{", "}"))
+    if isinstance(kind, T.ArrayType):
+        return F.when(c.isNotNull(), around(F.transform(c, lambda x: F.coalesce(written(x, kind.elementType, level + 1), F.lit("null"))), "[", "]"))
+    text = F.to_json(F.struct(c.alias("v")))
+    return F.when(c.isNotNull(), F.substr(text, F.lit(6), F.length(text) - 6))
+
+
+def as_spread_json(rows: DataFrame) -> Column:
+    """JSON of a row, with lines and indents at all levels."""
+    plain = F.struct(*[c for c in map(plain_values, rows.schema) if c is not None])
+    kind = rows.select(plain.alias("r")).schema["r"].dataType
+    return written(plain, kind, 0)
+
+
+def records(rows: DataFrame, most: int = 15, spread: bool = False) -> DataFrame:
+    """(i, node_line, edge_line) of a query's first ``most`` rows, in the query's own order: numbered JSON, compact or ``spread``
+    over lines."""
+    few = rows.limit(most).select((as_spread_json if spread else as_json)(rows).alias("s"), F.monotonically_increasing_id().alias("n"))
     numbered = few.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n")))
     return numbered.select("i", F.concat(F.col("i").cast("string"), F.lit(". "), F.col("s")).alias("node_line"), F.lit(None).cast("string").alias("edge_line"))
 
@@ -118,8 +146,8 @@ def capped(context: Column, most: int = 4500, mark: str = CUT) -> Column:
     return X.clipped(context, most, mark)
 
 
-def prompt(question: Column, context: Column, most: int = 4500) -> Column:
-    return F.concat(F.lit("Answer from the context alone.\n\nContext:\n"), capped(context, most), F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))
+def prompt(question: Column, context: Column, most: int = 4500, mark: str = CUT) -> Column:
+    return F.concat(F.lit("Answer from the context alone.\n\nContext:\n"), capped(context, most, mark), F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))
 
 
 def chat_prompt(conversation: Column, context: Column) -> Column:

@@ -1,6 +1,6 @@
 """Questions to answers, for whole tables of questions."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as X
@@ -47,6 +47,38 @@ def ask(graph: Graph, questions: DataFrame, limit: int = 15, make=M.Extract, bac
     return M.record(M.answered(rows.withColumn("prompt", C.prompt(F.col("question"), F.col("context"))), make, backend))
 
 
+def plain_contexts(graph: Graph, questions: DataFrame, limit: int = 5) -> DataFrame:
+    """(qid, question, entity, context) by unscored search: an entity's nodes by node_id with their edges, of which the first
+    ``limit`` rows count. Each node has a row, so its first ``limit`` nodes are enough."""
+    asked = questions.select("qid", "question", F.coalesce("entity", X.entity_plain(F.col("question"))).alias("entity"))
+    needles = S.needles_of(asked)
+    text = F.left("text", F.lit(CLIP)).alias("text")
+    own = graph.nodes.select("node_id", "labels", text, "name", "canonical_name")
+    top = S.hits(graph, needles, limit, ranked=False).select("q", "node_id").join(needles, "q").join(own, "node_id").drop("q")
+    order = [F.col("node_id"), F.col("edge_id").asc_nulls_first()]
+    few = S.expanded(top, Graph(graph.nodes.withColumn("text", text), graph.edges)).withColumn("_n", F.row_number().over(Window.partitionBy("needle").orderBy(*order))).filter(F.col("_n") <= X.whole(limit))
+    found = C.joined(C.lines(few, order, ["needle"], plain=True), ["needle"])
+    before, after = C.NOTHING.split("{}")
+    said = F.when(F.col("entity").isNull(), C.NO_ENTITY_PLAIN).otherwise(F.coalesce("context", F.concat(F.lit(before), F.col("entity"), F.lit(after))))
+    return asked.join(found, asked.entity == found.needle, "left").select("qid", "question", "entity", said.alias("context"))
+
+
+def ask_plain(graph: Graph, questions: DataFrame, limit: int = 5, make=M.Extract, backend: str = "extract") -> DataFrame:
+    """Answer records of the plain pipeline: its own way to take an entity from a question, unscored search, and shorter prompts."""
+    rows = plain_contexts(graph, questions, limit)
+    return M.record(M.answered(rows.withColumn("prompt", C.prompt(F.col("question"), F.col("context"), 3000, C.CUT_PLAIN)), make, backend))
+
+
+def ask_statement(graph: Graph, questions: DataFrame, statement: str, args: dict | None = None, plain: bool = False, make=M.Extract, backend: str = "extract") -> DataFrame:
+    """Answer records of questions (qid, question) over the rows of one SELECT statement, run once for all: 15 spread over lines, or
+    10 compact ones in the plain pipeline."""
+    rows = S.select(graph, statement, args)
+    text = C.or_else(C.joined(C.records(rows, 10 if plain else 15, not plain), []), C.NOTHING_FROM_QUERY)
+    most, mark = (3000, C.CUT_PLAIN) if plain else (4500, C.CUT)
+    asked = questions.select("qid", "question").join(F.broadcast(text), F.lit(True), "left")  # one row
+    return M.record(M.answered(asked.withColumn("prompt", C.prompt(F.col("question"), F.col("context"), most, mark)), make, backend))
+
+
 def ask_paths(graph: Graph, questions: DataFrame, limit: int = 20, make=M.Extract, backend: str = "extract") -> DataFrame:
     """Answer records with multi-hop contexts for questions (qid, question, entity); those without an entity have none."""
     paths = multi_hop_batch(graph, questions, 2, limit)
