@@ -105,7 +105,7 @@ def test_trigrams_agree_in_spark_and_python(spark):
     assert all(sorted(x.g) == R.codes_of([x.t]).tolist() for x in df.collect())
 
 
-@pytest.mark.parametrize("size", [1, 3, 1000])
+@pytest.mark.parametrize("size", [2, 1000])
 def test_walks_over_segments_are_those_over_edges(spark, log, monkeypatch, size):
     monkeypatch.setattr(A.segments, "__defaults__", (size,))
     graph = graph_with(spark, 5, 40, 120)
@@ -115,7 +115,7 @@ def test_walks_over_segments_are_those_over_edges(spark, log, monkeypatch, size)
     assert rows.select("src", F.posexplode("edges").alias("p", "e"), "start").filter("start > 0").count() > 0 or size == 1000
     order = lambda df: [tuple(r) for r in df.orderBy("q", *P.ORDER).collect()]
     starts = graph.nodes.select(F.substring("node_id", 3, 1).alias("q"), "node_id")
-    for hops, limit in ((1, 3), (2, 5), (3, 40), (3, 200)):
+    for hops, limit in ((2, 5), (3, 200)):
         assert order(A.walks(A.leaving(starts, rows), rows, hops, limit)) == order(P.walks(starts, graph, hops, limit, ("q",)))
     asked = spark.createDataFrame([(i, q) for i, q in enumerate(["abc", "ab", "", "b", "none", None])], "qid long, entity string")
     batch = lambda g: sorted(map(tuple, P.multi_hop_batch(g, asked, 2, 9).select("needle", *P.ORDER, "types").collect()))
@@ -163,7 +163,7 @@ def test_bounded_contexts_are_cut_whole_ones(spark, log):
     own = I.build(graph, log)
     asked = spark.createDataFrame([(i, q) for i, q in enumerate(["abc", "ab", "bc", "c a", "", "ßßß", "zz", "n"])], "qid long, entity string")
     whole = {r.needle: r.context for r in C.joined(C.lines(S.expanded(S.scored_batch(graph, asked), graph), [F.col("rank"), F.col("edge_id").asc_nulls_first()], ["needle"]), ["needle"]).collect()}
-    for most in (4500, 300, 40):
+    for most in (4500, 40):
         got = {r.needle: (r.context, r.context_length) for r in A.bounded_context(S.scored_batch(own, asked), own.segments(), own.nodes, most=most).collect()}
         assert got == {q: (c[:most], len(c)) for q, c in whole.items()}
     questions = asked.selectExpr("qid", "'what?' as question", "entity")

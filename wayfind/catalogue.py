@@ -14,9 +14,10 @@ from wayfind.operators import search as S
 from wayfind.operators.similarity import links
 from wayfind.plans import models as M
 from wayfind.plans import statements as Z
-from wayfind.plans.ask import ask, ask_one, ask_plain, ask_statement, ask_with_fallback, contexts
+from wayfind.plans.ask import ask, ask_one, ask_plain, ask_routed, ask_statement, ask_with_fallback, contexts
 from wayfind.plans.ask import chat_context as chat_text
 from wayfind.plans.embed import Hashed, embed_nodes
+from wayfind.plans.routed import Route
 from wayfind.sources import indexed as N
 from wayfind.sources import properties as V
 from wayfind.sources.buckets import save_bucketed
@@ -756,3 +757,14 @@ def stream_sessions(spark, d):
     run.awaitTermination()
     out = spark.read.schema("conv_id long, began long, turn long, notice boolean, gone boolean").parquet(f"{here}/rows").filter("conv_id is not null")
     return out.withColumn("began", F.expr(f"began div 60000000 - {FIRST_MINUTE}"))
+
+
+@query(f"""{GRAPH}, {GIVEN}, {CONTEXTS}, sent as (select *, case when qid % 2 = 0 then 'brief' else 'doubting' end as b from first)
+select qid, question, case when b = 'brief' or {GOOD} then {LINE} else 'There is not enough information.' end as answer, context, b as backend, 'extract' as model, cast(length({PROMPT}) as int) as prompt_length, cast(length(context) as int) as context_length, 'ok' as status from sent""")
+def routed_records(spark, d):
+    """Answer records whose questions name their backends; what one run has been told, the next one doesn't ask for."""
+    log = new_log(spark, "answers")
+    questions = asked(spark).withColumns({"backend": F.when(F.col("qid") % 2 == 0, "brief").otherwise("doubting"), "model": F.lit(None).cast("string")})
+    routes = {"brief": Route(lambda _: M.Extract(), 2), "doubting": Route(lambda _: M.Doubting(), 2, 1)}
+    ask_routed(stored(spark, d), questions, routes, log)
+    return ask_routed(stored(spark, d), questions, {k: Route(None, r.lanes) for k, r in routes.items()}, log)

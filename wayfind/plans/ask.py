@@ -10,7 +10,9 @@ from wayfind.operators.adjacency import bounded_context
 from wayfind.operators.dialog import insufficient
 from wayfind.operators.paths import multi_hop_batch
 from wayfind.plans import models as M
+from wayfind.plans.routed import Route, routed
 from wayfind.sources.graph import Graph
+from wayfind.sources.log import Log
 from wayfind.sources.store import kept
 
 CLIP = 301  # characters that travel of a text: lines clip at 300 at most, and must see that there are more
@@ -47,6 +49,13 @@ def ask(graph: Graph, questions: DataFrame, limit: int = 15, make=M.Extract, bac
     return M.record(M.answered(rows.withColumn("prompt", C.prompt(F.col("question"), F.col("context"))), make, backend))
 
 
+def ask_routed(graph: Graph, questions: DataFrame, routes: dict[str, Route], log: Log, limit: int = 15) -> DataFrame:
+    """Answer records of questions (qid, question, entity, backend, model): each by its own backend and model."""
+    route = questions.select("qid", "backend", "model")
+    rows = contexts(graph, questions, limit).join(route, "qid").withColumn("prompt", C.prompt(F.col("question"), F.col("context")))
+    return M.record(routed(rows, routes, log))
+
+
 def plain_contexts(graph: Graph, questions: DataFrame, limit: int = 5) -> DataFrame:
     """(qid, question, entity, context) by unscored search: an entity's nodes by node_id with their edges, of which the first
     ``limit`` rows count. Each node has a row, so its first ``limit`` nodes are enough."""

@@ -185,7 +185,8 @@ class Change:
         key = own["key"]
         names = [f["name"] for f in own["schema"]["fields"]]
         rows = df.select(*names).withColumn("bucket", bucket_of(own))
-        dealt = rows.repartitionByRange("bucket", *key).sortWithinPartitions("bucket", *key).withColumn("_row", F.monotonically_increasing_id())
+        # Large buckets are split and small ones put together at run time; ranges would have to sample, and so make the rows twice.
+        dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *key).withColumn("_row", F.monotonically_increasing_id())
         writer = dealt.write.partitionBy("bucket")
         for k in own["by"]:
             writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true")
