@@ -15,6 +15,7 @@ from wayfind.operators import paths as P
 from wayfind.operators import search as S
 from wayfind.plans import ask as Q
 from wayfind.sources import indexed as I
+from wayfind.sources.graph import load
 from wayfind.sources.log import Conflict, Log
 
 NEEDLES = ["ab", "bca", "ÄBC", "abc", "", "x", "none of it", "cabca", "𝔘bc", "ABCABCA", "bca ab", "i̇", "ßßß"]
@@ -26,7 +27,7 @@ def words(r):
 
 def graph_with(spark, seed, n=120, m=300):
     r = random.Random(seed)
-    nodes = [(f"n{i:03}", r.choice([["L"], [], ["M", "L"]]), words(r), words(r), words(r)) for i in range(n)]
+    nodes = [(f"n{i:03}", r.choice([["L"], [], ["Much", "L"]]), words(r), words(r), words(r)) for i in range(n)]
     edges = [(f"e{i:03}", f"n{r.randrange(n // 2):03}", f"n{r.randrange(n):03}", r.choice("ST")) for i in range(m)]
     return graph_of(spark, nodes, edges)
 
@@ -98,6 +99,22 @@ def test_a_search_reads_its_postings_and_places_only(spark, log):
     assert heavy.agg(F.sum("n")).first()[0] == 20_000 and heavy.agg(F.max(F.length("places"))).first()[0] <= 2 * 65536
 
 
+def test_a_label_is_read_from_its_folders(spark, log):
+    """Also where a node has several, and where the graph is a union of tables."""
+    graph = graph_with(spark, 4, 60, 90)
+    own = I.build(graph, log)
+    for label in ("L", "Much", "N"):
+        assert ids(own.labelled(label)) == ids(graph.nodes.filter(F.array_contains("labels", label)))
+    order = lambda df: [tuple(r) for r in df.collect()]
+    assert order(S.labelled(own, "Much", "b")) == order(S.labelled(graph, "Much", "b"))
+    scan = next(x for x in own.labelled("Much")._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+    assert "array_contains" in scan.split("PartitionFilters: [")[1].split("], PushedFilters")[0]
+    I.put_nodes(log, graph.nodes.withColumn("labels", F.array(F.lit("N"), F.lit("a|b"))).limit(3))
+    assert len(ids(I.open_indexed(log).labelled("N"))) == 3
+    star = load(spark, "/root/testdata/sf0.001").nodes.filter(F.array_contains("labels", "Part"))
+    assert {f.rsplit("/", 1)[1] for f in star.inputFiles()} >= {"part.parquet"} and star._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_trigrams_agree_in_spark_and_python(spark):
     r = random.Random(9)
     texts = ["".join(r.choice("abÄ𝔘ß ") for _ in range(r.randrange(9))) for _ in range(60)]

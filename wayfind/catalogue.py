@@ -11,6 +11,7 @@ from wayfind.operators import dialog as D
 from wayfind.operators import ingest as I
 from wayfind.operators import paths as P
 from wayfind.operators import search as S
+from wayfind.operators import vectors as E
 from wayfind.operators.similarity import links
 from wayfind.plans import models as M
 from wayfind.plans import statements as Z
@@ -22,7 +23,7 @@ from wayfind.sources import indexed as N
 from wayfind.sources import properties as V
 from wayfind.sources.buckets import save_bucketed
 from wayfind.sources.graph import Graph, load, read_links, table
-from wayfind.sources.store import new_log, shared_folder, stored, upsert_links
+from wayfind.sources.store import kept, new_log, shared_folder, stored, upsert_links
 from wayfind.streaming.chat import notices
 from wayfind.streaming.sessions import session_for, sessions
 
@@ -768,3 +769,26 @@ def routed_records(spark, d):
     routes = {"brief": Route(lambda _: M.Extract(), 2), "doubting": Route(lambda _: M.Doubting(), 2, 1)}
     ask_routed(stored(spark, d), questions, routes, log)
     return ask_routed(stored(spark, d), questions, {k: Route(None, r.lanes) for k, r in routes.items()}, log)
+
+
+@query("""select q.vec_id as query, v.vec_id as vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as score, cast(row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) desc, v.vec_id) as int) as rank
+  from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0 qualify rank <= 10""")
+def nearest_exact(spark, d):
+    """The ten nearest vectors of each whose id is divisible by 100, among all."""
+    v = table(spark, d, "embeddings")
+    return E.exact(v, v.filter("vec_id % 100 = 0"))
+
+
+@query("select count(*) as n_queries, 10 * count(*) as n_true, true as enough from embeddings where vec_id % 100 = 0")
+def nearest_recall(spark, d):
+    """How many of these the index finds: nine of ten at least, by probing 40 of 64 cells and comparing 200 candidates exactly."""
+    v = table(spark, d, "embeddings")
+    book, queries = E.fit(v), v.filter("vec_id % 100 = 0")
+    found = E.search(kept(E.index(v, book), "codes"), v, queries, book, probes=40, rerank=200)
+    return E.recall(found, E.exact(v, queries)).select("n_queries", "n_true", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query(ORACLE["label_substring_expand"])
+def indexed_label_search(spark, d):
+    """The nodes of a label, from its own folders, with a substring and the edges they must have."""
+    return S.labelled(N.stored_index(spark, d), "Part", WIDE).select("node_id", "name", "edge_id", "target_id", "target_name")

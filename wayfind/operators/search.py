@@ -142,7 +142,8 @@ def chat(graph: Graph, message: str, limit: int = 5) -> DataFrame:
 
 def labelled(graph: Graph, name: str, needle: str, limit: int = 15) -> DataFrame:
     """Nodes of a label whose name contains the needle, with the edges they must have."""
-    starts = graph.nodes.filter(F.array_contains("labels", name) & F.contains(F.lower("name"), F.lit(needle.lower()))).select("node_id", "labels", *X.SEARCHED)
+    own = graph.labelled(name) if hasattr(graph, "labelled") else graph.nodes
+    starts = own.filter(F.array_contains("labels", name) & F.contains(F.lower("name"), F.lit(needle.lower()))).select("node_id", "labels", *X.SEARCHED)
     return expanded(starts, graph, "inner").orderBy("node_id", "edge_id").limit(X.whole(limit))
 
 

@@ -30,6 +30,10 @@ class Indexed(Graph):
     log: Log
     state: dict
 
+    def labelled(self, label: str) -> DataFrame:
+        """The nodes of a label: nodes lie in a folder for each set of labels, and no other is read."""
+        return self.rows("nodes").filter(F.array_contains(F.split("label_set", r"\|"), label)).select(*self.nodes.columns)
+
     def rows(self, name: str) -> DataFrame:
         """A table's rows with their places."""
         return self.log.rows(self.log.table(self.state, name), name)
@@ -95,13 +99,17 @@ def with_postings(change: Change, layer: str) -> DataFrame:
     return G.postings(change.layer("nodes", layer)).withColumnRenamed("layer", "node_layer")
 
 
+def by_labels(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("label_set", F.array_join(F.array_sort(F.transform("labels", lambda x: F.replace(x, F.lit("|"), F.lit("/")))), "|"))
+
+
 KEY = ["gram", "node_layer", "node_bucket", "block", "piece"]
 
 
 def build(graph: Graph, log: Log) -> Indexed:
     """Store a graph and its indexes as one version of an empty log."""
     change = log.begin()
-    layer = change.create("nodes", graph.nodes, ["node_id"])
+    layer = change.create("nodes", by_labels(graph.nodes), ["node_id"], split=["label_set"])
     change.create("grams", with_postings(change, layer), KEY, by=["gram"])
     change.create("segments", A.segments(graph.edges), ["src", "start"], by=["src"])
     change.commit()
@@ -111,7 +119,7 @@ def build(graph: Graph, log: Log) -> Indexed:
 def put_nodes(log: Log, nodes: DataFrame) -> int:
     """Add nodes, each with a node_id of its own, or replace those with their ids; gives the version."""
     change = log.begin()
-    layer = change.upsert("nodes", nodes)
+    layer = change.upsert("nodes", by_labels(nodes))
     change.add("grams", with_postings(change, layer))
     return change.commit()
 
@@ -157,4 +165,4 @@ def stored_index(spark: SparkSession, sf_dir: str) -> Indexed:
 
 def open_indexed(log: Log, version: int | None = None) -> Indexed:
     state = log.state(version)
-    return Indexed(log.read("nodes", state["version"]), A.edges_of(log.read("segments", state["version"])), log, state)
+    return Indexed(log.read("nodes", state["version"]).drop("label_set"), A.edges_of(log.read("segments", state["version"])), log, state)

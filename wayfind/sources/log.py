@@ -186,22 +186,22 @@ class Change:
         names = [f["name"] for f in own["schema"]["fields"]]
         rows = df.select(*names).withColumn("bucket", bucket_of(own))
         # Large buckets are split and small ones put together at run time; ranges would have to sample, and so make the rows twice.
-        dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *key).withColumn("_row", F.monotonically_increasing_id())
-        writer = dealt.write.partitionBy("bucket")
+        dealt = rows.hint("rebalance", "bucket").sortWithinPartitions(*own["split"], "bucket", *key).withColumn("_row", F.monotonically_increasing_id())
+        writer = dealt.write.partitionBy(*own["split"], "bucket")
         for k in own["by"]:
             writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true")
         path = f"{self.log.folder}/{name}/layer={layer}"
         writer.parquet(path)
         return layer, self.spark.read.schema("_row long").parquet(path).count()
 
-    def create(self, name: str, df: DataFrame, key: list[str], buckets: int = BUCKETS, by: list[str] | None = None) -> str:
+    def create(self, name: str, df: DataFrame, key: list[str], buckets: int = BUCKETS, by: list[str] | None = None, split: list[str] | None = None) -> str:
         """A new table of rows whose ``key`` is unique, dealt by the columns ``by`` of the key (all without it); gives the
-        layer, as all that adds rows does."""
+        layer, as all that adds rows does. The columns ``split``, of few values, are folders: a filter on them reads no other."""
         if name in self.base["tables"] or name in self.parts:
             raise ValueError(f"there is a table {name}")
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
         part = self.part(name)
-        part.new = {"key": key, "by": by or key, "buckets": buckets, "schema": json.loads(schema.json()), "layers": {}, "gone": {}}
+        part.new = {"key": key, "by": by or key, "split": split or [], "buckets": buckets, "schema": json.loads(schema.json()), "layers": {}, "gone": {}}
         layer, n = self.write(name, df)
         part.layers[layer] = n
         return layer
