@@ -48,7 +48,7 @@ def data():
     return docs, items
 
 
-def test_against_all_windows(spark):
+def test_against_all_windows(spark, monkeypatch):
     docs, items = data()
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, item_id string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -60,6 +60,12 @@ def test_against_all_windows(spark):
     clean = D.clean_documents(df, bench)
     assert clean.columns == df.columns
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, *_ in want}
+    # Several blocks are several passes, and the caller's own table stays.
+    mine = D.save(df, "mine")
+    monkeypatch.setattr(D, "PAIRS", 7)
+    for _ in range(2):
+        assert {r.doc_id for r in D.clean_documents(mine, bench, most=900).collect()} == {d for d, _ in docs} - {d for d, *_ in want}
+    assert mine.count() == len(docs)
     assert D.contaminated(df.limit(0), bench).count() == 0 and D.contaminated(df, bench.limit(0)).count() == 0
 
 

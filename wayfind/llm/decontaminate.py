@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm.cells import mix
-from wayfind.llm.common import by_value, table, trimmed
+from wayfind.llm.common import by_value, drop, save, table, trimmed
 from wayfind.llm.license_scan import WORDS
 
 by_value(__name__)
 
 SHINGLE, LEAST, RADIUS, MOST = 5, 0.8, 20, 8 << 20
+PAIRS = 1 << 21  # pairs of windows and items that are compared at once
 STEP = 1 << 16  # windows whose fingerprints are made at once
 COLUMNS = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
@@ -122,16 +123,19 @@ class Index:
         return out
 
     def candidates(self, length: int, prints: np.ndarray):
-        """(window, item's number among those of the length) of all pairs within the radius, by the blocks' lists."""
+        """(window, item's number among those of the length) of all pairs within the radius, by the blocks' lists. So many
+        windows go at once that the lists of a block hold PAIRS pairs at most, or those of one window."""
         own, lists = self.near[length]
         blocks = prints.view(np.uint8).reshape(-1, 8)
-        pairs = []
-        for b, (begin, items) in enumerate(lists):
-            first, n = begin[blocks[:, b]], begin[blocks[:, b].astype(np.int64) + 1] - begin[blocks[:, b]]
-            window = np.repeat(np.arange(len(prints)), n)
-            item = items[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
-            near = np.bitwise_count(prints[window] ^ own[item]) <= self.radius
-            pairs.append(window[near] * len(own) + item[near])
+        pairs, step = [], max(1, PAIRS // max(1, len(own)))
+        for at in range(0, len(prints), step):
+            for b, (begin, items) in enumerate(lists):
+                value = blocks[at : at + step, b]
+                first, n = begin[value], begin[value.astype(np.int64) + 1] - begin[value]
+                window = at + np.repeat(np.arange(len(value)), n)
+                item = items[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+                near = np.bitwise_count(prints[window] ^ own[item]) <= self.radius
+                pairs.append(window[near] * len(own) + item[near])
         return np.divmod(np.unique(np.concatenate(pairs)), len(own))
 
     def search(self, words: list[bytes], hits: dict[int, list[int]], least: float):
@@ -210,12 +214,15 @@ def scanned(items, radius, least):
     return run
 
 
-def blocks_of(items: DataFrame, most: int):
-    """Broadcasts of the items (item_id, text), each of about ``most`` bytes at most."""
+def block_count(items: DataFrame, most: int) -> int:
+    """How many blocks of about ``most`` bytes the items (item_id, text) make."""
+    return -(-items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0] // most)
+
+
+def blocks_of(items: DataFrame, n: int):
+    """Broadcasts of the items, one block after another."""
     spark = items.sparkSession
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    n = -(-size // most)
     for k in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield spark.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")))
@@ -226,28 +233,38 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, radius
     the most similar window (the first of equals)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for block in blocks_of(items, most):
+    for block in blocks_of(items, block_count(items, most)):
         found = rows.mapInArrow(trimmed(scanned(block, radius, least)), COLUMNS)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], COLUMNS)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, least: float = LEAST, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """The documents without a window of any item, with their columns, without a shuffle."""
-    blocks = list(blocks_of(items, most))
-
-    def run(batches):
-        indexes = [Index(b.value, radius) for b in blocks]
-        for b in batches:
-            texts = [(t or "").encode() for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            keep = np.ones(b.num_rows, bool)
-            for at in range(0, b.num_rows, 200):
-                for index in indexes:
+    """The documents without a window of any item, with their columns, without a shuffle. Each block of items is a pass over the
+    documents that are left, so no task holds more than one block; between passes these are written to the shared folder."""
+
+    def kept(block):
+        def run(batches):
+            index = Index(block.value, radius)
+            for b in batches:
+                texts = [(t or "").encode() for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+                keep = np.ones(b.num_rows, bool)
+                for at in range(0, b.num_rows, 200):
                     for n, *_ in index.scan(texts[at : at + 200], least):
                         keep[at + n] = False
-            yield b.filter(pa.array(keep))
-
-    return docs.mapInArrow(trimmed(run), docs.schema)
+                yield b.filter(pa.array(keep))
+
+        return run
+
+    n, left, own = block_count(items, most), docs, None
+    for k, block in enumerate(blocks_of(items, n)):
+        left = left.mapInArrow(trimmed(kept(block)), docs.schema)
+        if k < n - 1:
+            left = save(left, "clean")
+            drop(own)
+            block.destroy()
+            own = left
+    return left
 
 
 def op3_decontaminate(spark, sf_dir):
