@@ -6,6 +6,12 @@ import pytest
 from wayfind.llm import entry
 
 
+def conversations():
+    r = random.Random(11)
+    rows = [(c, r.choice([t, t, t, 3, None]), r.choice(["user", "assistant", "user", "assistant", "system", "tool", None, ""]), r.choice(["a.", "b!", "c", " \n", None, "", "é? ", "a.", "x\ny"])) for c in range(200) for t in range(r.randrange(30))]
+    return [*rows, (None, None, None, None), (None, 1, "user", "x."), (900, 0, "user", "x" * 5000 + ".")]
+
+
 def tables():
     r = random.Random(14)
     word = lambda: r.choice(["the", "Öl", "x#", "a|b", "É", "of"]) + str(r.randint(0, 40))
@@ -25,6 +31,7 @@ def tables():
         "documents": ([(d, t, "en", f"s{d % 3}", len(t or "")) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long"),
         "benchmark": (items, "item_id long, text string"),
         "pages": (pages, "page_id long, url string, html string"),
+        "conversations": (conversations(), "conv_id long, turn long, role string, text string"),
     }
 
 

@@ -188,3 +188,40 @@ def op11_conversation_repair(spark, sf_dir):
     done = repair(damaged(table(spark, sf_dir, "conversations")), "copies")
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
     return done.select(*[c for c in done.columns if c != "turns"], F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
+
+
+def op11_sql() -> str:
+    """The query in SQL, forward: of each state the cheapest way to it and its string of edits, turn by turn."""
+    way = lambda s, cost, letter, line: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'r': {s}.r || {line}}}"
+    insert = lambda s, role: way(s, INSERT, "I", f"chr(10) || '{role}:'")
+    delete = lambda s: way(s, DELETE, "D", "''")
+    rerole = lambda s, role: f"case when not gone then {way(s, f'{REROLE} + broken', 'R', f'''chr(10) || '{role}:' || text''')} end"
+    keep = lambda s, k: f"case when not gone and k = '{k}' then {way(s, 'broken', 'K', '''chr(10) || role || ':' || text''')} end"
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    # Insertions lead from START, FIRST and DONE to USER, and from there to DONE.
+    user = lambda s: least(s["u"], *(insert(s[x], "user") for x in ("s0", "s1", "d")))
+    never = f"{{'c': {NEVER}, 'a': '', 'r': ''}}"
+    stepped = f"""select o.g, o.i, {delete("s0")} as s0, {least(delete("s1"), keep("s0", "s"))} as s1,
+      {least(delete("u"), *(rerole(x, "user") for x in ("s0", "s1", "d")), *(keep(x, "u") for x in ("s0", "s1", "d")))} as u, {least(delete("d"), rerole("u", "assistant"), keep("u", "a"))} as d
+      from w join o on o.g = w.g and o.i = w.i + 1"""
+    closed = lambda source: f"select g, i, s0, s1, u2 as u, {least('d', insert('u2', 'assistant'))} as d from (select *, {user(dict(s0='s0', s1='s1', u='u', d='d'))} as u2 from ({source}))"
+    start = f"select g, cast(0 as bigint) as i, {{'c': 0, 'a': '', 'r': ''}} as s0, {never} as s1, {never} as u, {never} as d from convs"
+    space = r"\x20\x09-\x0D"
+    return f"""with recursive bits as (select list(v order by i) as t from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v from (select unnest(range(256)) as i))),
+convs as (select conv_id, row_number() over () as g from (select distinct conv_id from conversations)),
+n as (select g, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(c.conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations c join convs v on v.conv_id is not distinct from c.conv_id),
+f as (select n.*, xor(list_reduce([4294967295] || list_transform(string_split(k, ''), lambda x: ascii(x)::bigint), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 20 as f from n, bits),
+x as (select g, turn, case f when 4 then 'user' else role end as role, case f when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case f when 0 then 0 when 3 then 2 else 1 end)) as c from f),
+y as materialized (select *, row_number() over (partition by g order by turn nulls first, role, text) as i from x),
+s as (select *, row_number() over (partition by g, role, text order by i) as seen, left(role, 1) as k from y),
+o as (select *, fault in (1, 2) as gone, case when fault = 3 then {BROKEN} else 0 end as broken, lag(k) over (partition by g order by i) as before
+  from (select *, case when not regexp_matches(text, '[^{space}]') then 1 when seen > 1 then 2 when not regexp_matches(text, '[.!?][{space}]*\\z') then 3 else 0 end as fault from s)),
+w as ({closed(start)} union all {closed(stepped)}),
+m as (select g, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) as n, sum((fault = 1)::int) as blank, sum((fault = 2)::int) as duplicate, sum((fault = 3)::int) as truncated,
+  sum((before is not null and before || k not in ('su', 'ua', 'au'))::int) as illegal from o group by g),
+e as (select w.g, {least("s0", "d")} as best from w left join m on m.g = w.g where w.i = coalesce(m.n, 0))
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  best.c::bigint as cost, best.a as audit, sha256(substr(best.r, 2)) as repaired_sha256 from convs join e on e.g = convs.g left join m on m.g = convs.g"""
+
+
+OP11_SQL = op11_sql()

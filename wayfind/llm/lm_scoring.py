@@ -65,6 +65,7 @@ by_value(__name__)
 ORDER, MASS = 3, 16.0
 BLOCK = 7 << 18  # tokens of a block; one text may have more
 BUCKET = 1 << 21  # n-grams that a bucket should get
+WORD_COST = 4  # n-grams that a word counts as there
 NAME = 56  # bits of an n-gram's hash
 SEGMENT = 256  # tokens of a text that are traversed on end
 DOCS, WORDS, GRAMS = 0, 1, 2
@@ -91,7 +92,7 @@ def held_out(doc: int) -> bool:
 
 
 def blocks(most):
-    """mapInArrow function over (doc_id, text): a row (block, blob) for each block. A block's numbers of words follow
+    """mapInArrow function over (doc_id, text): a row (block, blob, n_words) for each block. A block's numbers of words follow
     their frequency, then their spelling; 0 is the end."""
 
     def run(batches):
@@ -107,10 +108,11 @@ def blocks(most):
             often = spelt[np.argsort(-np.bincount(flat, minlength=len(ids) + 1)[1:][spelt], kind="stable")]
             number = np.zeros(len(ids) + 1, np.uint32)
             number[1 + often] = np.arange(1, len(ids) + 1)
+            n_words = len(ids)
             blob = framed(planes(np.array(docs, np.int64)), planes(np.array(sizes, np.int64)), planes(number[flat]), text_of([b"", *(words[i] for i in often.tolist())]))
             ids, docs, sizes, tokens = {}, [], [], []
             block += 1
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([blob], pa.binary())], ["block", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([blob], pa.binary()), pa.array([n_words])], ["block", "blob", "n_words"])
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -406,16 +408,18 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, block: int =
     spark = docs.sparkSession
     p = partitions(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    held = hold(rows.mapInArrow(trimmed(blocks(block)), "block long, blob binary"))
+    held = hold(rows.mapInArrow(trimmed(blocks(block)), "block long, blob binary, n_words long"))
     dealt = lambda df, key: df.repartition(p, key).sortWithinPartitions(key)
-    # Every text's tokens are counted by its block, so the buckets follow the number of tokens.
-    words = hold(dealt(held.mapInArrow(trimmed(ask_words(bucket_ids(p))), ASKED_SQL), "bucket").mapInArrow(trimmed(by_bucket(add_words, COUNTED)), COUNTED_SQL))
+    # Every text's tokens are counted by its block, so the buckets follow the number of tokens, and those of words the blocks'
+    # different words.
+    n_words = p * max(1, -(-WORD_COST * int(held.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]) // (bucket * p)))
+    words = hold(dealt(held.mapInArrow(trimmed(ask_words(bucket_ids(p, n_words))), ASKED_SQL), "bucket").mapInArrow(trimmed(by_bucket(add_words, COUNTED)), COUNTED_SQL))
     types, tokens = words.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     n = p * max(1, -(-(order - 1) * int(tokens) // (bucket * p)))
     grams = dealt(held.mapInArrow(trimmed(ask_grams(order, bucket_ids(p, n))), ASKED_SQL), "bucket").mapInArrow(trimmed(by_bucket(add_grams, ASKED)), ASKED_SQL)
     texts = held.select(F.lit(-1).alias("bucket"), "block", F.lit(DOCS).alias("kind"), "blob")
     all_ = texts.unionByName(words.select("bucket", "block", "kind", "blob")).unionByName(grams)
-    return dealt(all_, "block").mapInArrow(trimmed(scores(order, mass, segment, int(tokens), int(types), p, n)), RESULT)
+    return dealt(all_, "block").mapInArrow(trimmed(scores(order, mass, segment, int(tokens), int(types), n_words, n)), RESULT)
 
 
 def op5_lm_scoring(spark, sf_dir):

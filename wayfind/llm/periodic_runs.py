@@ -178,3 +178,33 @@ def op13_periodic_runs(spark, sf_dir):
         "doc_id", F.size(runs).cast("long").alias("n_runs"), F.col("_best.start").alias("start"), F.col("_best.length").alias("length"), F.col("_best.period").alias("period"),
         F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), digest(F.when(F.size(runs) > 0, F.concat(lines, F.lit("\n"))).otherwise("")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"),
     )
+
+
+def op13_sql() -> str:
+    """The query in SQL: lags by the same necessary test at one phase, then all words of the lags that are left."""
+    space = r"\x20\x09-\x0D"
+    return f"""with bits as (select list(v order by i) as t from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v from (select unnest(range(256)) as i))),
+d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^{space}]+') as ws from documents),
+h as (select d.*, len(ws) as n, case when doc_id is not null then xor(list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) end as h from d, bits),
+p as (select r, doc_id, n, ws, case when h % 10 = 0 and n > 0 then (h // 10) % n end as a, 3 + (h // 10) % 8 as parts from h),
+raw as materialized (select r, n, a, case when a is not null then 1 + (n - a) // parts end as p, unnest(ws) as w, unnest(range(n)) as i from p),
+word as materialized (select x.r, x.n, x.i, y.w from (select r, n, i, case when a is not null and i >= a then a + (i - a) % p else i end as at from raw) x join raw y on y.r = x.r and y.i = x.at),
+ids as materialized (select r, n, i, w, dense_rank() over (order by w) as k from word),
+lags as (select r, n, unnest(range(1, n // {TIMES} + 1)) as q from p where n >= {LEAST}),
+anchors as (select r, n, q, unnest(range(0, n - 2 * q, q)) as i from lags),
+one as materialized (select s.*, a.k from anchors s join ids a on a.r = s.r and a.i = s.i),
+two as materialized (select one.* from one join ids b on b.r = one.r and b.i = one.i + one.q and b.k = one.k),
+tried as materialized (select distinct two.r, two.q from two join ids c on c.r = two.r and c.i = two.i + 2 * two.q and c.k = two.k),
+begun as materialized (select t.r, t.q, a.i, a.k from tried t join ids a on a.r = t.r),
+same as materialized (select s.r, s.q, s.i from begun s join ids b on b.r = s.r and b.i = s.i + s.q and b.k = s.k),
+isles as (select r, q, min(i) as start, count(*) + q as size from (select r, q, i, i - row_number() over (partition by r, q order by i) as isle from same) group by r, q, isle),
+runs as materialized (select r, start, size, min(q) as q from isles where size >= greatest({LEAST}, {TIMES} * q) group by r, start, size),
+best as (select * from runs qualify row_number() over (partition by r order by size::double / q desc, start, q) = 1),
+said as (select r, count(*) as n_runs, sha256(string_agg(start || ',' || size || ',' || q || chr(10), '' order by start, q)) as digest from runs group by r),
+gone as (select distinct r, unnest(range(start + q, start + size)) as i from runs),
+left_ as (select r, sha256(string_agg(w, ' ' order by i)) as digest from word where not exists (select 1 from gone where gone.r = word.r and gone.i = word.i) group by r)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.start::bigint as start, best.size::bigint as length, best.q::bigint as period, (1000 * best.size // best.q)::bigint as exponent_milli, coalesce(said.digest, sha256('')) as runs_sha256, coalesce(left_.digest, sha256('')) as collapsed_sha256
+from p left join said on said.r = p.r left join best on best.r = p.r left join left_ on left_.r = p.r"""
+
+
+OP13_SQL = op13_sql()
