@@ -58,3 +58,32 @@ def test_late_turns_go_and_silent_sessions_end(spark, tmp_path):
     batches = [first, [tick(100)], [tick(101), (1, 2, "assistant", "too late", at(20))], [(1, 3, "assistant", "it appears", at(130)), tick(300)], [tick(301)], [tick(10**5)]]
     got = run(spark, tmp_path, batches, delay="10 minutes", gap_minutes=60)
     assert got == [(1, 0, 0, True, False), (1, 0, 1, False, False), (1, 130, 3, True, False)]
+
+
+def test_a_null_key_takes_no_other_conversation_along(spark, tmp_path):
+    """One partition, and so one Arrow batch, has the null key and all others."""
+    rows = [(c, t, "assistant", "diagnosis", at(3 * t)) for c in range(5) for t in range(3)] + [(None, 0, "user", "bye", at(0))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        run(spark, tmp_path, [rows + [(None, 9, "end", "", at(10**5))]], delay="10 minutes")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {(r.conv_id, r.turn, r.notice, r.gone) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(c, t, t == 0, False) for c in range(5) for t in range(3)} | {(None, 0, False, True)}  # the last tick stays
+
+
+def test_streams_read_folders_and_long_conversations(spark, tmp_path):
+    """Tables that are folders of many files, and turns far beyond the delay: the streams give what their batch forms give."""
+    from pyspark.sql import functions as F
+
+    from wayfind import catalogue as C
+
+    rows = [(c, t, "user" if t % 2 else "assistant", "hm") for c in range(8) for t in range(90)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(16).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = C.stream_notices(spark, str(tmp_path)).collect()
+    want = C.diagnosis_latch(spark, str(tmp_path)).select("conv_id", "turn", "notice").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == len(rows)
+    out = C.stream_sessions(spark, str(tmp_path))
+    assert sorted((r.conv_id, r.turn) for r in out.collect()) == [(c, t) for c, t, *_ in sorted(rows)]
+    assert out.filter("turn < 3").agg(F.max("began")).first()[0] < 10 and out.filter("turn >= 3").agg(F.min("began")).first()[0] >= 106

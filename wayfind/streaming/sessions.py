@@ -57,7 +57,7 @@ class Sessions(StatefulProcessor):
             if last is None or at - last > self.gap:
                 said, left, began = False, False, at
             left = left or leaves
-            out.append((key[0], began, turn, hit and not said and not left, left))
+            out.append((None if key[1] else key[0], began, turn, hit and not said and not left, left))
             said, last = said or (hit and not left), at
         if later:
             self.waiting.put(later)
@@ -98,7 +98,8 @@ def sessions(turns: DataFrame, delay: str = "10 minutes", gap_minutes: int = 60,
     session that session_for() gives."""
     said, user = F.col("role") == "assistant", F.col("role") == "user"
     rows = turns.withWatermark("ts", delay).select(
-        "conv_id", "turn", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.coalesce(said, F.lit(False)) & any_word(F.col("text"), words)).alias("hit"),
+        # A null among the keys would make numbers with a fraction of all that are in its Arrow batch, and so lose their state.
+        F.coalesce("conv_id", F.lit(0)).alias("conv_id"), F.col("conv_id").isNull().alias("unknown"), "turn", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.coalesce(said, F.lit(False)) & any_word(F.col("text"), words)).alias("hit"),
         F.coalesce(user & F.lower(F.regexp_replace("text", r"^\s+|\s+$", "")).isin(*leave), F.lit(False)).alias("leaves"), "ts",
     )
-    return rows.groupBy("conv_id").transformWithStateInPandas(statefulProcessor=Sessions(gap_minutes * 60_000_000), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("conv_id", "unknown").transformWithStateInPandas(statefulProcessor=Sessions(gap_minutes * 60_000_000), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
