@@ -52,3 +52,34 @@ def test_the_index_finds_nine_of_ten(spark, monkeypatch):
     with pytest.raises(ValueError, match="no vectors"):
         V.fit(df.limit(0))
     assert V.exact(df, df.limit(0)).count() == 0
+
+
+def test_a_task_compares_a_bounded_number_of_pairs(monkeypatch):
+    """What a task gives at a time is bounded, whatever the number of queries and the size of a batch."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from wayfind.operators import similarity as S
+
+    m = np.random.default_rng(4).normal(size=(300, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), pa.array(list(m), pa.list_(pa.float64()))], ["vec_id", "embedding"])
+    block = SimpleNamespace(value=[(int(i), m[i]) for i in range(40)])
+    whole = [tuple(x) for b in S.compared(block, -1.0)([batch]) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    for most in (500, 100):
+        monkeypatch.setattr(S, "CELLS", most)
+        parts = list(S.compared(block, -1.0)([batch]))
+        got = [tuple(x) for b in parts for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert max(b.num_rows for b in parts) <= most and sorted(got) == sorted(whole) and len(got) == 40 * 299
+
+
+@pytest.mark.parametrize("cells", [1, 64, 700])
+def test_neighbours_do_not_depend_on_the_pairs_at_a_time(spark, monkeypatch, cells):
+    m = np.random.default_rng(5).normal(size=(200, 8))
+    df = frame(spark, m).persist()
+    book, queries = V.fit(df, cells=4, pieces=4), df.filter("vec_id % 10 = 0")
+    codes = V.index(df, book)
+    order = lambda x: sorted((a.query, a.rank, a.vec_id) for a in x.collect())
+    want, found = order(V.exact(df, queries)), order(V.search(codes, df, queries, book, probes=2, rerank=20))
+    monkeypatch.setattr(V, "CELLS", cells)
+    assert order(V.exact(df, queries)) == want and order(V.search(codes, df, queries, book, probes=2, rerank=20)) == found

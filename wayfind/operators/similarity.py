@@ -1,16 +1,29 @@
 """Cosine links between vectors: a stated query set against all rows."""
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_BYTES = 16 << 20
+CELLS = 1 << 20  # pairs that a task compares at a time: a few arrays of 8 MB
+
+
+def tiles(n: int, m: int, most: int):
+    """Slices of ``n`` rows and ``m`` columns that have ``most`` cells at most."""
+    wide = max(1, min(m, most))
+    high = max(1, most // wide)
+    return [(slice(i, i + high), slice(j, j + wide)) for i in range(0, n, high) for j in range(0, m, wide)]
 
 
 def links(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
     """(a, b, score) for queries (vec_id, embedding) and other vectors with a cosine of ``least`` or more, rounded to six
-    digits. Queries go to the tasks in blocks of a checked size."""
+    digits. Queries go to the tasks in blocks of a checked size, and a task compares CELLS pairs at a time."""
     spark = vectors.sparkSession
     n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     blocks = max(1, -(-n * max(width, 1) * 8 // BLOCK_BYTES))
@@ -26,16 +39,18 @@ def links(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
 def compared(block, least):
     def run(batches):
         ids = np.array([i for i, _ in block.value], np.int64)
+        q = np.stack([v for _, v in block.value]) if len(ids) else None
         for b in batches:
             own = np.array(b.column(0))
             if not len(ids) or not len(own):
                 continue
-            q = np.stack([v for _, v in block.value])
             v = np.stack([np.asarray(x.values, np.float64) for x in b.column(1)])
-            norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                cos = np.round(q @ v.T / norm, 6)
-            i, j = np.nonzero((cos >= least) & (ids[:, None] != own[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(cos[i, j])], ["a", "b", "score"])
+            for rows, columns in tiles(len(ids), len(own), CELLS):
+                norm = np.linalg.norm(q[rows], axis=1)[:, None] * np.linalg.norm(v[columns], axis=1)[None, :]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    cos = np.round(q[rows] @ v[columns].T / norm, 6)
+                i, j = np.nonzero((cos >= least) & (ids[rows, None] != own[None, columns]))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows][i]), pa.array(own[columns][j]), pa.array(cos[i, j])], ["a", "b", "score"])
 
     return run
