@@ -16,9 +16,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfind.operators.similarity import tiles
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE, PACK, QUERIES = 20_000, 4096, 256
+CELLS = 1 << 20  # pairs of a query and a vector that a task compares at a time: a few arrays of 8 MB
 BLOCK_BYTES = 16 << 20  # of queries that one exact pass compares with all vectors
 
 
@@ -122,16 +125,17 @@ def search(codes: DataFrame, vectors: DataFrame, queries: DataFrame, book: Codeb
                 yield packs(near.ravel(), np.repeat(ids, near.shape[1]), np.repeat(m, near.shape[1], 0), QUERIES, "<f4")
 
     def met(batches):
+        """A pair of packs at a time, and of it as many queries as CELLS allow: a batch may hold many pairs."""
         for b in batches:
-            out: list[list] = [[], [], []]
-            for cell, qids, qdata, ids, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for at in range(b.num_rows):
+                cell, qids, qdata, ids, data = (c[at].as_py() for c in b.columns)
                 q, v = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                near = book.similar(np.frombuffer(qdata, "<f4").reshape(len(q), -1).astype(np.float64), cell, np.frombuffer(data, np.uint8).reshape(len(v), -1))
-                best = np.argsort(-near, 1, kind="stable")[:, : rerank + 1]
-                out[0].append(np.repeat(q, best.shape[1]))
-                out[1].append(v[best].ravel())
-                out[2].append(np.take_along_axis(near, best, 1).ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, t)) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)], ["query", "vec_id", "near"])
+                asked, codes = np.frombuffer(qdata, "<f4").reshape(len(q), -1).astype(np.float64), np.frombuffer(data, np.uint8).reshape(len(v), -1)
+                for rows, _ in tiles(len(q), len(v), max(CELLS, len(v))):
+                    near = book.similar(asked[rows], cell, codes)
+                    best = np.argsort(-near, 1, kind="stable")[:, : rerank + 1]
+                    out = np.repeat(q[rows], best.shape[1]), v[best].ravel(), np.take_along_axis(near, best, 1).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query", "vec_id", "near"])
 
     asked = queries.filter("embedding is not null").select(F.col("vec_id").cast("long"), "embedding")
     both = asked.mapInArrow(probed, PACKS).select("cell", F.col("ids").alias("qids"), F.col("data").alias("qdata")).join(codes, "cell")
@@ -155,7 +159,7 @@ def ranked(rows: DataFrame, k: int) -> DataFrame:
 
 def exact(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """What search() gives, by comparing the queries with all vectors; queries go to the tasks in blocks of a checked size, and each
-    task keeps a query's best."""
+    task compares CELLS pairs at a time and keeps a query's best of these."""
     spark = vectors.sparkSession
     asked = queries.filter("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
@@ -165,21 +169,20 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     def compared(block):
         def run(batches):
             ids, q = block.value
-            best: list[list] = [[], [], []]
             for b in batches:
                 own, m = rows_of(b)
                 if not len(own) or not len(ids):
                     continue
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    cos = np.round(q @ m.T / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :]), 6)
-                cos[(ids[:, None] == own[None, :]) | np.isnan(cos)] = -2
-                near = np.lexsort((np.broadcast_to(own, cos.shape), -cos))[:, :k]
-                score = np.take_along_axis(cos, near, 1)
-                keep = score.ravel() > -2
-                for x, v in zip(best, (np.repeat(ids, near.shape[1]), own[near].ravel(), score.ravel()), strict=True):
-                    x.append(v[keep])
-            if best[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in best], ["query", "vec_id", "score"])
+                for rows, columns in tiles(len(ids), len(own), CELLS):
+                    mine, here = ids[rows], own[columns]
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        cos = np.round(q[rows] @ m[columns].T / (np.linalg.norm(q[rows], axis=1)[:, None] * np.linalg.norm(m[columns], axis=1)[None, :]), 6)
+                    cos[(mine[:, None] == here[None, :]) | np.isnan(cos)] = -2
+                    near = np.lexsort((np.broadcast_to(here, cos.shape), -cos))[:, :k]
+                    score = np.take_along_axis(cos, near, 1)
+                    keep = score.ravel() > -2
+                    out = np.repeat(mine, near.shape[1]), here[near].ravel(), score.ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in out], ["query", "vec_id", "score"])
 
         return run
 
