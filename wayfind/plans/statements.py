@@ -7,6 +7,7 @@ row of another table: `select * from asked, lateral node_edges(asked.node_id)`.
 
 from pyspark.sql import functions as F
 
+from wayfind.operators.grams import GRAM, RAREST
 
 #: Patterns by name; the parameters are named in each.
 TEMPLATES = {
@@ -44,16 +45,9 @@ TEMPLATES = {
 }
 
 
-#: Ranked search for each row of a table asked (qid, needle), as search.top_scored() ranks: for an indexed graph, see register().
-SEARCH = """select * from (select qid, node_id, name, relevance, row_number() over (partition by qid order by relevance desc, node_id) as rank from (
-  select qid, node_id, name, case when lower(name) = lower(needle) or lower(canonical_name) = lower(needle) then 10 when contains(lower(name), lower(needle)) or contains(lower(canonical_name), lower(needle)) then 5 when contains(lower(text), lower(needle)) then 1 end as relevance
-  from {asked} asked, lateral node_candidates(asked.needle)) where relevance is not null) where rank <= {limit}"""
-
-
-def code(needle: str) -> str:
-    """SQL of the number of a string's three characters, null for fewer."""
-    at = [f"shiftleft(cast(ascii(substr({needle}, {k + 1}, 1)) as bigint), {21 * k})" for k in range(3)]
-    return f"case when length({needle}) = 3 then {' + '.join(at)} end"
+def code(text: str, at: str = "1") -> str:
+    """SQL of the number of the three characters of a string from a place on."""
+    return " + ".join(f"shiftleft(cast(ascii(substr({text}, {at} + {k}, 1)) as bigint), {21 * k})" for k in range(3))
 
 
 def unpacked(places: str) -> str:
@@ -62,23 +56,39 @@ def unpacked(places: str) -> str:
     return f"transform(sequence(1, length({places}) - 1, 2), i -> {byte('i')} + 256 * {byte('i + 1')})"
 
 
+#: Ranked search for each row of a table asked (qid, needle), as search.top_scored() ranks: for an indexed graph, see register().
+#: Each needle's rarest trigrams meet their postings by equality, block by block; only places that are in all of them fetch a node.
+SEARCH = f"""with needles_ as (select distinct lower(needle) as q from {{asked}} where length(needle) >= {GRAM}),
+wanted_ as (select q, explode(array_distinct(transform(sequence(1, length(q) - {GRAM - 1}), i -> {code("q", "i")}))) as gram from needles_),
+sizes_ as (select w.q, w.gram, coalesce(sum(s.n), 0) as size from wanted_ w left join stored_grams s on s.gram = w.gram group by w.q, w.gram),
+rarest_ as (select q, gram, count(*) over (partition by q) as wanted from (select *, row_number() over (partition by q order by size, gram) as r from sizes_) where r <= {RAREST}),
+lists_ as (select q, layer, bucket, block, gram, max(wanted) as wanted, flatten(collect_list({unpacked("places")})) as list
+  from (select r.q, r.gram, r.wanted, p.* from rarest_ r, lateral gram_places(r.gram) p) group by q, layer, bucket, block, gram),
+places_ as (select q, layer, bucket, block, explode(reduce(lists, lists[0], (a, b) -> array_intersect(a, b))) as place
+  from (select q, layer, bucket, block, collect_list(list) as lists from lists_ group by q, layer, bucket, block having count(*) = max(wanted))),
+found_ as (select p.q, n.node_id, n.name, {{relevance}} as relevance from places_ p, lateral node_at(p.layer, p.bucket, p.block * 65536 + p.place) n)
+select * from (select asked.qid, f.node_id, f.name, f.relevance, row_number() over (partition by asked.qid order by f.relevance desc, f.node_id) as rank
+  from {{asked}} asked join found_ f on f.q = lower(asked.needle) where f.relevance is not null) where rank <= {{limit}}""".replace(
+    "{relevance}", "case when lower(n.name) = p.q or lower(n.canonical_name) = p.q then 10 when contains(lower(n.name), p.q) or contains(lower(n.canonical_name), p.q) then 5 when contains(lower(n.text), p.q) then 1 end"
+)
+
+
 def register(graph) -> None:
     """Register the views nodes and edges of an indexed graph, and table functions over it:
 
-    node_candidates(needle): the nodes that hold the first trigram of a needle of three characters or more. Needles meet the
-    index by equality; SEARCH tests for the needle behind that join (a test within the function would be a join of all nodes with
-    all needles).
+    gram_places(gram): the packed places that hold a trigram, by layer, bucket and block of the stored nodes; node_at(layer, bucket,
+    row): the node at a place. Both meet what calls them by equality; SEARCH tests for the needle behind these joins.
     node_edges(node): the edges that leave a node. node_walks(node): its walks of one or two edges.
     """
     spark = graph.log.spark
     graph.views()
     graph.rows("nodes").createOrReplaceTempView("stored_nodes")
-    graph.rows("grams").select("gram", "node_layer", "node_bucket", "block", "piece", "places").createOrReplaceTempView("stored_grams")
+    graph.rows("grams").select("gram", "node_layer", "node_bucket", "block", "n", "places").createOrReplaceTempView("stored_grams")
     graph.segments().select("src", F.explode("edges").alias("e")).select("src", "e.edge_id", "e.dst", "e.type").createOrReplaceTempView("stored_edges")
-    spark.sql(f"""create or replace temporary function node_candidates(needle string) returns table(node_id string, name string, canonical_name string, text string) return
-      select n.node_id, n.name, n.canonical_name, n.text
-      from (select node_layer, node_bucket, block, explode({unpacked("places")}) as place from stored_grams where gram = {code("substr(lower(needle), 1, 3)")}) p
-      join stored_nodes n on n.layer = p.node_layer and n.bucket = p.node_bucket and n._row = p.block * 65536 + p.place""")
+    spark.sql("""create or replace temporary function gram_places(wanted bigint) returns table(layer string, bucket int, block bigint, places binary) return
+      select node_layer, node_bucket, block, places from stored_grams where gram = wanted""")
+    spark.sql("""create or replace temporary function node_at(in_layer string, in_bucket int, at bigint) returns table(node_id string, name string, canonical_name string, text string) return
+      select node_id, name, canonical_name, text from stored_nodes where layer = in_layer and bucket = in_bucket and _row = at""")
     spark.sql("create or replace temporary function node_edges(node string) returns table(edge_id string, type string, dst string) return select edge_id, type, dst from stored_edges where src = node")
     spark.sql("""create or replace temporary function node_walks(node string) returns table(path_length int, path string, end_id string) return
       select path_length, path, end_id from (select src, 1 as path_length, edge_id as path, dst as end_id from stored_edges
