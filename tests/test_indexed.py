@@ -186,3 +186,25 @@ def test_bounded_contexts_are_cut_whole_ones(spark, log):
     questions = asked.selectExpr("qid", "'what?' as question", "entity")
     records = lambda g, **k: sorted(map(tuple, Q.ask(g, questions, **k).drop("context").collect()))
     assert records(own, bounded=True) == records(graph)
+
+
+def test_many_places_are_tested_by_a_scan(spark, tmp_path, monkeypatch):
+    """A needle that more nodes may hold than a filter names moves no texts between tasks."""
+    nodes = [(f"n{i}", ["L"], None, None, f"red {i}") for i in range(20)]
+    own = I.build(graph_of(spark, nodes, []), Log(spark, f"file://{tmp_path}/index"))
+    monkeypatch.setattr(I, "FEW", 3)
+    found = own.matches("red")
+    assert sorted(r.node_id for r in found.collect()) == sorted(n for n, *_ in nodes)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_segments_go_on_over_batches():
+    import pyarrow as pa
+
+    from wayfind.operators.adjacency import cut
+
+    src = ["a"] * 5 + ["b"] + ["c"] * 8
+    b = pa.RecordBatch.from_arrays([pa.array(src), pa.array([f"e{i:02d}" for i in range(14)]), pa.array(["d"] * 14), pa.array(["t"] * 14), pa.nulls(14, pa.float64())], ["src", "edge_id", "dst", "type", "score"])
+    for step in (1, 3, 14):
+        got = [(r["src"], [e["edge_id"] for e in r["edges"]]) for o in cut(4)([b.slice(i, step) for i in range(0, 14, step)]) for r in o.to_pylist()]
+        assert [(s, len(e)) for s, e in got] == [("a", 4), ("a", 1), ("b", 1), ("c", 4), ("c", 4)] and sum((e for _, e in got), []) == [f"e{i:02d}" for i in range(14)]

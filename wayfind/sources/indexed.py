@@ -49,16 +49,18 @@ class Indexed(Graph):
         return G.candidates(needles, found)
 
     def matches(self, needle: str, columns=X.SEARCHED) -> DataFrame:
-        """Nodes that hold the needle in one of the columns. A needle of fewer than three characters reads all."""
+        """Nodes that hold the needle in one of the columns. A needle of fewer than three characters reads all,
+        and so does one with many places: what a join would move between tasks, a scan tests where it lies."""
         if len(needle) < G.GRAM:
             return self.nodes.filter(X.holds(F.lit(needle), columns))
         spark, rows = self.log.spark, self.rows("nodes")
         left = self.candidates(spark.range(1).select(F.lower(F.lit(needle)).alias("q"))).select(*PLACE)
         few = left.limit(FEW + 1).collect()
-        if len(few) <= FEW:
-            for c in PLACE:
-                rows = rows.filter(F.col(c).isin(sorted({r[c] for r in few})))
-            left = spark.createDataFrame(few, "layer string, bucket int, _row long")
+        if len(few) > FEW:
+            return self.nodes.filter(X.holds(F.lit(needle), columns))
+        for c in PLACE:
+            rows = rows.filter(F.col(c).isin(sorted({r[c] for r in few})))
+        left = F.broadcast(spark.createDataFrame(few, "layer string, bucket int, _row long"))
         return rows.join(left, PLACE, "left_semi").select(*self.nodes.columns).filter(X.holds(F.lit(needle), columns))
 
     def found(self, needles: DataFrame) -> DataFrame:
