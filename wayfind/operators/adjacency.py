@@ -12,7 +12,9 @@ there are fewer than the limit of these. Both bounds hold for every needle, what
 
 import sys
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,27 +32,27 @@ ROW = "src string, start long, size int, edges array<struct<edge_id: string, dst
 
 def cut(size: int):
     """mapInArrow function over edges in the order of source and edge_id: (src, size, edges) of up to ``size`` edges each."""
-    edge = pa.struct([("edge_id", pa.string()), ("dst", pa.string()), ("type", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        now, held = None, []
-
-        def batch(done):
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.string()), pa.array([len(e) for _, e in done], pa.int32()), pa.array([e for _, e in done], pa.list_(edge))], ["src", "size", "edges"])
-
+        held = None  # rows from the beginning of a segment that the next batch may go on with
         for b in batches:
-            done = []
-            names = b.schema.names[1:]
-            for src, *values in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (src != now or len(held) == size):
-                    done.append((now, held))
-                    held = []
-                now = src
-                held.append(dict(zip(names, values, strict=True)))
-            if done:
-                yield batch(done)
-        if held:
-            yield batch([(now, held)])
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()[0]
+            src = t.column(0)
+            changes = np.r_[True, pc.not_equal(src[1:], src[:-1]).to_numpy(zero_copy_only=False)]
+            at = np.arange(len(src))
+            starts = np.flatnonzero((at - np.maximum.accumulate(np.where(changes, at, 0))) % size == 0)
+            held = t.slice(starts[-1])
+            if len(starts) > 1:
+                yield whole(t, starts)
+        if held is not None:
+            yield whole(held, np.array([0, held.num_rows]))
+
+    def whole(t, ends):
+        """Segments between places of a batch."""
+        edges = pa.StructArray.from_arrays(t.columns[1:], names=t.schema.names[1:])
+        return pa.RecordBatch.from_arrays([t.column(0).take(pa.array(ends[:-1])), pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), edges)], ["src", "size", "edges"])
 
     return run
 
