@@ -76,3 +76,8 @@ def test_a_task_without_a_limit_gives_all_hits(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([f"n{n:02d}" for n in range(40)]), pa.array(["a b"] * 40), pa.nulls(40, pa.string()), pa.nulls(40, pa.string())], ["node_id", "text", "name", "canonical_name"])
     out = [(r["q"], r["node_id"]) for b in S.searched(SimpleNamespace(value=["a", "b"]), None, False)([batch]) for r in b.to_pylist()]
     assert sorted(out) == [(q, f"n{n:02d}") for q in "ab" for n in range(40)]
+
+
+def test_one_question_with_paths_moves_no_texts(spark, wide):
+    rows, total = moved(spark, lambda: Q.ask_one(wide, "What?", "apple", multihop=True).select("context"))
+    assert rows[0][0].count("--T-->") == 10 and total < MOST
