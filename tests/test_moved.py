@@ -81,3 +81,26 @@ def test_a_task_without_a_limit_gives_all_hits(monkeypatch):
 def test_one_question_with_paths_moves_no_texts(spark, wide):
     rows, total = moved(spark, lambda: Q.ask_one(wide, "What?", "apple", multihop=True).select("context"))
     assert rows[0][0].count("--T-->") == 10 and total < MOST
+
+
+def test_walks_move_ids_of_starts_and_no_edges(spark, wide):
+    """The first start fills the limit, and no edge is moved to see that."""
+    many = Graph(wide.nodes, wide.edges.selectExpr("explode(sequence(1, 40)) as k", "*").selectExpr("concat(edge_id, '-', k) as edge_id", "src", "dst", "type", "score"))
+    want = {(r.src, r.edge_id) for r in many.edges.join(wide.nodes.filter("name like 'apple%'").selectExpr("node_id as src"), "src").orderBy("src", "edge_id").limit(5).collect()}
+    rows, total = moved(spark, lambda: P.multi_hop(many, "apple", 2, 5).select("start_id", "path"))
+    assert set(rows) == want and total < MOST
+
+
+def test_edges_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Not by the session's number of partitions, which grows with nothing; the edges stay the same."""
+    from wayfind.sources import graph as G
+    from wayfind.sources import store as T
+
+    for name in G.TABLES:
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    monkeypatch.setattr(G, "ROWS_A_TASK", 500)
+    edges = T.stored(spark, str(tmp_path)).edges
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum("SUPPLIED_BY" in f for f in edges.inputFiles()) > n
+    want = G.load(spark, str(tmp_path)).edges
+    assert edges.count() == want.count() and edges.exceptAll(want).isEmpty()
