@@ -104,3 +104,9 @@ def test_edges_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     assert sum("SUPPLIED_BY" in f for f in edges.inputFiles()) > n
     want = G.load(spark, str(tmp_path)).edges
     assert edges.count() == want.count() and edges.exceptAll(want).isEmpty()
+
+
+def test_routed_contexts_move_no_texts(spark, wide):
+    rows, total = moved(spark, lambda: Q.contexts(wide, asked(spark)).select("qid", "context"))
+    assert rows[0][1].startswith("1. [L] ★ ") and rows[2][1] == "No results found for 'no such thing'."
+    assert total < MOST
