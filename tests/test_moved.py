@@ -110,3 +110,9 @@ def test_routed_contexts_move_no_texts(spark, wide):
     rows, total = moved(spark, lambda: Q.contexts(wide, asked(spark)).select("qid", "context"))
     assert rows[0][1].startswith("1. [L] ★ ") and rows[2][1] == "No results found for 'no such thing'."
     assert total < MOST
+
+
+def test_a_scored_search_and_its_lines_move_no_texts(spark, wide):
+    order = ["relevance", "node_id", "edge_id"]
+    rows, total = moved(spark, lambda: C.lines(S.scored(wide, "apple"), order, []).select("i", "node_line", "edge_line"))
+    assert len(rows) == 15 and total < MOST
