@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from wayfind.functions import text as X
 from wayfind.operators.context import edge_text, node_text
 from wayfind.operators.paths import ORDER
+from wayfind.sources.store import sized
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -113,19 +114,22 @@ def digits(a, n):
 def bounded_context(top: DataFrame, rows: DataFrame, nodes: DataFrame, keys: tuple = ("needle",), most: int = 4500) -> DataFrame:
     """(keys, context, context_length) of found nodes (keys, node_id, labels, texts, relevance, rank): the first ``most``
     characters of what context.joined() makes of the nodes and their edges, and the length of all of it. Lines are numbered by the ranks of
-    edges, so no hub is sorted or collected: each task keeps a key's first lines that can be in the cut context, and lengths are sums."""
+    edges, so no hub is sorted or collected: each task keeps a key's first lines that can be in the cut context, and lengths are sums. What is found,
+    and the ids of its edges, are stored first, so that they go to the segments and the nodes."""
     by = list(keys)
+    head = F.when(X.shown() != "", node_text(X.label(), X.shown(), F.col("relevance")))
+    top = sized(top.select(*by, "node_id", "rank", head.alias("head")), "found")
     degree = rows.join(top.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi").groupBy("src").agg(F.sum("size").alias("n")).withColumnRenamed("src", "node_id")
     found = top.join(degree, "node_id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     before = Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     based = found.withColumn("base", F.coalesce(F.sum(F.greatest("n", F.lit(1).cast("long"))).over(before), F.lit(0)).cast("long"))
-    head = node_text(X.label(), X.shown(), F.col("relevance"))
-    based = based.select(*by, "node_id", "n", "base", F.when(X.shown() != "", head).alias("head"))
+    based = sized(based.select(*by, "node_id", "n", "base", "head"), "found")
     # Every row of a node repeats its line; only the number at its beginning differs.
     heads = F.coalesce((F.length("head").cast("long") + 1) * F.greatest("n", F.lit(1).cast("long")) + digits(F.col("base") + 1, F.greatest("n", F.lit(1).cast("long"))), F.lit(0))
     target = nodes.select(F.col("node_id").alias("dst"), X.label().alias("_label"), F.left(X.shown(), F.lit(201)).alias("_text")).filter("_text <> ''")
-    edges = based.join(rows.select(F.col("src").alias("node_id"), "start", F.posexplode("edges").alias("place", "e")), "node_id")
-    lined = edges.withColumn("dst", F.col("e.dst")).join(target, "dst", "left").withColumn("edge_line", edge_text(F.col("e.type"), F.col("_label"), F.col("_text")))
+    near = based.join(rows.select(F.col("src").alias("node_id"), "start", "edges"), "node_id").select(*by, "base", "head", "start", F.posexplode("edges").alias("place", "e"))
+    edges = sized(near.select(*by, "base", "head", "start", "place", F.struct("e.type").alias("e"), F.col("e.dst").alias("dst")), "near")
+    lined = edges.join(target, "dst", "left").withColumn("edge_line", edge_text(F.col("e.type"), F.col("_label"), F.col("_text")))
     numbered = lined.select(*by, (F.col("base") + F.col("start") + F.col("place") + 1).alias("i"), "head", "edge_line")
     alone = based.filter("n = 0").select(*by, (F.col("base") + 1).alias("i"), "head", F.lit(None).cast("string").alias("edge_line"))
     all_ = numbered.unionByName(alone)

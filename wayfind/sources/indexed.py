@@ -15,9 +15,9 @@ from wayfind.functions import text as X
 from wayfind.operators import adjacency as A
 from wayfind.operators import grams as G
 from wayfind.operators.search import hits_of, ranked_first
-from wayfind.sources.graph import Graph, load
+from wayfind.sources.graph import Graph, load, tasks_for
 from wayfind.sources.log import Change, Log
-from wayfind.sources.store import files_of, new_log
+from wayfind.sources.store import files_of, new_log, sized
 
 FEW = 1000  # places up to which a filter names them, so that a scan skips what has none of them
 PLACE = ["layer", "bucket", "_row"]
@@ -66,7 +66,7 @@ class Indexed(Graph):
     def found(self, needles: DataFrame) -> DataFrame:
         """(q, node_id, relevance) of all nodes that hold needles (q) of three characters or more."""
         rows = self.rows("nodes").select(*PLACE, "node_id", *X.SEARCHED)
-        near = self.candidates(needles).join(rows, PLACE).filter(X.holds(F.col("q")))
+        near = sized(self.candidates(needles), "places").join(rows, PLACE).filter(X.holds(F.col("q")))
         return near.select("q", "node_id", X.relevance(F.col("q")).alias("relevance"))
 
     def split(self, needles: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -161,7 +161,7 @@ def stored_index(spark: SparkSession, sf_dir: str) -> Indexed:
     """The graph of the star schema's tables with its indexes, made once and again when a table's file has changed."""
     key, files = (spark.sparkContext.applicationId, sf_dir), files_of(spark, sf_dir)
     if key not in _stored or _stored[key][0] != files:
-        _stored[key] = files, build(load(spark, sf_dir), new_log(spark, "index"))
+        _stored[key] = files, build(load(spark, sf_dir, tasks_for(spark, sf_dir)), new_log(spark, "index"))
     return _stored[key][1]
 
 
