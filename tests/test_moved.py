@@ -1,8 +1,10 @@
 """What searches move between tasks: ids, and no texts of nodes that they don't show."""
 
 import random
+from functools import reduce
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_graph import graph_of
 from wayfind.operators import context as C
@@ -83,6 +85,16 @@ def test_one_question_with_paths_moves_no_texts(spark, wide):
     assert rows[0][0].count("--T-->") == 10 and total < MOST
 
 
+def test_each_kind_of_one_question_moves_no_texts(spark, wide):
+    def run():
+        kinds = [Q.ask_one(wide, "What?", "apple"), Q.ask_one(wide, "What?", "apple", multihop=True), Q.ask_one(wide, "How many?", None, "select count(*) as n from nodes"), Q.ask_one(wide, "so?")]
+        return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(k).alias("k"), "context") for k, df in enumerate(kinds)])
+
+    rows, total = moved(spark, run)
+    assert rows[0][1].startswith("1. [L] ★ ") and rows[1][1].count("--T-->") == 10 and str(N) in rows[2][1] and rows[3][1] == C.NO_ENTITY
+    assert total < MOST
+
+
 def test_walks_move_ids_of_starts_and_no_edges(spark, wide):
     """The first start fills the limit, and no edge is moved to see that."""
     many = Graph(wide.nodes, wide.edges.selectExpr("explode(sequence(1, 40)) as k", "*").selectExpr("concat(edge_id, '-', k) as edge_id", "src", "dst", "type", "score"))
