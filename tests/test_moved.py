@@ -12,7 +12,9 @@ from wayfind.operators import paths as P
 from wayfind.operators import search as S
 from wayfind.plans import ask as Q
 from wayfind.plans import models as M
+from wayfind.plans.routed import Route
 from wayfind.sources.graph import Graph
+from wayfind.sources.store import new_log
 
 N, TEXT = 2000, 2000  # nodes, and characters of the text of each
 MOST = 200_000  # bytes that may be moved; all texts are twenty times as many
@@ -124,6 +126,19 @@ def test_routed_contexts_move_no_texts(spark, wide):
     assert total < MOST
 
 
+def test_routed_answers_move_no_texts(spark, wide):
+    """Neither when models are asked, nor when all answers are kept."""
+    questions, log = asked(spark).selectExpr("*", "'a' as backend", "cast(null as string) as model"), new_log(spark, "answers")
+
+    def run():
+        Q.ask_routed(wide, questions, {"a": Route(lambda _: M.Extract(), 2)}, log)
+        return Q.ask_routed(wide, questions, {"a": Route(None, 2)}, log).select("qid", "answer", "status")
+
+    rows, total = moved(spark, run)
+    assert [(r[0], r[2]) for r in rows] == [(1, "ok"), (2, "ok"), (3, "ok")] and rows[0][1].startswith("1. [L] ★ ")
+    assert total < MOST
+
+
 def test_a_scored_search_and_its_lines_move_no_texts(spark, wide):
     order = ["relevance", "node_id", "edge_id"]
     rows, total = moved(spark, lambda: C.lines(S.scored(wide, "apple"), order, []).select("i", "node_line", "edge_line"))
