@@ -139,6 +139,12 @@ def test_routed_answers_move_no_texts(spark, wide):
     assert total < MOST
 
 
+def test_answers_to_many_questions_move_no_texts(spark, wide):
+    rows, total = moved(spark, lambda: Q.ask(wide, asked(spark)).select("qid", "answer", "context"))
+    assert [r[0] for r in rows] == [1, 2, 3] and rows[0][1].startswith("1. [L] ★ ") and rows[2][2] == "No results found for 'no such thing'."
+    assert total < MOST
+
+
 def test_a_scored_search_and_its_lines_move_no_texts(spark, wide):
     order = ["relevance", "node_id", "edge_id"]
     rows, total = moved(spark, lambda: C.lines(S.scored(wide, "apple"), order, []).select("i", "node_line", "edge_line"))
