@@ -145,6 +145,13 @@ def test_answers_to_many_questions_move_no_texts(spark, wide):
     assert total < MOST
 
 
+def test_a_scored_context_moves_no_texts(spark, wide):
+    """The whole context, with texts of nodes and targets in its lines."""
+    order = [F.desc("relevance"), F.col("node_id"), F.col("edge_id").asc_nulls_first()]
+    rows, total = moved(spark, lambda: C.or_else(C.joined(C.lines(S.scored(wide, "apple"), order, []), []), "nothing"))
+    assert len(rows) == 1 and rows[0][0].count("[L] ★ ") == 15 and "   → T: [L] " in rows[0][0] and total < MOST
+
+
 def test_a_scored_search_and_its_lines_move_no_texts(spark, wide):
     order = ["relevance", "node_id", "edge_id"]
     rows, total = moved(spark, lambda: C.lines(S.scored(wide, "apple"), order, []).select("i", "node_line", "edge_line"))
