@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayfind.operators import vectors as V
 
@@ -83,3 +84,57 @@ def test_neighbours_do_not_depend_on_the_pairs_at_a_time(spark, monkeypatch, cel
     want, found = order(V.exact(df, queries)), order(V.search(codes, df, queries, book, probes=2, rerank=20))
     monkeypatch.setattr(V, "CELLS", cells)
     assert order(V.exact(df, queries)) == want and order(V.search(codes, df, queries, book, probes=2, rerank=20)) == found
+
+
+@pytest.mark.parametrize("block, blocks, side", [(32_768, 16, 512), (7, 1, 3), (1000, 1, 512)])
+def test_links_of_all_vectors_are_counted(spark, monkeypatch, block, blocks, side):
+    """Each with each, copies too, whatever the blocks; the sums are those of the links one by one."""
+    from wayfind.operators import similarity as S
+
+    r = np.random.default_rng(6)
+    m = list(r.normal(size=(90, 8)).astype(np.float32))
+    m[3], m[50], m[11], m[12] = m[2] * 2, m[2], np.zeros(8), None  # copies; no direction; no vector
+    ids = [*range(88), 5, 5]  # an id of several rows has no link to itself
+    df = frame(spark, m, ids)
+    for k, v in (("BLOCK", block), ("BLOCKS", blocks), ("SIDE", side)):
+        monkeypatch.setattr(S, k, v)
+    want = {x.a: x.n for x in S.links(df, df, 0.3).groupBy("a").agg(F.count("*").alias("n")).collect()}
+    got = {x.vec_id: x.links for x in S.link_counts(df, 0.3).collect()}
+    assert got == want and len(got) > 80 and 11 not in got and 12 not in got
+    assert S.link_counts(df.limit(0), 0.3).count() == 0
+
+
+def test_the_report_counts_links_of_all_vectors(spark, tmp_path):
+    """Also of those whose ids are not divisible by 100, which the query once did not compare with one another."""
+    import os
+
+    import duckdb
+
+    from wayfind import catalogue
+    from wayfind.sources.graph import TABLES
+
+    for name in TABLES:
+        if name != "embeddings":
+            os.symlink(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    vectors = {1: [1, 0], 2: [1, 0.1], 3: [-1, 0], 100: [0, -1], 205: [0.9, 0]}
+    rows = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in vectors.items()], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {x.metric: x.value for x in catalogue.QUERIES["integrity_report"](spark, str(tmp_path)).collect()}
+    assert got == {"canonical_nodes": 5, "similarity_links": 6, "canonical_without_similarity": 2}
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert got == dict(duck.execute(catalogue.ORACLE["integrity_report"]).fetchall())
+
+
+def test_counts_give_the_report_of_the_links(spark):
+    from wayfind.operators import ingest as I
+    from wayfind.operators import similarity as S
+    from wayfind.sources.graph import Graph
+
+    df = frame(spark, np.random.default_rng(7).normal(size=(12, 6)))
+    nodes = df.select(F.col("vec_id").cast("string").alias("node_id"), F.array(F.lit("EntityCanonical")).alias("labels")).unionByName(spark.createDataFrame([("x", ["Part"])], "node_id string, labels array<string>"))
+    edges = S.links(df, df, 0.7).select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"), F.lit("SIMILAR_TO").alias("type"))
+    want = {x.metric: x.value for x in I.integrity(Graph(nodes, edges)).collect()}
+    counts = S.link_counts(df, 0.7).select(F.col("vec_id").cast("string").alias("node_id"), "links")
+    assert {x.metric: x.value for x in I.integrity_of_counts(nodes, counts).collect()} == want
+    assert want["canonical_nodes"] == 12 and want["similarity_links"] > 0 and 0 < want["canonical_without_similarity"] < 12

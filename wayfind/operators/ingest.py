@@ -55,3 +55,13 @@ def integrity(graph: Graph, label: str = "EntityCanonical", kind: str = "SIMILAR
     inside = links.join(own.select(F.col("node_id").alias("src")), "src", "left_semi").join(own.select(F.col("node_id").alias("dst")), "dst", "left_semi")
     count = lambda df, name: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
     return count(own, "canonical_nodes").unionByName(count(inside, "similarity_links")).unionByName(count(isolated(own, links), "canonical_without_similarity"))
+
+
+def integrity_of_counts(nodes: DataFrame, counts: DataFrame, label: str = "EntityCanonical") -> DataFrame:
+    """What integrity() gives where links go both ways between nodes of the label, from counts (node_id, links) of those that leave
+    each: counts are as many as nodes, where links may be as many as pairs."""
+    own = nodes.filter(F.array_contains("labels", label)).select("node_id", F.lit(1).alias("n"), F.lit(0).cast("long").alias("links"))
+    each = own.unionByName(counts.select("node_id", F.lit(0).alias("n"), "links")).groupBy("node_id").agg(F.sum("n").alias("n"), F.sum("links").alias("links"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    all_ = each.agg(total("n").alias("nodes"), total("links").alias("links"), total(F.when(F.col("links") == 0, F.col("n"))).alias("alone"))
+    return all_.select(F.expr("stack(3, 'canonical_nodes', nodes, 'similarity_links', links, 'canonical_without_similarity', alone) as (metric, value)"))
